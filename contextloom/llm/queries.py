@@ -6,17 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from contextloom.llm import exact_dedup
-from contextloom.llm.common import ship, table
+from contextloom.llm import decontaminate, exact_dedup, license_scan
+from contextloom.llm.common import table
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup_report(table(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_report(table(spark, sf_dir, "documents"))
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup,)}
+    return {f.__name__: f for f in (op2_exact_dedup, op3_license_scan, op4_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.REPORT_SQL}
+    return {
+        "op2_exact_dedup": exact_dedup.REPORT_SQL,
+        "op3_license_scan": license_scan.REPORT_SQL,
+        "op4_decontaminate": decontaminate.REPORT_SQL,
+    }
