@@ -22,6 +22,7 @@ from contextloom.llm.common import WHITE, cut, free_name, text_of
 
 BLOCK_BITS = 32768  # of bitmap_construct_agg
 LAST_ID = (1 << 63) - 1
+HOT_ROWS, MAX_HOT = 1000, 10_000
 
 
 def normalised(text: Column | str) -> Column:
@@ -102,8 +103,9 @@ def exact_dedup_report(
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     The texts are read once: their digests are written to the shared folder, and both passes go over those.
-    The groups of possibly repeated texts are counted with map-side combining and joined back to their rows; the join
-    is one that adaptive execution can split, should one text have a third of all rows.
+    The groups of possibly repeated texts are counted with map-side combining and joined back to their rows. Groups of
+    more than one row in ``MAX_HOT`` are at most ``MAX_HOT`` in number, so these go to the rows by broadcast, and no
+    task has to take in a large group.
     """
     digests = cut(
         docs.select(
@@ -113,21 +115,28 @@ def exact_dedup_report(
         )
     )
     rows = digests.withColumn("h", F.xxhash64("text_sha256"))
-    rows = maybe_repeated(rows, "h", "maybe", digests.count(), bits_per_row, max_filter_bits).drop("h")
+    n_rows = digests.count()
+    rows = maybe_repeated(rows, "h", "maybe", n_rows, bits_per_row, max_filter_bits).drop("h")
     once = rows.where("not maybe").select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
         F.lit(True).alias("kept"), "text_sha256",
     )
     again = rows.where("maybe")
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(LAST_ID)).alias("o"), "row", "doc_id"))
-    groups = again.groupBy("text_sha256").agg(first.alias("first"), F.count(F.lit(1)).alias("group_size"))
-    joined = again.join(groups.hint("merge"), "text_sha256")
-    return once.unionByName(
-        joined.select(
+    groups = cut(again.groupBy("text_sha256").agg(first.alias("first"), F.count(F.lit(1)).alias("group_size")))
+    hot_size = max(HOT_ROWS, n_rows // MAX_HOT)
+    hot = F.broadcast(groups.where(F.col("group_size") > hot_size))
+    small = groups.where(F.col("group_size") <= hot_size)
+    by_hot = again.join(hot, "text_sha256")
+    by_small = again.join(hot.select("text_sha256"), "text_sha256", "left_anti").join(small, "text_sha256")
+    decided = [
+        j.select(
             "doc_id", F.col("first.doc_id").alias("keep_id"), "group_size",
             (F.col("row") == F.col("first.row")).alias("kept"), "text_sha256",
         )
-    )
+        for j in (by_hot, by_small)
+    ]
+    return once.unionByName(decided[0]).unionByName(decided[1])
 
 
 REPORT_SQL = r"""
