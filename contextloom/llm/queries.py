@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from contextloom.llm import decontaminate, exact_dedup, license_scan
+from contextloom.llm import decontaminate, exact_dedup, license_scan, ngram_jaccard
 from contextloom.llm.common import table
 
 
@@ -22,8 +22,13 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op3_license_scan, op4_decontaminate)}
+    return {f.__name__: f for f in (op2_exact_dedup, op3_license_scan, op4_decontaminate, op6_ngram_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -31,4 +36,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_exact_dedup": exact_dedup.REPORT_SQL,
         "op3_license_scan": license_scan.REPORT_SQL,
         "op4_decontaminate": decontaminate.REPORT_SQL,
+        "op6_ngram_jaccard": ngram_jaccard.REPORT_SQL,
     }
