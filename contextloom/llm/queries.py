@@ -6,9 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from contextloom.llm import decontaminate, exact_dedup, license_scan, ngram_jaccard
+from contextloom.llm import decontaminate, exact_dedup, license_scan, ngram_jaccard, packing, secret_scan
 from contextloom.llm.common import table
 
+#: Files of public tokenizers; a parameter of the operators, never copied into the repository.
+VOCABULARY = "byte_bpe_50k.tiktoken"
+
+
+def vocabulary() -> tuple[str, str]:
+    """Path of the ranks of the byte-pair vocabulary, which are also the ids of its tokenizers file, and its pattern."""
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
+
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup_report(table(spark, sf_dir, "documents"))
@@ -27,8 +37,16 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_report(table(spark, sf_dir, "documents"), *vocabulary())
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), *vocabulary())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op3_license_scan, op4_decontaminate, op6_ngram_jaccard)}
+    return {f.__name__: f for f in (op2_exact_dedup, op3_license_scan, op4_decontaminate, op6_ngram_jaccard, op7_secret_scan, op8_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
