@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from contextloom.llm import decontaminate, exact_dedup, license_scan, ngram_jaccard, packing, secret_scan
+from contextloom.llm import decontaminate, exact_dedup, license_scan, ngram_jaccard, packing, quality, secret_scan
 from contextloom.llm.common import table
 
 #: Files of public tokenizers; a parameter of the operators, never copied into the repository.
@@ -20,6 +20,12 @@ def vocabulary() -> tuple[str, str]:
     return public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.quality_scores(docs, model).drop("row")
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup_report(table(spark, sf_dir, "documents"))
 
@@ -46,7 +52,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op3_license_scan, op4_decontaminate, op6_ngram_jaccard, op7_secret_scan, op8_best_fit_packing)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_exact_dedup, op3_license_scan, op4_decontaminate, op6_ngram_jaccard, op7_secret_scan, op8_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
