@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from contextloom.llm import chat_template, decontaminate, exact_dedup, langid, license_scan, ngram_jaccard, packing, quality, secret_scan
+from contextloom.llm import chat_template, decontaminate, exact_dedup, html_blocks, langid, license_scan, ngram_jaccard, packing, quality, secret_scan
 from contextloom.llm.common import table
 
 #: Files of public tokenizers; a parameter of the operators, never copied into the repository.
@@ -38,6 +38,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngram_jaccard.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id")
@@ -63,8 +67,14 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_template.format_report(turns.unionByName(added))
 
 
+QUERIES = (
+    op1_quality_classifier, op2_exact_dedup, op3_license_scan, op4_decontaminate, op5_html_extract,
+    op6_ngram_jaccard, op7_secret_scan, op8_best_fit_packing, op9_language_id, op10_chat_format,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_exact_dedup, op3_license_scan, op4_decontaminate, op6_ngram_jaccard, op7_secret_scan, op8_best_fit_packing, op9_language_id, op10_chat_format)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
