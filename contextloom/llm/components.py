@@ -26,7 +26,8 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node that each linked node reaches. ``links`` has long columns a and b.
 
     Large-star and small-star steps: each round hangs the neighbours of a node on the smallest of them, until every
-    component is a star. The edges are written to the shared folder each round; only two counts reach the driver.
+    component is a star. The edges are written to the shared folder each round; only a count and a sum reach the
+    driver. Nodes with very many edges meet their minimum in joins that adaptive execution can split.
     Loops, repeated links and an empty table are fine; rows with a null are left out.
     """
     edges = cut(
@@ -56,9 +57,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One step; edges (a, b) have a > b."""
     down = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     around = down.unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))) if large else down
-    mins = cut(around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("size")))
-    n = mins.agg(F.sum("size")).first()[0] or 0
-    hung = join_groups(around, mins, "u", "size", n)
+    mins = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    hung = around.join(mins, "u")
     if large:
         new = hung.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:

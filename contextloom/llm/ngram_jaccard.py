@@ -10,8 +10,8 @@ of bounded size. A set of at most 4 * ``KEYS`` - 4 shingles sends its whole exac
 larger pair, none of the ``KEYS`` smallest hashes of the union is shared with a probability under 0.25 ** KEYS = 2 ** -64
 at most, as small as that of two shingles having one hash.
 
-Pairs. In a first round each tile pairs its members with its smallest member only, which links large groups of copies
-with a number of pairs in proportion to their size. Components of those links are found; in a second round tiles that
+Pairs. In a first round each tile pairs its members with one pivot only: the member whose keys the most others share,
+so the one in the middle of a group of copies. That links large groups with pairs in proportion to their size. Components of those links are found; in a second round tiles that
 still hold more than one component give all pairs across components that sizes and bitmaps allow. Pairs within a
 component need no look. In a bitmap every shingle sets one bit; a bit that only one of two sets has stands for at least
 one shingle of its own, which bounds the overlap from above. Pairs that pass meet their sorted arrays, made anew from
@@ -41,6 +41,7 @@ KEYS = 32
 MIX = np.uint64(0x9E3779B97F4A7C15)
 CELL = 2048
 SMALL_BITS, LARGE_BITS = 8, 13  # bitmaps have 2 ** 8 to 2 ** 13 bits
+BITS_PER_SHINGLE = 4
 BROADCAST_ROWS = 1_000_000
 
 
@@ -80,8 +81,8 @@ def shingle_set(text: bytes | None, hashes: WordHashes) -> np.ndarray:
 
 
 def bitmap_bits(n: int) -> int:
-    """log2 of the bits of the signature of a set of n: at least twice n of them, within bounds."""
-    return min(max((2 * n - 1).bit_length(), SMALL_BITS), LARGE_BITS)
+    """log2 of the bits of the signature of a set of n: at least ``BITS_PER_SHINGLE`` times n of them, within bounds."""
+    return min(max((BITS_PER_SHINGLE * n - 1).bit_length(), SMALL_BITS), LARGE_BITS)
 
 
 def bitmap(h: np.ndarray) -> np.ndarray:
@@ -191,9 +192,9 @@ def set_arrays(docs: DataFrame, text: str, doc_id: str, wanted: DataFrame) -> Da
 
 
 def pivot_pairs(keyed: DataFrame, percent: int) -> DataFrame:
-    """Each tile's members with its smallest one."""
+    """Each tile's members with its pivot."""
     out = keyed.where((F.col("rep") != F.col("pivot")) & size_fits("n", "pivot_n", percent))
-    return out.select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+    return out.select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).distinct()
 
 
 def cross_pairs(tiles: DataFrame, percent: int) -> DataFrame:
@@ -272,8 +273,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         .select("digest", "n", "class_id", "size", F.col("r.row").alias("rep"), F.col("r.doc_id").alias("rep_doc"), F.col("r.keys").alias("keys"), F.col("r.bits").alias("bits"))
     )
     keys = classes.select(F.explode("keys").alias("key"), "rep", "n")
-    tiles = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("rep", "n")).alias("p")).where("c > 1")
-    keyed = cut(keys.join(tiles, "key").select("key", "c", "rep", "n", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pivot_n")))
+    tiles = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    shared = cut(keys.join(tiles, "key").select("key", "c", "rep", "n"))
+    weights = shared.groupBy("rep").agg(F.sum("c").alias("weight"))
+    middle = F.max_by(F.struct("rep", "n"), F.struct("weight", -F.col("rep"))).alias("p")
+    pivots = shared.join(weights, "rep").groupBy("key").agg(middle)
+    keyed = cut(shared.join(pivots, "key").select("key", "c", "rep", "n", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pivot_n")))
     tried = cut(pivot_pairs(keyed, percent))
     links = near_pairs(sets, classes, docs, text, doc_id, tried, percent)
     comps = cut(connected_components(links))
