@@ -41,7 +41,7 @@ KEYS = 32
 MIX = np.uint64(0x9E3779B97F4A7C15)
 CELL = 2048
 SMALL_BITS, LARGE_BITS = 8, 13  # bitmaps have 2 ** 8 to 2 ** 13 bits
-BITS_PER_SHINGLE = 4
+BITS_PER_SHINGLE = 8
 BROADCAST_ROWS = 1_000_000
 
 
@@ -119,7 +119,7 @@ def set_rows(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in (b.slice(i, 1000) for b in batches for i in range(0, len(b), 1000)):
             n, digests, keys, bits = [], [], [], []
             for t in byte_lists(batch.column(2)):
                 h = shingle_set(t, hashes)
