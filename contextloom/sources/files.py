@@ -55,6 +55,8 @@ def raw_files(spark: SparkSession, options: ScanOptions) -> DataFrame:
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(options.recursive).lower())
     relative = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/*(?=/)", ""), "^" + "".join(f"\\{c}" if not c.isalnum() else c for c in root) + "/+", "")
     rows = reader.load(root if options.recursive else f"{root}/*").withColumn("path", relative)
+    if not options.recursive:
+        rows = rows.where(~F.col("path").contains("/"))
     return rows.where((F.col("length") <= options.max_file_size) & kept_path(F.col("path"), options.include, options.exclude))
 
 
