@@ -32,6 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from contextloom.llm.common import byte_lists, cut, free_name, ship, spaced_words
 from contextloom.llm.components import connected_components, join_groups
@@ -40,6 +41,7 @@ SHINGLE = 5
 KEYS = 32
 MIX = np.uint64(0x9E3779B97F4A7C15)
 CELL = 2048
+PIVOTS = 4
 SMALL_BITS, LARGE_BITS = 8, 13  # bitmaps have 2 ** 8 to 2 ** 13 bits
 BITS_PER_SHINGLE = 8
 BROADCAST_ROWS = 1_000_000
@@ -48,7 +50,7 @@ BROADCAST_ROWS = 1_000_000
 class WordHashes(dict):
     """Word -> place in ``values``, an array of 64-bit hashes; starts anew when it has grown large."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 150_000):
         self.most, self.values = most, np.empty(1024, np.uint64)
 
     def __missing__(self, word: bytes) -> int:
@@ -119,7 +121,7 @@ def set_rows(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in (b.slice(i, 1000) for b in batches for i in range(0, len(b), 1000)):
+        for batch in batches:
             n, digests, keys, bits = [], [], [], []
             for t in byte_lists(batch.column(2)):
                 h = shingle_set(t, hashes)
@@ -197,10 +199,23 @@ def pivot_pairs(keyed: DataFrame, percent: int) -> DataFrame:
     return out.select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).distinct()
 
 
+def more_pairs(tiles: DataFrame, percent: int) -> DataFrame:
+    """The members of each tile with the ``PIVOTS`` heaviest ones that aren't in their component."""
+    heaviest = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("weight"), "rep"))
+    pivots = tiles.withColumn("place", heaviest).where(F.col("place") <= PIVOTS).select("key", F.col("rep").alias("pivot"), F.col("n").alias("pivot_n"), F.col("comp").alias("pivot_comp"))
+    return pivot_pairs(tiles.join(pivots, "key").where("comp <> pivot_comp"), percent)
+
+
+def with_components(keyed: DataFrame, links: DataFrame) -> DataFrame:
+    """key, c, rep, n and the component that the links so far give."""
+    comps = connected_components(links).withColumnRenamed("node", "rep")
+    return keyed.join(comps, "rep", "left").select("key", "c", "rep", "n", F.coalesce("component", "rep").alias("comp"))
+
+
 def cross_pairs(tiles: DataFrame, percent: int) -> DataFrame:
     """Pairs of a tile in different components that sizes and bitmaps allow.
 
-    ``tiles``: key, c (the tile's rows), rep, comp, n, bits. A tile of more than ``CELL`` rows is cut by size bands,
+    ``tiles``: key, c (the tile's rows), rep, comp, n, bits, keys. A tile of more than ``CELL`` rows is cut by size bands,
     each a quarter wide so that links only join a band and the next, and a band into cells of two blocks of about
     ``CELL`` rows. A task holds one cell at a time.
     """
@@ -211,9 +226,10 @@ def cross_pairs(tiles: DataFrame, percent: int) -> DataFrame:
         F.flatten(F.transform(F.sequence(F.lit(0), F.lit(1)), lambda up: F.transform(F.sequence(F.lit(0), blocks - 1), lambda q: F.struct(
             (band - up).cast("long").alias("band"), F.least(block, q).alias("x"), F.greatest(block, q).alias("y"), block.alias("side")))))
     )
-    dealt = tiles.select("key", "rep", "comp", "n", "bits", F.explode(cells).alias("cell")).select("key", "cell.*", "rep", "comp", "n", "bits")
+    lesser = F.filter("keys", lambda k: k < F.col("key"))  # shared smaller keys mean that another tile gives the pair
+    dealt = tiles.select("key", "rep", "comp", "n", "bits", lesser.alias("keys"), F.explode(cells).alias("cell")).select("key", "cell.*", "rep", "comp", "n", "bits", "keys")
     place = F.xxhash64("key", "band", "x", "y")
-    dealt = dealt.select(place.alias("place"), "x", "y", "side", "rep", "comp", "n", "bits")
+    dealt = dealt.select(place.alias("place"), "x", "y", "side", "rep", "comp", "n", "bits", "keys")
     ready = dealt.repartition("place").sortWithinPartitions("place", "n")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,6 +256,7 @@ def _cell_pairs(t: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
         return
     apart = bool(x[0] != y[0])  # two blocks: only pairs across them
     words = [np.frombuffer(b, np.uint64) for b in t.column("bits").to_pylist()]
+    own = [frozenset(k) for k in t.column("keys").to_pylist()]
     width = np.array([len(w) for w in words])
     at_width: dict[int, np.ndarray] = {}
     for w in np.unique(width):  # rows are in order of n, so of width; signatures of this width and the next, folded
@@ -258,6 +275,7 @@ def _cell_pairs(t: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
             base = int(np.searchsorted(width, width[i]))
             over = most_overlap(b[i - base], b[j - base], n[i], n[j])
             j = j[enough(over, n[i], n[j], percent)]
+            j = j[[own[i].isdisjoint(own[k]) for k in j.tolist()]] if len(j) else j
         if len(j):
             yield pa.record_batch({"a": np.minimum(rep[i], rep[j]), "b": np.maximum(rep[i], rep[j])})
 
@@ -275,20 +293,25 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     keys = classes.select(F.explode("keys").alias("key"), "rep", "n")
     tiles = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     shared = cut(keys.join(tiles, "key").select("key", "c", "rep", "n"))
-    weights = shared.groupBy("rep").agg(F.sum("c").alias("weight"))
+    weights = cut(shared.groupBy("rep").agg(F.sum("c").alias("weight")))
     middle = F.max_by(F.struct("rep", "n"), F.struct("weight", -F.col("rep"))).alias("p")
     pivots = shared.join(weights, "rep").groupBy("key").agg(middle)
     keyed = cut(shared.join(pivots, "key").select("key", "c", "rep", "n", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pivot_n")))
     tried = cut(pivot_pairs(keyed, percent))
     links = near_pairs(sets, classes, docs, text, doc_id, tried, percent)
-    comps = cut(connected_components(links))
+    labelled = cut(with_components(keyed, links))
+
+    sizes = labelled.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max("m").alias("m"), F.count(F.lit(1)).alias("k"))
+    begun = sizes.where("k > 1 and m > 1").select("key")
+    second = cut(more_pairs(labelled.join(begun, "key", "left_semi").join(weights, "rep"), percent).join(tried, ["a", "b"], "left_anti"))
+    tried = tried.unionByName(second)
+    links = cut(links.unionByName(near_pairs(sets, classes, docs, text, doc_id, second, percent)))
+    labelled = cut(with_components(keyed, links))
 
-    labelled = keyed.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
-    labelled = cut(labelled.select("key", "c", "rep", "n", "comp"))
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    open_tiles = labelled.join(mixed.select("key"), "key", "left_semi").join(classes.select("rep", "bits"), "rep")
-    more = cross_pairs(open_tiles, percent).join(tried, ["a", "b"], "left_anti")
-    links = links.unionByName(near_pairs(sets, classes, docs, text, doc_id, cut(more), percent))
+    open_tiles = labelled.join(mixed.select("key"), "key", "left_semi").join(classes.select("rep", "bits", "keys"), "rep")
+    third = cut(cross_pairs(open_tiles, percent).join(tried, ["a", "b"], "left_anti"))
+    links = links.unionByName(near_pairs(sets, classes, docs, text, doc_id, third, percent))
     comps = cut(connected_components(links))
 
     ids = classes.select("digest", "n", "class_id", "size", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left")

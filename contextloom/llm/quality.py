@@ -53,7 +53,7 @@ class MarkCache(dict):
     """Word -> its hashes, signed for Arrow; starts anew when large."""
 
     def __missing__(self, word: bytes) -> list[int]:
-        if len(self) > 200_000:
+        if len(self) > 50_000:
             self.clear()
         value = self[word] = [x - (1 << 64) if x >> 63 else x for x in marks_of(word)]
         return value
@@ -66,7 +66,7 @@ class WordScores(dict):
         self.lexicon = lexicon
 
     def __missing__(self, word: bytes) -> float:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         get = self.lexicon.get
         value = self[word] = max(get(x - (1 << 64) if x >> 63 else x, 0.0) for x in marks_of(word))
@@ -106,7 +106,7 @@ class Model:
     """Log odds of marks by class, and the weights of the two regressions; ``priors`` are rates in the labels."""
 
     lexicons: tuple[dict[int, float], ...] = ({}, {})
-    weights: np.ndarray = field(default_factory=lambda: np.zeros((2, N_DENSE + 6)))
+    weights: np.ndarray = field(default_factory=lambda: np.tile(np.r_[-12.0, np.zeros(N_DENSE + 5)], (2, 1)))
     mean: np.ndarray = field(default_factory=lambda: np.zeros(N_DENSE + 6))
     scale: np.ndarray = field(default_factory=lambda: np.ones(N_DENSE + 6))
 
