@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from contextloom.session import ship
+
 EXTENSIONS = (".py", ".js", ".md", ".txt", ".tsx", ".png")
 CAPABILITIES = ("code", "files", "search")
 NOW = "2024-02-01 00:00:00"
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
