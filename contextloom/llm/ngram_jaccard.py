@@ -199,11 +199,15 @@ def pivot_pairs(keyed: DataFrame, percent: int) -> DataFrame:
     return out.select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).distinct()
 
 
-def more_pairs(tiles: DataFrame, percent: int) -> DataFrame:
-    """The members of each tile with the ``PIVOTS`` heaviest ones that aren't in their component."""
+def more_pairs(tiles: DataFrame, most: int, percent: int) -> DataFrame:
+    """The members of each tile with the ``PIVOTS`` heaviest ones that aren't in their component.
+
+    The heaviest are found by a ranking with a limit, which leaves each task with ``PIVOTS`` rows of a tile at most.
+    """
     heaviest = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("weight"), "rep"))
-    pivots = tiles.withColumn("place", heaviest).where(F.col("place") <= PIVOTS).select("key", F.col("rep").alias("pivot"), F.col("n").alias("pivot_n"), F.col("comp").alias("pivot_comp"))
-    return pivot_pairs(tiles.join(pivots, "key").where("comp <> pivot_comp"), percent)
+    pivots = tiles.withColumn("place", heaviest).where(F.col("place") <= PIVOTS)
+    pivots = cut(pivots.select("key", "c", F.col("rep").alias("pivot"), F.col("n").alias("pivot_n"), F.col("comp").alias("pivot_comp")))
+    return pivot_pairs(join_groups(tiles.drop("c"), pivots, "key", "c", most).where("comp <> pivot_comp"), percent)
 
 
 def with_components(keyed: DataFrame, links: DataFrame) -> DataFrame:
@@ -291,25 +295,30 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         .select("digest", "n", "class_id", "size", F.col("r.row").alias("rep"), F.col("r.doc_id").alias("rep_doc"), F.col("r.keys").alias("keys"), F.col("r.bits").alias("bits"))
     )
     keys = classes.select(F.explode("keys").alias("key"), "rep", "n")
-    tiles = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    shared = cut(keys.join(tiles, "key").select("key", "c", "rep", "n"))
+    most = KEYS * classes.count()
+    tiles = cut(keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
+    shared = cut(join_groups(keys, tiles, "key", "c", most).select("key", "c", "rep", "n"))
     weights = cut(shared.groupBy("rep").agg(F.sum("c").alias("weight")))
     middle = F.max_by(F.struct("rep", "n"), F.struct("weight", -F.col("rep"))).alias("p")
-    pivots = shared.join(weights, "rep").groupBy("key").agg(middle)
-    keyed = cut(shared.join(pivots, "key").select("key", "c", "rep", "n", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pivot_n")))
+    pivots = cut(shared.join(weights, "rep").groupBy("key").agg(middle, F.first("c").alias("c")))
+    keyed = join_groups(shared.drop("c"), pivots, "key", "c", most)
+    keyed = cut(keyed.select("key", "c", "rep", "n", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pivot_n")))
     tried = cut(pivot_pairs(keyed, percent))
     links = near_pairs(sets, classes, docs, text, doc_id, tried, percent)
     labelled = cut(with_components(keyed, links))
 
-    sizes = labelled.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max("m").alias("m"), F.count(F.lit(1)).alias("k"))
-    begun = sizes.where("k > 1 and m > 1").select("key")
-    second = cut(more_pairs(labelled.join(begun, "key", "left_semi").join(weights, "rep"), percent).join(tried, ["a", "b"], "left_anti"))
+    sizes = labelled.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"), F.first("c").alias("c"))
+    sizes = sizes.groupBy("key").agg(F.max("m").alias("m"), F.count(F.lit(1)).alias("k"), F.first("c").alias("c"))
+    begun = cut(sizes.where("k > 1 and m > 1").select("key", "c"))
+    members = cut(join_groups(labelled.drop("c"), begun, "key", "c", most).join(weights, "rep"))
+    second = cut(more_pairs(members, most, percent).join(tried, ["a", "b"], "left_anti"))
     tried = tried.unionByName(second)
     links = cut(links.unionByName(near_pairs(sets, classes, docs, text, doc_id, second, percent)))
     labelled = cut(with_components(keyed, links))
 
-    mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    open_tiles = labelled.join(mixed.select("key"), "key", "left_semi").join(classes.select("rep", "bits", "keys"), "rep")
+    mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.first("c").alias("c"))
+    mixed = cut(mixed.where("lo <> hi").select("key", "c"))
+    open_tiles = join_groups(labelled.drop("c"), mixed, "key", "c", most).join(classes.select("rep", "bits", "keys"), "rep")
     third = cut(cross_pairs(open_tiles, percent).join(tried, ["a", "b"], "left_anti"))
     links = links.unionByName(near_pairs(sets, classes, docs, text, doc_id, third, percent))
     comps = cut(connected_components(links))
@@ -330,7 +339,7 @@ def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", perc
 
     Documents without words are linked with nothing and all stay. Rows leave by an anti-join on their number; the list
     of those that leave is broadcast while it has at most ``BROADCAST_ROWS`` rows. ``docs`` must read the same rows in
-    the same order twice, as a written table does.
+    the same order twice, as a written table does. Components without any doc_id stay whole.
     """
     found = cut(near_duplicates(docs, text, doc_id, percent).where("n_shingles > 0").select("row", "doc_id", "component_id"))
     some = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"), F.count(F.lit(1)).alias("size"))
