@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import os
 import uuid
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-REPO_ROOT = str(Path(__file__).resolve().parents[2])
+from contextloom import session
+
 BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 WHITE = r"[\x20\x09-\x0D]+"
 #: Bytes of words made of ASCII letters, digits and everything beyond ASCII; A-Z become a-z, the rest a space.
@@ -27,14 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package when the driver found it by a path of its own.
+    """Let Python workers import this package, and send them whole texts in batches smaller than Spark's default.
 
-    Whole texts also go to them in smaller batches than Spark's default, which bounds a worker's memory.
+    The batches bound a worker's memory.
     """
-    env = spark.sparkContext.environment
-    have = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
-    if REPO_ROOT not in have:
-        env["PYTHONPATH"] = os.pathsep.join([REPO_ROOT, *have])
+    session.ship(spark)
     if int(spark.conf.get(BATCH, "10000")) > BATCH_ROWS:
         spark.conf.set(BATCH, str(BATCH_ROWS))
 
