@@ -24,6 +24,12 @@ METACHARACTERS = r"[|&;$`(){}<>\n\r]"
 # Words that a command may begin with in prose, and types of commits.
 COMMAND_STARTS = ("npm", "python", "pip", "git", "docker", "ls", "cd", "pwd", "cat", "grep", "find")
 COMMIT_TYPES = ("feat", "fix", "docs", "style", "refactor", "test", "chore")
+# Where commands stand in a model's answer.
+SHELL_BLOCK_CUT = r"(?is)```(?:bash|shell|terminal|sh).*?```"
+SHELL_BLOCK = r"(?is)```(?:bash|shell|terminal|sh)\s*\n(.*?)\n\s*```"
+INLINE_CODE = r"`([^`\n]+)`"
+TOLD_COMMAND = r"(?i)(?:Run|Execute|Command):\s*`?([^`\n]+)`?"
+TYPED_COMMAND = r"\$\s+([^\n]+)"
 # Shapes of secrets and what stands for them.
 SECRETS = (
     (r"(?i)(sk-[a-zA-Z0-9]{20,})", "sk-***MASKED***"),
@@ -113,13 +119,13 @@ def extracted_commands(response: Column) -> Column:
     starts = r"^(?:" + "|".join(COMMAND_STARTS) + ")"
     looks = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "").rlike(starts)
     clean = lambda a: F.transform(a, lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
-    rest = F.regexp_replace(response, r"(?is)```(?:bash|shell|terminal|sh).*?```", "")
-    blocks = F.regexp_extract_all(response, F.lit(r"(?is)```(?:bash|shell|terminal|sh)\s*\n(.*?)\n\s*```"), F.lit(1))
+    rest = F.regexp_replace(response, SHELL_BLOCK_CUT, "")
+    blocks = F.regexp_extract_all(response, F.lit(SHELL_BLOCK), F.lit(1))
     lines = clean(F.flatten(F.transform(blocks, lambda b: F.split(b, "\n", -1))))
     lines = F.filter(lines, lambda x: (x != "") & ~x.startswith("#") & ~x.startswith("//"))
-    inline = F.filter(clean(F.regexp_extract_all(rest, F.lit(r"`([^`\n]+)`"), F.lit(1))), looks)
-    told = F.filter(clean(F.regexp_extract_all(rest, F.lit(r"(?i)(?:Run|Execute|Command):\s*`?([^`\n]+)`?"), F.lit(1))), looks)
-    typed = clean(F.regexp_extract_all(response, F.lit(r"\$\s+([^\n]+)"), F.lit(1)))
+    inline = F.filter(clean(F.regexp_extract_all(rest, F.lit(INLINE_CODE), F.lit(1))), looks)
+    told = F.filter(clean(F.regexp_extract_all(rest, F.lit(TOLD_COMMAND), F.lit(1))), looks)
+    typed = clean(F.regexp_extract_all(response, F.lit(TYPED_COMMAND), F.lit(1)))
     return F.array_distinct(F.concat(lines, inline, told, typed))
 
 

@@ -21,6 +21,7 @@ from contextloom.functions.text import language_of, stripped
 from contextloom.schema import CHUNK, META
 
 WINDOW_SHARE, OVERLAP_SHARE = 50, 20  # characters that a line stands for in windows and in overlaps
+# Shapes of headings and fences.
 HEADING = r"^(#{1,6})\s+(.+)$"
 FENCE = r"(?s)```(\w+)?\n(.*?)\n```"
 

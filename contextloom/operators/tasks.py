@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+# Weight of a step of priority, and the statuses.
 PRIORITY_WEIGHT = 1_000_000
 STATUSES = ("pending", "queued", "running", "completed", "failed", "cancelled")
 TERMINAL = ("completed", "failed", "cancelled")
