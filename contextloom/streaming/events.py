@@ -55,6 +55,28 @@ def rate_limited(requests: DataFrame, limit: int = 100, seconds: float = 60.0) -
     return rows.applyInPandasWithState(decide, "user_id long, event_id long, allowed boolean", "log array<long>", "append", "ProcessingTimeTimeout")
 
 
+def task_states(events: DataFrame) -> DataFrame:
+    """States of tasks from a stream of (task_id, at, event): (task_id, status, illegal) whenever a task changes.
+
+    As in ``tasks.final_states``: cancelling a finished task is illegal and changes nothing, completing overwrites. The
+    state of a task is its status, whether it ever finished, and its illegal events.
+    """
+
+    def follow(key: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
+        status, finished, illegal = state.get if state.exists else (None, False, 0)
+        for batch in batches:
+            for event in batch.sort_values(["at", "event"])["event"]:
+                if event == "cancelled" and finished:
+                    illegal += 1
+                    continue
+                status, finished = event, finished or event in ("completed", "failed")
+        state.update((status, finished, illegal))
+        yield pd.DataFrame({"task_id": [key[0]], "status": [status], "illegal": [illegal]})
+
+    rows = events.select("task_id", "at", "event").groupBy("task_id")
+    return rows.applyInPandasWithState(follow, "task_id long, status string, illegal long", "status string, finished boolean, illegal long", "update", "NoTimeout")
+
+
 def agent_health(heartbeats: DataFrame, silence: str = "30 seconds", late: str = "1 minute") -> DataFrame:
     """Spells of an agent without a silence longer than ``silence``; a spell's end is when it turned unhealthy."""
     rows = heartbeats.withWatermark("ts", late).groupBy(F.session_window("ts", silence).alias("s"), "agent_id").agg(F.count(F.lit(1)).alias("beats"))
