@@ -41,7 +41,7 @@ SHINGLE = 5
 KEYS = 32
 MIX = np.uint64(0x9E3779B97F4A7C15)
 CELL = 2048
-PIVOTS = 4
+PIVOTS, LARGE_TILE = 4, 256
 SMALL_BITS, LARGE_BITS = 8, 13  # bitmaps have 2 ** 8 to 2 ** 13 bits
 BITS_PER_SHINGLE = 4
 BROADCAST_ROWS = 1_000_000
@@ -115,28 +115,26 @@ def folded(b: np.ndarray, words: int) -> np.ndarray:
 
 
 def set_rows(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """Per document: row, doc_id, n, digest of the set, its smallest hashes, its bitmap and that folded to a quarter. Written."""
+    """Per document: row, doc_id, n, digest of the set, its smallest hashes, its bitmap. Written."""
     ship(docs.sparkSession)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            n, digests, keys, bits, sigs = [], [], [], [], []
+            n, digests, keys, bits = [], [], [], []
             for t in byte_lists(batch.column(2)):
                 h = shingle_set(t, hashes)
                 n.append(len(h))
                 digests.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
                 keys.append(h[:KEYS].view(np.int64))
-                b = bitmap(h)
-                bits.append(b.tobytes())
-                sigs.append(folded(b, max(1, len(b) // 4)).tobytes())
+                bits.append(bitmap(h).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary()), pa.array(sigs, pa.binary())],
-                names=["row", "doc_id", "n", "digest", "keys", "bits", "sig"],
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
+                names=["row", "doc_id", "n", "digest", "keys", "bits"],
             )
 
-    return cut(rows.mapInArrow(sets, "row long, doc_id long, n long, digest binary, keys array<long>, bits binary, sig binary"))
+    return cut(rows.mapInArrow(sets, "row long, doc_id long, n long, digest binary, keys array<long>, bits binary"))
 
 
 def size_fits(na: str, nb: str, percent: int) -> Column:
@@ -144,8 +142,8 @@ def size_fits(na: str, nb: str, percent: int) -> Column:
 
 
 def near_pairs(sets: DataFrame, classes: DataFrame, docs: DataFrame, text: str, doc_id: str, pairs: DataFrame, percent: int) -> DataFrame:
-    """Those (a, b) of ``pairs`` that are linked: folded bitmaps first, which shuffle with the pairs, then the sorted arrays."""
-    one = lambda c: classes.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"bits{c}"))
+    """Those (a, b) of ``pairs`` that are linked: bitmaps first, then the sorted arrays."""
+    one = lambda c: classes.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}"))
     signed = pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "na", "nb", "bitsa", "bitsb")
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,11 +284,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """One row per document: row, doc_id, n_shingles, class_id and component_id (smallest doc_ids), class_size."""
     sets = set_rows(docs, text, doc_id)
     full = sets.where("n > 0")
-    first = F.struct("row", "doc_id", "keys", "bits", "sig")
+    first = F.struct("row", "doc_id", "keys", "bits")
     classes = cut(
         full.groupBy("digest", "n")
         .agg(F.min_by(first, "row").alias("r"), F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("size"))
-        .select("digest", "n", "class_id", "size", F.col("r.row").alias("rep"), F.col("r.doc_id").alias("rep_doc"), F.col("r.keys").alias("keys"), F.col("r.bits").alias("bits"), F.col("r.sig").alias("sig"))
+        .select("digest", "n", "class_id", "size", F.col("r.row").alias("rep"), F.col("r.doc_id").alias("rep_doc"), F.col("r.keys").alias("keys"), F.col("r.bits").alias("bits"))
     )
     keys = classes.select(F.explode("keys").alias("key"), "rep", "n")
     tiles = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
@@ -303,12 +301,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     links = near_pairs(sets, classes, docs, text, doc_id, tried, percent)
     labelled = cut(with_components(keyed, links))
 
-    sizes = labelled.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max("m").alias("m"), F.count(F.lit(1)).alias("k"))
+    large = labelled.where(F.col("c") > LARGE_TILE)
+    sizes = large.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max("m").alias("m"), F.count(F.lit(1)).alias("k"))
     begun = sizes.where("k > 1 and m > 1").select("key")
-    second = cut(more_pairs(labelled.join(begun, "key", "left_semi").join(weights, "rep"), percent).join(tried, ["a", "b"], "left_anti"))
-    tried = tried.unionByName(second)
-    links = cut(links.unionByName(near_pairs(sets, classes, docs, text, doc_id, second, percent)))
-    labelled = cut(with_components(keyed, links))
+    second = cut(more_pairs(large.join(begun, "key", "left_semi").join(weights, "rep"), percent).join(tried, ["a", "b"], "left_anti"))
+    if not second.isEmpty():
+        tried = tried.unionByName(second)
+        links = cut(links.unionByName(near_pairs(sets, classes, docs, text, doc_id, second, percent)))
+        labelled = cut(with_components(keyed, links))
 
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
     open_tiles = labelled.join(mixed.select("key"), "key", "left_semi").join(classes.select("rep", "bits", "keys"), "rep")
