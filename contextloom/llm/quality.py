@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contextloom.llm.common import byte_lists, cut, ship, words_of
+from contextloom.llm.common import byte_lists, cut, free_name, ship, words_of
 from contextloom.llm.components import join_groups
 
 CLASSES = ("low_quality", "toxic")
@@ -281,8 +281,6 @@ def quality_scores(docs: DataFrame, model: Model, text: str = "text", doc_id: st
 def quality_filter(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source",
                    max_labelled: int = 12_000, broadcast_rows: int = 1_000_000) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns. ``docs`` must read the same rows in order twice."""
-    from contextloom.llm.common import free_name
-
     found = quality_scores(docs, fit(docs, labels, text, doc_id, max_labelled), text, doc_id, source)
     gone = cut(found.where("not kept").select("row"))
     few = gone.count() <= broadcast_rows

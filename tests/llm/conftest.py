@@ -32,7 +32,3 @@ def plain(spark, edge, tmp_path_factory) -> DataFrame:
 @pytest.fixture(scope="session")
 def none(spark, edge) -> DataFrame:
     return spark.createDataFrame([], edge.schema)
-
-
-def same(a, b) -> bool:
-    return sorted(map(repr, a)) == sorted(map(repr, b))

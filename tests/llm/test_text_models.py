@@ -212,8 +212,13 @@ def test_chat_edges(spark):
 
 
 # ---- pages ----
-def test_pages_of_the_table(spark, small):
-    got = html_blocks.main_texts(spark.read.parquet(f"{small}/pages.parquet")).collect()
+@pytest.fixture(scope="module")
+def net(spark):
+    return html_blocks.trained_in_task(spark)
+
+
+def test_pages_of_the_table(spark, small, net):
+    got = html_blocks.main_texts(spark.read.parquet(f"{small}/pages.parquet"), net).collect()
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{small}/pages.parquet").collect()}
     for r in got:
         body = pages[r.page_id].split("<article>")[1].split("</article>")[0]
@@ -221,31 +226,30 @@ def test_pages_of_the_table(spark, small):
         assert r.n_chars == len(r.text)
 
 
-def test_generated_pages_that_training_never_saw():
-    net = html_blocks.trained()
+def test_generated_pages_that_training_never_saw(net):
     made = html_blocks.generated(200, 123)
     labels = net.label([b for b, _ in made])
     wrong = sum(int(((p >= 0.5) != (y > 0.5)).sum()) for p, (_, y) in zip(labels, made, strict=True))
     assert wrong <= 0.01 * sum(len(y) for _, y in made)
 
 
-def test_a_page_of_many_parts():
+def test_a_page_of_many_parts(net):
     page = """<html><head><title>no</title><script>var a = "<p>no</p>";</script></head><body><header><a href=/>Home</a></header>
     <nav class="menu"><ul><li><a href=/a>One</a><li><a href=/b>Two</a></ul></nav><div class="cookie-banner">We use cookies, accept?</div>
     <article><h1>The head</h1><p>First &amp; <b>bold</b> para&shy;graph.<p>Second one<br>goes on &lt;here&gt;.<ul><li>Item a<li>Item b</ul>
     <aside class="related"><h3>More</h3><a href=/x>Other story</a></aside><p>Last words.</p></article>
     <div class="comments"><p class="comment">Great text, thanks!</p></div><form><label>Search</label><input></form><footer>&copy; 2024 Me</footer></body></html>"""
-    assert html_blocks.extract(html_blocks.trained(), [page]) == ["The head First & bold para\xadgraph. Second one goes on <here>. Item a Item b Last words."]
+    assert html_blocks.extract(net, [page]) == ["The head First & bold para\xadgraph. Second one goes on <here>. Item a Item b Last words."]
 
 
-def test_broken_pages(spark):
+def test_broken_pages(spark, net):
     pages = [None, "", "just text", "<p>unclosed <b>x", "</div></p>", "<", "a < b and <3", "<article><p>x" * 2000, "<!-- open", "<script>never closed", '<p title="a>b">t</p>', "&am; &amp &#65; &nbsp;x"]
     df = spark.createDataFrame([(i, None, p) for i, p in enumerate(pages)], "page_id long, url string, html string")
-    out = {r.page_id: r.text for r in html_blocks.main_texts(df).collect()}
+    out = {r.page_id: r.text for r in html_blocks.main_texts(df, net).collect()}
     assert len(out) == len(pages) and out[0] == out[1] == out[8] == out[9] == ""
     assert [b.text for b in html_blocks.blocks_of(pages[6])] == ["a < b and <3"] and [b.text for b in html_blocks.blocks_of(pages[10])] == ["t"]
     assert [b.text for b in html_blocks.blocks_of(pages[11])] == ["&am; & A x"]
-    assert html_blocks.main_texts(df.limit(0)).count() == 0
+    assert html_blocks.main_texts(df.limit(0), net).count() == 0
 
 
 def test_gradients_are_those_of_the_loss():
