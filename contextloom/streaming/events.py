@@ -39,15 +39,14 @@ def rate_limited(requests: DataFrame, limit: int = 100, seconds: float = 60.0) -
             state.remove()
             return
         log = list(state.get[0]) if state.exists else []
-        for batch in batches:
-            rows = []
-            for t, i in sorted(zip(batch["ts"].astype("int64"), batch["event_id"], strict=True)):
-                log = [x for x in log if x > t - int(seconds * 1e9)]
-                ok = len(log) < limit
-                if ok:
-                    log.append(t)
-                rows.append((key[0], i, ok))
-            yield pd.DataFrame(rows, columns=["user_id", "event_id", "allowed"])
+        batch, rows = pd.concat(list(batches)), []  # a key's rows may come in parts
+        for t, i in sorted(zip(batch["ts"].astype("int64"), batch["event_id"], strict=True)):
+            log = [x for x in log if x > t - int(seconds * 1e9)]
+            ok = len(log) < limit
+            if ok:
+                log.append(t)
+            rows.append((key[0], i, ok))
+        yield pd.DataFrame(rows, columns=["user_id", "event_id", "allowed"])
         state.update((log,))
         state.setTimeoutDuration(3_600_000)
 
@@ -64,12 +63,11 @@ def task_states(events: DataFrame) -> DataFrame:
 
     def follow(key: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
         status, finished, illegal = state.get if state.exists else (None, False, 0)
-        for batch in batches:
-            for event in batch.sort_values(["at", "event"])["event"]:
-                if event == "cancelled" and finished:
-                    illegal += 1
-                    continue
-                status, finished = event, finished or event in ("completed", "failed")
+        for event in pd.concat(list(batches)).sort_values(["at", "event"])["event"]:  # a key's rows may come in parts
+            if event == "cancelled" and finished:
+                illegal += 1
+                continue
+            status, finished = event, finished or event in ("completed", "failed")
         state.update((status, finished, illegal))
         yield pd.DataFrame({"task_id": [key[0]], "status": [status], "illegal": [illegal]})
 

@@ -174,6 +174,7 @@ def test_task_states_as_a_stream(spark, small, tmp_path):
     kind = F.when(F.col("l_returnflag") == "R", "failed").when(F.col("l_linestatus") == "O", "cancelled").otherwise("completed")
     rows = spark.read.parquet(f"{small}/lineitem.parquet").select(F.col("l_orderkey").alias("task_id"), (F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")).cast("long").alias("at"), kind.alias("event"))
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")  # keys in parts
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
     got = drained(E.task_states(stream), "states_out", "update")
     key = lambda df: {r.task_id: (r.status, r.illegal) for r in df.collect()}
