@@ -2,10 +2,12 @@
 
 A base scan finds assignments of secrets, access key ids and long hexadecimal runs by fixed patterns. The token
 efficiency test then looks at every unbroken run of key characters: ordinary words and identifiers take few tokens of
-a byte-pair vocabulary for their length, random strings about one token for every two characters or fewer. Runs with
-few characters a token are reported as ``random``, unless they are known digests (hexadecimal of a digest's length),
-UUIDs, numbers or identifiers (names of letters, joined by ``_``, ``-``, ``/`` or capitals), or lie in a span of the
-base scan. Spans count code points; their ends are exclusive.
+a byte-pair vocabulary for their length, random strings about one token for every two characters or fewer. A run is cut
+at ``=`` into names and values, and those at ``+``, ``/``, ``_`` and ``-`` into parts. Neighbouring parts that have few
+characters a token together are reported as ``random``, so a key is found beside its name or path, and whole if it has
+such characters itself. Known digests (hexadecimal of a digest's length) and UUIDs belong to no such span, numbers count
+as one token, and what lies in a span of the base scan isn't reported again; of what is left only the vocabulary tells
+names from keys. Spans count code points; their ends are exclusive.
 
 Defined cases: null and empty texts have no spans; texts are read whole whatever their length; repeated rows and ids
 come out once each; an empty table gives an empty result; other columns are not read.
@@ -16,6 +18,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -40,8 +43,9 @@ RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 RUN_BYTES = bytes(b if re.match(rb"[A-Za-z0-9+/_=-]", bytes([b])) else 32 for b in range(256))
 DIGEST = re.compile(r"[0-9a-fA-F]+\Z")
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z")
-PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
-#: The parts of a name, between its separators, capitals and numbers, are this long on the mean; random ones shorter.
+VALUE = re.compile(r"[A-Za-z0-9+/_-]+")
+PART = re.compile(UUID.pattern.removesuffix(r"\Z") + r"(?![A-Za-z0-9])|[A-Za-z0-9]+")
+#: Parts are this long on the mean, or they are too short for the vocabulary to tell anything.
 LEAST_PART = 3.0
 
 
@@ -53,15 +57,35 @@ def encoder(path: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def named(run: str) -> bool:
-    """Whether a run is a known digest, a UUID, a number or an identifier."""
-    core = run.strip("=+/_-")
-    if not core or core.isdigit() or UUID.match(core):
-        return True
-    if DIGEST.match(core) and len(core) in DIGEST_LENGTHS:
-        return True
-    parts = PART.findall(core)
-    return not parts or len(core) / len(parts) >= LEAST_PART
+def surplus(part: str, enc: tiktoken.Encoding, most: float) -> float:
+    """How many more characters ``most`` a token would give than the part has: above 0 if it looks random."""
+    if UUID.match(part) or (DIGEST.match(part) and len(part) in DIGEST_LENGTHS and not part.isdigit()):
+        return -math.inf
+    return most * (1 if part.isdigit() else len(enc.encode_ordinary(part))) - len(part)
+
+
+def best_stretches(scores: list[float]) -> list[tuple[int, int]]:
+    """(first, end) of the disjoint stretches with the largest sums, each above 0 (Ruzzo and Tompa), in linear time."""
+    out: list[tuple[int, int, float, float, int]] = []  # first, end, sum before, sum with it, the last one with less before
+    total, floor = 0.0, 0
+    for i, score in enumerate(scores):
+        if score == -math.inf:  # no stretch crosses it
+            total, floor = 0.0, len(out)
+        elif score <= 0:
+            total += score
+        if score <= 0:
+            continue
+        first, low, total = i, total, total + score
+        while True:
+            j = len(out) - 1
+            while j >= floor and out[j][2] >= low:
+                j = out[j][4]
+            if j < floor or out[j][3] >= total:
+                out.append((first, i + 1, low, total, j))
+                break
+            first, low = out[j][0], out[j][2]
+            del out[j:]
+    return [(first, end) for first, end, *_ in out]
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -77,11 +101,16 @@ HEX_LONG = re.compile(r"[0-9a-f]{%d,}" % LEAST_HEX)
 
 def random_spans(text: str, base: list[tuple[int, int, int]], enc: tiktoken.Encoding, most: float) -> list[tuple[int, int, int]]:
     out = []
-    for m in RUN.finditer(text):
-        if named(m[0]) or any(s < m.end() and m.start() < e for s, _, e in base):
-            continue
-        if (m.end() - m.start()) / len(enc.encode_ordinary(m[0])) < most:
-            out.append((m.start(), 3, m.end()))
+    for run in RUN.finditer(text):
+        for value in VALUE.finditer(text, run.start(), run.end()):
+            if value.end() - value.start() < LEAST_RUN:
+                continue
+            parts = list(PART.finditer(text, value.start(), value.end()))
+            for first, end in best_stretches([surplus(p[0], enc, most) for p in parts]):
+                s = parts[first].start() if first else value.start()  # separators at the ends of a value may be the key's
+                e = parts[end - 1].end() if end < len(parts) else value.end()
+                if e - s >= max(LEAST_RUN, LEAST_PART * (end - first)) and not any(b < e and s < f for b, _, f in base):
+                    out.append((s, 3, e))
     return out
 
 

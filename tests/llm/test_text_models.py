@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import html
+import random
 import re
+import string
 import zlib
 
 import numpy as np
@@ -92,6 +94,40 @@ def test_secrets(spark, edge, none):
     assert secret_scan.secret_report(edge, *vocabulary()).count() == len(EDGE) and secret_scan.secret_report(none, *vocabulary()).count() == 0
 
 
+@pytest.mark.parametrize("name", ["", "DATABASE_CONNECTION=", "AZURE_STORAGE_KEY=", "/usr/local/share/lib/", "https-proxy-"])
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789", string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/"])
+def test_random_keys_are_found_beside_names(name, letters):
+    enc, r = secret_scan.encoder(*vocabulary()), random.Random(3)
+    keys = ["".join(r.choices(letters, k=24 + i % 17)) for i in range(200)]
+    lost = 0
+    for key in keys:
+        base, more = secret_scan.scan(f"see {name}{key} there".encode(), enc, 2.2)
+        at = 4 + len(name)
+        lost += sum(min(e, at + len(key)) - max(s, at) for s, _, e in (*base, *more)) < 0.8 * len(key)
+        assert all(s >= 4 + name.rfind("=") + 1 for s, _, _ in (*base, *more))
+    assert lost <= 4, lost
+
+
+def test_names_digests_and_numbers_are_no_keys():
+    enc = secret_scan.encoder(*vocabulary())
+    for text in (
+        "Donaudampfschifffahrtsgesellschaft Rechtsschutzversicherungsgesellschaften anticonstitutionnellement", "internationalization_of_things getHTTPSConnectionURLForUser2",
+        "/usr/local/lib/python3/site-packages/numpy x86_64-linux-gnu-gcc-12 com/example/project/Main", "2024-01-01-12-00-00-0001 4111-1111-1111-1111-1111 12345678901234567890",
+        "x_y_z_a_b_c_i_j_k_l_m_n ------------------------ ID=550e8400-e29b-41d4-a716-446655440000", "sha/DA39A3EE5E6B4B0D3255BFEF95601890AFD80709/file v1/550e8400-e29b-41d4-a716-446655440000/x",
+    ):
+        assert secret_scan.scan(text.encode(), enc, 2.2) == ([], []), text
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from([-3.0, -1.0, 0.0, 1.0, 2.0, float("-inf")]), max_size=12))
+def test_best_stretches(scores):
+    """Disjoint, above 0, and the best of all stretches is one of them."""
+    got = secret_scan.best_stretches(scores)
+    assert all(sum(scores[a:b]) > 0 for a, b in got) and all(x[1] <= y[0] for x, y in zip(got, got[1:], strict=False))
+    most = max((sum(scores[a:b]) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1)), default=0)
+    assert most <= 0 and not got or max(sum(scores[a:b]) for a, b in got) == most
+
+
 # ---- packing ----
 @settings(deadline=None)
 @given(st.integers(1, 9000), st.integers(1, 2048))
