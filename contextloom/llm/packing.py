@@ -11,6 +11,10 @@ a half-empty bin.
 
 Each step writes its islands to the shared folder, so a lost executor costs one step of some blocks.
 
+A file of ranks holds no added tokens, such as the literal of an end of text. Where a tokenizers file has them,
+``added_tokens`` reads them, and ``added`` takes them: each becomes its one id, as in a default call of tokenizers.
+Without ``added`` such literals are text like any other.
+
 Defined cases: null text counts as empty and gives one piece, the end id alone; repeated rows and ids give pieces
 once for each row; an empty table gives an empty result; other columns are not read.
 """
@@ -18,10 +22,11 @@ once for each row; an empty table gives an empty result; other columns are not r
 from __future__ import annotations
 
 import functools
+import json
 import random
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -41,17 +46,29 @@ def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, min(n, first)), *((s, capacity) for s in range(first, n, capacity))]
 
 
-def pieces(docs: DataFrame, vocabulary: str, pattern: str, capacity: int = 2048, end_id: int = 0, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def added_tokens(path: str) -> dict[str, int]:
+    """Literals and ids of the added tokens of a tokenizers file; those that match other than literally are refused."""
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f).get("added_tokens") or []
+    odd = [t["content"] for t in found if t.get("single_word") or t.get("lstrip") or t.get("rstrip")]
+    if odd:
+        raise ValueError(f"added tokens that take in or need their surroundings: {odd}")
+    return {t["content"]: t["id"] for t in found}
+
+
+def pieces(docs: DataFrame, vocabulary: str, pattern: str, capacity: int = 2048, end_id: int = 0, text: str = "text", doc_id: str = "doc_id",
+           added: Mapping[str, int] | None = None) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32."""
+    specials = tuple(sorted((added or {}).items()))
     ship(docs.sparkSession)
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary, pattern)
+        enc = encoder(vocabulary, pattern, specials)
         end = np.array([end_id], np.uint32)
         for batch in batches:
             rows: list[tuple] = []
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.concatenate((enc.encode_to_numpy(t, disallowed_special=()) if t else end[:0], end)).astype("<u4")
+                ids = np.concatenate((enc.encode_to_numpy(t, allowed_special="all") if t else end[:0], end)).astype("<u4")
                 raw = memoryview(ids.tobytes())
                 rows += [(d, k, s, n, zlib.crc32(raw[4 * s : 4 * (s + n)])) for k, (s, n) in enumerate(cuts(len(ids), capacity))]
             d, k, s, n, crc = zip(*rows, strict=True) if rows else ((),) * 5
@@ -193,9 +210,9 @@ def pack_round(items: DataFrame, n_items: int, capacity: int, block_items: int,
 
 
 def packed(docs: DataFrame, vocabulary: str, pattern: str, capacity: int = 2048, end_id: int = 0, text: str = "text", doc_id: str = "doc_id",
-           block_items: int = 4000, islands: int = 2, epochs: int = 2, members: int = 5, crossings: int = 12, least_fill: float = 0.97) -> DataFrame:
+           block_items: int = 4000, islands: int = 2, epochs: int = 2, members: int = 5, crossings: int = 12, least_fill: float = 0.97, added: Mapping[str, int] | None = None) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    cuts_ = cut(pieces(docs, vocabulary, pattern, capacity, end_id, text, doc_id))
+    cuts_ = cut(pieces(docs, vocabulary, pattern, capacity, end_id, text, doc_id, added))
     full = cuts_.where(F.col("length") >= capacity).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     items = cuts_.where(F.col("length") < capacity)
     options = (capacity, block_items, islands, epochs, members, crossings)

@@ -11,6 +11,7 @@ from contextloom.llm.common import table
 
 #: Files of public tokenizers; a parameter of the operators, never copied into the repository.
 VOCABULARY = "byte_bpe_50k.tiktoken"
+TOKENIZER = "byte_bpe_50k.json"
 
 
 def vocabulary() -> tuple[str, str]:
@@ -20,6 +21,13 @@ def vocabulary() -> tuple[str, str]:
     return public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
 
 
+def added_tokens() -> dict[str, int]:
+    """Added tokens of the tokenizers file, which the ranks lack."""
+    import public_tokenizers
+
+    return packing.added_tokens(public_tokenizers.path(TOKENIZER))
+
+
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -52,7 +60,7 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(table(spark, sf_dir, "documents"), *vocabulary())
+    return packing.packed(table(spark, sf_dir, "documents"), *vocabulary(), added=added_tokens())
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,11 +50,11 @@ LEAST_PART = 3.0
 
 
 @functools.cache
-def encoder(path: str, pattern: str) -> tiktoken.Encoding:
-    """The vocabulary of ranks at ``path``, split by ``pattern``."""
+def encoder(path: str, pattern: str, added: tuple[tuple[str, int], ...] = ()) -> tiktoken.Encoding:
+    """The vocabulary of ranks at ``path``, split by ``pattern``, with ``added`` tokens (literal, id)."""
     with open(path, "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    return tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens=dict(added))
 
 
 def surplus(part: str, enc: tiktoken.Encoding, most: float) -> float:

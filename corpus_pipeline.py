@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from contextloom.llm import decontaminate, exact_dedup, ngram_jaccard, packing, quality
 from contextloom.llm.common import cut, table
-from contextloom.llm.queries import vocabulary
+from contextloom.llm.queries import added_tokens, vocabulary
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.packed(docs, *vocabulary())
+    return packing.packed(docs, *vocabulary(), added=added_tokens())
 
 
 STAGES = [

@@ -180,6 +180,26 @@ def test_packing_round_trip(spark, plain, none, small):
     assert packing.packed(none, *vocabulary()).count() == 0
 
 
+def test_queries_pack_the_ids_of_a_default_tokenizers_call(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    import public_tokenizers
+    from contextloom.llm.queries import op8_best_fit_packing
+
+    end = "<|endoftext|>"
+    texts = [f"hello {end} world", end, f"{end}{end}\n {end}x", f"a{end[:-1]} {end[1:]} <{end}>", f"  {end}  \n\n{end} é{end}ß", f"word {end} " * 1500, "<|im_start|> <|pad|>", "plain", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    tok, expected = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), []
+    assert tok.encode(texts[0], add_special_tokens=False).ids == [31373, 220, 50256, 995]
+    for d, t in enumerate(texts):
+        ids = np.array([*(tok.encode(t, add_special_tokens=False).ids if t else []), 0], "<u4")
+        expected += [(d, k, s, n, zlib.crc32(ids[s : s + n].tobytes())) for k, (s, n) in enumerate(packing.cuts(len(ids), 2048))]
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for rows in (op8_best_fit_packing(spark, str(tmp_path)), dict(corpus_pipeline.STAGES)["packing"](spark, docs, str(tmp_path))):
+        assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows.collect()) == expected
+
+
 # ---- languages ----
 def test_languages(spark, edge, none, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
