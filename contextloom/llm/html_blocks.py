@@ -8,7 +8,9 @@ backpropagation through time, in one task, on generated pages of many layouts, w
 input is needed for it. Blocks labelled as main text are joined by one space.
 
 Elements whose content is no text of the page (scripts, styles, templates, controls of forms and the like) yield no
-blocks; comments and markup never do. Character references are decoded, also those that lack their semicolon where HTML
+blocks; comments and markup never do. Raw text (scripts, styles, titles and the like) ends at its own end tag only; other such
+elements stand among the open ones, and what is in them goes when they close. One that its parents, its like or the end
+of the page have to close loses only what stands before the first block element in it. Character references are decoded, also those that lack their semicolon where HTML
 allows it; any Unicode white space counts as white space.
 
 Defined cases: null and empty html give an empty text; broken markup never fails: what doesn't parse as a tag is text,
@@ -40,6 +42,11 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style template noscript svg math iframe object audio video canvas select textarea button datalist title head".split())
+RAW = frozenset("script style title textarea iframe head".split())
+MUTED = SILENT - RAW
+ALONE = frozenset("button select video audio".split())  # never inside their like
+FOREIGN = frozenset("svg math".split())  # a block element ends them, but not inside these:
+INTEGRATION = frozenset("foreignobject desc annotation-xml mtext mi mo mn ms".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("html body table ul ol dl article section div main aside nav header footer form td th".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -75,6 +82,8 @@ def blocks_of(page: str | None) -> list[Block]:
     keys: list[str] = []
     parts: list[str] = []
     links = linked = 0
+    #: Of each muted element: its place in tags, and blocks, parts and linked as they were, kept once it holds a block element.
+    muted: list[tuple[int, tuple[int, list[str], int] | None]] = []
 
     def flush() -> None:
         nonlocal linked
@@ -90,10 +99,39 @@ def blocks_of(page: str | None) -> list[Block]:
         if any(t in BLOCKS for t in tags[k:]):
             flush()
         links -= tags[k:].count("a")
+        spaced = False
+        while muted and muted[-1][0] >= k:
+            spaced |= tags[muted.pop()[0]] in ("select", "button")
         del tags[k:], keys[k:]
+        if spaced:
+            add(" ")
+
+    def unmute(k: int) -> None:
+        """The muted element at k ends by its own end tag: nothing of it stays."""
+        nonlocal linked
+        before = next((state for at, state in muted if at == k), None)
+        spaced = tags[k] in ("select", "button")
+        leave(k)
+        if before:
+            del out[before[0] :]
+            parts[:], linked = before[1], before[2]
+            if spaced:
+                add(" ")
+
+    def begin() -> None:
+        """A block element begins: muted elements that are open may never end, so from here on their text is kept for now."""
+        for i in range(len(muted) - 1, -1, -1):
+            if muted[i][1] is not None:
+                break
+            muted[i] = (muted[i][0], (len(out), list(parts), linked))
+
+    def silent() -> bool:
+        return bool(muted) and muted[-1][1] is None
 
     def add(text: str) -> None:
         nonlocal linked
+        if silent():
+            return
         parts.append(text)
         if links:
             linked += len(text)
@@ -110,30 +148,41 @@ def blocks_of(page: str | None) -> list[Block]:
         if m[1] or m[4]:
             for k in range(len(tags) - 1, -1, -1):
                 if tags[k] == name:
-                    leave(k)
+                    unmute(k) if name in MUTED else leave(k)
                     break
-                if tags[k] in SCOPES and name not in BLOCKS:
+                if tags[k] in SCOPES and name not in BLOCKS and not (name in MUTED and tags[k] in ("div", "ul", "ol", "dl")):
                     break
-            if name in BLOCKS:
+            if name in BLOCKS and not silent():
                 flush()
             continue
         attributes = m[3] or m[6] or ""
         if name in SILENT and not attributes.endswith("/"):
+            if name not in RAW:
+                if name in ALONE and (k := next((k for k, _ in reversed(muted) if tags[k] == name), None)) is not None:
+                    leave(k)
+                muted.append((len(tags), None))
+                tags.append(name)
+                keys.append(name)
+                continue
             if name == "head" and "<body" not in page[at:].lower():
                 continue
             end = re.compile(rf"</{name}\s*>" if name != "head" else r"</head\s*>|(?=<body)", re.I).search(page, at)
             at = end.end() if end else len(page)
-            if name not in ("select", "button", "textarea"):
-                continue
-            add(" ")
+            if name == "textarea":
+                add(" ")
             continue
+        if name in MUTED:
+            continue  # closed at once
         if name == "br":
             add(" ")
         if name in VOID:
-            if name == "hr":
+            if name == "hr" and not silent():
                 flush()
             continue
         if name in BLOCKS:
+            if muted and tags[muted[-1][0]] in FOREIGN and INTEGRATION.isdisjoint(tags[muted[-1][0] :]):
+                leave(muted[-1][0])
+            begin()
             flush()
             closes = CLOSED_BY.get(name, set())
             for k in range(len(tags) - 1, -1, -1):
@@ -141,7 +190,7 @@ def blocks_of(page: str | None) -> list[Block]:
                     leave(k)
                     if tags[k:] == [] and name not in CLOSED_BY:
                         break
-                elif tags[k] in SCOPES:
+                elif tags[k] in SCOPES or tags[k] in MUTED:
                     break
         tags.append(name)
         keys.append(element_key(name, attributes))

@@ -308,6 +308,26 @@ def test_broken_pages(spark, net):
     assert html_blocks.main_texts(df.limit(0), net).count() == 0
 
 
+@pytest.mark.parametrize("name", ["button", "select", "video", "audio", "svg", "math", "object", "canvas", "datalist"])
+def test_unclosed_silent_elements_lose_no_article(name):
+    texts = lambda page: [b.text for b in html_blocks.blocks_of(page)]
+    later = f"<form><{name}>ok</{name}></form>"
+    for end in ("", later):
+        assert texts(f"<body><{name}>Menu<article><p>One.</p><p>Two.</p></article>{end}</body>") == ["One.", "Two."]
+        assert texts(f"<div><{name}>Menu</div><article><p>One.</p><p>Two.</p></article>{end}") == ["One.", "Two."]
+        assert texts(f"<article><p>One. <{name}>Share</p><p>Two.</p></article>{end}<p>Three.") == ["One.", "Two.", "Three."]
+        assert texts(f"<article><p>One. <{name}>Share<p>Two.<p>Three.</article>{end}") == ["One.", "Two.", "Three."]
+    inside = "<p>no</p>no" if name not in ("svg", "math") else "<a>no</a><path/>no"
+    closed = f"<p>One <a href=/>link</a> <{name}>{inside}</{name}> more.</p><p>Two.</p>"
+    assert texts(closed) == ["One link more.", "Two."] and html_blocks.blocks_of(closed)[0].linked == 4
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([f"<{c}{t}>" for t in "button select svg template script title p div li a head".split() for c in ("", "/")] + ["<script/>", "<svg/>", "<hr>", "x "]), max_size=25))
+def test_any_order_of_tags_is_read(tags):
+    html_blocks.blocks_of("".join(tags))
+
+
 def test_gradients_are_those_of_the_loss():
     net = html_blocks.Labeller(1)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
