@@ -34,8 +34,8 @@ SQL["html_text"] = rf"""SELECT page_id, md5(array_to_string(list_filter(list_tra
 
 
 def page_parsed(spark: SparkSession, d: str) -> DataFrame:
-    """Title and text by a full parser; SQL has none."""
-    rows = W.fetched(table(spark, d, "pages"))
+    """Title and text of every page by a full parser, whatever its size (page_fetch_size_gate has the limit); SQL has none."""
+    rows = W.fetched(table(spark, d, "pages"), max_bytes=None)
     return rows.select("page_id", "title", F.md5("content").alias("content_md5"), "content_length")
 
 

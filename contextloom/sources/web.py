@@ -99,9 +99,10 @@ def page_text(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([parsed_page(p) for p in batch], columns=["title", "content"])
 
 
-def fetched(pages: DataFrame, html: str = "html", max_bytes: int = MAX_PAGE, max_chars: int | None = None) -> DataFrame:
-    """Pages within the size limit with title, content (cut at ``max_chars``) and content_length."""
-    rows = pages.where(F.octet_length(html) <= max_bytes).withColumn("_p", page_text(F.col(html)))
+def fetched(pages: DataFrame, html: str = "html", max_bytes: int | None = MAX_PAGE, max_chars: int | None = None) -> DataFrame:
+    """Pages within the size limit (all, null ones too, without one) with title, content (cut at ``max_chars``) and content_length."""
+    rows = pages if max_bytes is None else pages.where(F.octet_length(html) <= max_bytes)
+    rows = rows.withColumn("_p", page_text(F.col(html)))
     content = F.col("_p.content")
     if max_chars is not None:
         content = F.when(F.length(content) > max_chars, F.concat(F.substring(content, 1, max_chars), F.lit("..."))).otherwise(content)

@@ -188,3 +188,12 @@ def test_feed(spark, small, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sum(n for _, n in seen) == 1000
+
+
+def test_page_parsed_has_every_page(spark, tmp_path):
+    from contextloom.plans import pages
+
+    rows = [(1, "<title>t</title>" + "word " * 300_000), (2, "<p>x"), (3, None)]
+    spark.createDataFrame(rows, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.title, r.content_length) for r in pages.page_parsed(spark, str(tmp_path)).collect()}
+    assert got == {1: ("t", 1_500_000), 2: ("", 1), 3: ("", 0)}
