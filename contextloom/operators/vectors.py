@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from contextloom.schema import INDEX
+from contextloom.storage import cut
 
 QUERY_BLOCK = 1024
 
@@ -196,19 +197,18 @@ class VectorIndex:
 def with_index_ids(rows: DataFrame, base: int = 0, order: str = "chunk_id", id_column: str = "id") -> DataFrame:
     """Dense ids from ``base`` in the order of a column, without bringing all rows into one task.
 
-    Rows are range-partitioned and sorted; a count for each partition gives its first id.
+    Rows are range-partitioned and sorted, and written once with their partition and their place in it. Counts and ids
+    both come from that one table, so they agree however partitions are merged or retried; rows of one key may lie in
+    several partitions. Only a count for each partition meets in one task.
     """
-    placed = rows.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id())
-    w = Window.partitionBy("_part").orderBy(order)
-    placed = placed.withColumn("_place", F.row_number().over(w))
-    sizes = {r._part: r.n for r in placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}  # a number for each partition
-    starts, total = {}, base
-    for part in sorted(sizes):
-        starts[part], total = total, total + sizes[part]
-    if not starts:
-        return rows.withColumn(id_column, F.lit(None).cast("long"))
-    first = F.create_map(*[F.lit(x) for kv in starts.items() for x in kv])
-    return placed.withColumn(id_column, (F.element_at(first, F.col("_part")) + F.col("_place") - 1).cast("long")).drop("_part", "_place")
+    chance, at = "_chance", F.monotonically_increasing_id()  # partition << 33 | place
+    placed = rows.withColumn(chance, F.monotonically_increasing_id()).repartitionByRange(F.col(order), F.col(chance)).sortWithinPartitions(order, chance)
+    placed = cut(placed.withColumn("_at", at).drop(chance)).withColumn("_part", F.shiftright("_at", 33))
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_part", (before + base).alias("_first"))  # a row for each partition
+    place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.join(F.broadcast(starts), "_part").withColumn(id_column, (F.col("_first") + place).cast("long")).drop("_part", "_first", "_at")
 
 
 def index_stats(index: DataFrame, vector: str = "embedding", key: str = "id") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -62,6 +63,45 @@ def test_dense_ids_over_partitions(spark):
     assert sorted((r.k, r.id) for r in out) == [(k, k + 10) for k in range(1000)]
 
 
+def test_dense_ids_of_wide_rows_under_small_partitions(spark, tmp_path):
+    """Counts and ids agree although adaptive execution merges partitions of wide and of narrow rows differently."""
+    conf = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "1m", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "256k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.shuffle.partitions": "40"}
+    old = {k: spark.conf.get(k) for k in conf}
+    n = 60_000
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        rows = spark.range(n).select(F.concat(F.lpad(F.col("id").cast("string"), 8, "0")).alias("k"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 4).alias("text")).repartition(7)
+        hot = rows.select(F.when(F.col("k") % 3 == 0, "00000000").otherwise(F.col("k")).alias("k"), "text")
+        for df in (rows, hot):
+            out = V.with_index_ids(df, 5, "k")
+            for parallel in ("4", "48"):
+                spark.conf.set("spark.sql.leafNodeDefaultParallelism", parallel)
+                got = out.select("k", "id").orderBy("id").collect()
+                assert [r.id for r in got] == list(range(5, n + 5)) and [r.k for r in got] == sorted(r.k for r in got)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+
+
+def test_scratch_tables_go(spark):
+    from contextloom.storage import base_dir, cut, release, scratch
+
+    made = lambda: set(Path(base_dir(spark).removeprefix("file://")).glob("*"))
+    before = made()
+    with scratch(spark) as outer:
+        with scratch(spark) as inner:
+            a, b = cut(spark.range(3)), cut(spark.range(4))
+            inner.keep(b)
+        assert len(made() - before) == 1 and b.count() == 4
+        c = cut(b)
+        outer.keep(c)
+    assert len(made() - before) == 1 and c.count() == 4
+    release(c, a)
+    assert made() == before
+
+
 def test_contexts_and_prompt(spark):
     hits = spark.createDataFrame([(1, i, s, i) for i, s in enumerate([0.5, 0.9, None, 0.7, 0.6, 0.8])], "query_id long, id long, score double, rank int")
     assert [r.id for r in R.kept_contexts(hits, "query_id").orderBy("place").collect()] == [1, 5, 3, 4, 0]
