@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from contextloom import session
+from contextloom.storage import cut, release, scratch
+
+__all__ = ["byte_lists", "cut", "free_name", "release", "scratch", "ship", "spaced_words", "table", "text_of", "words_of"]
 
 BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 WHITE = r"[\x20\x09-\x0D]+"
@@ -35,25 +38,6 @@ def ship(spark: SparkSession) -> None:
         spark.conf.set(BATCH, str(BATCH_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder under spark.checkpoint.dir; a folder of our own only where that is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file:///tmp/contextloom-checkpoints/{spark.sparkContext.applicationId}"
-    return f"{base.rstrip('/')}/loom-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there and lost executors lose nothing.
-
-    A written table keeps its columns prunable, which a checkpointed RDD does not.
-    """
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_of(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
@@ -66,6 +50,90 @@ def free_name(df: DataFrame, wish: str) -> str:
     return wish
 
 
+# ---- rows of a table by their lasting numbers ----
+FILE_BITS = 33  # a row's number is that of its file << FILE_BITS | its place there
+CELL_BITS = 15  # bits of one bitmap of bitmap_construct_agg
+MAX_BITMAPS = 16_384  # 4 KB each: 64 MB in a broadcast
+
+
+def bit_is_set(bitmap: Column, bit: Column) -> Column:
+    byte = F.conv(F.hex(F.substr(bitmap, (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return (byte / F.pow(F.lit(2.0), bit % 8)).cast("int") % 2 == 1
+
+
+class Rows:
+    """The rows of ``docs`` under numbers that every reading gives alike: that of the Parquet file and the place in it.
+
+    How a file is split, which executors there are and what is retried don't matter. What isn't a plain scan of Parquet
+    files is written once and read from there. Rows chosen by number are found by bitmaps, a bit for each row, which go
+    to the rows by broadcast: texts never shuffle. Files are taken in groups whose bitmaps number at most
+    ``max_bitmaps``; beyond one group, each writes its rows before the next one starts.
+    """
+
+    def __init__(self, docs: DataFrame, max_bitmaps: int = MAX_BITMAPS):
+        self.docs = docs if is_scan(docs) else cut(docs)
+        self.columns, self.max_bitmaps = docs.columns, max_bitmaps
+        paths = self.docs.select(self._place("file_path").alias("path")).distinct()
+        number = F.row_number().over(Window.orderBy("path")).cast("long")  # a row for each file
+        self.files = cut(paths.select("path", number.alias("file")))
+
+    def _place(self, field: str) -> Column:
+        return self.docs.metadataColumn("_metadata")[field]
+
+    def numbered(self, name: str, paths: list[str] | None = None) -> DataFrame:
+        """All columns of the rows and their number, which has a name that no column has."""
+        path, place = free_name(self.docs, "file_of_row"), free_name(self.docs, "place_of_row")
+        docs = self.docs if paths is None else self.docs.where(self._place("file_path").isin(paths))
+        rows = docs.select("*", self._place("file_path").alias(path), self._place("row_index").alias(place))
+        files = self.files.select(F.col("path").alias(path), F.shiftleft("file", FILE_BITS).alias(name))
+        return rows.join(F.broadcast(files), path).withColumn(name, F.col(name) + F.col(place)).select(*self.columns, name)
+
+    def pick(self, numbers: DataFrame, keep: bool, name: str | None = None) -> DataFrame:
+        """The rows whose number ``numbers`` (one column) has, or has not; with their number if ``name`` is given."""
+        (number,) = numbers.columns
+        cell, bits = free_name(self.docs, "cell_of_row"), free_name(self.docs, "bits_of_row")
+        own = name or free_name(self.docs, "number_of_row")
+        placed = numbers.select(F.shiftright(number, CELL_BITS).alias(cell), F.col(number).bitwiseAND(F.lit((1 << CELL_BITS) - 1)).alias("bit"))
+        bitmaps = cut(placed.groupBy(cell).agg(F.bitmap_construct_agg("bit").alias(bits)))
+
+        def part(chosen: DataFrame, paths: list[str] | None) -> DataFrame:
+            rows = self.numbered(own, paths).withColumn(cell, F.shiftright(own, CELL_BITS))
+            hit = bit_is_set(F.col(bits), F.col(own).bitwiseAND(F.lit((1 << CELL_BITS) - 1)))
+            rows = rows.join(F.broadcast(chosen), cell).where(hit) if keep else rows.join(F.broadcast(chosen), cell, "left").where(F.col(bits).isNull() | ~hit)
+            return rows.select(*self.columns, *([name] if name else []))
+
+        if bitmaps.count() <= self.max_bitmaps:
+            return part(bitmaps, None)
+        file = F.shiftright(cell, FILE_BITS - CELL_BITS)
+        sizes = bitmaps.groupBy(file.alias("file")).agg(F.count(F.lit(1)).alias("n"))
+        listed = self.files.join(sizes, "file", "left").select("path", "file", F.coalesce("n", F.lit(0)).alias("n")).orderBy("file").collect()  # a row for each file
+        groups: list[list] = [[]]
+        held = 0
+        for f in listed:
+            if groups[-1] and held + f.n > self.max_bitmaps:
+                groups.append([])
+                held = 0
+            groups[-1].append(f)
+            held += f.n
+        out = None
+        for g in groups:
+            mine = bitmaps.where(file.between(g[0].file, g[-1].file))
+            written = cut(part(mine, [f.path for f in g]))
+            out = written if out is None else out.unionByName(written)
+        return out
+
+
+def is_scan(docs: DataFrame) -> bool:
+    """Whether ``docs`` reads Parquet files as they are."""
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":  # type: ignore[attr-defined]
+        return False
+    try:
+        docs.select(docs.metadataColumn("_metadata")["row_index"])
+    except AnalysisException:
+        return False
+    return True
+
+
 def byte_lists(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     """UTF-8 bytes of a string column, without decoding."""
     if isinstance(column, pa.ChunkedArray):

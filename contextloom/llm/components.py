@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contextloom.llm.common import cut
+from contextloom.llm.common import cut, release
 
 HOT_ROWS, MAX_HOT = 1000, 10_000
 
@@ -26,7 +26,7 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node that each linked node reaches. ``links`` has long columns a and b.
 
     Large-star and small-star steps: each round hangs the neighbours of a node on the smallest of them, until every
-    component is a star. The edges are written to the shared folder each round; only a count and a sum reach the
+    component is a star. The edges are written to the shared folder each round, in place of the last ones; only a count and a sum reach the
     driver. Nodes with very many edges meet their minimum in joins that adaptive execution can split.
     Loops, repeated links and an empty table are fine; rows with a null are left out.
     """
@@ -37,7 +37,8 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not state[0]:
             break
-        edges = cut(_star(_star(edges, large=True), large=False))
+        old, edges = edges, cut(_star(_star(edges, large=True), large=False))
+        release(old)
         was, state = state, _state(edges)
         if state == was:
             break

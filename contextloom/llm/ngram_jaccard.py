@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from contextloom.llm.common import byte_lists, cut, free_name, ship, spaced_words
+from contextloom.llm.common import Rows, byte_lists, cut, free_name, release, scratch, ship, spaced_words
 from contextloom.llm.components import connected_components, join_groups
 
 SHINGLE = 5
@@ -44,7 +44,6 @@ CELL = 2048
 PIVOTS, LARGE_TILE = 4, 256
 SMALL_BITS, LARGE_BITS = 8, 13  # bitmaps have 2 ** 8 to 2 ** 13 bits
 BITS_PER_SHINGLE = 4
-BROADCAST_ROWS = 1_000_000
 
 
 class WordHashes(dict):
@@ -114,10 +113,11 @@ def folded(b: np.ndarray, words: int) -> np.ndarray:
     return b
 
 
-def set_rows(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+def set_rows(rows: Rows, text: str, doc_id: str) -> DataFrame:
     """Per document: row, doc_id, n, digest of the set, its smallest hashes, its bitmap. Written."""
-    ship(docs.sparkSession)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string"))
+    ship(rows.docs.sparkSession)
+    row = free_name(rows.docs, "near_row")
+    picked = rows.numbered(row).select(F.col(row), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -134,14 +134,14 @@ def set_rows(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
                 names=["row", "doc_id", "n", "digest", "keys", "bits"],
             )
 
-    return cut(rows.mapInArrow(sets, "row long, doc_id long, n long, digest binary, keys array<long>, bits binary"))
+    return cut(picked.mapInArrow(sets, "row long, doc_id long, n long, digest binary, keys array<long>, bits binary"))
 
 
 def size_fits(na: str, nb: str, percent: int) -> Column:
     return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent).cast("boolean")
 
 
-def near_pairs(sets: DataFrame, classes: DataFrame, docs: DataFrame, text: str, doc_id: str, pairs: DataFrame, percent: int) -> DataFrame:
+def near_pairs(rows: Rows, text: str, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Those (a, b) of ``pairs`` that are linked: bitmaps first, then the sorted arrays."""
     one = lambda c: classes.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}"))
     signed = pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "na", "nb", "bitsa", "bitsb")
@@ -158,8 +158,7 @@ def near_pairs(sets: DataFrame, classes: DataFrame, docs: DataFrame, text: str,
 
     hopeful = cut(signed.mapInArrow(bounded, "a long, b long"))
     wanted = hopeful.select(F.col("a").alias("rep")).unionByName(hopeful.select(F.col("b").alias("rep"))).distinct()
-    wanted = cut(wanted.join(classes.select("rep", "rep_doc", "digest"), "rep"))
-    arrays = cut(set_arrays(docs, text, doc_id, wanted))
+    arrays = cut(set_arrays(rows, text, wanted))
     side = lambda c: arrays.select(F.col("rep").alias(c), F.col("hashes").alias(f"hashes{c}"))
     met = hopeful.join(side("a"), "a").join(side("b"), "b").select("a", "b", "hashesa", "hashesb")
 
@@ -175,22 +174,17 @@ def near_pairs(sets: DataFrame, classes: DataFrame, docs: DataFrame, text: str,
     return cut(met.mapInArrow(linked, "a long, b long"))
 
 
-def set_arrays(docs: DataFrame, text: str, doc_id: str, wanted: DataFrame) -> DataFrame:
-    """(rep, hashes): the sorted arrays of the ``wanted`` classes, from the texts of their documents."""
-    ids = wanted.select(F.col("rep_doc").alias("id")).distinct()
-    few = ids.count() <= BROADCAST_ROWS
-    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string"))
-    texts = texts.join(F.broadcast(ids) if few else ids, texts["id"].eqNullSafe(ids["id"]), "left_semi")
+def set_arrays(rows: Rows, text: str, wanted: DataFrame) -> DataFrame:
+    """(rep, hashes): the sorted arrays of the ``wanted`` classes, from the texts of their first rows."""
+    rep = free_name(rows.docs, "near_rep")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             found = [shingle_set(t, hashes).tobytes() for t in byte_lists(batch.column(1))]
-            digests = [hashlib.blake2b(h, digest_size=16).digest() for h in found]
-            yield pa.record_batch({"digest": pa.array(digests, pa.binary()), "hashes": pa.array(found, pa.binary())})
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["rep", "hashes"])
 
-    made = texts.mapInArrow(sets, "digest binary, hashes binary")
-    return made.join(wanted.select("rep", "digest"), "digest").select("rep", "hashes").dropDuplicates(["rep"])
+    return rows.pick(wanted, True, rep).select(F.col(rep), F.col(text).cast("string")).mapInArrow(sets, "rep long, hashes binary")
 
 
 def pivot_pairs(keyed: DataFrame, percent: int) -> DataFrame:
@@ -281,15 +275,37 @@ def _cell_pairs(t: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = 75) -> DataFrame:
-    """One row per document: row, doc_id, n_shingles, class_id and component_id (smallest doc_ids), class_size."""
-    sets = set_rows(docs, text, doc_id)
-    full = sets.where("n > 0")
-    first = F.struct("row", "doc_id", "keys", "bits")
-    classes = cut(
-        full.groupBy("digest", "n")
-        .agg(F.min_by(first, "row").alias("r"), F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("size"))
-        .select("digest", "n", "class_id", "size", F.col("r.row").alias("rep"), F.col("r.doc_id").alias("rep_doc"), F.col("r.keys").alias("keys"), F.col("r.bits").alias("bits"))
-    )
+    """One row per document: row, doc_id, n_shingles, class_id and component_id (smallest doc_ids), class_size.
+
+    ``row`` is the number that ``common.Rows`` gives the document's row.
+    """
+    return near_rows(Rows(docs), text, doc_id, percent)
+
+
+def near_rows(rows: Rows, text: str, doc_id: str, percent: int) -> DataFrame:
+    with scratch(rows.docs.sparkSession) as made:
+        sets = set_rows(rows, text, doc_id)
+        full = sets.where("n > 0")
+        first = F.struct("row", "keys", "bits")
+        classes = cut(
+            full.groupBy("digest", "n")
+            .agg(F.min_by(first, "row").alias("r"), F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("size"))
+            .select("digest", "n", "class_id", "size", F.col("r.row").alias("rep"), F.col("r.keys").alias("keys"), F.col("r.bits").alias("bits"))
+        )
+        comps = components_of(rows, text, classes, percent)
+        ids = classes.select("digest", "n", "class_id", "size", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
+        ids = cut(ids.withColumn("component", F.coalesce("component", "rep")))
+        lowest = cut(ids.groupBy("component").agg(F.min("class_id").alias("component_id"), F.count(F.lit(1)).alias("n_classes")))
+        by_class = cut(join_groups(ids, lowest, "component", "n_classes", ids.count()).select("digest", "class_id", "size", "component_id"))
+        made.keep(sets, by_class)
+    out = join_groups(full.select("row", "doc_id", "n", "digest"), by_class, "digest", "size", sets.count())
+    out = out.select("row", "doc_id", F.col("n").alias("n_shingles"), "class_id", "component_id", F.col("size").alias("class_size"))
+    empty = sets.where("n = 0").select("row", "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("class_size"))
+    return out.unionByName(empty)
+
+
+def components_of(rows: Rows, text: str, classes: DataFrame, percent: int) -> DataFrame:
+    """(node, component) of the linked classes, by their rep. Written."""
     keys = classes.select(F.explode("keys").alias("key"), "rep", "n")
     tiles = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     shared = cut(keys.join(tiles, "key").select("key", "c", "rep", "n"))
@@ -297,8 +313,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     middle = F.max_by(F.struct("rep", "n"), F.struct("weight", -F.col("rep"))).alias("p")
     pivots = shared.join(weights, "rep").groupBy("key").agg(middle)
     keyed = cut(shared.join(pivots, "key").select("key", "c", "rep", "n", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pivot_n")))
+    release(shared)
     tried = cut(pivot_pairs(keyed, percent))
-    links = near_pairs(sets, classes, docs, text, doc_id, tried, percent)
+    links = near_pairs(rows, text, classes, tried, percent)
     labelled = cut(with_components(keyed, links))
 
     large = labelled.where(F.col("c") > LARGE_TILE)
@@ -307,43 +324,35 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     second = cut(more_pairs(large.join(begun, "key", "left_semi").join(weights, "rep"), percent).join(tried, ["a", "b"], "left_anti"))
     if not second.isEmpty():
         tried = tried.unionByName(second)
-        links = cut(links.unionByName(near_pairs(sets, classes, docs, text, doc_id, second, percent)))
+        links = cut(links.unionByName(near_pairs(rows, text, classes, second, percent)))
+        release(labelled)
         labelled = cut(with_components(keyed, links))
+    release(keyed)
 
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
     open_tiles = labelled.join(mixed.select("key"), "key", "left_semi").join(classes.select("rep", "bits", "keys"), "rep")
     third = cut(cross_pairs(open_tiles, percent).join(tried, ["a", "b"], "left_anti"))
-    links = links.unionByName(near_pairs(sets, classes, docs, text, doc_id, third, percent))
-    comps = cut(connected_components(links))
-
-    ids = classes.select("digest", "n", "class_id", "size", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-    ids = cut(ids.withColumn("component", F.coalesce("component", "rep")))
-    lowest = ids.groupBy("component").agg(F.min("class_id").alias("component_id"), F.count(F.lit(1)).alias("n_classes"))
-    lowest = cut(lowest)
-    by_class = cut(join_groups(ids, lowest, "component", "n_classes", ids.count()).select("digest", "class_id", "size", "component_id"))
-    out = join_groups(full.select("row", "doc_id", "n", "digest"), by_class, "digest", "size", sets.count())
-    out = out.select("row", "doc_id", F.col("n").alias("n_shingles"), "class_id", "component_id", F.col("size").alias("class_size"))
-    empty = sets.where("n = 0").select("row", "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("class_size"))
-    return out.unionByName(empty)
+    links = links.unionByName(near_pairs(rows, text, classes, third, percent))
+    return cut(connected_components(links))
 
 
 def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = 75) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of each component the one with the smallest doc_id.
 
-    Documents without words are linked with nothing and all stay. Rows leave by an anti-join on their number; the list
-    of those that leave is broadcast while it has at most ``BROADCAST_ROWS`` rows. ``docs`` must read the same rows in
-    the same order twice, as a written table does. Components without any doc_id stay whole.
+    Documents without words are linked with nothing and all stay; components without any doc_id stay whole. Rows leave by
+    their lasting numbers (``common.Rows``), whatever splits and executors later readings have; their texts never shuffle.
     """
-    found = cut(near_duplicates(docs, text, doc_id, percent).where("n_shingles > 0").select("row", "doc_id", "component_id"))
-    some = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"), F.count(F.lit(1)).alias("size"))
-    some = cut(some.where("size > 1 and component_id is not null"))
-    left = join_groups(found.where("component_id is not null"), some, "component_id", "size", found.count())
-    dropped = cut(left.where(F.col("row") != F.col("first.row")).select("row"))
-    row = free_name(docs, "near_row")
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    gone = dropped.select(F.col("row").alias(row))
-    few = dropped.count() <= BROADCAST_ROWS
-    return numbered.join(F.broadcast(gone) if few else gone, row, "left_anti").select(docs.columns)
+    rows = Rows(docs)
+    with scratch(docs.sparkSession) as made:
+        found = cut(near_rows(rows, text, doc_id, percent).where("n_shingles > 0").select("row", "doc_id", "component_id"))
+        some = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"), F.count(F.lit(1)).alias("size"))
+        some = cut(some.where("size > 1 and component_id is not null"))
+        left = join_groups(found.where("component_id is not null"), some, "component_id", "size", found.count())
+        dropped = cut(left.where(F.col("row") != F.col("first.row")).select("row"))
+        made.keep(dropped)
+    out = rows.pick(dropped, keep=False)
+    release(dropped)
+    return out
 
 
 def brute_force(docs: list[tuple[int, str | None]], percent: int = 75) -> list[tuple[int, int, int]]:

@@ -9,8 +9,9 @@ document is described by counts that it was part of.
 Sites. The source of a document names a host and, behind its first slash, a path. Grouped aggregation gives each host
 and path its number of documents and their expected good ones. A beta prior, fitted to all hosts by moments, draws the
 rates of sparse hosts to the global rate; a second one draws sparse paths to their host. A document's odds are its
-classifier's odds times its path's posterior odds over the global odds. Documents stay if they are more likely good than
-not, and more likely not toxic.
+classifier's odds times its path's posterior odds over the global odds, both from the other documents only: its own
+evidence is taken out of its site's sums, so that it counts once. Documents stay if they are more likely good than not,
+and more likely not toxic.
 
 Defined cases: a null or wordless text is poor (kept false) whatever its site; a null source is a host of its own; labels
 for unknown documents or with nulls are left out; repeated rows come out once each; without labels of both classes
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contextloom.llm.common import byte_lists, cut, free_name, ship, words_of
+from contextloom.llm.common import Rows, byte_lists, cut, free_name, release, scratch, ship, words_of
 from contextloom.llm.components import join_groups
 
 CLASSES = ("low_quality", "toxic")
@@ -212,12 +213,14 @@ def site_columns(source: Column) -> tuple[Column, Column]:
     return F.split(bare, r"[/?#]", 2)[0], F.regexp_extract(bare, r"^[^/?#]*/([^/?#]*)", 1)
 
 
-def scored(docs: DataFrame, model: Model, text: str, doc_id: str, source: str) -> DataFrame:
+def scored(rows: Rows, model: Model, text: str, doc_id: str, source: str) -> DataFrame:
     """Per row: row, doc_id, host, site, words, and the classifier's log odds of low quality and toxicity. Written."""
+    docs = rows.docs
     ship(docs.sparkSession)
     host, path = site_columns(F.col(source).cast("string"))
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"), host.alias("host"),
+    row = free_name(docs, "quality_row")
+    picked = rows.numbered(row).select(
+        F.col(row), F.col(doc_id).cast("long").alias("doc_id"), host.alias("host"),
         F.concat_ws("/", host, path).alias("site"), F.col(text).cast("string").alias("text"),
     )
 
@@ -232,7 +235,7 @@ def scored(docs: DataFrame, model: Model, text: str, doc_id: str, source: str) -
                 [*batch.columns[:4], pa.array(n, pa.int64()), pa.array(z[:, 0]), pa.array(z[:, 1])], names=["row", "doc_id", "host", "site", "n_words", "low", "toxic"]
             )
 
-    return cut(rows.mapInArrow(score, "row long, doc_id long, host string, site string, n_words long, low double, toxic double"))
+    return cut(picked.mapInArrow(score, "row long, doc_id long, host string, site string, n_words long, low double, toxic double"))
 
 
 def sigmoid(z: Column) -> Column:
@@ -250,27 +253,46 @@ def beta_strength(groups: DataFrame, n: str, good: str, rate: Column) -> float:
     return min(max(mean_c / between - 1, 1.0), 10_000.0) if between > 0 else 10_000.0
 
 
-def site_posteriors(scores: DataFrame, column: str) -> DataFrame:
-    """(site, n, prior log odds over the global ones) for one class. Written."""
-    p = sigmoid(F.col(column))
-    sites = cut(scores.groupBy("host", "site").agg(F.count(F.lit(1)).alias("n"), F.sum(p).alias("s")))
-    hosts = cut(sites.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("s").alias("host_s"), F.count(F.lit(1)).alias("k")))
-    total = hosts.agg(F.sum("host_n").alias("n"), F.sum("host_s").alias("s")).first()
-    rate = min(max((total.s or 0.0) / (total.n or 1), 1e-4), 1 - 1e-4)
-    strength = beta_strength(hosts, "host_n", "host_s", F.lit(rate))
-    hosts = cut(hosts.withColumn("host_rate", (F.col("host_s") + rate * strength) / (F.col("host_n") + strength)))
-    joined = cut(join_groups(sites, hosts, "host", "k", sites.count()))
-    inner = beta_strength(joined, "n", "s", F.col("host_rate"))
-    post = (F.col("s") + F.col("host_rate") * inner) / (F.col("n") + inner)
-    return joined.select("site", "n", (F.log(post / (1 - post)) - math.log(rate / (1 - rate))).alias(f"{column}_shift"), F.col("host_rate").alias(f"{column}_host"))
-
-
-def quality_scores(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
-    """Per document: row, doc_id, host, p_document and p_quality (good), p_toxic, site_shift, kept."""
-    scores = scored(docs, model, text, doc_id, source)
-    low, toxic = site_posteriors(scores, "low"), site_posteriors(scores, "toxic")
-    sites = cut(low.join(toxic.drop("n"), "site"))
+@dataclass
+class Prior:
+    """The global rate of a class, and the pseudo-counts that hosts and paths are drawn to their parents with."""
+
+    rate: float
+    hosts: float
+    paths: float
+
+    def shift(self, p: Column, n: str, s: str, host_n: str, host_s: str) -> Column:
+        """Log odds of a path's posterior over the global ones, without the document of probability ``p`` itself."""
+        rest = lambda total: F.greatest(F.lit(0.0), F.col(total) - p)
+        host = (rest(host_s) + self.rate * self.hosts) / (F.col(host_n) - 1 + self.hosts)
+        path = (rest(s) + host * self.paths) / (F.col(n) - 1 + self.paths)
+        return F.log(path / (1 - path)) - math.log(self.rate / (1 - self.rate))
+
+
+def site_priors(scores: DataFrame) -> tuple[DataFrame, dict[str, Prior]]:
+    """(site, n, host_n, and for each class its sums of probabilities in site and host), written, and the classes' priors."""
+    kinds = ("low", "toxic")
+    sums = [F.sum(sigmoid(F.col(k))).alias(k) for k in kinds]
+    sites = cut(scores.groupBy("host", "site").agg(F.count(F.lit(1)).alias("n"), *sums))
+    hosts = cut(sites.groupBy("host").agg(F.sum("n").alias("host_n"), F.count(F.lit(1)).alias("k"), *(F.sum(k).alias(f"host_{k}") for k in kinds)))
+    joined = cut(join_groups(sites, hosts, "host", "k", sites.count()).drop("k"))
+    total = hosts.agg(F.sum("host_n").alias("n"), *(F.sum(f"host_{k}").alias(k) for k in kinds)).first()
+    priors = {}
+    for k in kinds:
+        rate = min(max((total[k] or 0.0) / (total.n or 1), 1e-4), 1 - 1e-4)
+        strength = beta_strength(hosts, "host_n", f"host_{k}", F.lit(rate))
+        host_rate = (F.col(f"host_{k}") + rate * strength) / (F.col("host_n") + strength)
+        priors[k] = Prior(rate, strength, beta_strength(joined, "n", k, host_rate))
+    release(sites, hosts)
+    return joined.select("site", "n", "host_n", *(F.col(c).alias(f"site_{c}") for c in kinds), *(f"host_{c}" for c in kinds)), priors
+
+
+def quality_rows(rows: Rows, model: Model, text: str, doc_id: str, source: str) -> DataFrame:
+    scores = scored(rows, model, text, doc_id, source)
+    sites, priors = site_priors(scores)
     both = join_groups(scores, sites, "site", "n", scores.count())
+    shift = {k: prior.shift(sigmoid(F.col(k)), "n", f"site_{k}", "host_n", f"host_{k}").alias(f"{k}_shift") for k, prior in priors.items()}
+    both = both.select("row", "doc_id", "host", "n_words", "low", "toxic", *shift.values())
     p_low, p_toxic = sigmoid(F.col("low") + F.col("low_shift")), sigmoid(F.col("toxic") + F.col("toxic_shift"))
     return both.select(
         "row", "doc_id", "host", (1 - sigmoid(F.col("low"))).alias("p_document"), (1 - p_low).alias("p_quality"), p_toxic.alias("p_toxic"),
@@ -278,12 +300,22 @@ def quality_scores(docs: DataFrame, model: Model, text: str = "text", doc_id: st
     )
 
 
-def quality_filter(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source",
-                   max_labelled: int = 12_000, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns. ``docs`` must read the same rows in order twice."""
-    found = quality_scores(docs, fit(docs, labels, text, doc_id, max_labelled), text, doc_id, source)
-    gone = cut(found.where("not kept").select("row"))
-    few = gone.count() <= broadcast_rows
-    row = free_name(docs, "quality_row")
-    gone = gone.select(F.col("row").alias(row))
-    return docs.withColumn(row, F.monotonically_increasing_id()).join(F.broadcast(gone) if few else gone, row, "left_anti").select(docs.columns)
+def quality_scores(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
+    """Per document: row, doc_id, host, p_document and p_quality (good), p_toxic, site_shift, kept."""
+    return quality_rows(Rows(docs), model, text, doc_id, source)
+
+
+def quality_filter(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", max_labelled: int = 12_000) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns.
+
+    Rows leave by their lasting numbers (``common.Rows``), whatever splits and executors later readings have; texts never
+    shuffle.
+    """
+    rows = Rows(docs)
+    with scratch(docs.sparkSession) as made:
+        found = quality_rows(rows, fit(rows.docs, labels, text, doc_id, max_labelled), text, doc_id, source)
+        gone = cut(found.where("not kept").select("row"))
+        made.keep(gone)
+    out = rows.pick(gone, keep=False)
+    release(gone)
+    return out

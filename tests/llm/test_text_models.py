@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import html
+import math
 import random
 import re
 import string
 import zlib
+from contextlib import contextmanager
 
 import numpy as np
 import pytest
@@ -17,7 +19,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from contextloom.llm import chat_template as T
-from contextloom.llm import html_blocks, langid, packing, quality, secret_scan
+from contextloom.llm import common, html_blocks, langid, ngram_jaccard, packing, quality, secret_scan
 from contextloom.llm.queries import vocabulary
 
 
@@ -44,11 +46,93 @@ def test_quality_learns_and_keeps_clean_documents(spark, none):
     assert quality.quality_scores(none, model).count() == 0
 
 
-def test_site_posteriors_shrink_sparse_sites(spark):
-    rows = [(i, "big", "big/a", 2.0) for i in range(500)] + [(i, "good", "good/a", -4.0) for i in range(500)] + [(1, "tiny", "tiny/a", 2.0)]
-    df = spark.createDataFrame(rows, "i long, host string, site string, low double")
-    shift = {r.site: r.low_shift for r in quality.site_posteriors(df, "low").collect()}
-    assert shift["big/a"] > shift["tiny/a"] > shift["good/a"]
+def test_site_posteriors_equal_plain_python(spark):
+    """Two levels of beta priors by moments, and each document's shift from the others of its site, in plain numbers."""
+    r = random.Random(2)
+    rows = []
+    for h in range(12):
+        for p in range(r.randint(1, 4)):
+            rows += [(len(rows) + k, f"h{h}", f"h{h}/p{p}", 1, r.gauss(h % 3 - 2, 1.5), r.gauss(-3, 1)) for k in range(r.choice([1, 2, 7, 30]))]
+    df = spark.createDataFrame(rows, "row long, host string, site string, n_words long, low double, toxic double")
+    sites, priors = quality.site_priors(df)
+    shift = priors["low"].shift(quality.sigmoid(F.col("low")), "n", "site_low", "host_n", "host_low")
+    got = {x.row: x.s for x in df.join(sites, "site").select("row", shift.alias("s")).collect()}
+
+    prob = {x[0]: 1 / (1 + math.exp(-x[4])) for x in rows}
+    group = lambda at: {k: [prob[x[0]] for x in rows if x[at] == k] for k in {x[at] for x in rows}}
+    hosts, paths, rate = group(1), group(2), sum(prob.values()) / len(prob)
+
+    def strength(groups, centre):
+        n = sum(map(len, groups.values()))
+        v = sum(len(g) * (sum(g) / len(g) - centre[k]) ** 2 for k, g in groups.items())
+        c = sum(len(g) * centre[k] * (1 - centre[k]) for k, g in groups.items()) / n
+        between = (v - (len(groups) - 1) * c) / (n - sum(len(g) ** 2 for g in groups.values()) / n)
+        return min(max(c / between - 1, 1.0), 10_000.0) if between > 0 else 10_000.0
+
+    a = strength(hosts, dict.fromkeys(hosts, rate))
+    host_rate = {k: (sum(g) + rate * a) / (len(g) + a) for k, g in hosts.items()}
+    b = strength(paths, {k: host_rate[k.split("/")[0]] for k in paths})
+    logit = lambda x: math.log(x / (1 - x))
+    for i, h, s, *_ in rows:
+        host = (sum(hosts[h]) - prob[i] + rate * a) / (len(hosts[h]) - 1 + a)
+        path = (sum(paths[s]) - prob[i] + host * b) / (len(paths[s]) - 1 + b)
+        assert got[i] == pytest.approx(logit(path) - logit(rate), abs=1e-9)
+
+
+def test_a_document_alone_has_no_say_for_itself(spark):
+    rows = [(i, "big", "big/a", 1, 2.0, -4.0) for i in range(500)] + [(500 + i, "good", "good/a", 1, -4.0, -4.0) for i in range(500)]
+    rows += [(1000, "tiny", "tiny/a", 1, 2.0, -4.0), (1001, "small", "small/a", 1, -4.0, -4.0)]
+    df = spark.createDataFrame(rows, "row long, host string, site string, n_words long, low double, toxic double")
+    sites, priors = quality.site_priors(df)
+    shift = priors["low"].shift(quality.sigmoid(F.col("low")), "n", "site_low", "host_n", "host_low")
+    got = {x.row: x.s for x in df.join(sites, "site").select("row", shift.alias("s")).collect()}
+    assert got[0] > 0.3 > abs(got[1000]) and got[1000] == pytest.approx(0, abs=1e-9) == got[1001] and got[500] < -0.3
+
+
+@contextmanager
+def read_otherwise(spark):
+    """The settings of a cluster of another size: other splits of the same files."""
+    conf = {"spark.sql.leafNodeDefaultParallelism": "48", "spark.sql.files.openCostInBytes": "1k", "spark.sql.files.maxPartitionBytes": "20k", "spark.sql.shuffle.partitions": "7"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_filters_drop_the_same_rows_at_every_reading(spark, tmp_path):
+    r = np.random.default_rng(4)
+    docs = []
+    for i in range(1200):
+        words = [f"w{x}" for x in r.integers(0, 5000, 60)]
+        bad = i % 10 == 0
+        docs += [(2 * i, " ".join(words) + (" ### $$$ ###" * 30 if bad else ""), f"h{i % 7}/a"), (2 * i + 1, " ".join([*words[:-1], "other"]) + (" ### $$$ ###" * 30 if bad else ""), f"h{i % 7}/a")]
+    rows = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    rows.repartition(3).write.option("parquet.block.size", 20_000).parquet(str(tmp_path / "d"))
+    written = spark.read.parquet(str(tmp_path / "d"))
+    labels = written.select("doc_id", F.when(F.col("text").contains("###"), 0).otherwise(1).alias("quality"), F.lit(0).alias("toxic"))
+    for made in (ngram_jaccard.near_dedup(written), quality.quality_filter(written, labels), ngram_jaccard.near_dedup(rows.repartition(5))):
+        first = sorted(x.doc_id for x in made.collect())
+        with read_otherwise(spark):
+            assert sorted(x.doc_id for x in made.collect()) == first
+        assert "Exchange hashpartitioning" not in made._jdf.queryExecution().executedPlan().toString()
+        assert len(first) == len(set(first)) and len({i // 2 for i in first}) in (1200, 1080)
+    assert len(quality.quality_filter(written, labels).collect()) == 2160
+
+
+def test_rows_are_picked_in_groups_of_files(spark, tmp_path):
+    spark.range(5000).selectExpr("id", "id as _metadata", "id as number_of_row").repartition(6).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    for most in (1, 4, 100):
+        rows = common.Rows(docs, most)
+        ids = rows.numbered("n").where("id % 3 = 0").select("n")
+        kept, left = rows.pick(ids, True, "n"), rows.pick(ids, False)
+        assert sorted(x.id for x in kept.collect()) == list(range(0, 5000, 3)) and kept.columns == [*docs.columns, "n"]
+        assert sorted(x.id for x in left.collect()) == [i for i in range(5000) if i % 3] and left.columns == docs.columns
+        assert rows.pick(ids.limit(0), False).count() == 5000 and rows.pick(ids.limit(0), True).count() == 0
 
 
 def test_quality_edges(spark, plain, none):
