@@ -212,3 +212,18 @@ def test_licenses(spark, edge, none):
     spans = license_scan.license_spans(spark.createDataFrame(docs[:1], "doc_id long, text string")).collect()
     assert {(s.label, s.first_word, s.last_word) for s in spans} == {("gpl", 6, 9), ("gpl-3.0", 0, 11)}
     assert license_scan.license_report(edge).count() == len(EDGE) and license_scan.license_report(none).count() == 0
+
+
+def test_repeated_words_are_no_license(spark):
+    """A word pair vouches for one place of a template, however often it comes; scrambled texts don't count."""
+    mit = dict((label, text) for text, label in license_scan.TEXTS)["mit-full"]
+    words = mit.split()
+    scrambled = " ".join(" ".join(words[i : i + 4]) for i in range((len(words) - 1) // 4 * 4, -1, -4))
+    texts = ["2.0 " * 8, "4.0 " * 7, "cc by " * 6, scrambled, "license version 2 0 " * 40 + LICENSED[5], f"x {mit} y", mit.replace("sublicense", "sub license").replace("tort", "") + " " + mit, " ".join(words[: len(words) // 2])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.license_report(df).collect()}
+    assert [got[i].labels for i in range(4)] == ["", "", "cc-by", ""] and all(got[i].score <= 0.5 for i in (0, 1, 3)) and got[2].score == 1
+    assert got[4].labels == "apache,apache-2.0" and "mit-full" in got[5].labels and "mit-full" in got[6].labels and got[7].labels == "mit-text"
+    spans = {(s.doc_id, s.label, s.first_word, s.last_word) for s in license_scan.license_spans(df).collect()}
+    n = len(words_of(mit.encode()))
+    assert (5, "mit-full", 1, n) in spans and sum(s[:2] == (6, "mit-full") for s in spans) == 2 and (4, "apache-2.0", 160, 167) in spans
