@@ -1,9 +1,9 @@
 """License scans by diagonal voting, in DataFrame functions only.
 
 Every rolling word k-gram of every text is hashed and joined to the positions of the license templates: pairs for the
-base phrases, triples for notices and whole license texts, which ordinary prose hardly ever shares. A match of text
-position p with template position t is a vote for the diagonal p - t, verified on the words themselves, so hashes never
-decide. Diagonals within ``MERGE`` words of one another (words were inserted or left out) are merged: around each
+base phrases, triples for notices and whole license texts, which ordinary prose hardly ever shares. The join is on the
+hash of a gram's first two words, and all its words are compared there, so hashes never decide. A match of text position
+p with template position t is a vote for the diagonal p - t. Diagonals within ``MERGE`` words of one another (words were inserted or left out) are merged: around each
 diagonal, the distinct template positions that vote within that reach, over all of the template's, are its cover. Words
 repeated in a text so vote once, and each vote counts only near the place where the template has it. A span is verified
 when its cover is at least ``min_cover``; of a run of such diagonals the best one gives the span.
@@ -106,8 +106,7 @@ def templates(spark: SparkSession) -> DataFrame:
     names = "template, label, is_base, k, n_grams, t, w1, w2, w3"
     rows = spark.sql(f"SELECT * FROM VALUES {_values()} AS v({names})")
     marker = spark.sql(f"SELECT {MARK} AS template, '' AS label, false AS is_base, 2 AS k, 1 AS n_grams, 0 AS t, '' AS w1, '' AS w2, '' AS w3")
-    gram = F.when(F.col("template") == MARK, F.lit(MARK).cast("long")).when(F.col("k") == 2, F.xxhash64("w1", "w2")).otherwise(F.xxhash64("w1", "w2", "w3"))
-    return rows.unionByName(marker).withColumn("gram", gram)
+    return rows.unionByName(marker).withColumn("gram", F.when(F.col("template") == MARK, F.lit(MARK).cast("long")).otherwise(F.xxhash64("w1", "w2")))
 
 
 def votes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -120,13 +119,12 @@ def votes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     flat = F.btrim(F.regexp_replace(low, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
     words = F.when(flat == "", F.expr("cast(array() as array<string>)")).otherwise(F.split(flat, " "))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), words.alias("words"))
-    both = F.transform("words", lambda w, i: F.array(F.xxhash64(w, F.get("words", i + 1)), F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2))))
-    grams = rows.select("doc_id", "row", "words", F.size("words").cast("long").alias("n_words"), F.concat(F.flatten(both), F.array(F.lit(MARK).cast("long"))).alias("grams"))
-    at = grams.select("doc_id", "row", "n_words", "words", F.posexplode("grams").alias("at", "gram"))
-    at = at.withColumns({"p": F.shiftright("at", 1), "triple": F.col("at").bitwiseAND(1) == 1})
+    pairs = F.transform("words", lambda w, i: F.xxhash64(w, F.get("words", i + 1)))
+    grams = rows.select("doc_id", "row", "words", F.size("words").cast("long").alias("n_words"), F.concat(pairs, F.array(F.lit(MARK).cast("long"))).alias("grams"))
+    at = grams.select("doc_id", "row", "n_words", "words", F.posexplode("grams").alias("p", "gram"))
     word = lambda n: F.get("words", F.col("p") + n)
-    same = (F.col("template") == MARK) & (F.col("at") == 2 * F.col("n_words")) | (
-        (F.col("template") != MARK) & (F.col("triple") == (F.col("k") == 3)) & (word(0) == F.col("w1")) & (word(1) == F.col("w2")) & ((F.col("k") == 2) | (word(2) == F.col("w3")))
+    same = (F.col("template") == MARK) & (F.col("p") == F.col("n_words")) | (
+        (F.col("template") != MARK) & (word(0) == F.col("w1")) & (word(1) == F.col("w2")) & ((F.col("k") == 2) | (word(2) == F.col("w3")))
     )
     bit = F.expr(f"shiftleft(1L, t % {MASK_BITS})")
     masks = [F.bit_or(F.when(F.floor(F.col("t") / MASK_BITS) == j, bit).otherwise(F.lit(0).cast("long"))).alias(f"m{j}") for j in range(MASKS)]
