@@ -1,21 +1,26 @@
 """HTML extraction by a recurrent block labeller.
 
 A page becomes its sequence of text blocks, the leaves of its block elements. Each block is described by its tag path
-(tags, class, id and role words of all open elements, hashed, nearer ones weighing more), its words (hashed), and a few
-measures such as its length and share of link text. A bidirectional LSTM, in numpy, reads the whole sequence and labels
-every block as main text or not, so a block is judged by all that stands before and after it. It is trained here by
-backpropagation through time, in one task, on generated pages of many layouts, whose labels are known by construction; no page of the
-input is needed for it. Blocks labelled as main text are joined by one space.
-
-Elements whose content is no text of the page (scripts, styles, templates, controls of forms and the like) yield no
-blocks; comments and markup never do. Raw text (scripts, styles, titles and the like) ends at its own end tag only; other such
-elements stand among the open ones, and what is in them goes when they close. One that its parents, its like or the end
-of the page have to close loses only what stands before the first block element in it. Character references are decoded, also those that lack their semicolon where HTML
-allows it; any Unicode white space counts as white space.
+(tags, class, id and role words of all open elements, hashed, nearer ones weighing more), its words (all of them,
+hashed), and a few measures such as its length and share of link text. A bidirectional LSTM, in numpy, reads the whole
+sequence and labels every block as main text or not, so a block is judged by all that stands before and after it. It is
+trained here by backpropagation through time, in one task, on generated pages of many layouts, whose labels are known by
+construction; no page of the input is needed for it. Blocks labelled as main text are joined by one space.
+
+Scripts, styles, templates, controls of forms, titles and the text of iframes yield no blocks; comments and markup never
+do. Raw text (scripts, styles, titles and the like) ends at its own end tag only; other such elements stand among the open
+ones, and what is in them goes when they close. One that its parents, its like or the end of the page have to close loses
+only what stands before the first block element in it. Drawings, media, objects and what stands in for scripts become
+blocks of their own, known by their element, for the labeller to judge; formulas are part of their block's text.
+Character references are decoded, also those that lack their semicolon where HTML allows it; any Unicode white space
+counts as white space.
+
+A page is read in time in proportion to its length whatever its markup: tags, quotes and comments that never end are
+found to do so once, elements are looked up by name, and a path is one node that knows its parent.
 
 Defined cases: null and empty html give an empty text; broken markup never fails: what doesn't parse as a tag is text,
-unclosed elements end with their parents; pages are read whole, however long; repeated rows come out once each; an
-empty table gives an empty result; other columns are not read.
+unclosed elements end with their parents; pages are read whole, however long or deep; repeated rows come out once each;
+an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -41,27 +46,62 @@ BLOCKS = frozenset(
     "header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style template noscript svg math iframe object audio video canvas select textarea button datalist title head".split())
 RAW = frozenset("script style title textarea iframe head".split())
-MUTED = SILENT - RAW
-ALONE = frozenset("button select video audio".split())  # never inside their like
-FOREIGN = frozenset("svg math".split())  # a block element ends them, but not inside these:
-INTEGRATION = frozenset("foreignobject desc annotation-xml mtext mi mo mn ms".split())
+MUTED = frozenset("template select button datalist".split())
+ALONE = frozenset("button select".split())  # never inside their like
+JUDGED = frozenset("noscript svg object audio video canvas".split())  # drawn, played, or shown in place of something
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("html body table ul ol dl article section div main aside nav header footer form td th".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+LOOSE = frozenset("div ul ol dl".split())  # scopes that end with what they stand in
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+PLAIN = re.compile(r"[^>\"']*")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORD = re.compile(r"[a-z]+")
 
-PATH, WORDS, MEASURES, HIDDEN = 256, 32, 8, 24
+PATH, WORDS, MEASURES, HIDDEN = 256, 128, 8, 24
 NEARER = 0.85
+WORD_WEIGHT, FEW_WORDS = 0.3, 6.0  # the words of a short text tell less
+WORD_DECAY = 1.5  # of the words' weights, in steps of the learning rate: words are many, pages to learn from few
+UNREAD = 0.4  # share of the pages that are learned from without their words
+MAX_NODES = 20_000
+STEPS = 50_000  # blocks that are read at a time, with padding
+
+
+class Node:
+    """A tag path: its last element's key and the path before. Like paths are one node, on all pages of a worker."""
+
+    __slots__ = ("parent", "key", "children", "gates", "vector")
+
+    def __init__(self, parent: Node | None, key: str):
+        self.parent, self.key = parent, key
+        self.children: dict[str, Node] = {}
+        self.gates: tuple[object, np.ndarray] | None = None
+        self.vector: np.ndarray | None = None
+
+    def child(self, key: str) -> Node:
+        if key not in self.children:
+            Paths.nodes += 1
+            self.children[key] = Node(self, key)
+        return self.children[key]
+
+
+class Paths:
+    """The paths known so far; they start anew between pages when there are many."""
+
+    root, nodes = Node(None, ""), 0
+
+    @classmethod
+    def start(cls) -> Node:
+        if cls.nodes > MAX_NODES:
+            cls.root, cls.nodes = Node(None, ""), 0
+        return cls.root
 
 
 @dataclass
 class Block:
-    path: tuple[str, ...]  # of element keys
+    path: Node
     text: str
     linked: int  # characters of link text
 
@@ -76,129 +116,240 @@ def element_key(tag: str, attributes: str) -> str:
     return " ".join([tag, *dict.fromkeys(w for w in words if len(w) > 1)])
 
 
-def blocks_of(page: str | None) -> list[Block]:
-    out: list[Block] = []
-    tags: list[str] = []  # open elements and their keys
-    keys: list[str] = []
-    parts: list[str] = []
-    links = linked = 0
-    #: Of each muted element: its place in tags, and blocks, parts and linked as they were, kept once it holds a block element.
-    muted: list[tuple[int, tuple[int, list[str], int] | None]] = []
-
-    def flush() -> None:
-        nonlocal linked
-        if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
+class Scanner:
+    """Tags and comments of a page, each found in time in proportion to what it spans."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {c: page.rfind(c) for c in ">\"'"}
+        self.last_body: int | None = None
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """(start, end, closing, name, attributes) from ``at`` on; comments and declarations have no name."""
+        page = self.page
+        while (lt := page.find("<", at)) >= 0:
+            if page.startswith("<!--", lt):
+                end = page.find("-->", lt + 4)
+                return lt, len(page) if end < 0 else end + 3, False, "", ""
+            if self.last[">"] < lt:  # no tag ends any more
+                lt = page.find("<!--", lt)
+                return (lt, len(page), False, "", "") if lt >= 0 else None
+            if page.startswith(("<!", "<?"), lt):
+                return lt, page.find(">", lt) + 1, False, "", ""
+            closing = page.startswith("</", lt)
+            if m := NAME.match(page, lt + 1 + closing):
+                end = self.tag_end(m.end())
+                return lt, end + 1, closing, m[0].lower(), page[m.end() : end]
+            at = lt + 1
+        return None
+
+    def tag_end(self, at: int) -> int:
+        """The first > outside quotes; if quotes don't pair up, the first of all."""
+        i = at
+        while (i := PLAIN.match(self.page, i).end()) < len(self.page):  # type: ignore[union-attr]
+            c = self.page[i]
+            if c == ">":
+                return i
+            if self.last[c] <= i:
+                break
+            i = self.page.find(c, i + 1) + 1
+        return self.page.find(">", at)
+
+    def raw_end(self, name: str, at: int) -> int:
+        """Where the text of a raw element ends, its end tag included; the end of the page if there is none."""
+        end = re.compile(rf"</{name}\s*>" if name != "head" else r"</head\s*>|(?=<body)", re.I).search(self.page, at)
+        return end.end() if end else len(self.page)
+
+    def body_after(self, at: int) -> bool:
+        if self.last_body is None:
+            self.last_body = max((m.start() for m in re.finditer("<body", self.page, re.I)), default=-1)
+        return self.last_body >= at
+
+
+class Reader:
+    """Reads a page into blocks. Open elements are found by name, so no step looks through all of them."""
+
+    def __init__(self, page: str):
+        self.scan = Scanner(page)
+        self.out: list[Block] = []
+        self.parts: list[str] = []
+        self.linked = 0
+        self.tags: list[str] = []  # open elements
+        self.paths: list[Node] = [Paths.start()]  # and the path down to each
+        self.places: dict[str, list[int]] = {}  # by name
+        self.blocks: list[int] = []  # places of block elements
+        self.scopes: list[int] = []
+        self.hard: list[int] = []  # of scopes that aren't loose
+        #: Of each muted element: its place, and blocks, parts and linked as they were, kept once it holds a block element.
+        self.muted: list[tuple[int, tuple[int, list[str], int] | None]] = []
+        self.judged: list[list] = []  # place of each judged element and its first block, once there is text
+        self.marks: list[tuple[int, int, str]] = []  # blocks of judged elements that have ended
+
+    def flush(self) -> None:
+        if self.parts:
+            text = " ".join(html.unescape("".join(self.parts)).split())
             if text:
-                out.append(Block(tuple(k for t, k in zip(tags, keys, strict=True) if t in BLOCKS), text, linked))
-            parts.clear()
-        linked = 0
-
-    def leave(k: int) -> None:
-        nonlocal links
-        if any(t in BLOCKS for t in tags[k:]):
-            flush()
-        links -= tags[k:].count("a")
+                self.out.append(Block(self.paths[-1], text, self.linked))
+            self.parts.clear()
+        self.linked = 0
+
+    def silent(self) -> bool:
+        return bool(self.muted) and self.muted[-1][1] is None
+
+    def add(self, text: str) -> None:
+        if self.silent():
+            return
+        if self.judged and self.judged[-1][1] is None and text.strip():
+            self.flush()
+            for entry in reversed(self.judged):
+                if entry[1] is not None:
+                    break
+                entry[1] = len(self.out)
+        self.parts.append(text)
+        if self.places.get("a"):
+            self.linked += len(text)
+
+    def push(self, name: str, path: Node) -> None:
+        k = len(self.tags)
+        self.tags.append(name)
+        self.paths.append(path)
+        self.places.setdefault(name, []).append(k)
+        if name in BLOCKS:
+            self.blocks.append(k)
+        if name in SCOPES:
+            self.scopes.append(k)
+            if name not in LOOSE:
+                self.hard.append(k)
+
+    def leave(self, k: int) -> None:
+        """The element at ``k`` ends, and all in it."""
+        if self.blocks and self.blocks[-1] >= k:
+            self.flush()
         spaced = False
-        while muted and muted[-1][0] >= k:
-            spaced |= tags[muted.pop()[0]] in ("select", "button")
-        del tags[k:], keys[k:]
+        while self.muted and self.muted[-1][0] >= k:
+            spaced |= self.tags[self.muted.pop()[0]] in ALONE
+        while self.judged and self.judged[-1][0] >= k:
+            self.judged.pop()
+        for name in self.tags[k:]:
+            self.places[name].pop()
+        for places in (self.blocks, self.scopes, self.hard):
+            while places and places[-1] >= k:
+                places.pop()
+        del self.tags[k:], self.paths[k + 1 :]
         if spaced:
-            add(" ")
-
-    def unmute(k: int) -> None:
-        """The muted element at k ends by its own end tag: nothing of it stays."""
-        nonlocal linked
-        before = next((state for at, state in muted if at == k), None)
-        spaced = tags[k] in ("select", "button")
-        leave(k)
+            self.add(" ")
+
+    def unmute(self, k: int) -> None:
+        """The muted element at ``k`` ends by its own end tag: nothing of it stays."""
+        before = next(state for at, state in reversed(self.muted) if at == k)
+        spaced = self.tags[k] in ALONE
+        self.leave(k)
         if before:
-            del out[before[0] :]
-            parts[:], linked = before[1], before[2]
+            n = before[0]
+            del self.out[n:]
+            self.parts[:], self.linked = before[1], before[2]
+            while self.marks and self.marks[-1][0] >= n:
+                self.marks.pop()
+            if self.marks and self.marks[-1][1] > n:
+                self.marks[-1] = (self.marks[-1][0], n, self.marks[-1][2])
             if spaced:
-                add(" ")
-
-    def begin() -> None:
+                self.add(" ")
+
+    def judge(self, k: int) -> None:
+        """The judged element at ``k`` ends by its own end tag: its blocks are known by it."""
+        name, start = self.tags[k], next(first for at, first in reversed(self.judged) if at == k)
+        if start is not None:
+            self.flush()
+        self.leave(k)
+        if start is not None:
+            while self.marks and self.marks[-1][0] >= start:
+                self.marks.pop()
+            self.marks.append((start, len(self.out), name))
+
+    def begin(self) -> None:
         """A block element begins: muted elements that are open may never end, so from here on their text is kept for now."""
-        for i in range(len(muted) - 1, -1, -1):
-            if muted[i][1] is not None:
-                break
-            muted[i] = (muted[i][0], (len(out), list(parts), linked))
-
-    def silent() -> bool:
-        return bool(muted) and muted[-1][1] is None
-
-    def add(text: str) -> None:
-        nonlocal linked
-        if silent():
-            return
-        parts.append(text)
-        if links:
-            linked += len(text)
-
-    page = page or ""
-    at = 0
-    while m := TAG.search(page, at):
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
-        if not name:
-            continue
-        if m[1] or m[4]:
-            for k in range(len(tags) - 1, -1, -1):
-                if tags[k] == name:
-                    unmute(k) if name in MUTED else leave(k)
-                    break
-                if tags[k] in SCOPES and name not in BLOCKS and not (name in MUTED and tags[k] in ("div", "ul", "ol", "dl")):
+        if self.silent():
+            self.parts[:] = ["".join(self.parts)]  # one piece, so that keeping it is cheap
+            state = (len(self.out), list(self.parts), self.linked)
+            for i in range(len(self.muted) - 1, -1, -1):
+                if self.muted[i][1] is not None:
                     break
-            if name in BLOCKS and not silent():
-                flush()
-            continue
-        attributes = m[3] or m[6] or ""
-        if name in SILENT and not attributes.endswith("/"):
-            if name not in RAW:
-                if name in ALONE and (k := next((k for k, _ in reversed(muted) if tags[k] == name), None)) is not None:
-                    leave(k)
-                muted.append((len(tags), None))
-                tags.append(name)
-                keys.append(name)
-                continue
-            if name == "head" and "<body" not in page[at:].lower():
-                continue
-            end = re.compile(rf"</{name}\s*>" if name != "head" else r"</head\s*>|(?=<body)", re.I).search(page, at)
-            at = end.end() if end else len(page)
-            if name == "textarea":
-                add(" ")
-            continue
-        if name in MUTED:
-            continue  # closed at once
+                self.muted[i] = (self.muted[i][0], state)
+
+    def close(self, name: str) -> None:
+        if at := self.places.get(name):
+            barrier = () if name in BLOCKS else self.hard if name in MUTED or name in JUDGED else self.scopes
+            if not barrier or barrier[-1] <= at[-1]:
+                (self.unmute if name in MUTED else self.judge if name in JUDGED else self.leave)(at[-1])
+        if name in BLOCKS and not self.silent():
+            self.flush()
+
+    def close_before(self, name: str) -> None:
+        """Elements that a block element of this name ends, up to the nearest scope: paragraphs, and its like in lists and tables."""
+        closes = ("p", *CLOSED_BY.get(name, ()))
+        while True:
+            stop = max(self.scopes[-1] if self.scopes else -1, self.muted[-1][0] if self.muted else -1)
+            k = max((at[-1] for c in closes if (at := self.places.get(c))), default=-1)
+            if k < 0 or (k < stop) or (k == stop and self.tags[k] not in closes):
+                return
+            self.leave(k)
+            if name not in CLOSED_BY:
+                return
+
+    def open(self, name: str, attributes: str) -> None:
+        if name in MUTED or name in JUDGED:
+            if attributes.endswith("/"):
+                return  # closed at once
+            if name in MUTED:
+                if name in ALONE and (at := self.places.get(name)):
+                    self.leave(at[-1])
+                self.muted.append((len(self.tags), None))
+            else:
+                self.judged.append([len(self.tags), None])
+            return self.push(name, self.paths[-1])
         if name == "br":
-            add(" ")
+            self.add(" ")
         if name in VOID:
-            if name == "hr" and not silent():
-                flush()
-            continue
+            if name == "hr" and not self.silent():
+                self.flush()
+            return None
+        path = self.paths[-1]
         if name in BLOCKS:
-            if muted and tags[muted[-1][0]] in FOREIGN and INTEGRATION.isdisjoint(tags[muted[-1][0] :]):
-                leave(muted[-1][0])
-            begin()
-            flush()
-            closes = CLOSED_BY.get(name, set())
-            for k in range(len(tags) - 1, -1, -1):
-                if tags[k] == "p" or tags[k] in closes:
-                    leave(k)
-                    if tags[k:] == [] and name not in CLOSED_BY:
-                        break
-                elif tags[k] in SCOPES or tags[k] in MUTED:
-                    break
-        tags.append(name)
-        keys.append(element_key(name, attributes))
-        links += name == "a"
-    if at < len(page):
-        add(page[at:])
-    flush()
-    return out
+            self.begin()
+            self.flush()
+            self.close_before(name)
+            path = self.paths[-1].child(element_key(name, attributes))
+        return self.push(name, path)
+
+    def read(self) -> list[Block]:
+        page, at = self.scan.page, 0
+        while found := self.scan.next(at):
+            start, end, closing, name, attributes = found
+            if start > at:
+                self.add(page[at:start])
+            at = end
+            if not name:
+                continue
+            if closing:
+                self.close(name)
+            elif name in RAW and not attributes.endswith("/"):
+                if name != "head" or self.scan.body_after(at):
+                    at = self.scan.raw_end(name, at)
+                    if name == "textarea":
+                        self.add(" ")
+            else:
+                self.open(name, attributes)
+        if at < len(page):
+            self.add(page[at:])
+        self.flush()
+        for start, end, name in self.marks:
+            for b in self.out[start:end]:
+                b.path = b.path.child(name)
+        return self.out
+
+
+def blocks_of(page: str | None) -> list[Block]:
+    return Reader(page or "").read()
 
 
 def slot(word: str, of: int) -> tuple[int, float]:
@@ -207,36 +358,56 @@ def slot(word: str, of: int) -> tuple[int, float]:
 
 
 @functools.lru_cache(maxsize=20_000)
-def path_vector(path: tuple[str, ...]) -> np.ndarray:
+def key_vector(key: str) -> np.ndarray:
     v = np.zeros(PATH, np.float32)
-    weight = 1.0
-    for key in reversed(path):
-        for i, word in enumerate(key.split()):
-            k, sign = slot(("<" if i == 0 else ".") + word, PATH)
-            v[k] += sign * weight
-        weight *= NEARER
+    for i, word in enumerate(key.split()):
+        k, sign = slot(("<" if i == 0 else ".") + word, PATH)
+        v[k] += sign
+    return v
+
+
+def path_vector(path: Node) -> np.ndarray:
+    """The keys of a path, nearer ones weighing more: that of the path before, weakened, and the last key's."""
+    chain = []
+    while path.vector is None and path.parent is not None:
+        chain.append(path)
+        path = path.parent
+    v = np.zeros(PATH, np.float32) if path.vector is None else path.vector
+    for node in reversed(chain):
+        v = node.vector = NEARER * v + key_vector(node.key)
     return v
 
 
-@functools.lru_cache(maxsize=100_000)
-def word_slot(word: str) -> tuple[int, float]:
-    return slot(word, WORDS)
+class WordSlots(dict):
+    """Word -> its bucket, those of negative sign behind the others."""
 
+    def __missing__(self, word: str) -> int:
+        k, sign = slot(word, WORDS)
+        value = k if sign > 0 else WORDS + k
+        if len(word) <= 64:
+            if len(self) > 150_000:
+                self.clear()
+            self[word] = value
+        return value
 
-def measures(blocks: list[Block]) -> np.ndarray:
-    """Words and measures of each block of a page."""
+
+SLOTS = WordSlots()
+
+
+def measures(blocks: list[Block], first: int = 0, of: int | None = None) -> np.ndarray:
+    """Words, all of them, and measures of each block; the first one is number ``first`` of the page's ``of``."""
+    of = of or len(blocks)
     x = np.zeros((len(blocks), WORDS + MEASURES), np.float32)
     for i, b in enumerate(blocks):
         words = b.text.lower().split(" ")
-        for w in words[:: max(1, len(words) // 24)]:  # words are a weak hint: some, evenly from the whole block
-            k, sign = word_slot(w)
-            x[i, k] += sign
-        x[i, :WORDS] *= 0.3 / max(1.0, float(np.abs(x[i, :WORDS]).max()))
+        found = np.bincount(np.fromiter(map(SLOTS.__getitem__, words), np.int64, len(words)), minlength=2 * WORDS)
+        v = (found[:WORDS] - found[WORDS:]).astype(np.float32)
+        x[i, :WORDS] = v * (WORD_WEIGHT / (FEW_WORDS + float(np.sqrt(v @ v))))
         n = len(b.text)
         ends = sum(map(b.text.count, ".!?"))
         x[i, WORDS:] = (
-            np.log1p(len(words)) / 4, min(1.0, b.linked / n), min(1.0, 10 * ends / len(words)), float("©" in b.text), i / len(blocks),
-            float(i == 0), float(i == len(blocks) - 1), float(bool(b.path) and b.path[-1].split()[0] in HEADINGS),
+            np.log1p(len(words)) / 4, min(1.0, b.linked / n), min(1.0, 10 * ends / len(words)), float("©" in b.text), (first + i) / of,
+            float(first + i == 0), float(first + i == of - 1), float(b.path.key.split(" ")[0] in HEADINGS),
         )
     return x
 
@@ -259,14 +430,18 @@ class Labeller:
             self.p[f"b{d}"] = np.r_[np.zeros(h), np.ones(h), np.zeros(2 * h)]
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
 
-    def sweep(self, d: str, z: np.ndarray, mask: np.ndarray, tape: list | None = None) -> np.ndarray:
-        """Hidden states of one direction; z: time x pages x gates, the inputs' share; mask: time x pages."""
+    def sweep(self, d: str, z: np.ndarray, mask: np.ndarray, tape: list | None = None, state: list | None = None) -> np.ndarray:
+        """Hidden states of one direction; z: time x pages x gates, the inputs' share; mask: time x pages.
+
+        ``state`` (hidden and cell) is where the sweep starts, and is left as it ends.
+        """
         steps, n, _ = z.shape
-        h = c = np.zeros((n, HIDDEN), np.float32)
+        h, c = state or [np.zeros((n, HIDDEN), np.float32)] * 2
         out = np.zeros((steps, n, HIDDEN), np.float32)
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
             g = z[t] + h @ self.p[f"h{d}"]
-            i, f, o = (sigmoid(g[:, k * HIDDEN : (k + 1) * HIDDEN]) for k in (0, 1, 2))
+            s = sigmoid(g[:, : 3 * HIDDEN])
+            i, f, o = (s[:, k * HIDDEN : (k + 1) * HIDDEN] for k in (0, 1, 2))
             u = np.tanh(g[:, 3 * HIDDEN :])
             m = mask[t][:, None]
             c1 = (f * c + i * u) * m
@@ -276,6 +451,8 @@ class Labeller:
                 tape.append((t, h, c, i, f, o, u, tc, m))
             h, c = h1, c1
             out[t] = h
+        if state is not None:
+            state[:] = h, c
         return out
 
     def back(self, d: str, dh_out: np.ndarray, tape: list) -> tuple[np.ndarray, np.ndarray]:
@@ -310,6 +487,8 @@ class Labeller:
                     m1[name] = 0.9 * m1[name] + 0.1 * g
                     m2[name] = 0.999 * m2[name] + 0.001 * g * g
                     speed = rate * (0.5 ** (epoch / 3)) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
+                    if name[0] == "x":
+                        self.p[name][PATH : PATH + WORDS] *= np.float32(1 - speed * WORD_DECAY)
                     self.p[name] -= (speed * m1[name] / (np.sqrt(m2[name]) + 1e-7)).astype(np.float32)
 
     def gradients(self, pages: list[tuple[np.ndarray, np.ndarray]]) -> dict[str, np.ndarray]:
@@ -329,40 +508,71 @@ class Labeller:
             grads |= {f"x{d}": np.tensordot(x, dz, ((0, 1), (0, 1))), f"h{d}": dw, f"b{d}": dz.sum((0, 1))}
         return grads
 
-    def paths(self, path: tuple[str, ...]) -> np.ndarray:
-        """A path's share of both directions' gates; pages of a site have few paths, so they are kept."""
-        kept = self.__dict__.setdefault("kept", {})
-        if path not in kept:
-            if len(kept) > 20_000:
-                kept.clear()
-            v = path_vector(path)
-            kept[path] = np.concatenate([v @ self.p[f"x{d}"][:PATH] + self.p[f"b{d}"] for d in "fb"])
-        return kept[path]
+    def path_gates(self, path: Node) -> np.ndarray:
+        """A path's share of both directions' gates; kept with the path, as pages of a site have few."""
+        chain = []
+        while path.parent is not None and (path.gates is None or path.gates[0] is not self):
+            chain.append(path)
+            path = path.parent
+        v = path.gates[1] if path.parent is not None and path.gates else np.zeros(8 * HIDDEN, np.float32)
+        for node in reversed(chain):
+            if node.key not in self.key_gates:
+                if len(self.key_gates) > MAX_NODES:
+                    self.key_gates.clear()
+                self.key_gates[node.key] = key_vector(node.key) @ self.both[:PATH]
+            v = NEARER * v + self.key_gates[node.key]
+            node.gates = (self, v)
+        return v
+
+    @functools.cached_property
+    def key_gates(self) -> dict[str, np.ndarray]:
+        return {}
+
+    @functools.cached_property
+    def both(self) -> np.ndarray:
+        """The inputs' weights of both directions."""
+        return np.concatenate([self.p[f"x{d}"] for d in "fb"], 1)
+
+    def gates(self, pages: list[list[Block]], start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The inputs' share of the gates, and the mask, for blocks ``start`` to ``end`` of each page."""
+        z = np.zeros((end - start, len(pages), 8 * HIDDEN), np.float32)
+        mask = np.zeros((end - start, len(pages)), np.float32)
+        bias = np.concatenate([self.p[f"b{d}"] for d in "fb"])
+        for k, page in enumerate(pages):
+            some = page[start:end]
+            if some:
+                z[: len(some), k] = measures(some, start, len(page)) @ self.both[PATH:] + bias
+                z[: len(some), k] += np.stack([self.path_gates(b.path) for b in some])
+                mask[: len(some), k] = 1
+        return z, mask
 
     def label(self, pages: list[list[Block]]) -> list[np.ndarray]:
-        """The probability of being main text of every block. Pages of like length are read side by side."""
+        """The probability of being main text of every block.
+
+        Pages of like length are read side by side, at most 128 and ``STEPS`` blocks with padding; a longer page by
+        itself, in stretches of ``STEPS`` that pass on their state.
+        """
         out: list[np.ndarray] = [np.zeros(0, np.float32)] * len(pages)
         order = sorted((k for k in range(len(pages)) if pages[k]), key=lambda k: len(pages[k]))
         start = 0
         while start < len(order):
-            end = start + 1  # at most 128 pages and 50,000 blocks with padding
-            while end < len(order) and end - start < 128 and (end - start + 1) * len(pages[order[end]]) <= 50_000:
+            end = start + 1
+            while end < len(order) and end - start < 128 and (end - start + 1) * len(pages[order[end]]) <= STEPS:
                 end += 1
-            some = order[start:end]
-            start = end
-            steps = len(pages[some[-1]])
-            z = np.zeros((steps, len(some), 8 * HIDDEN), np.float32)
-            mask = np.zeros((steps, len(some)), np.float32)
-            weights = np.concatenate([self.p[f"x{d}"][PATH:] for d in "fb"], 1)
-            for k, page in enumerate(some):
-                n = len(pages[page])
-                z[:n, k] = measures(pages[page]) @ weights
-                z[:n, k] += np.stack([self.paths(b.path) for b in pages[page]])
-                mask[:n, k] = 1
-            h = np.concatenate([self.sweep(d, z[:, :, k * 4 * HIDDEN : (k + 1) * 4 * HIDDEN], mask) for k, d in enumerate("fb")], 2)
+            some = [pages[k] for k in order[start:end]]
+            steps = len(some[-1])
+            h = np.zeros((steps, len(some), 2 * HIDDEN), np.float32)
+            stretches = [(t, min(t + STEPS, steps)) for t in range(0, steps, STEPS)]
+            held = self.gates(some, 0, steps) if len(stretches) == 1 else None
+            for k, d in enumerate("fb"):
+                state = [np.zeros((len(some), HIDDEN), np.float32)] * 2
+                for t, upto in stretches if d == "f" else reversed(stretches):
+                    z, mask = held or self.gates(some, t, upto)
+                    h[t:upto, :, k * HIDDEN : (k + 1) * HIDDEN] = self.sweep(d, z[:, :, k * 4 * HIDDEN : (k + 1) * 4 * HIDDEN], mask, None, state)
             p = sigmoid((h @ self.p["out"])[:, :, 0] + self.p["out_b"][0])
-            for k, page in enumerate(some):
-                out[page] = p[: len(pages[page]), k]
+            for i, k in enumerate(order[start:end]):
+                out[k] = p[: len(pages[k]), i]
+            start = end
         return out
 
 
@@ -382,14 +592,18 @@ OTHER_NAMES = {
 }
 CUES = {
     "nav": "home about contact products services blog news archive next previous menu more".split(),
-    "footer": "© copyright all rights reserved privacy policy terms imprint contact".split(),
-    "notice": "we use cookies accept our policy subscribe newsletter sign up this site agree".split(),
+    "footer": "© copyright rights reserved privacy policy terms imprint contact".split(),
+    "notice": "use cookies accept policy subscribe newsletter sign site agree".split(),
     "ad": "buy now sale offer sponsored best price shop free click".split(),
     "comments": "reply says ago comment posted thanks great agree".split(),
-    "share": "share tweet by author posted tags follow like".split(),
+    "share": "share tweet author posted tags follow like".split(),
+    "fallback": "browser support please enable javascript view video audio content".split(),
 }
 
 
+ALL_CUES = sorted({w for words in CUES.values() for w in words if w.isalpha()})
+
+
 class Pages:
     """Random pages with the truth about each text."""
 
@@ -408,6 +622,8 @@ class Pages:
         out = self.r.choices(self.vocabulary, k=self.r.randint(low, high))
         if cues:
             out = [self.pick(cues) if self.chance(0.4) else w for w in out]
+        elif self.chance(0.5):  # cue words are words of any text, too
+            out = [self.pick(ALL_CUES) if self.chance(0.1) else w for w in out]
         text = " ".join(out)
         if self.chance(0.08):
             text = "*** ".join(out)
@@ -453,6 +669,12 @@ class Pages:
             return self.element(self.pick(["div", "div", "section"]) if tag == "div" or self.chance(0.5) else tag, inner, names)
         return self.element(tag, inner)
 
+    def fallback(self) -> str:
+        """What is shown in place of a script or of media."""
+        tag = self.pick(["noscript", "noscript", "video", "audio", "object", "canvas"])
+        inner = self.words(3, 14, CUES["fallback"])
+        return self.element(tag, self.element("p", inner) if self.chance(0.3) else inner)
+
     def body(self) -> str:
         """The blocks of main text, with markers around what is to be found."""
         out = []
@@ -469,6 +691,10 @@ class Pages:
                 parts.append("<table><tr>" + "".join(f"<td>\x01{self.words(1, 4)}</td>" for _ in range(3)) + "</tr></table>")
             elif kind == "p" and self.chance(0.15):
                 parts.append(f"<p><b>\x01{text}<br>")  # unclosed
+            elif kind == "p" and self.chance(0.05):
+                parts.append(f"<p>\x01{text} {self.fallback()} \x01{self.words(2, 20)}</p>" if self.chance(0.5) else f"<p>\x01{text} <math><mi>{self.words(1, 1)}</mi><mo>=</mo><mn>2</mn></math></p>")
+            elif kind == "figcaption" and self.chance(0.3):
+                parts.append(f"<figure><svg viewBox='0 0 1 1'><text x=1>\x01{self.words(1, 4)}</text></svg><figcaption>\x01{text}</figcaption></figure>")
             else:
                 if self.chance(0.2) and " " in text:
                     head, _, tail = text.partition(" ")
@@ -476,6 +702,8 @@ class Pages:
                 parts.append(f"<{kind}>\x01{text}</{kind}>")
             if self.chance(0.15):
                 parts.append(self.other(self.pick(["ad", "aside", "aside", "share", "notice", "form"])))
+            if self.chance(0.04):
+                parts.append(self.fallback())
         return "".join(parts)
 
     def page(self) -> str:
@@ -496,6 +724,8 @@ class Pages:
             main = f"<article>{self.element('div', body, MAIN_NAMES)}</article>"
         if self.chance(0.2):
             before.append(self.other(self.pick(kinds)))
+        if self.chance(0.1):
+            before.append(self.fallback())
         self.r.shuffle(before)
         inside = "".join([*before, main, *after])
         if self.chance(0.3):
@@ -522,14 +752,20 @@ def generated(n: int, seed: int) -> list[tuple[list[Block], np.ndarray]]:
 
 
 @functools.lru_cache(maxsize=2)
-def trained(pages: int = 6000, epochs: int = 8, seed: int = 5) -> Labeller:
+def trained(pages: int = 6000, epochs: int = 10, seed: int = 5) -> Labeller:
     """The labeller, fitted in this process; the same at every call."""
-    net = Labeller(seed)
-    net.train([(inputs_of(b), y) for b, y in generated(pages, seed)], epochs=epochs, seed=seed)
+    net, chance = Labeller(seed), random.Random(seed)
+    examples = []
+    for blocks, y in generated(pages, seed):
+        x = inputs_of(blocks)
+        if chance.random() < UNREAD:  # so that the layout is learned, too, and words of other languages don't mislead
+            x[:, PATH : PATH + WORDS] = 0
+        examples.append((x, y))
+    net.train(examples, epochs=epochs, seed=seed)
     return net
 
 
-def trained_in_task(spark: SparkSession, pages: int = 6000, epochs: int = 8, seed: int = 5) -> Labeller:
+def trained_in_task(spark: SparkSession, pages: int = 6000, epochs: int = 10, seed: int = 5) -> Labeller:
     """The same, fitted in one task: Spark gives it one thread, with which small matrices are multiplied fastest."""
     ship(spark)
 

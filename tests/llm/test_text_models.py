@@ -8,6 +8,8 @@ import math
 import random
 import re
 import string
+import time
+import tracemalloc
 import zlib
 from contextlib import contextmanager
 
@@ -392,22 +394,83 @@ def test_broken_pages(spark, net):
     assert html_blocks.main_texts(df.limit(0), net).count() == 0
 
 
-@pytest.mark.parametrize("name", ["button", "select", "video", "audio", "svg", "math", "object", "canvas", "datalist"])
+def texts_of(page):
+    return [b.text for b in html_blocks.blocks_of(page)]
+
+
+@pytest.mark.parametrize("name", ["button", "select", "datalist", "template"])
 def test_unclosed_silent_elements_lose_no_article(name):
-    texts = lambda page: [b.text for b in html_blocks.blocks_of(page)]
     later = f"<form><{name}>ok</{name}></form>"
     for end in ("", later):
-        assert texts(f"<body><{name}>Menu<article><p>One.</p><p>Two.</p></article>{end}</body>") == ["One.", "Two."]
-        assert texts(f"<div><{name}>Menu</div><article><p>One.</p><p>Two.</p></article>{end}") == ["One.", "Two."]
-        assert texts(f"<article><p>One. <{name}>Share</p><p>Two.</p></article>{end}<p>Three.") == ["One.", "Two.", "Three."]
-        assert texts(f"<article><p>One. <{name}>Share<p>Two.<p>Three.</article>{end}") == ["One.", "Two.", "Three."]
-    inside = "<p>no</p>no" if name not in ("svg", "math") else "<a>no</a><path/>no"
-    closed = f"<p>One <a href=/>link</a> <{name}>{inside}</{name}> more.</p><p>Two.</p>"
-    assert texts(closed) == ["One link more.", "Two."] and html_blocks.blocks_of(closed)[0].linked == 4
+        assert texts_of(f"<body><{name}>Menu<article><p>One.</p><p>Two.</p></article>{end}</body>") == ["One.", "Two."]
+        assert texts_of(f"<div><{name}>Menu</div><article><p>One.</p><p>Two.</p></article>{end}") == ["One.", "Two."]
+        assert texts_of(f"<article><p>One. <{name}>Share</p><p>Two.</p></article>{end}<p>Three.") == ["One.", "Two.", "Three."]
+        assert texts_of(f"<article><p>One. <{name}>Share<p>Two.<p>Three.</article>{end}") == ["One.", "Two.", "Three."]
+    closed = f"<p>One <a href=/>link</a> <{name}><p>no</p>no</{name}> more.</p><p>Two.</p>"
+    assert texts_of(closed) == ["One link more.", "Two."] and html_blocks.blocks_of(closed)[0].linked == 4
+
+
+def path_of(block):
+    out, node = [], block.path
+    while node.parent:
+        out, node = [node.key, *out], node.parent
+    return out
+
+
+@pytest.mark.parametrize("name", ["noscript", "video", "audio", "svg", "object", "canvas"])
+def test_judged_elements_are_blocks_of_their_own(name):
+    found = html_blocks.blocks_of(f"<article><p>One <{name}>in <i>side</i></{name}> more.</p><p>T<{name}></{name}>wo.<div><{name}><h2>Head</h2></{name}></article>")
+    assert [(b.text, path_of(b)) for b in found] == [("One", ["article", "p"]), ("in side", ["article", "p", name]), ("more.", ["article", "p"]), ("Two.", ["article", "p"]), ("Head", ["article", "div", "h2", name])]
+    for page in (f"<body><{name}>Menu<article><p>One.</p><p>Two.</p></article></body>", f"<article><{name}>Menu<p>One.<p>Two."):  # never closed
+        assert [path_of(b)[-2:] for b in html_blocks.blocks_of(page)[-2:]] == [["article", "p"]] * 2
+
+
+def test_formulas_are_text(net):
+    page = "<html><body><nav><a>Home</a></nav><article><h1>On mass</h1><p>The mass is <math><mi>m</mi></math> kg, as every scale in this house has told us.</p><noscript>Please enable javascript to view this.</noscript><p>More text of the article follows here.</p></article><footer>© 2024</footer></body></html>"
+    assert html_blocks.extract(net, [page]) == ["On mass The mass is m kg, as every scale in this house has told us. More text of the article follows here."]
+
+
+def test_all_words_of_a_block_are_read():
+    words = [f"w{i}" for i in range(2000)]
+    one, other = (html_blocks.Block(html_blocks.Paths.start(), " ".join(w), 0) for w in (words, [*words[:1001], "else", *words[1002:]]))
+    x = html_blocks.measures([one, other])
+    assert (x[0] != x[1]).any()
+    v = np.zeros(html_blocks.WORDS)
+    for w in words:
+        k, sign = html_blocks.slot(w, html_blocks.WORDS)
+        v[k] += sign
+    assert x[0, : html_blocks.WORDS] == pytest.approx(v * html_blocks.WORD_WEIGHT / (html_blocks.FEW_WORDS + np.linalg.norm(v)), abs=1e-6)
+
+
+HOSTILE = {
+    "unclosed tags": "<a " * 350_000, "unclosed quotes": '<a "' * 250_000, "odd quotes": '<a "\'' * 200_000 + ">", "declarations": "<!" * 500_000, "comments": "<!--" * 250_000,
+    "depth": "<div>" * 200_000, "closing nothing": "<div>" * 50_000 + "</x>" * 150_000, "behind scopes": "<b><div>" + "<span>" * 80_000 + "</b>" * 80_000, "headings": "<h1>x" * 170_000,
+    "drawings": "<svg>" * 100_000 + "<video></video>" * 40_000, "selects": "<select>" * 60_000 + "<p>x" * 60_000, "heads": "<head>" * 100_000 + "<body>x", "videos": "<video>x" * 60_000 + "</video>" * 60_000,
+    "buttons": "x<b>" * 60_000 + "<button><p>y</button>" * 20_000, "a word": "x" * 1_000_000,
+}
+
+
+@pytest.mark.parametrize("kind", HOSTILE)
+def test_hostile_pages_are_read_in_seconds(kind):
+    began = time.process_time()
+    html_blocks.blocks_of(HOSTILE[kind])
+    assert time.process_time() - began < 20
+
+
+def test_deep_pages_are_labelled_within_bounds(monkeypatch):
+    page, net = "<div>x" * 40_000, html_blocks.Labeller()
+    tracemalloc.start()
+    blocks = html_blocks.blocks_of(page)
+    whole = net.label([blocks])[0]
+    assert tracemalloc.get_traced_memory()[1] < 400 << 20
+    tracemalloc.stop()
+    monkeypatch.setattr(html_blocks, "STEPS", 7_000)  # in stretches
+    assert len(whole) == 40_000 and np.allclose(net.label([blocks, html_blocks.blocks_of("<p>x<p>y")])[0], whole, atol=1e-5)
+    assert np.allclose(html_blocks.path_vector(blocks[60].path), sum(html_blocks.NEARER**i for i in range(61)) * html_blocks.key_vector("div"), atol=1e-3)
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.sampled_from([f"<{c}{t}>" for t in "button select svg template script title p div li a head".split() for c in ("", "/")] + ["<script/>", "<svg/>", "<hr>", "x "]), max_size=25))
+@given(st.lists(st.sampled_from([f"<{c}{t}>" for t in "button select svg video template script title p div li a head".split() for c in ("", "/")] + ["<script/>", "<svg/>", "<hr>", "x "]), max_size=25))
 def test_any_order_of_tags_is_read(tags):
     html_blocks.blocks_of("".join(tags))
 
