@@ -7,8 +7,9 @@ rarest. A second pass joins documents to windows on those prefix shingles, keeps
 the shingle's place in it allow, and compares all of the window's words.
 
 Words of the items are numbered, so a comparison of numbers is one of words: nothing rests on hashes alone. The
-index of the items is sent to all executors; items come in blocks of at most ``block_words`` words, a pass for each,
-so what is sent has a bound however large the benchmark is. Documents never shuffle.
+index of the items is sent to all executors; items come in blocks of at most ``block_words`` words, two passes for each,
+so what is sent and what the driver holds have a bound however large the benchmark is. With more than one block, each
+writes the hits it finds before the next one is made, under the documents' lasting numbers. Texts never shuffle.
 
 Defined cases: null and wordless texts have n_words 0 and no hits; wordless items match nothing; an item without id
 marks words but is not listed; items that share an id count once; repeated rows come out once each; empty tables give
@@ -18,6 +19,7 @@ empty results, or no hits; further columns are kept by ``decontaminate`` whateve
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contextloom.llm.common import byte_lists, ship, words_of
+from contextloom.llm.common import Rows, byte_lists, cut, free_name, release, ship, words_of
 
 SHINGLE = 5
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -156,47 +158,108 @@ def ready_blocks(docs: DataFrame, items: DataFrame, text: str, item_text: str, i
         yield block
 
 
+def one_or_more(blocks: Iterator[ItemBlock], window: int) -> tuple[ItemBlock | None, Iterator[ItemBlock]]:
+    """The only block, or all of them one after the other."""
+    first = next(blocks, None) or index_items([], window)
+    second = next(blocks, None)
+    return (first, blocks) if second is None else (None, itertools.chain(iter([first]), iter([second]), blocks))
+
+
+def hit_rows(rows: Rows, text: str, block: ItemBlock) -> DataFrame:
+    """(row, starts, ends, items) of the documents in which windows of the block occur."""
+    row = free_name(rows.docs, "hit_row")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, starts, ends, found = [], [], [], []
+            for k, t in zip(batch.column(0).to_pylist(), byte_lists(batch.column(1)), strict=True):
+                spans, items = block.occurring(block.numbers(t)[1])
+                if spans:
+                    at.append(k)
+                    starts.append([s for s, _ in spans])
+                    ends.append([e for _, e in spans])
+                    found.append(sorted(items))
+            lists = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(starts, lists), pa.array(ends, lists), pa.array(found, pa.list_(pa.string()))], names=["row", "starts", "ends", "items"])
+
+    return rows.numbered(row).select(row, F.col(text).cast("string")).mapInArrow(scan, "row long, starts array<int>, ends array<int>, items array<string>")
+
+
+def all_hits(rows: Rows, text: str, blocks: Iterator[ItemBlock]) -> DataFrame:
+    """The hits of all blocks, each written before the next block is made; a row for each block and document."""
+    out = None
+    for block in blocks:
+        written = cut(hit_rows(rows, text, block))
+        out = written if out is None else out.unionByName(written)
+    return out
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str = "text", item_id: str = "item_id",
                   window: int = 10, block_words: int = 1_000_000) -> DataFrame:
     """The rows of ``docs`` in which no window of any item occurs, with all their columns."""
-    kept, at = docs, docs.columns.index(text)
-    for block in ready_blocks(docs, items, text, item_text, item_id, window, block_words):
-
-        def clean(batches: Iterator[pa.RecordBatch], block: ItemBlock = block) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                hit = [bool(block.occurring(block.numbers(t)[1])[0]) for t in byte_lists(batch.column(at))]
-                yield batch.filter(pa.array([not x for x in hit], pa.bool_()))
+    block, blocks = one_or_more(ready_blocks(docs, items, text, item_text, item_id, window, block_words), window)
+    if block is None:
+        rows = Rows(docs)
+        hit = cut(all_hits(rows, text, blocks).select("row").distinct())
+        out = rows.pick(hit, keep=False)
+        release(hit)
+        return out
+    at = docs.columns.index(text)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = [bool(block.occurring(block.numbers(t)[1])[0]) for t in byte_lists(batch.column(at))]
+            yield batch.filter(pa.array([not x for x in hit], pa.bool_()))
 
-        kept = kept.mapInArrow(clean, docs.schema)
-    return kept
+    return docs.mapInArrow(clean, docs.schema)
 
 
 def contamination(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", item_text: str = "text",
                   item_id: str = "item_id", window: int = 10, block_words: int = 1_000_000) -> DataFrame:
-    """Per document: doc_id, text, n_words, and, for each window found, its place in ``spans``, and ``items``."""
-    schema = "doc_id long, text string, n_words long, starts array<int>, ends array<int>, items array<string>"
+    """Per document: doc_id, n_words, the places (``starts``, ``ends``) of each window found, and ``items``."""
+    block, blocks = one_or_more(ready_blocks(docs, items, text, item_text, item_id, window, block_words), window)
+    if block is None:
+        return merged_hits(docs, text, doc_id, blocks)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_words, starts, ends, found = [], [], [], []
+            for t in byte_lists(batch.column(1)):
+                n, ids = block.numbers(t)
+                spans, items = block.occurring(ids)
+                n_words.append(n)
+                starts.append([s for s, _ in spans])
+                ends.append([e for _, e in spans])
+                found.append(sorted(items))
+            lists = pa.list_(pa.int32())
+            new = [pa.array(n_words, pa.int64()), pa.array(starts, lists), pa.array(ends, lists), pa.array(found, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *new], names=["doc_id", "n_words", "starts", "ends", "items"])
+
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string"))
+    return rows.mapInArrow(scan, "doc_id long, n_words long, starts array<int>, ends array<int>, items array<string>")
+
+
+def merged_hits(docs: DataFrame, text: str, doc_id: str, blocks: Iterator[ItemBlock]) -> DataFrame:
+    """``contamination`` for more than one block: what the blocks found, by document."""
+    rows = Rows(docs)
+    row = free_name(docs, "hit_row")
+    found = all_hits(rows, text, blocks)
+    whole = lambda c: F.flatten(F.collect_list(c)).alias(c)
+    # A document has a row for each block that hits it; lists of one document are as long as its hits.
+    spans = found.select("row", F.arrays_zip("starts", "ends").alias("spans"), "items").groupBy("row").agg(whole("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [len(words_of(t)) for t in byte_lists(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], names=["row", "doc_id", "n_words"])
+
+    counted = rows.numbered(row).select(F.col(row), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string")).mapInArrow(count, "row long, doc_id long, n_words long")
+    out = counted.join(spans, "row", "left")
     none = lambda kind: F.expr(f"cast(array() as array<{kind}>)")
-    out = docs.select(
-        F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"),
-        none("int").alias("starts"), none("int").alias("ends"), none("string").alias("items"),
+    return out.select(
+        "doc_id", "n_words", F.coalesce(F.col("spans.starts"), none("int")).alias("starts"), F.coalesce(F.col("spans.ends"), none("int")).alias("ends"),
+        F.coalesce("items", none("string")).alias("items"),
     )
-    for block in [*ready_blocks(docs, items, text, item_text, item_id, window, block_words)] or [index_items([], window)]:
-
-        def scan(batches: Iterator[pa.RecordBatch], block: ItemBlock = block) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                n_words, starts, ends, found = [], batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist()
-                for i, t in enumerate(byte_lists(batch.column(1))):
-                    n, ids = block.numbers(t)
-                    n_words.append(n)
-                    spans, items = block.occurring(ids)
-                    starts[i] += [s for s, _ in spans]
-                    ends[i] += [e for _, e in spans]
-                    found[i] = sorted({*found[i], *items})
-                new = [pa.array(n_words, pa.int64()), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *new], names=["doc_id", "text", "n_words", "starts", "ends", "items"])
-
-        out = out.mapInArrow(scan, schema)
-    return out
 
 
 def contamination_report(docs: DataFrame, items: DataFrame, **options: object) -> DataFrame:

@@ -2,9 +2,10 @@
 
 Pass one sets, for every row, two bits of a blocked Bloom filter and keeps the bits that were set at least twice.
 Pass two tests every row against those: a row of which either bit was set once has no equal and passes straight
-through; only the others, real repeats and a few false positives, shuffle. The filter is broadcast: its size is
-``bits_per_row`` bits a row and at most ``max_filter_bits`` bits. Beyond that bound more unique rows take the shuffle;
-results are the same at any size.
+through; only the others, real repeats and a few false positives, shuffle. The filter has ``bits_per_row`` bits a row at
+any size. Up to ``max_filter_bits`` bits it goes to the rows by broadcast; a larger one stays in its blocks, and rows
+go there as a hash and a number of eight bytes each, then are told apart by their numbers (``common.Rows``): texts of
+unique rows don't shuffle there either.
 
 Defined cases: a null text counts as empty; texts of white space only equal one another (one space) but not the empty
 text; of rows with equal text the smallest doc_id stays, a null doc_id comes after all others; among repeated rows
@@ -18,7 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from contextloom.llm.common import WHITE, cut, free_name, text_of
+from contextloom.llm.common import WHITE, Rows, bit_is_set, cut, free_name, text_of
+from contextloom.llm.components import join_groups
 
 BLOCK_BITS = 32768  # of bitmap_construct_agg
 LAST_ID = (1 << 63) - 1
@@ -31,10 +33,13 @@ def normalised(text: Column | str) -> Column:
 
 
 def repeated_bits(hashes: DataFrame, h: str, blocks: int) -> DataFrame:
-    """(block, bitmap) of the filter bits that at least two rows of ``hashes`` set; ``h`` is a 64-bit hash."""
+    """(block, bitmap, size) of the filter bits that at least two rows of ``hashes`` set; ``h`` is a 64-bit hash.
+
+    ``size`` counts how often these bits were set, so a block that many equal rows meet in has a large one.
+    """
     bits = hashes.select(_block(h, blocks).alias("block"), F.explode(F.array(*_bits(h))).alias("bit"))
     counted = bits.groupBy("block", "bit").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return counted.repartition("block").groupBy("block").agg(F.expr("bitmap_construct_agg(bit)").alias("bitmap"))
+    return counted.repartition("block").groupBy("block").agg(F.expr("bitmap_construct_agg(bit)").alias("bitmap"), F.sum("n").alias("size"))
 
 
 def _block(h: str, blocks: int) -> Column:
@@ -49,22 +54,44 @@ def _bits(h: str) -> list[Column]:
     ]
 
 
-def _is_set(bitmap: str, bit: Column) -> Column:
-    byte = F.conv(F.hex(F.substr(F.col(bitmap), (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return (byte / F.pow(F.lit(2.0), bit % 8)).cast("int") % 2 == 1
+def filter_blocks(n_rows: int, bits_per_row: int) -> int:
+    return max(1, -(-max(n_rows, 1) * bits_per_row // BLOCK_BITS))
 
 
-def maybe_repeated(rows: DataFrame, h: str, flag: str, n_rows: int, bits_per_row: int, max_filter_bits: int) -> DataFrame:
-    """``rows`` with a boolean column ``flag``: false only for rows whose hash occurs once."""
-    wanted = min(max(n_rows, 1) * bits_per_row, max_filter_bits)
-    blocks = max(1, -(-wanted // BLOCK_BITS))
+def maybe_repeated(rows: DataFrame, h: str, flag: str, blocks: int) -> DataFrame:
+    """``rows`` with a boolean column ``flag``: false only for rows whose hash occurs once. The filter is broadcast."""
     block, bitmap = free_name(rows, "bloom_block"), free_name(rows, "bloom_bitmap")
-    twice = repeated_bits(rows.select(h), h, blocks).toDF(block, bitmap)
+    twice = repeated_bits(rows.select(h), h, blocks).select(F.col("block").alias(block), F.col("bitmap").alias(bitmap))
     joined = rows.withColumn(block, _block(h, blocks)).join(F.broadcast(twice), block, "left")
-    hit = F.col(bitmap).isNotNull() & _is_set(bitmap, _bits(h)[0]) & _is_set(bitmap, _bits(h)[1])
+    hit = F.col(bitmap).isNotNull() & bit_is_set(F.col(bitmap), _bits(h)[0]) & bit_is_set(F.col(bitmap), _bits(h)[1])
     return joined.withColumn(flag, hit).drop(block, bitmap)
 
 
+def routed_repeated(hashes: DataFrame, blocks: int, n_rows: int) -> DataFrame:
+    """The numbers of (number, h) whose hash may be repeated. Rows go to the filter's blocks, which nobody broadcasts.
+
+    Of the blocks only those few that hold more than one row in ``MAX_HOT`` go to their rows instead.
+    """
+    twice = cut(repeated_bits(hashes, "h", blocks))
+    met = join_groups(hashes.withColumn("block", _block("h", blocks)), twice, "block", "size", n_rows)
+    return met.where(bit_is_set(F.col("bitmap"), _bits("h")[0]) & bit_is_set(F.col("bitmap"), _bits("h")[1])).select("number")
+
+
+def split_repeated(docs: DataFrame, h: Column, bits_per_row: int, max_filter_bits: int) -> tuple[DataFrame, DataFrame]:
+    """The rows whose hash ``h`` occurs once, and those whose hash may be repeated."""
+    n_rows = docs.count()
+    blocks = filter_blocks(n_rows, bits_per_row)
+    if blocks * BLOCK_BITS <= max(max_filter_bits, 0):
+        name, flag = free_name(docs, "dedup_hash"), free_name(docs, "dedup_maybe")
+        rows = maybe_repeated(docs.withColumn(name, h), name, flag, blocks)
+        return rows.where(~F.col(flag)).select(docs.columns), rows.where(F.col(flag)).select(docs.columns)
+    rows = Rows(docs)
+    number = free_name(docs, "dedup_number")
+    hashes = cut(rows.numbered(number).select(F.col(number).alias("number"), h.alias("h")))
+    again = cut(routed_repeated(hashes, blocks, n_rows))
+    return rows.pick(again, keep=False), rows.pick(again, keep=True)
+
+
 def exact_dedup(
     docs: DataFrame,
     text: str = "text",
@@ -77,15 +104,12 @@ def exact_dedup(
     Rows that the filter clears are never shuffled. The others are reduced to one a text by ``min_by``, which combines
     on the map side, so that a text that a third of all rows share leaves each task as one row.
     """
-    h, flag, key = (free_name(docs, n) for n in ("dedup_hash", "dedup_maybe", "dedup_sha"))
-    rows = docs.withColumn(h, F.xxhash64(normalised(text)))
-    rows = maybe_repeated(rows, h, flag, docs.count(), bits_per_row, max_filter_bits)
-    once = rows.where(~F.col(flag)).select(docs.columns)
+    once, again = split_repeated(docs, F.xxhash64(normalised(text)), bits_per_row, max_filter_bits)
+    key = free_name(docs, "dedup_sha")
     hashable = [c.name for c in docs.schema.fields if not isinstance(c.dataType, (T.MapType, T.VariantType))]
     order = F.struct(F.coalesce(F.col(doc_id), F.lit(LAST_ID)), F.xxhash64(*hashable))
     firsts = (
-        rows.where(F.col(flag))
-        .withColumn(key, F.sha2(normalised(text), 256))
+        again.withColumn(key, F.sha2(normalised(text), 256))
         .groupBy(key)
         .agg(F.min_by(F.struct(*docs.columns), order).alias("dedup_row"))
         .select("dedup_row.*")
@@ -114,14 +138,12 @@ def exact_dedup_report(
             F.sha2(normalised(text), 256).alias("text_sha256"),
         )
     )
-    rows = digests.withColumn("h", F.xxhash64("text_sha256"))
     n_rows = digests.count()
-    rows = maybe_repeated(rows, "h", "maybe", n_rows, bits_per_row, max_filter_bits).drop("h")
-    once = rows.where("not maybe").select(
+    once, again = split_repeated(digests, F.xxhash64("text_sha256"), bits_per_row, max_filter_bits)
+    once = once.select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
         F.lit(True).alias("kept"), "text_sha256",
     )
-    again = rows.where("maybe")
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(LAST_ID)).alias("o"), "row", "doc_id"))
     groups = cut(again.groupBy("text_sha256").agg(first.alias("first"), F.count(F.lit(1)).alias("group_size")))
     hot_size = max(HOT_ROWS, n_rows // MAX_HOT)

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
 from conftest import EDGE
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from contextloom.llm import components, decontaminate, exact_dedup, license_scan, ngram_jaccard
-from contextloom.llm.common import spaced_words, words_of
+from contextloom.llm.common import cut, spaced_words, words_of
 
 
 def norm(t):
@@ -26,10 +28,10 @@ def test_words_are_those_of_the_patterns():
         assert [w.decode() for w in spaced_words((t or "").encode())] == re.findall(r"[^\x20\x09-\x0D]+", low)
 
 
-@pytest.mark.parametrize("bits", [16, 1])
-def test_exact_report(plain, bits):
+@pytest.mark.parametrize("bits, most", [(16, 1 << 15), (1, 1 << 15), (16, 0)])
+def test_exact_report(plain, bits, most):
     rows = plain.collect()
-    got = exact_dedup.exact_dedup_report(plain, bits_per_row=bits, max_filter_bits=1 << 15).collect()
+    got = exact_dedup.exact_dedup_report(plain, bits_per_row=bits, max_filter_bits=most).collect()
     groups: dict[str, list] = {}
     for r in rows:
         groups.setdefault(norm(r.text), []).append(r.doc_id)
@@ -44,8 +46,9 @@ def test_exact_report(plain, bits):
         assert [r.doc_id for r in mine if r.kept] == [min(known) if known else None]
 
 
-def test_exact_rows_keep_their_columns(plain, none):
-    got = exact_dedup.exact_dedup(plain)
+@pytest.mark.parametrize("most", [1 << 28, 0])
+def test_exact_rows_keep_their_columns(plain, none, most):
+    got = exact_dedup.exact_dedup(plain, max_filter_bits=most)
     assert got.columns == plain.columns
     kept = got.collect()
     assert sorted(norm(r.text) for r in kept) == sorted({norm(t) for _, t in EDGE})
@@ -63,7 +66,7 @@ def test_exact_large_group(spark, monkeypatch):
 
 def test_repeated_bits_find_every_repeat(spark):
     rows = spark.range(3000).selectExpr("xxhash64(id % 2000) as h")
-    out = exact_dedup.maybe_repeated(rows, "h", "m", 3000, 16, 1 << 20).collect()
+    out = exact_dedup.maybe_repeated(rows, "h", "m", exact_dedup.filter_blocks(3000, 16)).collect()
     n = {}
     for r in out:
         n[r.h] = n.get(r.h, 0) + 1
@@ -71,6 +74,23 @@ def test_repeated_bits_find_every_repeat(spark):
     assert sum(r.m for r in out if n[r.h] == 1) < 0.1 * len(out)
 
 
+def test_a_filter_beyond_the_broadcast_still_clears_unique_rows(spark, monkeypatch):
+    """More rows than a bounded filter could tell apart; a third of them equal, in one block of the filter."""
+    monkeypatch.setattr(components, "HOT_ROWS", 100)
+    n = 60_000
+    docs = spark.range(n).selectExpr("id as doc_id", "if(id % 3 = 0, 'same', if(id % 100 = 1, concat('t', id div 200), concat('u', id))) as text")
+    hashed = cut(docs.selectExpr("doc_id as number", "xxhash64(text) as h", "text"))
+    found = {r.number for r in exact_dedup.routed_repeated(hashed.select("number", "h"), exact_dedup.filter_blocks(n, 16), n).collect()}
+    texts = [r.text for r in docs.orderBy("doc_id").collect()]
+    count = Counter(texts)
+    assert all(i in found for i in range(n) if count[texts[i]] > 1)
+    assert sum(count[texts[i]] == 1 for i in found) < 0.1 * n
+    once, again = exact_dedup.split_repeated(docs, F.xxhash64("text"), 16, 1 << 15)
+    assert once.count() + again.count() == n and again.count() == len(found)
+    kept = exact_dedup.exact_dedup(docs, max_filter_bits=1 << 15).collect()
+    assert sorted(r.doc_id for r in kept) == sorted({t: i for i, t in reversed(list(enumerate(texts)))}.values())
+
+
 # ---- near duplicates ----
 def near(df):
     return sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_jaccard.near_duplicates(df).collect()), key=repr)
