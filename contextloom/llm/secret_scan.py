@@ -1,8 +1,9 @@
 """Secret scans by token efficiency.
 
 A base scan finds assignments of secrets, access key ids and long hexadecimal runs by fixed patterns. The token
-efficiency test then looks at every unbroken run of key characters: ordinary words and identifiers take few tokens of
-a byte-pair vocabulary for their length, random strings about one token for every two characters or fewer. A run is cut
+efficiency test then looks at every unbroken run of at least ``least_run`` key characters: ordinary words and identifiers
+take few tokens of a byte-pair vocabulary for their length, random strings about one token for every two characters or
+fewer; of what is shorter than ``LONG_RUN`` characters, it takes more tokens still to look random. A run is cut
 at ``=`` into names and values, and those at ``+``, ``/``, ``_`` and ``-`` into parts. Neighbouring parts that have few
 characters a token together are reported as ``random``, so a key is found beside its name or path, and whole if it has
 such characters itself. Known digests (hexadecimal of a digest's length) and UUIDs belong to no such span, numbers count
@@ -35,11 +36,11 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
 KINDS = ("assign", "access", "hex", "random")
-DIGEST_LENGTHS = frozenset((32, 40, 56, 64, 96, 128))
+DIGEST_LENGTHS = frozenset((16, 32, 40, 56, 64, 96, 128))
 KEYWORDS = (b"passw", b"secret", b"token", b"api")
 
-LEAST_RUN = 20
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+LEAST_RUN, LONG_RUN = 12, 20
+MOST_CHARS, MOST_CHARS_SHORT = 2.2, 1.7  # a token, of random runs and of those under LONG_RUN characters
 RUN_BYTES = bytes(b if re.match(rb"[A-Za-z0-9+/_=-]", bytes([b])) else 32 for b in range(256))
 DIGEST = re.compile(r"[0-9a-fA-F]+\Z")
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z")
@@ -99,37 +100,44 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 HEX_LONG = re.compile(r"[0-9a-f]{%d,}" % LEAST_HEX)
 
 
-def random_spans(text: str, base: list[tuple[int, int, int]], enc: tiktoken.Encoding, most: float) -> list[tuple[int, int, int]]:
+@functools.cache
+def runs_of(least: int) -> re.Pattern[str]:
+    return re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % least)
+
+
+def random_spans(text: str, base: list[tuple[int, int, int]], enc: tiktoken.Encoding, most: float, least_run: int) -> list[tuple[int, int, int]]:
     out = []
-    for run in RUN.finditer(text):
+    for run in runs_of(least_run).finditer(text):
         for value in VALUE.finditer(text, run.start(), run.end()):
-            if value.end() - value.start() < LEAST_RUN:
+            if value.end() - value.start() < least_run:
                 continue
             parts = list(PART.finditer(text, value.start(), value.end()))
             for first, end in best_stretches([surplus(p[0], enc, most) for p in parts]):
                 s = parts[first].start() if first else value.start()  # separators at the ends of a value may be the key's
                 e = parts[end - 1].end() if end < len(parts) else value.end()
-                if e - s >= max(LEAST_RUN, LEAST_PART * (end - first)) and not any(b < e and s < f for b, _, f in base):
+                if e - s < max(least_run, LEAST_PART * (end - first)) or any(b < e and s < f for b, _, f in base):
+                    continue
+                if e - s >= LONG_RUN or sum(surplus(p[0], enc, min(most, MOST_CHARS_SHORT)) for p in parts[first:end]) > 0:
                     out.append((s, 3, e))
     return out
 
 
-def scan(text: bytes | None, enc: tiktoken.Encoding, most: float) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+def scan(text: bytes | None, enc: tiktoken.Encoding, most: float = MOST_CHARS, least_run: int = LEAST_RUN) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Spans of the base scan and of the token efficiency test, both in order.
 
-    Two cheap looks save most texts from the patterns: every pattern but the assignment's needs a run of ``LEAST_RUN``
-    key characters, and an assignment needs a keyword.
+    Two cheap looks save most texts from the patterns: every pattern but the assignment's needs a run of ``least_run``
+    (or 20) key characters, and an assignment needs a keyword.
     """
     if not text:
         return [], []
     low = text.lower()
     keyword = any(k in low for k in KEYWORDS)
-    runs = max(map(len, text.translate(RUN_BYTES).split()), default=0) >= LEAST_RUN
+    runs = max(map(len, text.translate(RUN_BYTES).split()), default=0) >= min(least_run, LEAST_ACCESS, LEAST_HEX)
     if not keyword and not runs:
         return [], []
     whole = text.decode("utf-8", "replace")
     base = sorted(base_spans(whole))
-    return base, random_spans(whole, base, enc, most) if runs else []
+    return base, random_spans(whole, base, enc, most, least_run) if runs else []
 
 
 def listed(spans: list[tuple[int, int, int]]) -> str:
@@ -137,7 +145,7 @@ def listed(spans: list[tuple[int, int, int]]) -> str:
 
 
 def secret_report(
-    docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", doc_id: str = "doc_id", most_chars_per_token: float = 2.2
+    docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", doc_id: str = "doc_id", most_chars_per_token: float = MOST_CHARS, least_run: int = LEAST_RUN
 ) -> DataFrame:
     """Per document: counts by kind, n_random, base_sha256 and the spans as ``kind:start:end``, comma-joined."""
     ship(docs.sparkSession)
@@ -148,7 +156,7 @@ def secret_report(
             counts: list[list[int]] = [[], [], [], []]
             digests, spans = [], []
             for t in byte_lists(batch.column(1)):
-                base, more = scan(t, enc, most_chars_per_token)
+                base, more = scan(t, enc, most_chars_per_token, least_run)
                 for kind, n in enumerate(counts):
                     n.append(sum(k == kind for _, k, _ in (*base, *more)))
                 digests.append(hashlib.sha256(listed(base).encode()).hexdigest())
@@ -160,7 +168,7 @@ def secret_report(
     return rows.mapInArrow(report, "doc_id long, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string")
 
 
-def masked(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", mask: str = "[SECRET]", most_chars_per_token: float = 2.2) -> DataFrame:
+def masked(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", mask: str = "[SECRET]", most_chars_per_token: float = MOST_CHARS, least_run: int = LEAST_RUN) -> DataFrame:
     """``docs`` with every found span of the text replaced by ``mask``; overlapping spans are replaced as one."""
     ship(docs.sparkSession)
     at = docs.columns.index(text)
@@ -170,7 +178,7 @@ def masked(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", m
         for batch in batches:
             new = []
             for t in byte_lists(batch.column(at)):
-                base, more = scan(t, enc, most_chars_per_token)
+                base, more = scan(t, enc, most_chars_per_token, least_run)
                 if not base and not more:
                     new.append(t)
                     continue

@@ -194,6 +194,19 @@ def test_random_keys_are_found_beside_names(name, letters):
     assert lost <= 4, lost
 
 
+def test_short_keys_are_found_and_short_words_are_not(small, spark):
+    enc, r = secret_scan.encoder(*vocabulary()), random.Random(4)
+    for letters, most in ((string.ascii_letters + string.digits, 0.06), (string.ascii_lowercase + string.digits, 0.2), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 0.15)):
+        keys = ["".join(r.choices(letters, k=12 + i % 8)) for i in range(400)]
+        assert sum(not any(secret_scan.scan(f"see {k} there".encode(), enc)) for k in keys) <= most * len(keys)
+    key = "aZ3kQ9xW2pLm"
+    assert secret_scan.scan(key.encode(), enc)[1] == [(0, 3, 12)] and secret_scan.scan(key.encode(), enc, least_run=20) == ([], [])
+    names = "SIZEOF_WCHAR_T getElementById toLocaleString HAVE_CTERMID_R __pdb_eval__ docker-compose Krankenhausaufenthalt rechtzeitig consequentemente d41d8cd98f00b204 2024-01-01-12".split()
+    assert all(secret_scan.scan(n.encode(), enc) == ([], []) for n in names)
+    words = {w for x in spark.read.parquet(f"{small}/documents.parquet").select("text").collect() for w in re.findall(r"(?<![\w/+=-])[A-Za-z]{12,19}(?![\w/+=-])", x.text or "")}
+    assert sum(any(secret_scan.scan(w.encode(), enc)) for w in words) <= 0.002 * len(words)
+
+
 def test_names_digests_and_numbers_are_no_keys():
     enc = secret_scan.encoder(*vocabulary())
     for text in (
