@@ -2,9 +2,11 @@
 
 Letters are lower-cased, runs of anything else become one space, and hashed n-grams of one to ``LONGEST`` characters
 are weighted by TF-IDF: document frequencies are counted over all documents that may be learned from. The regression is
-trained with follow-the-regularised-leader and elastic-net penalties, which leave most weights at exactly zero, on at
-most ``max_train`` of those documents, those with the smallest hash of their id; as many again, the next ones, set the
-temperature that calibrates the probabilities. Predictions see nothing but the text, which is read whole.
+trained with follow-the-regularised-leader and elastic-net penalties, which leave most weights at exactly zero, on a
+bounded sample: ``2 * max_train`` documents, taken from all languages in turn in the order of a hash of their ids, so a
+rare language has as many as a common one while it has any. Of each language every other document, from the first one
+on, is trained on; the rest set the temperature that calibrates the probabilities. Predictions see nothing but the text,
+which is read whole.
 
 Learned from are only documents with a language whose crc32(doc_id as text) modulo ``folds`` is not 0; the others are
 held out.
@@ -25,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from contextloom.llm.common import cut, ship
 
@@ -156,39 +159,47 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
     learnable = docs.where(F.col(lang).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id), folds))
     n, df = document_frequencies(learnable, text)
     idf = np.log((1 + n) / (1 + df)) + 1
-    ids = learnable.select(F.col(doc_id).cast("long").alias("sample_id")).distinct()
-    order = F.xxhash64(F.col("sample_id").cast("string"))
-    sample = cut(ids.orderBy(order, "sample_id").limit(2 * max_train))
     rows = learnable.select(F.col(doc_id).cast("long").alias("sample_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
-    rows = rows.join(F.broadcast(sample), "sample_id").select(F.col("sample_id").cast("string").alias("id"), "text", "lang")
+    rows = rows.join(F.broadcast(sampled(rows, 2 * max_train)), ["sample_id", "lang"])
+    one = rows.groupBy("sample_id", "lang", "turn").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # repeated ids count once
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {"id": [], "lang": [], "at": [], "v": []}
-            for i, t, y in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "lang")), strict=True):
+            out: dict[str, list] = {"lang": [], "turn": [], "at": [], "v": []}
+            for y, turn, t in zip(*(batch.column(c).to_pylist() for c in ("lang", "turn", "text")), strict=True):
                 found = counts(t)
                 if found is not None:
                     at, v = weighted(found, idf)
-                    for c, x in zip(out, (i, y, at.astype(np.int32).tobytes(), v.astype(np.float32).tobytes()), strict=True):
+                    for c, x in zip(out, (y, turn, at.astype(np.int32).tobytes(), v.astype(np.float32).tobytes()), strict=True):
                         out[c].append(x)
-            yield pa.record_batch({"id": pa.array(out["id"], pa.string()), "lang": pa.array(out["lang"], pa.string()), "at": pa.array(out["at"], pa.binary()), "v": pa.array(out["v"], pa.binary())})
+            yield pa.record_batch({"lang": pa.array(out["lang"], pa.string()), "turn": pa.array(out["turn"], pa.int32()), "at": pa.array(out["at"], pa.binary()), "v": pa.array(out["v"], pa.binary())})
 
-    found = rows.mapInArrow(vectors, "id string, lang string, at binary, v binary").orderBy(F.xxhash64("id"), "id", "lang", F.xxhash64("at"))
-    known: list[tuple[np.ndarray, np.ndarray, str]] = [
-        (np.frombuffer(r["at"], np.int32), np.frombuffer(r["v"], np.float32).astype(float), r["lang"]) for r in found.toLocalIterator()
+    found = one.select("lang", "turn", "text").mapInArrow(vectors, "lang string, turn int, at binary, v binary").orderBy("turn", "lang")
+    known: list[tuple[np.ndarray, np.ndarray, str, bool]] = [
+        (np.frombuffer(r["at"], np.int32), np.frombuffer(r["v"], np.float32).astype(float), r["lang"], r["turn"] % 2 == 1) for r in found.toLocalIterator()
     ]  # at most 2 * max_train documents
-    languages = sorted({y for _, _, y in known})
+    languages = sorted({y for _, _, y, _ in known})
     if len(languages) < 2:
         return Model(languages, idf, np.zeros((BUCKETS, len(languages))), np.zeros(len(languages)))
-    data = [(at, v, languages.index(y)) for at, v, y in known]
-    half = (len(data) + 1) // 2
-    weights, bias = follow_the_leader(data[:half], len(languages), alpha, beta, l1, l2, epochs)
+    data, rest = ([(at, v, languages.index(y)) for at, v, y, trained in known if trained is wish] for wish in (True, False))
+    weights, bias = follow_the_leader(data, len(languages), alpha, beta, l1, l2, epochs)
     model = Model(languages, idf, weights.astype(np.float32), bias)
-    if rest := data[half:]:
+    if rest:
         model.temperature = fitted_temperature(np.array([model.logits(at, v) for at, v, _ in rest]), np.array([y for _, _, y in rest]))
     return model
 
 
+def sampled(rows: DataFrame, most: int) -> DataFrame:
+    """(sample_id, lang, turn) of at most ``most`` documents: the first of every language, then the second of each, and so on.
+
+    No task sorts a language: of each, a task keeps ``most`` rows at the most before they meet.
+    """
+    order = F.xxhash64(F.col("sample_id").cast("string"))
+    ids = rows.select("sample_id", "lang").distinct()
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy(order, "sample_id"))
+    return cut(ids.withColumn("turn", turn).where(F.col("turn") <= most).orderBy("turn", order, "sample_id", "lang").limit(most))
+
+
 def predictions(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id", folds: int = 5) -> DataFrame:
     """Per document: doc_id, held_out, lang_pred, score."""
     ship(docs.sparkSession)
