@@ -116,13 +116,14 @@ class Model:
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, max_labelled: int) -> DataFrame:
-    """(text, fold, low, toxic) of the sample. The sample is broadcast: ``max_labelled`` bounds it."""
+    """(text, fold, low, toxic) of the sample, written; ``max_labelled`` bounds it, repeated ids count once."""
     usable = labels.where("doc_id is not null and quality is not null and toxic is not null")
     one = usable.groupBy("doc_id").agg((F.min("quality") == 0).cast("int").alias("low"), (F.max("toxic") > 0).cast("int").alias("toxic"))
     sample = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     sample = cut(sample.select(F.col("doc_id").alias("labelled_id"), F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("fold"), "low", "toxic"))
     texts = docs.select(F.col(doc_id).cast("long").alias("labelled_id"), F.col(text).cast("string").alias("text"))
-    return texts.join(F.broadcast(sample), "labelled_id").select("text", "fold", "low", "toxic")
+    found = texts.join(F.broadcast(sample), "labelled_id").groupBy("labelled_id", "fold", "low", "toxic")
+    return cut(found.agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "fold", "low", "toxic"))
 
 
 def mark_counts(sample: DataFrame) -> DataFrame:
