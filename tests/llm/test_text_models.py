@@ -11,6 +11,7 @@ import string
 import time
 import tracemalloc
 import zlib
+from collections import Counter
 from contextlib import contextmanager
 
 import numpy as np
@@ -251,6 +252,22 @@ def test_islands_only_hold_whole_packings(lengths, seed):
     island.add_groups(island.groups())
 
 
+def test_crossover_gains(spark):
+    """Pieces of a quarter to a half of a sequence, where best fit by length leaves room: breeding must beat it."""
+    r = random.Random(8)
+    lengths = [r.randint(500, 1100) for _ in range(3000)]
+    decreasing = len(packing.best_fit(lengths, sorted(range(3000), key=lengths.__getitem__, reverse=True), [], [], 2048)[0])
+    island = packing.Island(lengths, 2048, 3, 5)
+    island.settle()
+    founded = len(island.members[0][1])
+    assert len({m[0] for m in island.members}) == 5  # founders differ
+    island.evolve(24)
+    assert len(island.members[0][1]) < min(founded, decreasing) and len(island.members[0][1]) <= 0.97 * founded
+    rows = spark.createDataFrame([(i, 0, 0, n, 1) for i, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    for b in packing.evolution(rows, block_items=1000).collect():
+        assert b.least <= b.bins < b.founded
+
+
 def test_packing_round_trip(spark, plain, none, small):
     from tokenizers import Tokenizer
 
@@ -314,6 +331,74 @@ def test_languages(spark, edge, none, small):
     assert {r.lang_pred for r in langid.predictions(edge, langid.fit(none)).collect()} == {"und"}
 
 
+def plain_ftrl(rows, classes, alpha, beta, l1, l2, order):
+    """Follow the regularised leader, one coordinate at a time."""
+    z, n = {}, {}
+
+    def weight(j, k):
+        s = z.get((j, k), 0.0)
+        penalty = 0 if j == langid.BUCKETS else l1
+        return 0.0 if abs(s) <= penalty else -(s - math.copysign(penalty, s)) / ((beta + math.sqrt(n.get((j, k), 0.0))) / alpha + l2)
+
+    for i in order:
+        at, v, y = rows[i]
+        x = {**dict(zip(at.tolist(), v.tolist(), strict=True)), langid.BUCKETS: 1.0}
+        w = {(j, k): weight(j, k) for j in x for k in range(classes)}
+        s = [sum(x[j] * w[j, k] for j in x) for k in range(classes)]
+        e = [math.exp(a - max(s)) for a in s]
+        for j in x:
+            for k in range(classes):
+                g = x[j] * (e[k] / sum(e) - (k == y))
+                old = n.get((j, k), 0.0)
+                z[j, k] = z.get((j, k), 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / alpha * w[j, k]
+                n[j, k] = old + g * g
+    return lambda j, k: weight(j, k)
+
+
+def test_ftrl_equals_plain_python():
+    texts = [("the cat and the dog", 0), ("le chat et le chien", 1), ("der hund und die katze", 2), ("a dog that sat", 0), ("un chien assis", 1), ("eine katze sitzt", 2)] * 2
+    rows = [(*langid.weighted(langid.counts(t), np.ones(langid.BUCKETS)), y) for t, y in texts]
+    weights, bias = langid.follow_the_leader(rows, 3, 0.5, 1.0, 0.02, 0.01, 1)
+    plain = plain_ftrl(rows, 3, 0.5, 1.0, 0.02, 0.01, np.random.default_rng(7).permutation(len(rows)).tolist())
+    seen = sorted({j for at, _, _ in rows for j in at.tolist()})
+    assert all(weights[j, k] == pytest.approx(plain(j, k), abs=1e-9) for j in seen for k in range(3))
+    assert list(bias) == pytest.approx([plain(langid.BUCKETS, k) for k in range(3)]) and (weights == 0).sum() > weights.size - 3 * len(seen)
+    assert not weights[[j for j in range(langid.BUCKETS) if j not in set(seen)]].any()
+
+
+def test_temperature_is_the_best_of_a_grid():
+    r = np.random.default_rng(3)
+    y = r.integers(0, 4, 500)
+    logits = r.normal(size=(500, 4)) * 3 + 4 * np.eye(4)[np.where(r.random(500) < 0.7, y, r.integers(0, 4, 500))]
+
+    def loss(t):
+        return sum(math.log(sum(math.exp((b - row[k]) / t) for b in row)) for row, k in zip(logits.tolist(), y.tolist(), strict=True))
+
+    grid = [0.5 * 1.02**i for i in range(180)]
+    assert langid.fitted_temperature(logits, y) == pytest.approx(min(grid, key=loss), rel=0.03)
+
+
+def test_tf_idf_counts_all_documents(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    n, df = langid.document_frequencies(docs, "text")
+    found = [c for r in docs.select("text").collect() if (c := langid.counts(r.text)) is not None]
+    assert n == len(found) and (df == sum((c > 0).astype(int) for c in found)).all()
+
+
+def test_rare_languages_are_learned(spark):
+    """A language of three documents among two thousand, one of one, and an id that repeats a thousand times."""
+    say = {"en": "the house and the garden of the old man", "fr": "la maison et le jardin du vieil homme", "xx": "zqo wki zqo yyp wki", "yy": "ööö äää ððð þþþ"}
+    rows = [(i, f"{say['en']} {i % 97}", "en") for i in range(0, 1500)] + [(i, f"{say['fr']} {i % 89}", "fr") for i in range(2000, 2500)]
+    rows += [(5000 + k, say["xx"] + " wki" * k, "xx") for k in range(12) if zlib.crc32(str(5000 + k).encode()) % 5][:3]
+    rows += [(next(i for i in range(6000, 6100) if zlib.crc32(str(i).encode()) % 5), say["yy"], "yy")] + [(1, f"{say['en']} {i}", "en") for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    picked = langid.sampled(docs.selectExpr("doc_id as sample_id", "lang"), 40).collect()
+    assert Counter(r.lang for r in picked) == {"en": 18, "fr": 18, "xx": 3, "yy": 1}
+    model = langid.fit(docs, max_train=100)
+    assert model.languages == ["en", "fr", "xx", "yy"]
+    assert [model.predict(say[k])[0] for k in say] == list(say)
+
+
 def test_predictions_see_the_text_only(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     model = langid.fit(docs)
