@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,6 +23,8 @@ DANGEROUS = (
 METACHARACTERS = r"[|&;$`(){}<>\n\r]"
 # Words that a command may begin with in prose, and types of commits.
 COMMAND_STARTS = ("npm", "python", "pip", "git", "docker", "ls", "cd", "pwd", "cat", "grep", "find")
+# Suffixes that have a chunker of their own; all others go to the line windows of ``javascript``.
+SUFFIXES = {".py": "python", ".md": "markdown", ".markdown": "markdown", ".js": "javascript", ".jsx": "javascript", ".ts": "javascript", ".tsx": "javascript"}
 COMMIT_TYPES = ("feat", "fix", "docs", "style", "refactor", "test", "chore")
 # Where commands stand in a model's answer.
 SHELL_BLOCK_CUT = r"(?is)```(?:bash|shell|terminal|sh).*?```"
@@ -75,11 +77,12 @@ def file_extension(path: Column) -> Column:
     return F.when(found != "", F.lower(found))
 
 
-def language_of(path: Column) -> Column:
-    """Chunker of a path by its suffix; everything unknown goes to the line windows of ``javascript``."""
-    p = F.lower(path)
-    ends = lambda *s: F.coalesce(*[F.when(p.endswith(x), True) for x in s], F.lit(False))
-    return F.when(ends(".py"), "python").when(ends(".md", ".markdown"), "markdown").otherwise("javascript")
+def language_of(path: Column, suffixes: Mapping[str, str] | None = None, default: str = "javascript") -> Column:
+    """Chunker of a path by its suffix (the longest that fits); everything unknown goes to the ``default`` one."""
+    p, out = F.lower(path), F.lit(default)
+    for suffix, language in sorted((suffixes or SUFFIXES).items(), key=lambda x: (len(x[0]), x[0])):
+        out = F.when(p.endswith(suffix.lower()), language).otherwise(out)
+    return out
 
 
 def masked_secrets(text: Column) -> Column:
@@ -222,3 +225,21 @@ def mime_allowed(mime: Column, patterns: Sequence[str]) -> Column:
 def issue_list(**conditions: Column) -> Column:
     """The names of the conditions that hold, as an array of sentences."""
     return F.array_compact(F.array(*[F.when(c, F.lit(name.replace("_", " "))) for name, c in conditions.items()]))
+
+
+# What is said about a repository's state; the first four with their number.
+HEALTH = (
+    ("uncommitted", "uncommitted changes", "Consider committing or stashing changes"),
+    ("untracked", "untracked files", "Add important files to Git or update .gitignore"),
+    ("ahead", "commits ahead of remote", "Push changes to remote repository"),
+    ("behind", "commits behind remote", "Pull latest changes from remote repository"),
+)
+MANY_BRANCHES, TOO_MANY = 10, "Consider cleaning up old branches"
+
+
+def repository_health(uncommitted: Column, untracked: Column, ahead: Column, behind: Column, branches: Column) -> Column:
+    """(issues, suggestions) of a repository from its counts; a null count says nothing."""
+    counts = {"uncommitted": uncommitted, "untracked": untracked, "ahead": ahead, "behind": behind}
+    issues = [F.when(counts[k] > 0, F.concat(counts[k].cast("string"), F.lit(f" {said}"))) for k, said, _ in HEALTH]
+    advice = [F.when(counts[k] > 0, F.lit(what)) for k, _, what in HEALTH] + [F.when(branches > MANY_BRANCHES, F.lit(TOO_MANY))]
+    return F.struct(F.array_compact(F.array(*issues)).alias("issues"), F.array_compact(F.array(*advice)).alias("suggestions"))

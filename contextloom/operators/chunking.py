@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from contextloom.functions.text import language_of, stripped
+from contextloom.functions.text import SUFFIXES, language_of, stripped
 from contextloom.schema import CHUNK, META
 
 WINDOW_SHARE, OVERLAP_SHARE = 50, 20  # characters that a line stands for in windows and in overlaps
@@ -175,14 +175,43 @@ def markdown_chunks(content: str) -> list[Chunk]:
     return out
 
 
-#: Chunkers by language; register further ones here, and their suffixes in ``language_of``'s place.
+#: Chunkers by language, and the suffixes of their files; ``register`` adds to both.
 CHUNKERS: dict[str, Callable[[str], list[Chunk]]] = {"python": python_chunks, "javascript": script_chunks, "markdown": markdown_chunks, "packed": packed_lines}
+LANGUAGES: dict[str, str] = dict(SUFFIXES)
+
+
+def register(language: str, chunker: Callable[[str], list[Chunk]], *suffixes: str) -> None:
+    """A chunker for a language, and the suffixes that it is for from now on; a known language or suffix changes hands."""
+    wrong = [s for s in suffixes if not s.startswith(".") or "/" in s]
+    if wrong:
+        raise ValueError(f"no suffixes: {wrong}")
+    CHUNKERS[language] = chunker
+    LANGUAGES.update({s.lower(): language for s in suffixes})
+
+
+def unregister(language: str) -> None:
+    """Forget a language; files with its suffixes go to the default chunker, or to the one they had at first."""
+    CHUNKERS.pop(language, None)
+    for suffix in [s for s, owner in LANGUAGES.items() if owner == language]:
+        del LANGUAGES[suffix]
+        if SUFFIXES.get(suffix, language) != language:
+            LANGUAGES[suffix] = SUFFIXES[suffix]
+
+
+def supported_suffixes() -> dict[str, list[str]]:
+    """Suffixes by language."""
+    out: dict[str, list[str]] = {}
+    for suffix, language in sorted(LANGUAGES.items()):
+        out.setdefault(language, []).append(suffix)
+    return out
+
+
 META_FIELDS = [f.strip().split(":")[0] for f in re.sub(r"array<string>", "x", META[7:-1]).split(",")]
 
 
 def chunked(files: DataFrame, language: Column | None = None, path: str = "path", content: str = "content") -> DataFrame:
     """Chunks of each file by the chunker of its language; texts are stripped, empty chunks keep their index."""
-    kind = language if language is not None else language_of(F.col(path))
+    kind = language if language is not None else language_of(F.col(path), LANGUAGES)
     rows = files.select(F.col(path).cast("string").alias("path"), F.col(content).cast("string").alias("content"), kind.alias("language"))
     schema = T._parse_datatype_string(CHUNK)  # type: ignore[attr-defined]
     chunkers = dict(CHUNKERS)

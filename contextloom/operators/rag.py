@@ -38,16 +38,14 @@ def joined_lines(place: str, line: str) -> Column:
 
 
 def prompt(question: Column, contexts: Column, web: Column, backend: str = "unknown", latency_ms: int = 0) -> Column:
-    out = F.lit(TEMPLATE.replace("${system}", SYSTEM).replace("${backend}", backend).replace("${latency_ms}", str(latency_ms)))
     head, tail = TEMPLATE.split("${question}")
     fill = lambda t: t.replace("${system}", SYSTEM).replace("${backend}", backend).replace("${latency_ms}", str(latency_ms))
     middle, rest = tail.split("${contexts}")
     between, end = rest.split("${web_results}")
-    out = F.concat(
+    return F.concat(
         F.lit(fill(head)), question, F.lit(fill(middle)), F.coalesce(F.nullif(contexts, F.lit("")), F.lit(NO_CONTEXTS)),
         F.lit(fill(between)), F.coalesce(F.nullif(web, F.lit("")), F.lit(NO_WEB)), F.lit(fill(end)),
     )
-    return out
 
 
 def extractive_answer(contexts: Column) -> Column:

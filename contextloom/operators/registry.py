@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import TimeoutError as FutureTimeout
 from typing import Any, Protocol
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from contextloom.operators.tasks import TERMINAL
 from contextloom.operators.vectors import hash_embedded
+from contextloom.storage import cut
 
 
 class Embedder(Protocol):
@@ -141,18 +147,136 @@ class Handlers:
         return out
 
 
+def within(spark: SparkSession, seconds: float, action: Callable[[], Any]) -> Any:
+    """The result of an action on frames; if it takes longer, its Spark jobs are cancelled and TimeoutError is raised."""
+    tag = f"loom-{uuid.uuid4().hex}"
+
+    def run() -> Any:
+        spark.addTag(tag)
+        try:
+            return action()
+        finally:
+            spark.removeTag(tag)
+
+    pool = ThreadPoolExecutor(1)
+    waiting = pool.submit(run)
+    try:
+        return waiting.result(seconds)
+    except FutureTimeout:
+        if waiting.done():
+            raise
+        spark.interruptTag(tag)
+        raise TimeoutError(f"timed out after {seconds} s") from None
+    finally:
+        pool.shutdown(wait=False)  # a cancelled job may take its time to end
+
+
 def state_json(columns: Sequence[str]) -> Column:
     """A row's state as JSON, to keep tasks or agents in a key-value table."""
     return F.to_json(F.struct(*columns))
 
 
 def save_state(rows: DataFrame, key: str, path: str) -> None:
-    """Append states (key, state, saved_at); the last one of a key counts."""
+    """Append states (key, state, version); the last version of a key counts. A state of null ends the key."""
     columns = [c for c in rows.columns if c != key]
-    rows.select(F.col(key), state_json(columns).alias("state"), F.current_timestamp().alias("saved_at")).write.mode("append").parquet(path)
+    rows.select(F.col(key), state_json(columns).alias("state"), F.lit(time.time_ns()).alias("version")).write.mode("append").parquet(path)
 
 
 def load_state(rows: DataFrame, key: str, schema: str) -> DataFrame:
     """The last state of each key, as columns again."""
-    last = rows.groupBy(key).agg(F.max_by("state", "saved_at").alias("state"))
+    last = rows.groupBy(key).agg(F.max_by("state", "version").alias("state")).where("state is not null")
     return last.select(key, F.from_json("state", schema).alias("s")).select(key, "s.*")
+
+
+class StateTable:
+    """Rows by key that outlive the session: an append-only table of states. Writers don't wait for one another."""
+
+    def __init__(self, spark: SparkSession, path: str, key: str, schema: str):
+        self.spark, self.path, self.key, self.schema = spark, path, key, schema
+        self.columns = [f.split()[0] for f in schema.split(", ")]
+
+    def rows(self) -> DataFrame:
+        raw = f"{self.key} long, state string, version long"
+        try:
+            log = self.spark.read.schema(raw).parquet(self.path)
+        except AnalysisException:  # nothing saved yet
+            log = self.spark.createDataFrame([], raw)
+        return load_state(log, self.key, self.schema)
+
+    def put(self, rows: DataFrame) -> None:
+        save_state(cut(rows.select(self.key, *self.columns)), self.key, self.path)  # rows may come from the table itself
+
+    def remove(self, keys: DataFrame) -> None:
+        gone = cut(keys.select(self.key))
+        gone.select(self.key, F.lit(None).cast("string").alias("state"), F.lit(time.time_ns()).alias("version")).write.mode("append").parquet(self.path)
+
+    def compact(self) -> None:
+        """Keep the last state of each key only."""
+        last = cut(self.rows())
+        self.spark.createDataFrame([], f"{self.key} long, state string, version long").write.mode("overwrite").parquet(self.path)
+        save_state(last, self.key, self.path)
+
+
+class TaskStore(StateTable):
+    """A task queue on a state table: submit, take, finish, cancel, clean up."""
+
+    def __init__(self, spark: SparkSession, path: str, capacity: int = 10_000):
+        super().__init__(spark, path, "task_id", "status string, priority int, created_at timestamp, started_at timestamp, completed_at timestamp, agent_id long, result string, error string")
+        self.capacity = capacity
+
+    def submit(self, tasks: DataFrame) -> int:
+        """Queue tasks (task_id, priority, created_at); an error if they don't find room. The size of the queue."""
+        new = tasks.select("task_id", F.lit("queued").alias("status"), F.col("priority").cast("int").alias("priority"), F.col("created_at").cast("timestamp").alias("created_at"))
+        size = self.rows().where("status = 'queued'").count() + new.count()
+        if size > self.capacity:
+            raise OverflowError(f"{size} tasks for a queue of {self.capacity}")
+        self.put(self.filled(new))
+        return size
+
+    def filled(self, rows: DataFrame) -> DataFrame:
+        kinds = {f.split()[0]: f.split()[1] for f in self.schema.split(", ")}
+        return rows.select("task_id", *(F.col(c) if c in rows.columns else F.lit(None).cast(kinds[c]).alias(c) for c in self.columns))
+
+    def take(self, n: int, agent_id: int, now: str) -> DataFrame:
+        """The next ``n`` queued tasks, which the agent runs from now on: higher priority first, then older, then smaller id."""
+        head = self.rows().where("status = 'queued'").orderBy(F.desc("priority"), "created_at", "task_id").limit(n)
+        taken = cut(head.withColumns({"status": F.lit("running"), "started_at": F.lit(now).cast("timestamp"), "agent_id": F.lit(agent_id).cast("long")}))
+        self.put(taken)
+        return taken
+
+    def finish(self, results: DataFrame, now: str) -> None:
+        """Results (task_id, result, error): failed if there is an error, else completed. As in ``tasks``, whatever was before."""
+        rows = self.rows().drop("result", "error").join(results.select("task_id", F.col("result").cast("string"), F.col("error").cast("string")), "task_id")
+        self.put(rows.withColumns({"status": F.when(F.col("error").isNull(), "completed").otherwise("failed"), "completed_at": F.lit(now).cast("timestamp")}))
+
+    def cancel(self, keys: DataFrame, now: str) -> int:
+        """Cancel tasks that haven't ended; how many."""
+        rows = cut(self.rows().join(keys.select("task_id"), "task_id", "left_semi").where(~F.col("status").isin(*TERMINAL)))
+        self.put(rows.withColumns({"status": F.lit("cancelled"), "completed_at": F.lit(now).cast("timestamp")}))
+        return rows.count()
+
+    def clean(self, now: str, hours: int = 24) -> int:
+        """Forget tasks that ended longer than ``hours`` ago; how many."""
+        old = cut(self.rows().where(F.col("status").isin(*TERMINAL) & (F.col("completed_at") < F.lit(now).cast("timestamp") - F.make_interval(hours=F.lit(hours)))).select("task_id"))
+        self.remove(old)
+        return old.count()
+
+
+class AgentStore(StateTable):
+    """A registry of agents on a state table: register, heartbeat, expire."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        super().__init__(spark, path, "agent_id", "name string, capabilities array<string>, status string, last_heartbeat timestamp, current_tasks int, max_concurrent_tasks int")
+
+    def heartbeat(self, beats: DataFrame) -> None:
+        """Last state wins: beats (agent_id, status, current_tasks, at) of known agents."""
+        last = beats.groupBy("agent_id").agg(F.max(F.struct("at", "status", "current_tasks")).alias("b"))
+        rows = self.rows().drop("status", "current_tasks", "last_heartbeat").join(last, "agent_id")
+        self.put(rows.select("*", "b.status", F.col("b.current_tasks").cast("int").alias("current_tasks"), F.col("b.at").cast("timestamp").alias("last_heartbeat")))
+
+    def expire(self, now: str, seconds: float = 30.0) -> int:
+        """Online agents that were silent for longer turn unhealthy; how many. Busy ones never do."""
+        silent = F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros("last_heartbeat") > int(seconds * 1e6)
+        rows = cut(self.rows().where((F.col("status") == "online") & silent))
+        self.put(rows.withColumn("status", F.lit("unhealthy")))
+        return rows.count()

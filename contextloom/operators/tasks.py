@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -116,27 +117,38 @@ def duration_seconds(started: Column, completed: Column) -> Column:
 def assignment_pass(tasks: DataFrame, agents: DataFrame) -> DataFrame:
     """One pass over the agents in order of registration: each free online one takes the first queued task it can do.
 
-    Every choice depends on those before, so the pass walks the queue once, in one stream over a sorted partition. Only
-    the heads are needed: of each set of requirements no more tasks than there are free agents can be taken.
+    Every choice depends on those before, so the pass is one stream over a sorted partition: tasks first, then agents.
+    Only heads are needed: of each set of requirements no more tasks than there are free agents can be taken. The task
+    holds these heads, an id each, and for an agent looks at one head of each set of requirements; nothing but the
+    number of free agents comes to the driver.
     """
-    free = agents.where("status = 'online' and current_tasks < max_concurrent_tasks").orderBy("registered_at", "agent_id")
-    line = [(r.agent_id, frozenset(r.capabilities or [])) for r in free.select("agent_id", "capabilities").toLocalIterator()]
+    free = agents.where("status = 'online' and current_tasks < max_concurrent_tasks")
+    n_free = free.count()
     key = F.array_join(F.array_sort(F.array_distinct("required_capabilities")), ",")
     w = Window.partitionBy("req").orderBy(F.desc("priority"), "created_at", "task_id")
-    heads = tasks.where("status = 'queued'").withColumn("req", key).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= len(line))
-    ordered = heads.select("task_id", "priority", "created_at", "required_capabilities").orderBy(F.desc("priority"), "created_at", "task_id").coalesce(1)
+    heads = tasks.where("status = 'queued'").withColumn("req", key).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n_free)
+    none = lambda df, c: F.lit(None).cast(dict(df.dtypes)[c]).alias(c)
+    rows = heads.select(F.lit(0).alias("kind"), F.col("task_id").cast("long").alias("id"), F.col("required_capabilities").alias("c"), (-F.col("priority")).cast("long").alias("p"), "created_at", none(free, "registered_at"))
+    line = free.select(F.lit(1).alias("kind"), F.col("agent_id").cast("long").alias("id"), F.col("capabilities").alias("c"), F.lit(0).cast("long").alias("p"), none(tasks, "created_at"), "registered_at")
+    ordered = rows.unionByName(line).repartition(1).sortWithinPartitions("kind", "p", "created_at", "registered_at", "id").select("kind", "id", "c")
 
     def assign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queue = [(t, frozenset(r or [])) for b in batches for t, r in zip(b.column(0).to_pylist(), b.column(3).to_pylist(), strict=True)]
-        taken: set[int] = set()
-        out: list[tuple[int, int]] = []
-        for agent, offered in line:
-            for i, (task, required) in enumerate(queue):
-                if i not in taken and (not required or not offered or required <= offered):
-                    taken.add(i)
-                    out.append((task, agent))
-                    break
-        yield pa.record_batch({"task_id": pa.array([t for t, _ in out], pa.int64()), "agent_id": pa.array([a for _, a in out], pa.int64())})
+        queues: dict[frozenset[str], deque[tuple[int, int]]] = {}
+        fitting: dict[frozenset[str], list[frozenset[str]]] = {}
+        place = 0
+        for b in batches:
+            out: list[tuple[int, int]] = []
+            for kind, i, c in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                words = frozenset(c or [])
+                if kind == 0:
+                    queues.setdefault(words, deque()).append((place, i))
+                    place += 1
+                    continue
+                if words not in fitting:  # all tasks have come by now
+                    fitting[words] = [r for r in queues if not r or not words or r <= words]
+                if open_ := [queues[r] for r in fitting[words] if queues[r]]:
+                    out.append((min(open_, key=lambda q: q[0][0]).popleft()[1], i))
+            yield pa.record_batch({"task_id": pa.array([t for t, _ in out], pa.int64()), "agent_id": pa.array([a for _, a in out], pa.int64())})
 
     return ordered.mapInArrow(assign, "task_id long, agent_id long")
 

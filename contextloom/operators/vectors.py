@@ -1,14 +1,15 @@
 """Embeddings and exact top-k search over a Parquet table of vectors.
 
-Search never joins queries with vectors row by row. Queries come in blocks of bounded size; each block is sent to all
-tasks, a task multiplies it with the vectors it reads and keeps its own k best of every query, and only those meet in
-the shuffle. The larger side is read in place, once for each block of queries.
+Search never joins queries with vectors row by row. Queries come in loads of bounded size; a load is sent to all tasks,
+a task multiplies it, block by block, with the vectors it reads and keeps its own k best of every query, and only those
+meet in the shuffle. The larger side is read in place, once for each load; with more than one, each writes its hits.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,9 @@ from pyspark.sql.window import Window
 from contextloom.schema import INDEX
 from contextloom.storage import cut
 
-QUERY_BLOCK = 1024
+QUERY_BLOCK = 1024  # queries that are multiplied at a time
+LOAD_BYTES = 32 << 20  # of queries and their hits, for a scan
+NATIVE_BLOCK = 64
 
 
 def normalised(v: Column) -> Column:
@@ -39,66 +42,100 @@ def unit_rows(m: np.ndarray) -> np.ndarray:
     return np.divide(m, norm, out=m.copy(), where=norm > 0)
 
 
-def best_k(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k best; equal scores go by id."""
-    if len(scores) > 4 * k:  # cheap cut first: everything at least as good as the k-th
-        least = np.partition(scores, len(scores) - k)[len(scores) - k]
-        at = np.flatnonzero(scores >= least)
-    else:
-        at = np.arange(len(scores))
-    return at[np.lexsort((ids[at], -scores[at]))][:k]
+def best_of_rows(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of each row, best first; equal scores go by id. ``ids`` has the shape of ``scores``."""
+    least = np.partition(scores, scores.shape[1] - k, 1)[:, scores.shape[1] - k]
+    row, at = np.nonzero(scores >= least[:, None])  # all that is at least as good as the k-th
+    s, d = scores[row, at], ids[row, at]
+    order = np.lexsort((d, -s, row))
+    first = np.searchsorted(row, np.arange(len(scores)))
+    picked = order[(first[:, None] + np.arange(k)).ravel()]
+    return s[picked].reshape(-1, k), d[picked].reshape(-1, k)
 
 
-def query_blocks(queries: DataFrame, query_id: str, vector: str, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def query_loads(queries: DataFrame, query_id: str, vector: str, k: int, load_bytes: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors of as many queries as ``load_bytes`` hold, with k hits of each."""
     ids: list[int] = []
     rows: list[list[float]] = []
+    held = 0
     for r in queries.select(F.col(query_id).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("v")).where("i is not null and v is not null").toLocalIterator():
+        held += 8 * len(r.v) + 32 * k
+        if ids and held > load_bytes:
+            yield np.array(ids), np.array(rows)
+            ids, rows, held = [], [], 8 * len(r.v) + 32 * k
         ids.append(r.i)
         rows.append(r.v)
-        if len(ids) == size:
-            yield np.array(ids), np.array(rows)
-            ids, rows = [], []
     if ids:
         yield np.array(ids), np.array(rows)
 
 
+def blocked_scan(rows: DataFrame, q_ids: np.ndarray, q: np.ndarray, k: int, digits: int | None, block: int) -> DataFrame:
+    """Each task's k best of every query, by matrix products of blocks of queries with batches of vectors."""
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, kept_ids = np.full((len(q_ids), k), -np.inf), np.full((len(q_ids), k), np.iinfo(np.int64).max)
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            if not len(ids):
+                continue
+            m = unit_rows(matrix(batch.column(1))).T
+            for start in range(0, len(q_ids), block):
+                part = slice(start, start + block)
+                scores = q[part] @ m
+                if digits is not None:
+                    scores = np.round(scores, digits) + 0.0
+                both = np.concatenate((kept[part], scores), 1), np.concatenate((kept_ids[part], np.broadcast_to(ids, scores.shape)), 1)
+                kept[part], kept_ids[part] = best_of_rows(*both, k)
+        real = kept > -np.inf
+        yield pa.record_batch({"query_id": np.repeat(q_ids, real.sum(1)), "id": kept_ids[real], "score": kept[real]})
+
+    return rows.mapInArrow(scan, "query_id long, id long, score double")
+
+
+def native_scan(rows: DataFrame, q_ids: np.ndarray, q: np.ndarray, k: int, digits: int | None, block: int) -> DataFrame:
+    """The same in column expressions, for sessions without Python workers: ``NATIVE_BLOCK`` queries in an expression.
+
+    A task's window keeps its k best of a query before anything shuffles.
+    """
+    out = None
+    unit = rows.select("id", normalised(F.col("v")).alias("v"))
+    for start in range(0, len(q_ids), NATIVE_BLOCK):
+        asked = [F.struct(F.lit(int(i)).alias("query_id"), F.aggregate(F.zip_with("v", F.array(*map(F.lit, v.tolist())), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x).alias("score")) for i, v in zip(q_ids[start : start + NATIVE_BLOCK], q[start : start + NATIVE_BLOCK], strict=True)]
+        part = unit.select("id", F.explode(F.array(*asked)).alias("x")).select(F.col("x.query_id").cast("long").alias("query_id"), "id", F.col("x.score").alias("score"))
+        out = part if out is None else out.unionByName(part)
+    return out.withColumn("score", F.round("score", digits) + F.lit(0.0)) if digits is not None else out
+
+
+STRATEGIES = {"blocked": blocked_scan, "native": native_scan}
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "id", vector: str = "embedding", query_id: str = "query_id",
-          query_vector: str = "embedding", digits: int | None = None, least: float | None = None, block: int = QUERY_BLOCK) -> DataFrame:
+          query_vector: str = "embedding", digits: int | None = None, least: float | None = None, block: int = QUERY_BLOCK,
+          strategy: str = "blocked", load_bytes: int = LOAD_BYTES) -> DataFrame:
     """The k nearest vectors of each query by cosine: query_id, id, score, rank (from 1; equal scores by id).
 
     ``digits`` rounds scores before they are ranked; ``least`` drops hits below it. Fewer than k vectors give fewer hits.
+    ``strategy``: matrix products in Arrow batches (``blocked``) or column expressions (``native``).
     """
     rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector).alias("v")).where("id is not null and v is not null")
-    found: DataFrame | None = None
-    for q_ids, q_rows in query_blocks(queries, query_id, query_vector, block):
-        q = unit_rows(q_rows)
-
-        def scan(batches: Iterable[pa.RecordBatch], q_ids: np.ndarray = q_ids, q: np.ndarray = q) -> Iterator[pa.RecordBatch]:
-            kept_ids: list[np.ndarray] = [np.zeros(0, np.int64)] * len(q_ids)
-            kept: list[np.ndarray] = [np.zeros(0)] * len(q_ids)
-            for batch in batches:
-                ids = batch.column(0).to_numpy()
-                m = matrix(batch.column(1))
-                if not len(ids):
-                    continue
-                scores = q @ unit_rows(m).T
-                if digits is not None:
-                    scores = np.round(scores, digits) + 0.0
-                for i in range(len(q_ids)):
-                    s, d = np.concatenate((kept[i], scores[i])), np.concatenate((kept_ids[i], ids))
-                    at = best_k(s, d, k)
-                    kept[i], kept_ids[i] = s[at], d[at]
-            n = [len(x) for x in kept]
-            yield pa.record_batch({"query_id": np.repeat(q_ids, n), "id": np.concatenate(kept_ids), "score": np.concatenate(kept)})
-
-        part = rows.mapInArrow(scan, "query_id long, id long, score double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return vectors.sparkSession.createDataFrame([], "query_id long, id long, score double, rank int")
-    if least is not None:
-        found = found.where(F.col("score") >= least)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+    def hits(load: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+        found = STRATEGIES[strategy](rows, load[0], unit_rows(load[1]), k, digits, block)
+        if least is not None:
+            found = found.where(F.col("score") >= least)
+        return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+    loads = query_loads(queries, query_id, query_vector, k, load_bytes)
+    first, second = next(loads, None), next(loads, None)
+    if first is None:
+        return vectors.sparkSession.createDataFrame([], "query_id long, id long, score double, rank int")
+    if second is None:
+        return hits(first)
+    out = cut(hits(first)).unionByName(cut(hits(second)))
+    for load in loads:
+        out = out.unionByName(cut(hits(load)))
+    return out
 
 
 def softmax(score: Column, by: str, scale: float = 100.0) -> Column:
@@ -150,17 +187,22 @@ ASCII_SPACE = dict.fromkeys(range(9, 14), " ")
 
 
 class VectorIndex:
-    """An append-only table of vectors with dense ids, in Parquet.
+    """An append-only table of vectors with dense ids, in Parquet, and a manifest of its dimension, model and count.
 
-    Appending never rewrites what is there. ``dedup`` leaves out chunks whose chunk_id the table has already.
+    Appending never rewrites what is there. ``dedup`` leaves out chunks whose chunk_id the table has already. Vectors of
+    another dimension, or of a model other than the manifest's, are refused before anything is written.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, model: str | None = None):
+        self.spark, self.path, self.model = spark, path.rstrip("/"), model
+
+    @property
+    def manifest_path(self) -> str:
+        return f"{self.path}_manifest"
 
-    def exists(self) -> bool:
+    def exists(self, path: str | None = None) -> bool:
         jvm = self.spark._jvm  # type: ignore[attr-defined]
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
+        p = jvm.org.apache.hadoop.fs.Path(path or self.path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)  # type: ignore[attr-defined]
 
     def load(self) -> DataFrame:
@@ -168,14 +210,33 @@ class VectorIndex:
             return self.spark.createDataFrame([], INDEX)
         return self.spark.read.schema(INDEX).parquet(self.path)
 
+    def manifest(self) -> Manifest:
+        if self.exists(self.manifest_path):
+            r = self.spark.read.schema(MANIFEST).parquet(self.manifest_path).first()
+            if r is not None:
+                return Manifest(r.dimension, r.model, r.count_)
+        have = self.load().agg(F.max(F.size("embedding")).alias("d"), F.count(F.lit(1)).alias("n")).first()
+        return Manifest(have.d, None, have.n)
+
+    def save_manifest(self, m: Manifest) -> None:
+        self.spark.createDataFrame([(m.dimension, m.model, m.count)], MANIFEST).coalesce(1).write.mode("overwrite").parquet(self.manifest_path)
+
     def insert(self, chunks: DataFrame, dedup: bool = False) -> int:
         """Append chunks (text, meta, chunk_id, source, embedding), blank texts left out; the number of new rows."""
-        have = self.load()
-        rows = with_index_ids(chunks.where(F.col("text").rlike(r"(?U)\S")) if not dedup else chunks.where(F.col("text").rlike(r"(?U)\S")).join(have.select("chunk_id"), "chunk_id", "left_anti"), self.next_id())
+        chunks = chunks.where(F.col("text").rlike(r"(?U)\S"))
+        if dedup:
+            chunks = chunks.join(self.load().select("chunk_id"), "chunk_id", "left_anti")
+        known = self.manifest()
+        rows = with_index_ids(chunks, self.next_id())  # written, so that what is counted is what is appended
+        new = rows.agg(F.count(F.lit(1)).alias("n"), F.min(F.size("embedding")).alias("lo"), F.max(F.size("embedding")).alias("hi")).first()
+        if new.n and {new.lo, new.hi} != {known.dimension or new.lo}:
+            raise ValueError(f"vectors of {new.lo} to {new.hi} dimensions for an index of {known.dimension or new.lo}")
+        if self.model and known.model and self.model != known.model:
+            raise ValueError(f"vectors of {self.model} for an index of {known.model}")
         rows = rows.withColumn("added_at", F.current_timestamp()).selectExpr(*[f.split()[0] for f in ("id", "embedding", "text", "meta", "chunk_id", "source", "added_at")])
-        before = have.count()
         rows.write.mode("append").parquet(self.path)
-        return self.load().count() - before
+        self.save_manifest(Manifest(known.dimension or new.lo, known.model or self.model, known.count + new.n))
+        return new.n
 
     def next_id(self) -> int:
         last = self.load().agg(F.max("id")).first()[0]
@@ -192,6 +253,37 @@ class VectorIndex:
 
     def clear(self) -> None:
         self.spark.createDataFrame([], INDEX).write.mode("overwrite").parquet(self.path)
+        self.save_manifest(Manifest(None, None, 0))
+
+    def export(self, path: str) -> VectorIndex:
+        """A copy of table and manifest at another path."""
+        copy = VectorIndex(self.spark, path, self.model)
+        self.load().write.mode("overwrite").parquet(copy.path)
+        copy.save_manifest(self.manifest())
+        return copy
+
+    @classmethod
+    def opened(cls, spark: SparkSession, path: str) -> VectorIndex:
+        """The index saved at ``path``; an error if there is none or its rows aren't those of its manifest."""
+        index = cls(spark, path)
+        if not index.exists() or not index.exists(index.manifest_path):
+            raise FileNotFoundError(path)
+        m = index.manifest()
+        have = index.load().agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
+        if (have.n, have.d) != (m.count, m.dimension if m.count else None):
+            raise ValueError(f"{path} has {have.n} rows of {have.d} dimensions, its manifest {m.count} of {m.dimension}")
+        index.model = m.model
+        return index
+
+
+MANIFEST = "dimension int, model string, count_ long"
+
+
+@dataclass(frozen=True)
+class Manifest:
+    dimension: int | None
+    model: str | None
+    count: int
 
 
 def with_index_ids(rows: DataFrame, base: int = 0, order: str = "chunk_id", id_column: str = "id") -> DataFrame:

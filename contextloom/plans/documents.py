@@ -163,11 +163,26 @@ UNION ALL SELECT path, 3, 'class', 'K' || doc_id, 3 + extra, 3 + extra FROM n"""
 
 
 def chunk_pack_overlap(spark: SparkSession, d: str) -> DataFrame:
-    """Lines packed with overlap; a chunk's size depends on the one before, so SQL has no plain form."""
+    """Lines packed with overlap; a chunk's size depends on the one before."""
     rows = C.chunked(files(spark, d), F.lit("packed"))
     return rows.select("path", "idx", "meta.start_line", "meta.end_line", F.md5("text").alias("text_md5"))
 
 
+SQL["chunk_pack_overlap"] = sql(
+    "RECURSIVE " + FILES,
+    "lines AS (SELECT path, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS i FROM files)",
+    "sums AS (SELECT *, sum(length(line)) OVER (PARTITION BY path ORDER BY i) AS upto, count(*) OVER (PARTITION BY path) AS n FROM lines)",
+    # first: the line that the open chunk begins with; from_line and to_line: the chunk that this line has closed
+    """pack(path, i, first, from_line, to_line) AS (SELECT path, 1::BIGINT, 1::BIGINT, NULL::BIGINT, NULL::BIGINT FROM sums WHERE i = 1
+  UNION ALL SELECT path, i, CASE WHEN full_ THEN greatest(first, i - 5) ELSE first END, CASE WHEN full_ THEN first END, CASE WHEN full_ THEN i - 1 END
+  FROM (SELECT p.path, s.i, p.first, s.upto - b.upto + length(b.line) > 1000 AS full_ FROM pack p JOIN sums s ON s.path = p.path AND s.i = p.i + 1 JOIN sums b ON b.path = p.path AND b.i = p.first))""",
+    "closed AS (SELECT path, from_line, to_line FROM pack WHERE to_line IS NOT NULL UNION ALL SELECT p.path, p.first, p.i FROM pack p JOIN sums s ON s.path = p.path AND s.i = p.i AND s.i = s.n)",
+    """texts AS (SELECT c.path, c.from_line, c.to_line, regexp_replace(string_agg(l.line, chr(10) ORDER BY l.i), '^[\\s\\x0B\\x1C-\\x1F\\x85\\xA0]+|[\\s\\x0B\\x1C-\\x1F\\x85\\xA0]+$', '', 'g') AS text
+  FROM closed c JOIN lines l ON l.path = c.path AND l.i BETWEEN c.from_line AND c.to_line GROUP BY ALL)""",
+    body="SELECT path, (row_number() OVER (PARTITION BY path ORDER BY to_line, from_line) - 1)::INT AS idx, from_line::INT AS start_line, to_line::INT AS end_line, md5(text) AS text_md5 FROM texts",
+)
+
+
 def detect_language(spark: SparkSession, d: str) -> DataFrame:
     ext = X.file_extension(F.col("path"))
     return files(spark, d).select("path", X.language_of(F.col("path")).alias("language"), (~ext.isin("py", "js", "jsx", "ts", "tsx", "md", "markdown")).alias("is_default"))
@@ -183,12 +198,23 @@ def glob_include_filter(spark: SparkSession, d: str) -> DataFrame:
 SQL["glob_include_filter"] = sql(FILES, body="SELECT path, size FROM files WHERE " + " OR ".join(f"path GLOB '{p}'" for p in INCLUDE))
 
 
+DISGUISES = ("node_modules/a.js", "lib/node_modules/a.js", "my-secret.txt", "db_password", "a.min.js", "build/x", "src/build/x", ".env", "b.env.ts", "Thumbs.db", "UPPER.PNG", "x.pyc", "key.pem", "dist", "keys")
+
+
+def disguised(rows: DataFrame) -> DataFrame:
+    name = F.element_at(F.array(*map(F.lit, DISGUISES)), (F.col("doc_id") % len(DISGUISES) + 1).cast("int"))
+    return rows.withColumn("path", F.when(F.col("doc_id") % 3 == 0, name).otherwise(F.col("path")))
+
+
+DISGUISED = "disguised AS (SELECT CASE WHEN doc_id % 3 = 0 THEN ([" + ", ".join(f"'{x}'" for x in DISGUISES) + f"])[doc_id % {len(DISGUISES)} + 1] ELSE path END AS path, size FROM files)"
+
+
 def glob_exclude_filter(spark: SparkSession, d: str) -> DataFrame:
-    """Default exclusions and some that name sources."""
-    return files(spark, d).where(~F.col("path").rlike(X.glob_regex([*EXCLUDE, "src1/*", "*7.md"]))).select("path", "size")
+    """Default exclusions and some that name sources, on paths of which every third has a name that a default one knows."""
+    return disguised(files(spark, d)).where(~F.col("path").rlike(X.glob_regex([*EXCLUDE, "src1/*", "*7.md"]))).select("path", "size")
 
 
-SQL["glob_exclude_filter"] = sql(FILES, body="SELECT path, size FROM files WHERE NOT (regexp_matches(path, '^src1/.*$') OR path LIKE '%7.md' OR path LIKE '%.png')")
+SQL["glob_exclude_filter"] = sql(FILES, DISGUISED, body="SELECT path, size FROM disguised WHERE NOT (" + " OR ".join(f"path GLOB '{p}'" for p in (*EXCLUDE, "src1/*", "*7.md")) + ")")
 
 
 def doc_size_gate(spark: SparkSession, d: str) -> DataFrame:
@@ -247,6 +273,7 @@ def mask_secrets(spark: SparkSession, d: str) -> DataFrame:
     return files(spark, d).select("doc_id", F.md5(X.masked_secrets(t)).alias("masked_md5"), (X.masked_secrets(t) != t).alias("changed"))
 
 
+# Shapes of secrets and their masks, as in ``functions.text``.
 SQL["mask_secrets"] = sql(
     FILES,
     "t AS (SELECT doc_id, replace(content, 'token = \"', 'api_key = \"') AS t FROM files)",

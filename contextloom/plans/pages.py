@@ -161,10 +161,55 @@ SQL["health_rollup"] = sql(
     body="SELECT service, CASE WHEN bool_or(status = 'unhealthy') THEN 'degraded' WHEN bool_and(status IN ('healthy', 'disabled')) THEN 'healthy' ELSE 'unknown' END AS health FROM s GROUP BY service",
 )
 
+def request_clients(spark: SparkSession, d: str) -> DataFrame:
+    """Clients of requests: customers behind proxies, some without one."""
+    n = F.col("c_custkey")
+    forwarded = F.when(n % 4 == 0, F.concat(F.lit(" 10.0.0."), (n % 250).cast("string"), F.lit(" , 172.16.0.1"))).when(n % 4 == 1, F.lit("")).when(n % 4 == 2, F.concat(F.lit("192.168.1."), (n % 250).cast("string")))
+    return table(spark, d, "customer").select("c_custkey", X.first_hop(forwarded, F.concat(F.lit("peer"), n.cast("string"))).alias("client"))
+
+
+SQL["request_clients"] = """SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN '10.0.0.' || c_custkey % 250 WHEN 2 THEN '192.168.1.' || c_custkey % 250 ELSE 'peer' || c_custkey END AS client FROM customer"""
+
+
+def repository_names(spark: SparkSession, d: str) -> DataFrame:
+    """Owner and name from the addresses of repositories, in their several shapes."""
+    n = F.col("s_suppkey").cast("string")
+    url = F.element_at(F.array(F.concat(F.lit("https://git.example.com/owner"), n, F.lit("/repo.git")), F.concat(F.lit("git@git.example.com:o"), n, F.lit("/my.repo")), F.concat(F.lit("https://git.example.com/a/b"), n, F.lit("/")), F.lit("no address")), (F.col("s_suppkey") % 4 + 1).cast("int"))
+    return table(spark, d, "supplier").select("s_suppkey", X.repository_of(url).alias("r")).select("s_suppkey", "r.owner", "r.name")
+
+
+SQL["repository_names"] = """SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'owner' || s_suppkey WHEN 1 THEN 'o' || s_suppkey WHEN 2 THEN 'a' ELSE '' END AS owner,
+CASE s_suppkey % 4 WHEN 0 THEN 'repo' WHEN 1 THEN 'my.repo' WHEN 2 THEN 'b' || s_suppkey ELSE '' END AS name FROM supplier"""
+
+
+def repository_health(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as repositories: what is wrong with each, and what to do."""
+    k = F.col("s_suppkey")
+    branches = F.when(k % 11 != 0, k % 23)
+    found = X.repository_health(k % 3, k % 5, F.when(k % 7 > 0, k % 4), F.when(k % 7 > 0, k % 6), branches)
+    return table(spark, d, "supplier").select("s_suppkey", found.alias("h")).select("s_suppkey", F.array_join("h.issues", "; ").alias("issues"), F.array_join("h.suggestions", "; ").alias("suggestions"))
+
+
+_COUNTS = {"uncommitted": "s_suppkey % 3", "untracked": "s_suppkey % 5", "ahead": "CASE WHEN s_suppkey % 7 > 0 THEN s_suppkey % 4 END", "behind": "CASE WHEN s_suppkey % 7 > 0 THEN s_suppkey % 6 END"}
+SQL["repository_health"] = f"""SELECT s_suppkey, array_to_string(list_filter([{", ".join(f"CASE WHEN {_COUNTS[k]} > 0 THEN ({_COUNTS[k]}) || ' {said}' END" for k, said, _ in X.HEALTH)}], lambda x: x IS NOT NULL), '; ') AS issues,
+array_to_string(list_filter([{", ".join(f"CASE WHEN {_COUNTS[k]} > 0 THEN '{what}' END" for k, _, what in X.HEALTH)}, CASE WHEN s_suppkey % 11 <> 0 AND s_suppkey % 23 > 10 THEN '{X.TOO_MANY}' END], lambda x: x IS NOT NULL), '; ') AS suggestions FROM supplier"""
+
+
+def upload_types(spark: SparkSession, d: str) -> DataFrame:
+    """Types of uploads that a list with wildcards allows, and lists that may be broken JSON."""
+    mime = F.element_at(F.array(*map(F.lit, ("text/plain", "image/png", "application/pdf", "application/x-sh", "textual/x", "imag"))), (F.col("p_partkey") % 6 + 1).cast("int"))
+    listed = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit('["'), mime, F.lit('","b"]'))).otherwise(F.concat(F.lit("say "), mime))
+    return table(spark, d, "part").select("p_partkey", X.mime_allowed(mime, ("text/*", "image/*", "application/pdf")).alias("allowed"), F.array_join(X.json_list_or_text(listed), "|").alias("items"))
+
+
+SQL["upload_types"] = """WITH m AS (SELECT p_partkey, (['text/plain','image/png','application/pdf','application/x-sh','textual/x','imag'])[p_partkey % 6 + 1] AS mime FROM part)
+SELECT p_partkey, mime LIKE 'text/%' OR mime LIKE 'image/%' OR mime = 'application/pdf' AS allowed, CASE WHEN p_partkey % 2 = 0 THEN mime || '|b' ELSE 'say ' || mime END AS items FROM m"""
+
 QUERIES = {
     f.__name__: f
     for f in (
         html_title, html_text, page_parsed, url_host, page_cache_key, page_cache_hit_miss, page_cache_stats, page_fetch_size_gate, robots_gate,
         domain_spacing, web_results_normalise, rag_format_web, provider_fallback, adapter_fallback, health_rollup,
+        request_clients, repository_names, repository_health, upload_types,
     )
 }

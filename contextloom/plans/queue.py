@@ -169,6 +169,19 @@ def task_assignment_pass(spark: SparkSession, d: str) -> DataFrame:
     return T.assignment_pass(tasks(spark, d), agents(spark, d))
 
 
+SQL["task_assignment_pass"] = sql(
+    "RECURSIVE " + TASKS, AGENTS,
+    "a AS (SELECT agent_id, capabilities AS c, row_number() OVER (ORDER BY registered_at, agent_id) AS k FROM agents WHERE status = 'online' AND current_tasks < max_concurrent_tasks)",
+    "w AS (SELECT task_id, required_capabilities AS r, row_number() OVER (ORDER BY priority DESC, created_at, task_id) AS p FROM tasks WHERE status = 'queued')",
+    "q AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY p) AS n FROM w QUALIFY n <= (SELECT count(*) FROM a))",
+    """s(k, agent_id, p, taken) AS (SELECT 0::BIGINT, NULL::BIGINT, NULL::BIGINT, []::BIGINT[]
+  UNION ALL SELECT a.k, a.agent_id, min(q.p), list_append(s.taken, coalesce(min(q.p), -1))
+  FROM s JOIN a ON a.k = s.k + 1 LEFT JOIN q ON (len(q.r) = 0 OR len(a.c) = 0 OR list_has_all(a.c, q.r)) AND NOT list_contains(s.taken, q.p)
+  GROUP BY a.k, a.agent_id, s.taken)""",
+    body="SELECT w.task_id, s.agent_id FROM s JOIN w ON w.p = s.p",
+)
+
+
 def last_heartbeat(spark: SparkSession, d: str) -> DataFrame:
     return T.last_state(table(spark, d, "events"), "user_id", "ts", "event_id", "event_type")
 
@@ -195,10 +208,17 @@ SQL["request_rate_1m"] = "SELECT event_id, count(*) OVER (PARTITION BY user_id O
 
 
 def rate_limit_decisions(spark: SparkSession, d: str) -> DataFrame:
-    """Three requests in ten hours: each decision depends on those before, so SQL has no plain form."""
+    """Three requests in ten hours: each decision depends on those before."""
     return L.rate_decisions(table(spark, d, "events"), "user_id", "ts", "event_id", 3, 36_000)
 
 
+SQL["rate_limit_decisions"] = """WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS k FROM events),
+s(client, k, request_id, allowed, log) AS (SELECT user_id, k, event_id, true, [t] FROM o WHERE k = 1
+  UNION ALL SELECT client, k, event_id, len(recent) < 3, CASE WHEN len(recent) < 3 THEN list_append(recent, t) ELSE recent END
+  FROM (SELECT s.client, o.k, o.event_id, o.t, list_filter(s.log, lambda x: x > o.t - 36000000000) AS recent FROM s JOIN o ON o.user_id = s.client AND o.k = s.k + 1))
+SELECT client, request_id, allowed FROM s"""
+
+
 def events_tumbling(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return E.tumbling(rows).withColumn("start", F.col("start").cast("timestamp_ntz"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from xml.etree import ElementTree
 
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from contextloom.functions.text import file_extension, glob_regex, mime_allowed
+from contextloom.storage import cut
 
 # What is read and what is left out by default.
 INCLUDE = "*.py *.js *.jsx *.ts *.tsx *.md *.markdown *.txt *.json *.yaml *.yml *.toml *.cfg *.ini".split()
@@ -78,10 +79,26 @@ def decode(content: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 
 def read_files(spark: SparkSession, options: ScanOptions) -> DataFrame:
-    """path, content, size, modified_time, encoding; unreadable files are left out, the first ``max_files`` by path stay."""
-    rows = raw_files(spark, options).select("path", decode("content").alias("d"), F.col("length").alias("size"), F.col("modificationTime").alias("modified_time"))
-    rows = rows.where("d.text is not null").select("path", F.col("d.text").alias("content"), "size", "modified_time", F.col("d.encoding").alias("encoding"))
-    return rows.orderBy("path").limit(options.max_files) if options.max_files is not None else rows
+    """path, content, size, modified_time, encoding; unreadable files are left out, the first ``max_files`` by path stay.
+
+    The first ones are found among names, written, and their contents read afterwards: a few more than ``max_files`` only
+    if some of them turn out unreadable.
+    """
+    rows = raw_files(spark, options)
+    if options.max_files is not None:
+        listed = cut(rows.select("path").orderBy("path").limit(options.max_files))
+        found = decoded(rows.join(F.broadcast(listed), "path"))
+        if listed.count() == options.max_files and (short := options.max_files - found.count()):
+            last = listed.agg(F.max("path")).first()[0]
+            more = decoded(rows.where(F.col("path") > last)).orderBy("path").limit(short)
+            return found.unionByName(more)
+        return found
+    return decoded(rows)
+
+
+def decoded(rows: DataFrame) -> DataFrame:
+    out = rows.select("path", decode("content").alias("d"), F.col("length").alias("size"), F.col("modificationTime").alias("modified_time"))
+    return out.where("d.text is not null").select("path", F.col("d.text").alias("content"), "size", "modified_time", F.col("d.encoding").alias("encoding"))
 
 
 def list_files(spark: SparkSession, options: ScanOptions) -> DataFrame:
@@ -139,6 +156,36 @@ def image_facts(raw: bytes) -> str:
     return ""
 
 
+Tier = Callable[[bytes], Mapping[str, float]]
+
+
+def image_description(tiers: Sequence[Tier] = (), top: int = 3) -> Callable[[Column], Column]:
+    """A column function that describes images: their header's facts and the ``top`` labels of the first tier that answers.
+
+    A tier is a model: it takes an image's bytes and gives probabilities of labels; one that fails or knows nothing passes
+    the image on to the next. Without any answer the facts alone describe it; what is no image has no description.
+    """
+    chosen = list(tiers)
+
+    @F.pandas_udf(T.StringType())
+    def describe(content: pd.Series) -> pd.Series:
+        def one(raw: bytes | None) -> str | None:
+            if raw is None or not (facts := image_facts(bytes(raw))):
+                return None
+            for tier in chosen:
+                try:
+                    found = sorted(tier(bytes(raw)).items(), key=lambda x: (-x[1], x[0]))[:top]
+                except Exception:  # a model may fail in any way; the next one is asked
+                    continue
+                if found:
+                    return f"{facts}: " + ", ".join(f"{label} ({p:.1%})" for label, p in found)
+            return facts
+
+        return pd.Series([one(r) for r in content], dtype=object)
+
+    return describe
+
+
 @F.pandas_udf(T.StringType())
 def upload_text(content: pd.Series, mime: pd.Series) -> pd.Series:
     def one(raw: bytes | None, kind: str | None) -> str | None:
@@ -156,10 +203,15 @@ def upload_text(content: pd.Series, mime: pd.Series) -> pd.Series:
     return pd.Series([one(r, k) for r, k in zip(content, mime, strict=True)], dtype=object)
 
 
-def uploads(files: DataFrame, content: str = "content", mime: str = "mime", allowed: Sequence[str] = ("text/*", "image/*", "application/pdf", "application/json", DOCX)) -> DataFrame:
-    """Uploaded files with id, base64 data and extracted text; what is too large or of another type is left out."""
+def uploads(files: DataFrame, content: str = "content", mime: str = "mime", allowed: Sequence[str] = ("text/*", "image/*", "application/pdf", "application/json", DOCX),
+            image_tiers: Sequence[Tier] = ()) -> DataFrame:
+    """Uploaded files with id, base64 data and extracted text; what is too large or of another type is left out.
+
+    Images are described by the ``image_tiers``, in their order.
+    """
     rows = files.where((F.octet_length(content) <= MAX_UPLOAD) & mime_allowed(F.col(mime), allowed))
     return rows.withColumns({
         "id": F.concat(F.lit("file_"), F.substring(F.md5(content), 1, 8)), "size": F.octet_length(content),
-        "data": F.base64(content), "extracted_text": upload_text(F.col(content), F.col(mime)),
+        "data": F.base64(content),
+        "extracted_text": F.when(F.col(mime).startswith("image/"), F.coalesce(image_description(image_tiers)(F.col(content)), F.lit(""))).otherwise(upload_text(F.col(content), F.col(mime))),
     })

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -85,3 +85,29 @@ def feed(updates: DataFrame, snapshot: Callable[[DataFrame, int], None], every:
     """A subscription: ``snapshot(batch, number)`` gets each batch of updates; the stream's checkpoint makes it resume."""
     writer = updates.writeStream.foreachBatch(snapshot).trigger(processingTime=every)
     return (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
+
+
+class Callbacks:
+    """What to call when a task ends: each once, on the driver, and an error in one hurts no other.
+
+    A stream of states (task_id, status, ...) is heard with ``feed(states, callbacks.deliver)``. Only rows of tasks that
+    someone waits for come to the driver.
+    """
+
+    def __init__(self, terminal: Sequence[str] = ("completed", "failed", "cancelled")):
+        self.terminal, self.waiting, self.errors = tuple(terminal), {}, []  # type: ignore[var-annotated]
+
+    def add(self, task_id: int, callback: Callable[[Row], None]) -> None:
+        self.waiting.setdefault(task_id, []).append(callback)
+
+    def deliver(self, states: DataFrame, number: int = 0) -> None:
+        if not self.waiting:
+            return
+        asked = states.sparkSession.createDataFrame([(i,) for i in self.waiting], "task_id long")
+        ended = states.where(F.col("status").isin(*self.terminal)).join(F.broadcast(asked), "task_id")
+        for row in ended.collect():  # at most a row for each task and state that is waited for
+            for callback in self.waiting.pop(row.task_id, ()):
+                try:
+                    callback(row)
+                except Exception as e:  # a callback may fail in any way
+                    self.errors.append((row.task_id, e))

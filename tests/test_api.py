@@ -82,3 +82,68 @@ def test_handlers_and_state(spark, tmp_path):
     G.save_state(tasks.where("task_id = 1").withColumn("payload", F.lit("z")), "task_id", path)
     rows = G.load_state(spark.read.parquet(path), "task_id", "task_type string, payload string").collect()
     assert {r.task_id: r.payload for r in rows} == {1: "z", 2: "b", 3: "c"}
+
+
+def test_chunkers_are_registered_by_suffix(spark):
+    from contextloom.operators import chunking as C
+
+    files = spark.createDataFrame([("a.ini", "[x]\na=1\n[y]\nb=2"), ("b.TS", "function f(x) { }"), ("c.py", "x = 1")], "path string, content string")
+    kinds = lambda: {r.path: r.language for r in C.chunked(files).select("path", "meta.language").distinct().collect()}
+    assert kinds() == {"a.ini": "javascript", "b.TS": "javascript", "c.py": "python"}
+
+    def sections(content):
+        lines = content.split("\n")
+        return [("section", i + 1, i + 1, x, {"name": x.strip("[]")}) for i, x in enumerate(lines) if x.startswith("[")]
+
+    C.register("ini", sections, ".INI", ".cfg")
+    C.register("mine", sections, ".py")
+    try:
+        assert kinds() == {"a.ini": "ini", "b.TS": "javascript"} and C.supported_suffixes()["ini"] == [".cfg", ".ini"]
+        assert [r.name for r in C.chunked(files).where("path = 'a.ini'").orderBy("idx").select("meta.name").collect()] == ["x", "y"]
+        with pytest.raises(ValueError):
+            C.register("bad", sections, "ini")
+    finally:
+        C.unregister("ini")
+        C.unregister("mine")
+    assert kinds() == {"a.ini": "javascript", "b.TS": "javascript", "c.py": "python"}
+
+
+def test_a_timeout_cancels_the_jobs(spark):
+    import time
+
+    slow = spark.range(0, 4, 1, 4).mapInArrow(lambda batches: (time.sleep(30) or b for b in batches), "id long")
+    began = time.perf_counter()
+    with pytest.raises(TimeoutError):
+        G.within(spark, 1.5, slow.count)
+    assert time.perf_counter() - began < 15
+    assert G.within(spark, 60, lambda: spark.range(5).count()) == 5
+    with pytest.raises(ZeroDivisionError):
+        G.within(spark, 60, lambda: 1 / 0)
+
+
+def test_task_store(spark, tmp_path):
+    store = G.TaskStore(spark, str(tmp_path / "tasks"), capacity=4)
+    assert store.rows().count() == 0
+    tasks = spark.createDataFrame([(1, 1, "2024-01-01 00:00:00"), (2, 10, "2024-01-01 00:00:02"), (3, 10, "2024-01-01 00:00:01")], "task_id long, priority int, created_at string")
+    assert store.submit(tasks) == 3
+    with pytest.raises(OverflowError):
+        store.submit(tasks.limit(2).selectExpr("task_id + 10 as task_id", "priority", "created_at"))
+    assert [r.task_id for r in store.take(2, 7, "2024-01-01 00:01:00").orderBy("created_at").collect()] == [3, 2]
+    again = G.TaskStore(spark, store.path)
+    again.finish(spark.createDataFrame([(3, "ok", None), (2, None, "bad")], "task_id long, result string, error string"), "2024-01-01 00:02:00")
+    assert {r.task_id: (r.status, r.agent_id, r.result, r.error) for r in store.rows().collect()} == {1: ("queued", None, None, None), 2: ("failed", 7, None, "bad"), 3: ("completed", 7, "ok", None)}
+    assert store.cancel(tasks, "2024-01-01 00:03:00") == 1 and store.rows().where("status = 'cancelled'").first().task_id == 1
+    store.compact()
+    assert store.rows().count() == 3 and store.clean("2024-01-02 00:02:30") == 2 and [r.task_id for r in store.rows().collect()] == [1]
+
+
+def test_agent_store(spark, tmp_path):
+    store = G.AgentStore(spark, str(tmp_path / "agents"))
+    ts = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    store.put(spark.createDataFrame([(1, "a", ["code"], "online"), (2, "b", [], "busy"), (3, "c", [], "online")], "agent_id long, name string, capabilities array<string>, status string").withColumns({"last_heartbeat": ts, "current_tasks": F.lit(0), "max_concurrent_tasks": F.lit(5)}))
+    beats = spark.createDataFrame([(1, "online", 2, "2024-01-01 00:00:40"), (1, "busy", 1, "2024-01-01 00:00:20"), (9, "online", 0, "2024-01-01 00:00:40")], "agent_id long, status string, current_tasks int, at string")
+    store.heartbeat(beats)
+    assert store.expire("2024-01-01 00:00:50") == 1
+    assert {r.agent_id: (r.status, r.current_tasks, r.capabilities) for r in store.rows().collect()} == {1: ("online", 2, ["code"]), 2: ("busy", 0, []), 3: ("unhealthy", 0, [])}
+    store.remove(spark.createDataFrame([(2,)], "agent_id long"))
+    assert store.rows().count() == 2

@@ -37,6 +37,10 @@ def test_top_k_equals_brute_force(spark):
     assert V.top_k(vectors(spark, m[:3]), q, 7).count() == 15
     assert V.top_k(vectors(spark, m[:0]), q, 7).count() == 0
     assert V.top_k(vectors(spark, m), q.limit(0), 7).count() == 0
+    one = V.top_k(vectors(spark, m).repartition(3), q, 7, digits=6)
+    key = lambda df: sorted((r.query_id, r["rank"], r.id, round(r.score, 9)) for r in df.collect())
+    for other in ({"strategy": "native"}, {"load_bytes": 700}, {"strategy": "native", "load_bytes": 1}):  # several scans
+        assert key(V.top_k(vectors(spark, m).repartition(3), q, 7, digits=6, **other)) == key(one)
 
 
 def test_index(spark, tmp_path):
@@ -57,6 +61,28 @@ def test_index(spark, tmp_path):
     assert index.load().count() == 0
 
 
+def test_index_manifest(spark, tmp_path):
+    meta = F.lit(None).cast(V.INDEX.split("meta ")[1].split(", chunk_id")[0]).alias("meta")
+    rows = lambda n, dim: spark.range(n).select(F.concat(F.lit("c"), "id").alias("chunk_id"), F.lit("text").alias("text"), F.array(*[F.lit(1.0).cast("float")] * dim).alias("embedding"), meta, F.lit("s").alias("source"))
+    index = V.VectorIndex(spark, str(tmp_path / "index"), "words")
+    assert index.insert(rows(3, 4)) == 3 and index.manifest() == V.Manifest(4, "words", 3)
+    with pytest.raises(ValueError, match="dimensions"):
+        index.insert(rows(2, 5))
+    with pytest.raises(ValueError, match="dimensions"):
+        index.insert(rows(2, 4).unionByName(rows(1, 3)))
+    with pytest.raises(ValueError, match="other"):
+        V.VectorIndex(spark, index.path, "other").insert(rows(1, 4))
+    assert index.load().count() == 3
+    index.export(str(tmp_path / "copy"))
+    copy = V.VectorIndex.opened(spark, str(tmp_path / "copy"))
+    assert copy.model == "words" and copy.insert(rows(1, 4)) == 1 and copy.manifest().count == 4 and index.load().count() == 3
+    copy.load().limit(2).write.mode("append").parquet(copy.path)
+    with pytest.raises(ValueError, match="manifest"):
+        V.VectorIndex.opened(spark, copy.path)
+    with pytest.raises(FileNotFoundError):
+        V.VectorIndex.opened(spark, str(tmp_path / "none"))
+
+
 def test_dense_ids_over_partitions(spark):
     rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k")).repartition(7)
     out = V.with_index_ids(rows, 10, "k").collect()
@@ -146,6 +172,17 @@ def test_limiter_equals_a_fold(spark):
             log.append(m)
 
 
+def test_spacing_of_a_hot_domain_over_partitions(spark):
+    rng = np.random.default_rng(5)
+    rows = [(0 if i % 3 else int(rng.integers(1, 5)), int(t), i) for i, t in enumerate(rng.integers(0, 400_000_000, 900))]
+    df = spark.createDataFrame([(None if d == 4 else d, t, i) for d, t, i in rows], "d long, t long, i long").withColumn("t", F.timestamp_micros("t")).repartition(5)
+    got = {r.i: r.sent_micros for r in L.spaced(df, "d", "t", "i").collect()}
+    last: dict[int, int] = {}
+    for d, t, i in sorted(rows):
+        last[d] = max(t, last.get(d, -10**9) + 1_000_000)
+        assert got[i] == last[d]
+
+
 def test_spacing_equals_a_fold(spark):
     rows = [(0, 0.0, 0), (0, 0.2, 1), (0, 0.3, 2), (0, 9.0, 3), (1, 5.0, 4)]
     df = spark.createDataFrame(rows, "d long, t double, i long").withColumn("t", F.timestamp_micros((F.col("t") * 1e6).cast("long")))
@@ -162,6 +199,8 @@ def test_files(spark, tmp_path):
     assert {r.path: r.extension for r in S.list_files(spark, S.ScanOptions(str(tmp_path))).collect()} == {"a.py": "py", "sub/b.md": "md", "big.txt": "txt"}
     assert [r.path for r in S.read_files(spark, S.ScanOptions(str(tmp_path), max_files=1)).collect()] == ["a.py"]
     assert {r.path for r in S.list_files(spark, S.ScanOptions(str(tmp_path), recursive=False)).collect()} == {"a.py", "big.txt"}
+    (tmp_path / "a.md").write_bytes(b"one")
+    assert [r.path for r in S.read_files(spark, S.ScanOptions(str(tmp_path), max_files=2)).orderBy("path").collect()] == ["a.md", "a.py"]
     with pytest.raises(ValueError):
         S.ScanOptions("a/../b")
 
@@ -178,6 +217,22 @@ def test_uploads(spark):
     assert out["c"].data == "aGk=" and out["c"].id.startswith("file_")
 
 
+def test_images_by_tiers(spark):
+    png = b"\x89PNG\r\n\x1a\n" + b"\0" * 8 + (3).to_bytes(4, "big") + (4).to_bytes(4, "big")
+
+    def broken(raw):
+        raise RuntimeError("no model")
+
+    def labels(raw):
+        return {"a chart": 0.6, "a table": 0.3, "code": 0.06, "text": 0.04} if len(raw) == len(png) else {}
+
+    df = spark.createDataFrame([("a", bytearray(png)), ("b", bytearray(png + b"x")), ("c", bytearray(b"no image")), ("d", None)], "name string, content binary")
+    got = {r.name: r.d for r in df.select("name", S.image_description([broken, labels])(F.col("content")).alias("d")).collect()}
+    assert got == {"a": "png 3x4: a chart (60.0%), a table (30.0%), code (6.0%)", "b": "png 3x4", "c": None, "d": None}
+    up = spark.createDataFrame([("a", bytearray(png), "image/png")], "name string, content binary, mime string")
+    assert S.uploads(up, image_tiers=[labels]).first().extracted_text.endswith("code (6.0%)")
+
+
 def test_pages():
     title, text = W.parsed_page("<html><head><title> T &amp; U</title><style>p{}</style></head><body><p>a  b</p>\n<script>x</script> c</body>")
     assert (title, text) == ("T & U", "T & Ua b c")  # neighbouring texts are not parted
@@ -237,3 +292,18 @@ def test_page_parsed_has_every_page(spark, tmp_path):
     spark.createDataFrame(rows, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = {r.page_id: (r.title, r.content_length) for r in pages.page_parsed(spark, str(tmp_path)).collect()}
     assert got == {1: ("t", 1_500_000), 2: ("", 1), 3: ("", 0)}
+
+
+def test_callbacks_are_called_once(spark):
+    heard, calls = [], E.Callbacks()
+
+    def broken(row):
+        raise RuntimeError("no")
+
+    for task in (1, 2, 3):
+        calls.add(task, lambda r: heard.append((r.task_id, r.status)))
+    calls.add(1, broken)
+    states = spark.createDataFrame([(1, "completed"), (2, "running"), (4, "failed")], "task_id long, status string")
+    calls.deliver(states)
+    calls.deliver(states)
+    assert heard == [(1, "completed")] and [i for i, _ in calls.errors] == [1] and set(calls.waiting) == {2, 3}
