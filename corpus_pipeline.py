@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from contextloom.llm import decontaminate, exact_dedup, ngram_jaccard, packing, quality
-from contextloom.llm.common import cut, table
+from contextloom.llm.common import cut, release, scratch, table
 from contextloom.llm.queries import added_tokens, vocabulary
 
 
@@ -49,8 +49,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each one's result is written to the shared folder and read again."""
+    """All stages over the documents; each one's result is written to the shared folder and read again.
+
+    Once it is written, what the stage read and wrote on the way is deleted, so the folder holds one stage at a time.
+    """
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir))
+        with scratch(spark) as made:
+            done = cut(stage(spark, docs, sf_dir))
+            made.keep(done)
+        release(docs)
+        docs = done
     return docs
