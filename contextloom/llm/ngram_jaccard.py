@@ -11,9 +11,12 @@ larger pair, none of the ``KEYS`` smallest hashes of the union is shared with a
 at most, as small as that of two shingles having one hash.
 
 Pairs. In a first round each tile pairs its members with one pivot only: the member whose keys the most others share,
-so the one in the middle of a group of copies. That links large groups with pairs in proportion to their size. Components of those links are found; in a second round tiles that
-still hold more than one component give all pairs across components that sizes and bitmaps allow. Pairs within a
-component need no look. In a bitmap every shingle sets one bit; a bit that only one of two sets has stands for at least
+so the one in the middle of a group of copies. That links large groups with pairs in proportion to their size. Components
+of those links are found; in a second round tiles that still hold more than one component give all pairs across
+components that sizes and bitmaps allow. Pairs within a component need no look. Tiles of more than ``CELL`` classes that
+are still mixed then are those of passages which otherwise different documents share. Their members are tiled anew by
+exact prefixes in the order of rarity (``rare_tiles``), where common shingles come last, so work grows with the members
+and not with their square. Only documents of which such passages make up three quarters or more still meet there. In a bitmap every shingle sets one bit; a bit that only one of two sets has stands for at least
 one shingle of its own, which bounds the overlap from above. Pairs that pass meet their sorted arrays, made anew from
 the texts of just those documents, and are intersected exactly.
 
@@ -44,6 +47,7 @@ CELL = 2048
 PIVOTS, LARGE_TILE = 4, 256
 SMALL_BITS, LARGE_BITS = 8, 13  # bitmaps have 2 ** 8 to 2 ** 13 bits
 BITS_PER_SHINGLE = 4
+SLOT_BITS, SLOT_LOAD, SLOT_BLOCK = 24, 16, 1 << 14  # the table of frequencies has at most 2 ** 24 slots, 16 shingles in each if it may
 
 
 class WordHashes(dict):
@@ -244,6 +248,81 @@ def cross_pairs(tiles: DataFrame, percent: int) -> DataFrame:
     return ready.mapInArrow(compare, "a long, b long").distinct()
 
 
+def shingle_levels(rows: Rows, text: str, members: DataFrame) -> np.ndarray:
+    """How common shingles are in the texts of ``members`` (rep, n): by slot of their hash, the bit length of its count.
+
+    Every shingle of every member counts. A task counts up to 255 in a slot and sends a byte for each of a fixed number of
+    slots, so neither the shuffle nor the 16 MB at most that reach the driver grow with the texts beyond that.
+    """
+    total = members.agg(F.sum("n")).first()[0] or 0
+    slots = 1 << min(max((total // SLOT_LOAD).bit_length(), 16), SLOT_BITS)
+    mask, rep = np.uint64(slots - 1), free_name(rows.docs, "near_rep")
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, counts = WordHashes(), np.zeros(slots, np.uint8)
+        for batch in batches:
+            for t in byte_lists(batch.column(0)):
+                at, n = np.unique(shingle_set(t, hashes) & mask, return_counts=True)
+                counts[at] = np.minimum(counts[at] + n, 255)
+        for block in range(slots // SLOT_BLOCK):
+            part = counts[block * SLOT_BLOCK : (block + 1) * SLOT_BLOCK]
+            if part.any():
+                yield pa.record_batch({"block": pa.array([block], pa.int64()), "counts": pa.array([part.tobytes()], pa.binary())})
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, total = None, np.zeros(SLOT_BLOCK, np.int64)
+
+        def level() -> pa.RecordBatch:
+            return pa.record_batch({"block": pa.array([at], pa.int64()), "levels": pa.array([np.frexp(total)[1].astype(np.uint8).tobytes()], pa.binary())})
+
+        for batch in batches:
+            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if block != at:
+                    if at is not None:
+                        yield level()
+                    at, total = block, np.zeros(SLOT_BLOCK, np.int64)
+                total += np.frombuffer(counts.as_buffer(), np.uint8)
+        if at is not None:
+            yield level()
+
+    texts = rows.pick(members.select("rep"), True, rep).select(F.col(text).cast("string"))
+    blocks = texts.mapInArrow(counted, "block long, counts binary").repartition("block").sortWithinPartitions("block")
+    levels = np.zeros(slots, np.uint8)
+    for r in blocks.mapInArrow(added, "block long, levels binary").collect():  # at most 2 ** SLOT_BITS bytes in all
+        levels[r.block * SLOT_BLOCK : (r.block + 1) * SLOT_BLOCK] = np.frombuffer(r.levels, np.uint8)
+    return levels
+
+
+def rare_tiles(rows: Rows, text: str, members: DataFrame, percent: int) -> DataFrame:
+    """key, c, rep, comp, n: tiles of ``members`` (rep, comp, n; written) that hold more than one component.
+
+    A set of n sends its whole exact prefix, the n - ceil(n * percent / 100) + 1 first of its shingles. Any one order of
+    all shingles makes that exact; this one goes by frequency, then by hash. Frequencies are by slots of the hash, which
+    may hold several shingles: that may place a shingle later than need be, but alike in all sets.
+    """
+    levels = shingle_levels(rows, text, members)
+    mask, rep = np.uint64(len(levels) - 1), free_name(rows.docs, "near_rep")
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            firsts = []
+            for t in byte_lists(batch.column(1)):
+                h = shingle_set(t, hashes)
+                order = np.argsort(levels[h & mask], kind="stable")  # h is sorted
+                firsts.append(h[order[: len(h) + 1 - (len(h) * percent + 99) // 100]].view(np.int64))
+            reps = np.repeat(batch.column(0).to_numpy(), [len(x) for x in firsts])
+            yield pa.record_batch({"rep": reps, "key": np.concatenate(firsts)})
+
+    texts = rows.pick(members.select("rep"), True, rep).select(F.col(rep), F.col(text).cast("string"))
+    keys = cut(texts.mapInArrow(prefixes, "rep long, key long"))
+    counts = cut(keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
+    met = cut(join_groups(keys, counts, "key", "c", keys.count()).select("key", "c", "rep").join(members, "rep"))
+    release(keys)
+    mixed = cut(met.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi").select("key", "m"))
+    return join_groups(met, mixed, "key", "m", met.count()).select("key", "c", "rep", "comp", "n")
+
+
 def _cell_pairs(t: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
     n, rep, comp, side, x, y = (t.column(c).to_numpy() for c in ("n", "rep", "comp", "side", "x", "y"))
     if len(n) < 2 or comp.min() == comp.max():
@@ -330,8 +409,14 @@ def components_of(rows: Rows, text: str, classes: DataFrame, percent: int) -> Da
     release(keyed)
 
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    open_tiles = labelled.join(mixed.select("key"), "key", "left_semi").join(classes.select("rep", "bits", "keys"), "rep")
-    third = cut(cross_pairs(open_tiles, percent).join(tried, ["a", "b"], "left_anti"))
+    open_tiles = cut(labelled.join(mixed.select("key"), "key", "left_semi"))
+    found = cross_pairs(open_tiles.where(F.col("c") <= CELL).join(classes.select("rep", "bits", "keys"), "rep"), percent)
+    members = cut(open_tiles.where(F.col("c") > CELL).select("rep", "comp", "n").distinct())
+    if not members.isEmpty():
+        no_keys = F.array().cast("array<long>").alias("keys")  # a pair that several tiles give comes out once all the same
+        rare = rare_tiles(rows, text, members, percent).join(classes.select("rep", "bits", no_keys), "rep")
+        found = found.unionByName(cross_pairs(rare, percent)).distinct()
+    third = cut(found.join(tried, ["a", "b"], "left_anti"))
     links = links.unionByName(near_pairs(rows, text, classes, third, percent))
     return cut(connected_components(links))
 

@@ -139,6 +139,38 @@ def test_bitmaps_bound_from_above(a, b, shared):
     assert ngram_jaccard.most_overlap(ngram_jaccard.folded(bx, w), ngram_jaccard.folded(by, w), np.int64(len(a)), np.int64(len(b))) >= len(a & b)
 
 
+def test_a_passage_of_many_documents_costs_no_squares(spark, monkeypatch):
+    """Tiles of a shared passage are tiled anew by rarity: what is compared grows with the documents, and no link is lost."""
+    monkeypatch.setattr(ngram_jaccard, "CELL", 16)
+    monkeypatch.setattr(ngram_jaccard, "SLOT_LOAD", 1)
+    dealt = []
+    cross = ngram_jaccard.cross_pairs
+
+    def counted(tiles, percent):
+        dealt.append(tiles.groupBy("key").agg(F.pow(F.count(F.lit(1)), F.lit(2)).alias("p")).agg(F.sum("p")).first()[0] or 0)
+        return cross(tiles, percent)
+
+    monkeypatch.setattr(ngram_jaccard, "cross_pairs", counted)
+    r = np.random.default_rng(11)
+    passage = " ".join(f"p{i}" for i in range(120))
+    work = {}
+    for size in (60, 240):
+        docs = []
+        for i in range(size):
+            own = [f"o{i}x{k}" for k in range(int(r.integers(60, 120)))]
+            docs.append((2 * i, passage + " " + " ".join(own)))
+            if i % 5 == 0:  # a near copy, by a changed word or two
+                own[3] = "other"
+                docs.append((2 * i + 1, "a b " + passage + " " + " ".join(own)))
+        docs += [(10_000 + i, passage + f" tail {i} of it") for i in range(12)]  # nearly nothing but the passage: all linked
+        df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+        dealt.clear()
+        assert near(df) == sorted(ngram_jaccard.brute_force(docs), key=repr)
+        assert len(dealt) == 2
+        work[size] = sum(dealt)
+    assert work[240] <= 8 * max(work[60], 100)
+
+
 def test_near_edges(plain, none, spark):
     got = ngram_jaccard.near_duplicates(plain).collect()
     assert len(got) == len(EDGE)
