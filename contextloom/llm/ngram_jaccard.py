@@ -211,7 +211,7 @@ def with_components(keyed: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def cross_pairs(tiles: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a tile in different components that sizes and bitmaps allow.
+    """Pairs of a tile in different components that sizes and bitmaps allow; some come more than once.
 
     ``tiles``: key, c (the tile's rows), rep, comp, n, bits, keys. A tile of more than ``CELL`` rows is cut by size bands,
     each a quarter wide so that links only join a band and the next, and a band into cells of two blocks of about
@@ -245,7 +245,7 @@ def cross_pairs(tiles: DataFrame, percent: int) -> DataFrame:
         if rest is not None and len(rest):
             yield from _cell_pairs(rest, percent)
 
-    return ready.mapInArrow(compare, "a long, b long").distinct()
+    return ready.mapInArrow(compare, "a long, b long")
 
 
 def shingle_levels(rows: Rows, text: str, members: DataFrame) -> np.ndarray:
@@ -294,7 +294,7 @@ def shingle_levels(rows: Rows, text: str, members: DataFrame) -> np.ndarray:
 
 
 def rare_tiles(rows: Rows, text: str, members: DataFrame, percent: int) -> DataFrame:
-    """key, c, rep, comp, n: tiles of ``members`` (rep, comp, n; written) that hold more than one component.
+    """key, c, rep, comp, n, bits: tiles of ``members`` (rep, comp, n; written) that hold more than one component.
 
     A set of n sends its whole exact prefix, the n - ceil(n * percent / 100) + 1 first of its shingles. Any one order of
     all shingles makes that exact; this one goes by frequency, then by hash. Frequencies are by slots of the hash, which
@@ -306,21 +306,22 @@ def rare_tiles(rows: Rows, text: str, members: DataFrame, percent: int) -> DataF
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            firsts = []
+            keys, bits = [], []
             for t in byte_lists(batch.column(1)):
                 h = shingle_set(t, hashes)
                 order = np.argsort(levels[h & mask], kind="stable")  # h is sorted
-                firsts.append(h[order[: len(h) + 1 - (len(h) * percent + 99) // 100]].view(np.int64))
-            reps = np.repeat(batch.column(0).to_numpy(), [len(x) for x in firsts])
-            yield pa.record_batch({"rep": reps, "key": np.concatenate(firsts)})
+                keys.append(h[order[: len(h) + 1 - (len(h) * percent + 99) // 100]].view(np.int64))
+                bits.append(bitmap(h).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary())], names=["rep", "keys", "bits"])
 
     texts = rows.pick(members.select("rep"), True, rep).select(F.col(rep), F.col(text).cast("string"))
-    keys = cut(texts.mapInArrow(prefixes, "rep long, key long"))
+    sets = cut(texts.mapInArrow(prefixes, "rep long, keys array<long>, bits binary"))
+    keys = sets.select("rep", F.explode("keys").alias("key"))
     counts = cut(keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
     met = cut(join_groups(keys, counts, "key", "c", keys.count()).select("key", "c", "rep").join(members, "rep"))
-    release(keys)
     mixed = cut(met.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi").select("key", "m"))
-    return join_groups(met, mixed, "key", "m", met.count()).select("key", "c", "rep", "comp", "n")
+    open_rows = join_groups(met, mixed, "key", "m", met.count()).select("key", "c", "rep", "comp", "n")
+    return open_rows.join(sets.select("rep", "bits"), "rep")
 
 
 def _cell_pairs(t: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
@@ -414,9 +415,8 @@ def components_of(rows: Rows, text: str, classes: DataFrame, percent: int) -> Da
     members = cut(open_tiles.where(F.col("c") > CELL).select("rep", "comp", "n").distinct())
     if not members.isEmpty():
         no_keys = F.array().cast("array<long>").alias("keys")  # a pair that several tiles give comes out once all the same
-        rare = rare_tiles(rows, text, members, percent).join(classes.select("rep", "bits", no_keys), "rep")
-        found = found.unionByName(cross_pairs(rare, percent)).distinct()
-    third = cut(found.join(tried, ["a", "b"], "left_anti"))
+        found = found.unionByName(cross_pairs(rare_tiles(rows, text, members, percent).select("*", no_keys), percent))
+    third = cut(found.distinct().join(tried, ["a", "b"], "left_anti"))
     links = links.unionByName(near_pairs(rows, text, classes, third, percent))
     return cut(connected_components(links))
 
