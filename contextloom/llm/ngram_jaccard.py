@@ -18,7 +18,7 @@ are still mixed then are those of passages which otherwise different documents s
 exact prefixes in the order of rarity (``rare_tiles``), where common shingles come last, so work grows with the members
 and not with their square. Only documents of which such passages make up three quarters or more still meet there. In a bitmap every shingle sets one bit; a bit that only one of two sets has stands for at least
 one shingle of its own, which bounds the overlap from above. Pairs that pass meet their sorted arrays, made anew from
-the texts of just those documents, and are intersected exactly.
+the texts of just those documents, and are intersected exactly. ``near_links`` gives all links with their similarity.
 
 Defined cases: null and wordless texts have an empty set and are linked with nothing; a text of fewer than five words
 has one shingle, all its words; repeated rows and ids come out once each; a null doc_id comes after all others; an
@@ -145,8 +145,8 @@ def size_fits(na: str, nb: str, percent: int) -> Column:
     return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent).cast("boolean")
 
 
-def near_pairs(rows: Rows, text: str, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Those (a, b) of ``pairs`` that are linked: bitmaps first, then the sorted arrays."""
+def near_pairs(rows: Rows, text: str, classes: DataFrame, pairs: DataFrame, percent: int, overlaps: bool = False) -> DataFrame:
+    """Those (a, b) of ``pairs`` that are linked, with their overlap if wanted: bitmaps first, then the sorted arrays."""
     one = lambda c: classes.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}"))
     signed = pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "na", "nb", "bitsa", "bitsb")
 
@@ -168,14 +168,17 @@ def near_pairs(rows: Rows, text: str, classes: DataFrame, pairs: DataFrame, perc
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            keep, shared = [], []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 hx, hy = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                overlap = len(np.intersect1d(hx, hy, assume_unique=True))
-                keep.append(bool(enough(overlap, len(hx), len(hy), percent)))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                shared.append(len(np.intersect1d(hx, hy, assume_unique=True)))
+                keep.append(bool(enough(shared[-1], len(hx), len(hy), percent)))
+            out = batch.select(["a", "b"])
+            if overlaps:
+                out = out.append_column("overlap", pa.array(shared, pa.int64()))
+            yield out.filter(pa.array(keep, pa.bool_()))
 
-    return cut(met.mapInArrow(linked, "a long, b long"))
+    return cut(met.mapInArrow(linked, "a long, b long, overlap long" if overlaps else "a long, b long"))
 
 
 def set_arrays(rows: Rows, text: str, wanted: DataFrame) -> DataFrame:
@@ -362,16 +365,49 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return near_rows(Rows(docs), text, doc_id, percent)
 
 
+def classes_of(sets: DataFrame) -> DataFrame:
+    """The classes of equal sets that aren't empty: digest, n, class_id, size, and rep, keys and bits of their first row. Written."""
+    first = F.struct("row", "keys", "bits")
+    return cut(
+        sets.where("n > 0")
+        .groupBy("digest", "n")
+        .agg(F.min_by(first, "row").alias("r"), F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("size"))
+        .select("digest", "n", "class_id", "size", F.col("r.row").alias("rep"), F.col("r.keys").alias("keys"), F.col("r.bits").alias("bits"))
+    )
+
+
+def near_links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = 75) -> DataFrame:
+    """All links between different sets: class_a, class_b, similarity; each pair of classes once, the lesser class_id first.
+
+    ``near_duplicates`` gives the class_id of each document, so a document's links are those of its class and the other
+    documents of the class. The tiles are those of ``near_duplicates``, but every pair of a tile that sizes and bitmaps
+    allow is compared, so work and result grow with the links themselves: in a group of n texts that all differ and are all
+    linked, with n * n / 2. Who needs the groups only takes ``near_duplicates``. Classes without any doc_id have a null
+    class_id, which comes second.
+    """
+    rows = Rows(docs)
+    with scratch(docs.sparkSession) as made:
+        classes = classes_of(set_rows(rows, text, doc_id))
+        keys = classes.select(F.explode("keys").alias("key"), "rep", "n")
+        tiles = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+        shared = cut(keys.join(tiles, "key").select("key", "c", "rep", "n", F.col("rep").alias("comp")))  # no class is settled beforehand
+        pairs = cut(tile_pairs(rows, text, shared, classes, percent).distinct())
+        one = lambda c: classes.select(F.col("rep").alias(c), F.col("class_id").alias(f"class_{c}"), F.col("n").alias(f"n{c}"))
+        linked = near_pairs(rows, text, classes, pairs, percent, overlaps=True).join(one("a"), "a").join(one("b"), "b")
+        swap = F.col("class_a").isNull() | (F.col("class_b") < F.col("class_a"))
+        out = cut(linked.select(
+            F.when(swap, F.col("class_b")).otherwise(F.col("class_a")).alias("class_a"), F.when(swap, F.col("class_a")).otherwise(F.col("class_b")).alias("class_b"),
+            (F.col("overlap") / (F.col("na") + F.col("nb") - F.col("overlap"))).alias("similarity"),
+        ))
+        made.keep(out)
+    return out
+
+
 def near_rows(rows: Rows, text: str, doc_id: str, percent: int) -> DataFrame:
     with scratch(rows.docs.sparkSession) as made:
         sets = set_rows(rows, text, doc_id)
         full = sets.where("n > 0")
-        first = F.struct("row", "keys", "bits")
-        classes = cut(
-            full.groupBy("digest", "n")
-            .agg(F.min_by(first, "row").alias("r"), F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("size"))
-            .select("digest", "n", "class_id", "size", F.col("r.row").alias("rep"), F.col("r.keys").alias("keys"), F.col("r.bits").alias("bits"))
-        )
+        classes = classes_of(sets)
         comps = components_of(rows, text, classes, percent)
         ids = classes.select("digest", "n", "class_id", "size", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
         ids = cut(ids.withColumn("component", F.coalesce("component", "rep")))
@@ -384,6 +420,16 @@ def near_rows(rows: Rows, text: str, doc_id: str, percent: int) -> DataFrame:
     return out.unionByName(empty)
 
 
+def tile_pairs(rows: Rows, text: str, tiles: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b) across the components of ``tiles`` (key, c, rep, comp, n; written), large tiles anew by rarity; some twice."""
+    found = cross_pairs(tiles.where(F.col("c") <= CELL).join(classes.select("rep", "bits", "keys"), "rep"), percent)
+    members = cut(tiles.where(F.col("c") > CELL).select("rep", "comp", "n").distinct())
+    if not members.isEmpty():
+        no_keys = F.array().cast("array<long>").alias("keys")  # a pair that several tiles give comes out once all the same
+        found = found.unionByName(cross_pairs(rare_tiles(rows, text, members, percent).select("*", no_keys), percent))
+    return found
+
+
 def components_of(rows: Rows, text: str, classes: DataFrame, percent: int) -> DataFrame:
     """(node, component) of the linked classes, by their rep. Written."""
     keys = classes.select(F.explode("keys").alias("key"), "rep", "n")
@@ -411,12 +457,7 @@ def components_of(rows: Rows, text: str, classes: DataFrame, percent: int) -> Da
 
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
     open_tiles = cut(labelled.join(mixed.select("key"), "key", "left_semi"))
-    found = cross_pairs(open_tiles.where(F.col("c") <= CELL).join(classes.select("rep", "bits", "keys"), "rep"), percent)
-    members = cut(open_tiles.where(F.col("c") > CELL).select("rep", "comp", "n").distinct())
-    if not members.isEmpty():
-        no_keys = F.array().cast("array<long>").alias("keys")  # a pair that several tiles give comes out once all the same
-        found = found.unionByName(cross_pairs(rare_tiles(rows, text, members, percent).select("*", no_keys), percent))
-    third = cut(found.distinct().join(tried, ["a", "b"], "left_anti"))
+    third = cut(tile_pairs(rows, text, open_tiles, classes, percent).distinct().join(tried, ["a", "b"], "left_anti"))
     links = links.unionByName(near_pairs(rows, text, classes, third, percent))
     return cut(connected_components(links))
 

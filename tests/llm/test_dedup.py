@@ -171,6 +171,40 @@ def test_a_passage_of_many_documents_costs_no_squares(spark, monkeypatch):
     assert work[240] <= 8 * max(work[60], 100)
 
 
+def plain_links(docs):
+    """(class_a, class_b) -> similarity, by comparing all documents."""
+    sets = {}
+    for i, t in docs:
+        w = spaced_words(t.encode() if t else None)
+        if w:
+            s = frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4)))
+            sets[s] = min(i, sets.get(s, i))
+    pairs = [(a, b) for a in sets for b in sets if sets[a] < sets[b]]
+    return {(sets[a], sets[b]): len(a & b) / len(a | b) for a, b in pairs if 100 * len(a & b) >= 75 * len(a | b)}
+
+
+@pytest.mark.parametrize("cell", [2048, 8])  # with 8, large tiles are tiled anew and cut into cells
+def test_links_equal_brute_force(spark, monkeypatch, none, cell):
+    monkeypatch.setattr(ngram_jaccard, "CELL", cell)
+    r = np.random.default_rng(7)
+    docs = []
+    for n, copies in ((60, 25), (200, 25), (700, 6)):
+        base = [f"v{x}" for x in r.integers(0, 4000, n)]
+        for _ in range(copies):
+            w = list(base)
+            for k in r.integers(0, n, int(r.integers(0, max(3, n // 40)))):
+                w[k] = f"z{r.integers(10_000)}"
+            docs.append((3 * len(docs), " ".join(w)))
+    docs += [(3 * i + 1, t) for i, t in docs[:10]] + [(9001, None), (9002, ""), (9003, "a b"), (9004, "A  b")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = ngram_jaccard.near_links(df).collect()
+    want = plain_links(docs)
+    assert len(got) == len(want) > 100
+    assert {(x.class_a, x.class_b): pytest.approx(x.similarity) for x in got} == want
+    if cell == 8:
+        assert ngram_jaccard.near_links(none).count() == 0
+
+
 def test_near_edges(plain, none, spark):
     got = ngram_jaccard.near_duplicates(plain).collect()
     assert len(got) == len(EDGE)
@@ -185,6 +219,8 @@ def test_near_edges(plain, none, spark):
     assert kept.columns == plain.columns
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted([1, 2, 3, 4, 6, 7, 8, 9, 11, 12, 13, 14], key=repr)
     assert ngram_jaccard.near_duplicates(none).count() == 0
+    links = [(x.class_a, x.class_b) for x in ngram_jaccard.near_links(plain).collect()]
+    assert (9, 10) in links and len(links) == len(set(links))
 
 
 def test_components(spark):
