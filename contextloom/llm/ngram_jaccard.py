@@ -28,7 +28,7 @@ empty table gives an empty result; further columns are kept by ``near_dedup`` wh
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -71,13 +71,13 @@ class WordHashes(dict):
         return self.values[at]
 
 
-def shingle_set(text: bytes | None, hashes: WordHashes) -> np.ndarray:
+def shingle_set(text: bytes | None, hashes: WordHashes, shingle: int = SHINGLE) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles of a text."""
     words = spaced_words(text)
     if not words:
         return np.empty(0, np.uint64)
     w = hashes.of(words)
-    size = min(SHINGLE, len(w))
+    size = min(shingle, len(w))
     h = np.full(len(w) - size + 1, size, np.uint64)
     for i in range(size):
         h = (h ^ w[i : i + len(h)]) * MIX
@@ -145,8 +145,8 @@ def size_fits(na: str, nb: str, percent: int) -> Column:
     return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent).cast("boolean")
 
 
-def near_pairs(rows: Rows, text: str, classes: DataFrame, pairs: DataFrame, percent: int, overlaps: bool = False) -> DataFrame:
-    """Those (a, b) of ``pairs`` that are linked, with their overlap if wanted: bitmaps first, then the sorted arrays."""
+def bounded_pairs(classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Those (a, b) of ``pairs`` that the bitmaps of ``classes`` (rep, n, bits) allow. Written."""
     one = lambda c: classes.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}"))
     signed = pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "na", "nb", "bitsa", "bitsb")
 
@@ -160,11 +160,15 @@ def near_pairs(rows: Rows, text: str, classes: DataFrame, pairs: DataFrame, perc
                 keep[i] = enough(most_overlap(folded(bx, words), folded(by, words), na[i], nb[i]), na[i], nb[i], percent)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    hopeful = cut(signed.mapInArrow(bounded, "a long, b long"))
-    wanted = hopeful.select(F.col("a").alias("rep")).unionByName(hopeful.select(F.col("b").alias("rep"))).distinct()
-    arrays = cut(set_arrays(rows, text, wanted))
+    return cut(signed.mapInArrow(bounded, "a long, b long"))
+
+
+def exact_pairs(rows: Rows, text: str, pairs: DataFrame, percent: int, overlaps: bool = False, shingle: int = SHINGLE) -> DataFrame:
+    """Those (a, b) of ``pairs`` (written) that are linked, with their overlap if wanted, by their whole sorted arrays. Written."""
+    wanted = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
+    arrays = cut(set_arrays(rows, text, wanted, shingle))
     side = lambda c: arrays.select(F.col("rep").alias(c), F.col("hashes").alias(f"hashes{c}"))
-    met = hopeful.join(side("a"), "a").join(side("b"), "b").select("a", "b", "hashesa", "hashesb")
+    met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "hashesa", "hashesb")
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,14 +185,19 @@ def near_pairs(rows: Rows, text: str, classes: DataFrame, pairs: DataFrame, perc
     return cut(met.mapInArrow(linked, "a long, b long, overlap long" if overlaps else "a long, b long"))
 
 
-def set_arrays(rows: Rows, text: str, wanted: DataFrame) -> DataFrame:
+def near_pairs(rows: Rows, text: str, classes: DataFrame, pairs: DataFrame, percent: int, overlaps: bool = False) -> DataFrame:
+    """Those (a, b) of ``pairs`` that are linked, with their overlap if wanted: bitmaps first, then the sorted arrays."""
+    return exact_pairs(rows, text, bounded_pairs(classes, pairs, percent), percent, overlaps)
+
+
+def set_arrays(rows: Rows, text: str, wanted: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(rep, hashes): the sorted arrays of the ``wanted`` classes, from the texts of their first rows."""
     rep = free_name(rows.docs, "near_rep")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            found = [shingle_set(t, hashes).tobytes() for t in byte_lists(batch.column(1))]
+            found = [shingle_set(t, hashes, shingle).tobytes() for t in byte_lists(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["rep", "hashes"])
 
     return rows.pick(wanted, True, rep).select(F.col(rep), F.col(text).cast("string")).mapInArrow(sets, "rep long, hashes binary")
@@ -251,7 +260,7 @@ def cross_pairs(tiles: DataFrame, percent: int) -> DataFrame:
     return ready.mapInArrow(compare, "a long, b long")
 
 
-def shingle_levels(rows: Rows, text: str, members: DataFrame) -> np.ndarray:
+def shingle_levels(rows: Rows, text: str, members: DataFrame, shingle: int = SHINGLE) -> np.ndarray:
     """How common shingles are in the texts of ``members`` (rep, n): by slot of their hash, the bit length of its count.
 
     Every shingle of every member counts. A task counts up to 255 in a slot and sends a byte for each of a fixed number of
@@ -265,7 +274,7 @@ def shingle_levels(rows: Rows, text: str, members: DataFrame) -> np.ndarray:
         hashes, counts = WordHashes(), np.zeros(slots, np.uint8)
         for batch in batches:
             for t in byte_lists(batch.column(0)):
-                at, n = np.unique(shingle_set(t, hashes) & mask, return_counts=True)
+                at, n = np.unique(shingle_set(t, hashes, shingle) & mask, return_counts=True)
                 counts[at] = np.minimum(counts[at] + n, 255)
         for block in range(slots // SLOT_BLOCK):
             part = counts[block * SLOT_BLOCK : (block + 1) * SLOT_BLOCK]
@@ -296,14 +305,14 @@ def shingle_levels(rows: Rows, text: str, members: DataFrame) -> np.ndarray:
     return levels
 
 
-def rare_tiles(rows: Rows, text: str, members: DataFrame, percent: int) -> DataFrame:
-    """key, c, rep, comp, n, bits: tiles of ``members`` (rep, comp, n; written) that hold more than one component.
+def rare_prefixes(rows: Rows, text: str, members: DataFrame, percent: int, shingle: int = SHINGLE) -> DataFrame:
+    """rep, keys, bits of ``members`` (rep, n): the first shingles in the order of rarity, and the bitmap. Written.
 
     A set of n sends its whole exact prefix, the n - ceil(n * percent / 100) + 1 first of its shingles. Any one order of
     all shingles makes that exact; this one goes by frequency, then by hash. Frequencies are by slots of the hash, which
     may hold several shingles: that may place a shingle later than need be, but alike in all sets.
     """
-    levels = shingle_levels(rows, text, members)
+    levels = shingle_levels(rows, text, members, shingle)
     mask, rep = np.uint64(len(levels) - 1), free_name(rows.docs, "near_rep")
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,14 +320,22 @@ def rare_tiles(rows: Rows, text: str, members: DataFrame, percent: int) -> DataF
         for batch in batches:
             keys, bits = [], []
             for t in byte_lists(batch.column(1)):
-                h = shingle_set(t, hashes)
+                h = shingle_set(t, hashes, shingle)
                 order = np.argsort(levels[h & mask], kind="stable")  # h is sorted
                 keys.append(h[order[: len(h) + 1 - (len(h) * percent + 99) // 100]].view(np.int64))
                 bits.append(bitmap(h).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary())], names=["rep", "keys", "bits"])
 
     texts = rows.pick(members.select("rep"), True, rep).select(F.col(rep), F.col(text).cast("string"))
-    sets = cut(texts.mapInArrow(prefixes, "rep long, keys array<long>, bits binary"))
+    return cut(texts.mapInArrow(prefixes, "rep long, keys array<long>, bits binary"))
+
+
+def rare_tiles(rows: Rows, text: str, members: DataFrame, percent: int, shingle: int = SHINGLE) -> DataFrame:
+    """key, c, rep, comp, n, bits: tiles of ``members`` (rep, comp, n; written) that hold more than one component.
+
+    Members send their exact prefixes in the order of rarity (``rare_prefixes``).
+    """
+    sets = rare_prefixes(rows, text, members, percent, shingle)
     keys = sets.select("rep", F.explode("keys").alias("key"))
     counts = cut(keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
     met = cut(join_groups(keys, counts, "key", "c", keys.count()).select("key", "c", "rep").join(members, "rep"))
@@ -406,33 +423,51 @@ def near_links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", perc
 def near_rows(rows: Rows, text: str, doc_id: str, percent: int) -> DataFrame:
     with scratch(rows.docs.sparkSession) as made:
         sets = set_rows(rows, text, doc_id)
-        full = sets.where("n > 0")
         classes = classes_of(sets)
-        comps = components_of(rows, text, classes, percent)
-        ids = classes.select("digest", "n", "class_id", "size", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-        ids = cut(ids.withColumn("component", F.coalesce("component", "rep")))
-        lowest = cut(ids.groupBy("component").agg(F.min("class_id").alias("component_id"), F.count(F.lit(1)).alias("n_classes")))
-        by_class = cut(join_groups(ids, lowest, "component", "n_classes", ids.count()).select("digest", "class_id", "size", "component_id"))
+        keys = classes.select(F.explode("keys").alias("key"), "rep", "n")
+        comps = components_of(
+            keys, percent, lambda pairs: near_pairs(rows, text, classes, pairs, percent), lambda tiles: tile_pairs(rows, text, tiles, classes, percent)
+        )
+        by_class = class_components(classes, comps)
         made.keep(sets, by_class)
-    out = join_groups(full.select("row", "doc_id", "n", "digest"), by_class, "digest", "size", sets.count())
+    return with_classes(sets, by_class)
+
+
+def class_components(classes: DataFrame, comps: DataFrame) -> DataFrame:
+    """digest, class_id, size and component_id (the smallest class_id) of each class. Written."""
+    ids = classes.select("digest", "n", "class_id", "size", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
+    ids = cut(ids.withColumn("component", F.coalesce("component", "rep")))
+    lowest = cut(ids.groupBy("component").agg(F.min("class_id").alias("component_id"), F.count(F.lit(1)).alias("n_classes")))
+    return cut(join_groups(ids, lowest, "component", "n_classes", ids.count()).select("digest", "class_id", "size", "component_id"))
+
+
+def with_classes(sets: DataFrame, by_class: DataFrame) -> DataFrame:
+    """The rows of ``sets`` (row, doc_id, n, digest) with their class and component."""
+    full = sets.where("n > 0").select("row", "doc_id", "n", "digest")
+    out = join_groups(full, by_class, "digest", "size", sets.count())
     out = out.select("row", "doc_id", F.col("n").alias("n_shingles"), "class_id", "component_id", F.col("size").alias("class_size"))
     empty = sets.where("n = 0").select("row", "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("class_size"))
     return out.unionByName(empty)
 
 
-def tile_pairs(rows: Rows, text: str, tiles: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def tile_pairs(rows: Rows, text: str, tiles: DataFrame, classes: DataFrame, percent: int, shingle: int = SHINGLE) -> DataFrame:
     """(a, b) across the components of ``tiles`` (key, c, rep, comp, n; written), large tiles anew by rarity; some twice."""
     found = cross_pairs(tiles.where(F.col("c") <= CELL).join(classes.select("rep", "bits", "keys"), "rep"), percent)
     members = cut(tiles.where(F.col("c") > CELL).select("rep", "comp", "n").distinct())
     if not members.isEmpty():
         no_keys = F.array().cast("array<long>").alias("keys")  # a pair that several tiles give comes out once all the same
-        found = found.unionByName(cross_pairs(rare_tiles(rows, text, members, percent).select("*", no_keys), percent))
+        found = found.unionByName(cross_pairs(rare_tiles(rows, text, members, percent, shingle).select("*", no_keys), percent))
     return found
 
 
-def components_of(rows: Rows, text: str, classes: DataFrame, percent: int) -> DataFrame:
-    """(node, component) of the linked classes, by their rep. Written."""
-    keys = classes.select(F.explode("keys").alias("key"), "rep", "n")
+def components_of(
+    keys: DataFrame, percent: int, linked: Callable[[DataFrame], DataFrame], across: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """(node, component) of the linked classes, by their rep. Written.
+
+    ``keys``: key, rep, n. ``linked`` gives those of some pairs (a, b) that are links; ``across`` gives pairs of different
+    components in tiles (key, c, rep, comp, n; written).
+    """
     tiles = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     shared = cut(keys.join(tiles, "key").select("key", "c", "rep", "n"))
     weights = cut(shared.groupBy("rep").agg(F.sum("c").alias("weight")))
@@ -441,7 +476,7 @@ def components_of(rows: Rows, text: str, classes: DataFrame, percent: int) -> Da
     keyed = cut(shared.join(pivots, "key").select("key", "c", "rep", "n", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pivot_n")))
     release(shared)
     tried = cut(pivot_pairs(keyed, percent))
-    links = near_pairs(rows, text, classes, tried, percent)
+    links = linked(tried)
     labelled = cut(with_components(keyed, links))
 
     large = labelled.where(F.col("c") > LARGE_TILE)
@@ -450,15 +485,15 @@ def components_of(rows: Rows, text: str, classes: DataFrame, percent: int) -> Da
     second = cut(more_pairs(large.join(begun, "key", "left_semi").join(weights, "rep"), percent).join(tried, ["a", "b"], "left_anti"))
     if not second.isEmpty():
         tried = tried.unionByName(second)
-        links = cut(links.unionByName(near_pairs(rows, text, classes, second, percent)))
+        links = cut(links.unionByName(linked(second)))
         release(labelled)
         labelled = cut(with_components(keyed, links))
     release(keyed)
 
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
     open_tiles = cut(labelled.join(mixed.select("key"), "key", "left_semi"))
-    third = cut(tile_pairs(rows, text, open_tiles, classes, percent).distinct().join(tried, ["a", "b"], "left_anti"))
-    links = links.unionByName(near_pairs(rows, text, classes, third, percent))
+    third = cut(across(open_tiles).distinct().join(tried, ["a", "b"], "left_anti"))
+    links = links.unionByName(linked(third))
     return cut(connected_components(links))
 
 
@@ -468,9 +503,13 @@ def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", perc
     Documents without words are linked with nothing and all stay; components without any doc_id stay whole. Rows leave by
     their lasting numbers (``common.Rows``), whatever splits and executors later readings have; their texts never shuffle.
     """
-    rows = Rows(docs)
-    with scratch(docs.sparkSession) as made:
-        found = cut(near_rows(rows, text, doc_id, percent).where("n_shingles > 0").select("row", "doc_id", "component_id"))
+    return firsts_of(Rows(docs), lambda rows: near_rows(rows, text, doc_id, percent))
+
+
+def firsts_of(rows: Rows, near: Callable[[Rows], DataFrame]) -> DataFrame:
+    """The rows that stay when only the smallest doc_id of each component of ``near`` (row, doc_id, n_shingles, component_id) does."""
+    with scratch(rows.docs.sparkSession) as made:
+        found = cut(near(rows).where("n_shingles > 0").select("row", "doc_id", "component_id"))
         some = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"), F.count(F.lit(1)).alias("size"))
         some = cut(some.where("size > 1 and component_id is not null"))
         left = join_groups(found.where("component_id is not null"), some, "component_id", "size", found.count())
@@ -481,12 +520,12 @@ def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", perc
     return out
 
 
-def brute_force(docs: list[tuple[int, str | None]], percent: int = 75) -> list[tuple[int, int, int]]:
+def brute_force(docs: list[tuple[int, str | None]], percent: int = 75, shingle: int = SHINGLE) -> list[tuple[int, int, int]]:
     """(doc_id, n_shingles, component_id) of a few documents by comparing all of them."""
     sets = []
     for _, text in docs:
         w = spaced_words(text.encode() if text else None)
-        sets.append({tuple(w[i : i + SHINGLE]) for i in range(max(1, len(w) - SHINGLE + 1))} if w else set())
+        sets.append({tuple(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if w else set())
     root = list(range(len(docs)))
 
     def find(i: int) -> int:
@@ -504,17 +543,21 @@ def brute_force(docs: list[tuple[int, str | None]], percent: int = 75) -> list[t
     return [(doc_id, len(sets[i]), least[find(i)]) for i, (doc_id, _) in enumerate(docs)]
 
 
-REPORT_SQL = r"""
+def report_sql(shingle: int, percent: int) -> str:
+    return rf"""
 WITH RECURSIVE d AS (
   SELECT row_number() OVER () AS r, doc_id,
     list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                 '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
-p AS (SELECT r, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS i FROM d WHERE len(words) > 0),
-s AS (SELECT DISTINCT r, array_to_string(words[i:i + 4], ' ') AS shingle FROM p),
+p AS (SELECT r, words, unnest(range(1, greatest(len(words) - {shingle - 1}, 1) + 1)) AS i FROM d WHERE len(words) > 0),
+s AS (SELECT DISTINCT r, array_to_string(words[i:i + {shingle - 1}], ' ') AS shingle FROM p),
 n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
 o AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.r <> b.r GROUP BY a.r, b.r),
-l AS (SELECT a, b FROM o JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+l AS (SELECT a, b FROM o JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * c >= {percent} * (x.n + y.n - c)),
 reach(r, c) AS (SELECT r, r FROM d UNION SELECT l.b, reach.c FROM reach JOIN l ON l.a = reach.r)
 SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(e.doc_id) AS component_id
 FROM reach JOIN d ON d.r = reach.r JOIN d e ON e.r = reach.c LEFT JOIN n ON n.r = d.r GROUP BY d.r, d.doc_id
 """
+
+
+REPORT_SQL = report_sql(SHINGLE, 75)

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from contextloom.llm import chat_template, decontaminate, exact_dedup, html_blocks, langid, license_scan, ngram_jaccard, packing, quality, secret_scan
+from contextloom.llm import (
+    chat_template, decontaminate, exact_dedup, html_blocks, importance, langid, license_scan, merkle, minhash, ngram_jaccard, packing, quality, secret_scan,
+)
 from contextloom.llm.common import table
 
 #: Files of public tokenizers; a parameter of the operators, never copied into the repository.
@@ -75,9 +77,22 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_template.format_report(turns.unionByName(added))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest_report(table(spark, sf_dir, "documents"))
+
+
+def op13_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.minhash_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = (
     op1_quality_classifier, op2_exact_dedup, op3_license_scan, op4_decontaminate, op5_html_extract,
     op6_ngram_jaccard, op7_secret_scan, op8_best_fit_packing, op9_language_id, op10_chat_format,
+    op11_importance_resampling, op12_merkle_manifest, op13_minhash_near_dedup,
 )
 
 
@@ -92,4 +107,7 @@ def oracle_sql() -> dict[str, str]:
         "op4_decontaminate": decontaminate.REPORT_SQL,
         "op10_chat_format": chat_template.REPORT_SQL,
         "op6_ngram_jaccard": ngram_jaccard.REPORT_SQL,
+        "op11_importance_resampling": importance.REPORT_SQL,
+        "op12_merkle_manifest": merkle.REPORT_SQL,
+        "op13_minhash_near_dedup": minhash.REPORT_SQL,
     }
