@@ -7,15 +7,16 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from concurrent.futures import TimeoutError as FutureTimeout
+from contextvars import copy_context
 from typing import Any, Protocol
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from contextloom.commits import CommitLog, Conflict, Snapshot
 from contextloom.operators.tasks import TERMINAL
 from contextloom.operators.vectors import hash_embedded
 from contextloom.storage import cut
@@ -126,6 +127,7 @@ class _SearchReader(DataSourceReader):
 
 
 Handler = Callable[[DataFrame], DataFrame]
+MANY_FOLDERS = 48  # a state table of more is compacted
 
 
 class Handlers:
@@ -159,7 +161,7 @@ def within(spark: SparkSession, seconds: float, action: Callable[[], Any]) -> An
             spark.removeTag(tag)
 
     pool = ThreadPoolExecutor(1)
-    waiting = pool.submit(run)
+    waiting = pool.submit(copy_context().run, run)  # tables cut inside belong to the scratch around
     try:
         return waiting.result(seconds)
     except FutureTimeout:
@@ -189,32 +191,61 @@ def load_state(rows: DataFrame, key: str, schema: str) -> DataFrame:
 
 
 class StateTable:
-    """Rows by key that outlive the session: an append-only table of states. Writers don't wait for one another."""
+    """Rows by key that outlive the session, on a log of commits: the last state of each key counts.
+
+    ``change`` is the way to change rows that hang on what the table holds: it starts again if another writer commits in
+    between, so no two of them act on the same state. A process that dies leaves the last commit as it was.
+    """
 
     def __init__(self, spark: SparkSession, path: str, key: str, schema: str):
         self.spark, self.path, self.key, self.schema = spark, path, key, schema
         self.columns = [f.split()[0] for f in schema.split(", ")]
+        self.log = CommitLog(spark, path)
+        self.raw = f"{key} long, state string"
 
-    def rows(self) -> DataFrame:
-        raw = f"{self.key} long, state string, version long"
-        try:
-            log = self.spark.read.schema(raw).parquet(self.path)
-        except AnalysisException:  # nothing saved yet
-            log = self.spark.createDataFrame([], raw)
-        return load_state(log, self.key, self.schema)
+    def rows(self, snapshot: Snapshot | None = None) -> DataFrame:
+        """The table now, or as it was after a commit; what is committed later doesn't change the frame."""
+        return load_state(self.log.rows(snapshot or self.log.latest(), self.raw, "version"), self.key, self.schema)
+
+    def states(self, rows: DataFrame) -> DataFrame:
+        return rows.select(self.key, state_json(self.columns).alias("state"))
+
+    def change(self, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """Commit the rows that ``build`` makes of the table's; returns them, read from where they were written.
+
+        ``build`` may be called several times. No rows make no commit.
+        """
+        written = ""
+
+        def attempt(base: Snapshot) -> tuple[tuple[tuple[str, int], ...], dict[str, Any]] | None:
+            nonlocal written
+            written = self.log.write(self.states(build(self.rows(base))))
+            if self.spark.read.schema(self.raw).parquet(self.log.folder(written)).isEmpty():
+                return None
+            return (*base.folders, (written, base.number + 1)), base.meta
+
+        done = self.log.transact(attempt)
+        if len(done.folders) > MANY_FOLDERS:
+            self.compact()
+        rows = self.spark.read.schema(self.raw).parquet(self.log.folder(written))
+        return rows.select(self.key, F.from_json("state", self.schema).alias("s")).select(self.key, "s.*")
 
     def put(self, rows: DataFrame) -> None:
-        save_state(cut(rows.select(self.key, *self.columns)), self.key, self.path)  # rows may come from the table itself
+        """Rows that don't hang on the table's; two writers of one key leave the later one's."""
+        self.log.append(self.states(rows))
 
     def remove(self, keys: DataFrame) -> None:
-        gone = cut(keys.select(self.key))
-        gone.select(self.key, F.lit(None).cast("string").alias("state"), F.lit(time.time_ns()).alias("version")).write.mode("append").parquet(self.path)
+        self.log.append(keys.select(self.key, F.lit(None).cast("string").alias("state")))
 
-    def compact(self) -> None:
-        """Keep the last state of each key only."""
-        last = cut(self.rows())
-        self.spark.createDataFrame([], f"{self.key} long, state string, version long").write.mode("overwrite").parquet(self.path)
-        save_state(last, self.key, self.path)
+    def compact(self) -> bool:
+        """Keep the last state of each key only, in one commit; False if another one came first, which leaves all as it is."""
+        base = self.log.latest()
+        name = self.log.write(self.states(self.rows(base)))
+        try:
+            self.log.commit(base, ((name, base.number + 1),), base.meta)
+        except Conflict:
+            return False
+        return True
 
 
 class TaskStore(StateTable):
@@ -227,10 +258,16 @@ class TaskStore(StateTable):
     def submit(self, tasks: DataFrame) -> int:
         """Queue tasks (task_id, priority, created_at); an error if they don't find room. The size of the queue."""
         new = tasks.select("task_id", F.lit("queued").alias("status"), F.col("priority").cast("int").alias("priority"), F.col("created_at").cast("timestamp").alias("created_at"))
-        size = self.rows().where("status = 'queued'").count() + new.count()
-        if size > self.capacity:
-            raise OverflowError(f"{size} tasks for a queue of {self.capacity}")
-        self.put(self.filled(new))
+        more, size = new.count(), 0
+
+        def build(have: DataFrame) -> DataFrame:
+            nonlocal size
+            size = have.where("status = 'queued'").count() + more
+            if size > self.capacity:
+                raise OverflowError(f"{size} tasks for a queue of {self.capacity}")
+            return self.filled(new)
+
+        self.change(build)
         return size
 
     def filled(self, rows: DataFrame) -> DataFrame:
@@ -238,26 +275,33 @@ class TaskStore(StateTable):
         return rows.select("task_id", *(F.col(c) if c in rows.columns else F.lit(None).cast(kinds[c]).alias(c) for c in self.columns))
 
     def take(self, n: int, agent_id: int, now: str) -> DataFrame:
-        """The next ``n`` queued tasks, which the agent runs from now on: higher priority first, then older, then smaller id."""
-        head = self.rows().where("status = 'queued'").orderBy(F.desc("priority"), "created_at", "task_id").limit(n)
-        taken = cut(head.withColumns({"status": F.lit("running"), "started_at": F.lit(now).cast("timestamp"), "agent_id": F.lit(agent_id).cast("long")}))
-        self.put(taken)
-        return taken
+        """The next ``n`` queued tasks, which the agent runs from now on: higher priority first, then older, then smaller id.
+
+        A task is handed out once, however many agents, threads and sessions take at the same time.
+        """
+
+        def build(have: DataFrame) -> DataFrame:
+            head = have.where("status = 'queued'").orderBy(F.desc("priority"), "created_at", "task_id").limit(n)
+            return head.withColumns({"status": F.lit("running"), "started_at": F.lit(now).cast("timestamp"), "agent_id": F.lit(agent_id).cast("long")})
+
+        return self.change(build)
 
     def finish(self, results: DataFrame, now: str) -> None:
         """Results (task_id, result, error): failed if there is an error, else completed. As in ``tasks``, whatever was before."""
-        rows = self.rows().drop("result", "error").join(results.select("task_id", F.col("result").cast("string"), F.col("error").cast("string")), "task_id")
-        self.put(rows.withColumns({"status": F.when(F.col("error").isNull(), "completed").otherwise("failed"), "completed_at": F.lit(now).cast("timestamp")}))
+        ended = results.select("task_id", F.col("result").cast("string"), F.col("error").cast("string"))
+        state = {"status": F.when(F.col("error").isNull(), "completed").otherwise("failed"), "completed_at": F.lit(now).cast("timestamp")}
+        self.change(lambda have: have.drop("result", "error").join(ended, "task_id").withColumns(state))
 
     def cancel(self, keys: DataFrame, now: str) -> int:
         """Cancel tasks that haven't ended; how many."""
-        rows = cut(self.rows().join(keys.select("task_id"), "task_id", "left_semi").where(~F.col("status").isin(*TERMINAL)))
-        self.put(rows.withColumns({"status": F.lit("cancelled"), "completed_at": F.lit(now).cast("timestamp")}))
-        return rows.count()
+        state = {"status": F.lit("cancelled"), "completed_at": F.lit(now).cast("timestamp")}
+        return self.change(lambda have: have.join(keys.select("task_id"), "task_id", "left_semi").where(~F.col("status").isin(*TERMINAL)).withColumns(state)).count()
 
     def clean(self, now: str, hours: int = 24) -> int:
         """Forget tasks that ended longer than ``hours`` ago; how many."""
-        old = cut(self.rows().where(F.col("status").isin(*TERMINAL) & (F.col("completed_at") < F.lit(now).cast("timestamp") - F.make_interval(hours=F.lit(hours)))).select("task_id"))
+        limit = F.lit(now).cast("timestamp") - F.make_interval(hours=F.lit(hours))
+        base = self.log.latest()
+        old = cut(self.rows(base).where(F.col("status").isin(*TERMINAL) & (F.col("completed_at") < limit)).select("task_id"))  # ended tasks don't change again
         self.remove(old)
         return old.count()
 
@@ -271,12 +315,10 @@ class AgentStore(StateTable):
     def heartbeat(self, beats: DataFrame) -> None:
         """Last state wins: beats (agent_id, status, current_tasks, at) of known agents."""
         last = beats.groupBy("agent_id").agg(F.max(F.struct("at", "status", "current_tasks")).alias("b"))
-        rows = self.rows().drop("status", "current_tasks", "last_heartbeat").join(last, "agent_id")
-        self.put(rows.select("*", "b.status", F.col("b.current_tasks").cast("int").alias("current_tasks"), F.col("b.at").cast("timestamp").alias("last_heartbeat")))
+        now = ("b.status", F.col("b.current_tasks").cast("int").alias("current_tasks"), F.col("b.at").cast("timestamp").alias("last_heartbeat"))
+        self.change(lambda have: have.drop("status", "current_tasks", "last_heartbeat").join(last, "agent_id").select("*", *now))
 
     def expire(self, now: str, seconds: float = 30.0) -> int:
         """Online agents that were silent for longer turn unhealthy; how many. Busy ones never do."""
         silent = F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros("last_heartbeat") > int(seconds * 1e6)
-        rows = cut(self.rows().where((F.col("status") == "online") & silent))
-        self.put(rows.withColumn("status", F.lit("unhealthy")))
-        return rows.count()
+        return self.change(lambda have: have.where((F.col("status") == "online") & silent).withColumn("status", F.lit("unhealthy"))).count()

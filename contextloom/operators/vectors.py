@@ -17,8 +17,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from contextloom.commits import CommitLog, Snapshot
 from contextloom.schema import INDEX
-from contextloom.storage import cut
+from contextloom.storage import cut, scratch
 
 QUERY_BLOCK = 1024  # queries that are multiplied at a time
 LOAD_BYTES = 32 << 20  # of queries and their hits, for a scan
@@ -187,60 +188,59 @@ ASCII_SPACE = dict.fromkeys(range(9, 14), " ")
 
 
 class VectorIndex:
-    """An append-only table of vectors with dense ids, in Parquet, and a manifest of its dimension, model and count.
+    """An append-only table of vectors with dense ids, and a manifest of its dimension, model and count.
 
-    Appending never rewrites what is there. ``dedup`` leaves out chunks whose chunk_id the table has already. Vectors of
-    another dimension, or of a model other than the manifest's, are refused before anything is written.
+    Each insert is one commit (``commits.CommitLog``): rows and manifest become visible together or not at all, writers that
+    insert at the same time get ids one after the other, and a search reads the state it began with. ``dedup`` leaves out
+    chunks whose chunk_id the table has already, and repeats within a call. Vectors of another dimension, or of a model other than the
+    manifest's, are refused before anything is committed.
     """
 
     def __init__(self, spark: SparkSession, path: str, model: str | None = None):
         self.spark, self.path, self.model = spark, path.rstrip("/"), model
+        self.log = CommitLog(spark, self.path)
 
-    @property
-    def manifest_path(self) -> str:
-        return f"{self.path}_manifest"
+    def exists(self) -> bool:
+        return self.log.latest().number > 0
 
-    def exists(self, path: str | None = None) -> bool:
-        jvm = self.spark._jvm  # type: ignore[attr-defined]
-        p = jvm.org.apache.hadoop.fs.Path(path or self.path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)  # type: ignore[attr-defined]
+    def load(self, state: Snapshot | None = None) -> DataFrame:
+        """The rows now, or after a commit."""
+        return self.log.rows(state or self.log.latest(), INDEX)
 
-    def load(self) -> DataFrame:
-        if not self.exists():
-            return self.spark.createDataFrame([], INDEX)
-        return self.spark.read.schema(INDEX).parquet(self.path)
-
-    def manifest(self) -> Manifest:
-        if self.exists(self.manifest_path):
-            r = self.spark.read.schema(MANIFEST).parquet(self.manifest_path).first()
-            if r is not None:
-                return Manifest(r.dimension, r.model, r.count_)
-        have = self.load().agg(F.max(F.size("embedding")).alias("d"), F.count(F.lit(1)).alias("n")).first()
-        return Manifest(have.d, None, have.n)
-
-    def save_manifest(self, m: Manifest) -> None:
-        self.spark.createDataFrame([(m.dimension, m.model, m.count)], MANIFEST).coalesce(1).write.mode("overwrite").parquet(self.manifest_path)
+    def manifest(self, state: Snapshot | None = None) -> Manifest:
+        meta = (state or self.log.latest()).meta
+        return Manifest(meta.get("dimension"), meta.get("model"), meta.get("count", 0))
 
     def insert(self, chunks: DataFrame, dedup: bool = False) -> int:
         """Append chunks (text, meta, chunk_id, source, embedding), blank texts left out; the number of new rows."""
         chunks = chunks.where(F.col("text").rlike(r"(?U)\S"))
         if dedup:
-            chunks = chunks.join(self.load().select("chunk_id"), "chunk_id", "left_anti")
-        known = self.manifest()
-        rows = with_index_ids(chunks, self.next_id())  # written, so that what is counted is what is appended
-        new = rows.agg(F.count(F.lit(1)).alias("n"), F.min(F.size("embedding")).alias("lo"), F.max(F.size("embedding")).alias("hi")).first()
-        if new.n and {new.lo, new.hi} != {known.dimension or new.lo}:
-            raise ValueError(f"vectors of {new.lo} to {new.hi} dimensions for an index of {known.dimension or new.lo}")
-        if self.model and known.model and self.model != known.model:
-            raise ValueError(f"vectors of {self.model} for an index of {known.model}")
-        rows = rows.withColumn("added_at", F.current_timestamp()).selectExpr(*[f.split()[0] for f in ("id", "embedding", "text", "meta", "chunk_id", "source", "added_at")])
-        rows.write.mode("append").parquet(self.path)
-        self.save_manifest(Manifest(known.dimension or new.lo, known.model or self.model, known.count + new.n))
-        return new.n
+            chunks = chunks.dropDuplicates(["chunk_id"])
+        columns = [f.split()[0] for f in ("id", "embedding", "text", "meta", "chunk_id", "source", "added_at")]
+        added = 0
+
+        def attempt(base: Snapshot) -> tuple[tuple[tuple[str, int], ...], dict] | None:
+            nonlocal added
+            fresh = chunks.join(self.load(base).select("chunk_id"), "chunk_id", "left_anti") if dedup else chunks
+            known = self.manifest(base)
+            rows = with_index_ids(fresh, known.count)  # written, so that what is counted is what is appended
+            new = rows.agg(F.count(F.lit(1)).alias("n"), F.min(F.size("embedding")).alias("lo"), F.max(F.size("embedding")).alias("hi")).first()
+            if new.n and {new.lo, new.hi} != {known.dimension or new.lo}:
+                raise ValueError(f"vectors of {new.lo} to {new.hi} dimensions for an index of {known.dimension or new.lo}")
+            if self.model and known.model and self.model != known.model:
+                raise ValueError(f"vectors of {self.model} for an index of {known.model}")
+            added = new.n
+            if not added:
+                return None
+            name = self.log.write(rows.withColumn("added_at", F.current_timestamp()).select(*columns))
+            return (*base.folders, (name, base.number + 1)), {"dimension": known.dimension or new.lo, "model": known.model or self.model, "count": known.count + new.n}
+
+        with scratch(self.spark):
+            self.log.transact(attempt)
+        return added
 
     def next_id(self) -> int:
-        last = self.load().agg(F.max("id")).first()[0]
-        return 0 if last is None else last + 1
+        return self.manifest().count
 
     def search(self, queries: DataFrame, k: int = 10, **options: object) -> DataFrame:
         """Hits with text and metadata, which are looked up for the hits only."""
@@ -252,33 +252,31 @@ class VectorIndex:
         return index_stats(self.load())
 
     def clear(self) -> None:
-        self.spark.createDataFrame([], INDEX).write.mode("overwrite").parquet(self.path)
-        self.save_manifest(Manifest(None, None, 0))
+        """An empty index; what older readers have open stays until ``log.vacuum``."""
+        self.log.transact(lambda base: ((), {"dimension": None, "model": None, "count": 0}))
 
     def export(self, path: str) -> VectorIndex:
-        """A copy of table and manifest at another path."""
-        copy = VectorIndex(self.spark, path, self.model)
-        self.load().write.mode("overwrite").parquet(copy.path)
-        copy.save_manifest(self.manifest())
+        """A copy of the rows and the manifest of one state at another path, in place of what is there."""
+        copy, state = VectorIndex(self.spark, path, self.model), self.log.latest()
+        name = copy.log.write(self.load(state))
+        copy.log.transact(lambda base: (((name, base.number + 1),), state.meta))
         return copy
 
     @classmethod
     def opened(cls, spark: SparkSession, path: str) -> VectorIndex:
         """The index saved at ``path``; an error if there is none or its rows aren't those of its manifest."""
         index = cls(spark, path)
-        if not index.exists() or not index.exists(index.manifest_path):
+        state = index.log.latest()
+        if not state.number:
             raise FileNotFoundError(path)
-        m = index.manifest()
-        have = index.load().agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
+        m = index.manifest(state)
+        have = index.load(state).agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
         if (have.n, have.d) != (m.count, m.dimension if m.count else None):
             raise ValueError(f"{path} has {have.n} rows of {have.d} dimensions, its manifest {m.count} of {m.dimension}")
         index.model = m.model
         return index
 
 
-MANIFEST = "dimension int, model string, count_ long"
-
-
 @dataclass(frozen=True)
 class Manifest:
     dimension: int | None

@@ -5,11 +5,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINTS = "spark.checkpoint.dir"
-_open: list[list[str]] = []  # folders made in each open ``scratch``, innermost last
+_open: ContextVar[tuple[list[str], ...]] = ContextVar("open_scratches", default=())  # folders made in each, innermost last
 
 
 def base_dir(spark: SparkSession) -> str:
@@ -35,8 +36,8 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_dir(spark)
-    if _open:
-        _open[-1].append(path)
+    if _open.get():
+        _open.get()[-1].append(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.__dict__["_written_to"] = path
@@ -72,16 +73,19 @@ class Kept:
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[Kept]:
-    """Tables cut inside are deleted at the end, except those kept: these belong to the scratch around, if any."""
+    """Tables cut inside are deleted at the end, except those kept: these belong to the scratch around, if any.
+
+    What other threads cut meanwhile isn't touched: each has scratches of its own.
+    """
     made: list[str] = []
     kept = Kept()
-    _open.append(made)
+    around = _open.set((*_open.get(), made))
     try:
         yield kept
     finally:
-        _open.remove(made)
+        _open.reset(around)
         for path in made:
             if path not in kept.paths:
                 remove(spark, path)
-        if _open:
-            _open[-1].extend(p for p in made if p in kept.paths)
+        if _open.get():
+            _open.get()[-1].extend(p for p in made if p in kept.paths)
