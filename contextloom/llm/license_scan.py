@@ -4,7 +4,8 @@ Every rolling word k-gram of every text is hashed and joined to the positions of
 base phrases, triples for notices and whole license texts, which ordinary prose hardly ever shares. The join is on the
 hash of a gram's first two words, and all its words are compared there, so hashes never decide. A match of text position
 p with template position t is a vote for the diagonal p - t. Diagonals within ``MERGE`` words of one another (words were inserted or left out) are merged: around each
-diagonal, the distinct template positions that vote within that reach, over all of the template's, are its cover. Words
+diagonal, the distinct template positions that vote within that reach, over all of the template's, are its cover. The words that tell a license from its kin (versions, non-commercial) must be in it: without the triples that end in
+them there is no cover, however long the rest of a notice is. Words
 repeated in a text so vote once, and each vote counts only near the place where the template has it. A span is verified
 when its cover is at least ``min_cover``; of a run of such diagonals the best one gives the span.
 
@@ -44,8 +45,10 @@ NOTICES = (
     ("licensed under cc by nc 4 0", "cc-by-nc-4.0"),
     ("creative commons attribution 4 0 international license", "cc-by-4.0"),
     ("redistribution and use in source and binary forms with or without modification are permitted", "bsd"),
-    ("this source code form is subject to the terms of the mozilla public license", "mpl-2.0"),
+    ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl-2.0"),
 )
+# Words of these that tell one license from its kin; every triple that they stand in must be there.
+TELLING = {"gpl-3.0": ("3",), "apache-2.0": ("2", "0"), "cc-by-nc-4.0": ("nc", "4", "0"), "cc-by-4.0": ("attribution", "4", "0"), "mpl-2.0": ("2", "0")}
 # Texts of public licenses, or of the notices that they ask for, with labels of this scan.
 TEXTS = (
     ("""Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
@@ -83,8 +86,11 @@ MARK = -1
 MASKS, MASK_BITS = 4, 62  # template positions as bits of four numbers
 
 
-def template_rows() -> list[tuple[int, str, bool, int, int, int, str, str, str]]:
-    """(template, label, is_base, k, n_grams, position, words of the gram) of every k-gram of the templates."""
+def template_rows() -> list[tuple[int, str, bool, int, int, int, int, bool, str, str, str]]:
+    """(template, label, is_base, k, n_grams, n_must, position, must, words of the gram) of every k-gram of the templates.
+
+    A gram must be covered if it ends in a telling word.
+    """
     rows = []
     for number, (text, label) in enumerate((*BASE, *NOTICES, *TEXTS)):
         k = 2 if number < len(BASE) else 3
@@ -92,20 +98,23 @@ def template_rows() -> list[tuple[int, str, bool, int, int, int, str, str, str]]
         grams = [(w[i : i + k] + [""])[:3] for i in range(len(w) - k + 1)]
         if len(grams) > MASKS * MASK_BITS:
             raise ValueError(f"{label} has more than {MASKS * MASK_BITS} positions")
-        rows += [(number, label, k == 2, k, len(grams), t, *g) for t, g in enumerate(grams)]
+        must = [k == 3 and g[-1] in TELLING.get(label, ()) for g in grams]
+        if any(must[MASK_BITS:]):
+            raise ValueError(f"{label} has telling words beyond {MASK_BITS} positions")
+        rows += [(number, label, k == 2, k, len(grams), sum(must), t, must[t], *g) for t, g in enumerate(grams)]
     return rows
 
 
 def _values() -> str:
-    rows = [f"({m}, '{label}', {base}, {k}, {n}, {t}, '{a}', '{b}', '{c}')" for m, label, base, k, n, t, a, b, c in template_rows()]
+    rows = [f"({m}, '{label}', {base}, {k}, {n}, {least}, {t}, {must}, '{a}', '{b}', '{c}')" for m, label, base, k, n, least, t, must, a, b, c in template_rows()]
     return ", ".join(rows)
 
 
 def templates(spark: SparkSession) -> DataFrame:
     """The template positions, a fixed table of some hundred rows, and the marker."""
-    names = "template, label, is_base, k, n_grams, t, w1, w2, w3"
+    names = "template, label, is_base, k, n_grams, n_must, t, must, w1, w2, w3"
     rows = spark.sql(f"SELECT * FROM VALUES {_values()} AS v({names})")
-    marker = spark.sql(f"SELECT {MARK} AS template, '' AS label, false AS is_base, 2 AS k, 1 AS n_grams, 0 AS t, '' AS w1, '' AS w2, '' AS w3")
+    marker = spark.sql(f"SELECT {MARK} AS template, '' AS label, false AS is_base, 2 AS k, 1 AS n_grams, 0 AS n_must, 0 AS t, false AS must, '' AS w1, '' AS w2, '' AS w3")
     return rows.unionByName(marker).withColumn("gram", F.when(F.col("template") == MARK, F.lit(MARK).cast("long")).otherwise(F.xxhash64("w1", "w2")))
 
 
@@ -131,7 +140,7 @@ def votes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     return (
         at.join(F.broadcast(templates(docs.sparkSession)), "gram").where(same)
         .groupBy("row", "doc_id", "n_words", "template", (F.col("p") - F.col("t")).alias("diagonal"))
-        .agg(*masks, F.min("t").alias("from_t"), F.max(F.col("t") + F.col("k") - 1).alias("to_t"),
+        .agg(*masks, F.bit_or(F.when(F.col("must"), bit).otherwise(F.lit(0).cast("long"))).alias("told"), F.first("n_must").alias("n_must"), F.min("t").alias("from_t"), F.max(F.col("t") + F.col("k") - 1).alias("to_t"),
              F.first("label").alias("label"), F.first("is_base").alias("is_base"), F.first("n_grams").alias("n_grams"))
     )
 
@@ -150,11 +159,12 @@ def merged(v: DataFrame) -> DataFrame:
     reach = Window.partitionBy("row", "template").orderBy(line).rangeBetween(-MERGE, MERGE)
     names = [f"m{j}" for j in range(MASKS)]
     near = positions([F.bit_or(m).over(reach) for m in names])
+    cover = F.when(F.bit_count(F.bit_or("told").over(reach)) == F.col("n_must"), near / F.col("n_grams")).otherwise(0.0)
     v = v.withColumn("votes", positions([F.col(m) for m in names]))
     first = F.min_by(F.col("diagonal") + F.col("from_t"), F.struct("from_t", -F.col("votes")))
     last = F.max_by(F.col("diagonal") + F.col("to_t"), F.struct("to_t", "votes"))
     return v.select(
-        "row", "doc_id", "n_words", "template", "label", "is_base", "n_grams", "diagonal", "votes", (near / F.col("n_grams")).alias("cover"),
+        "row", "doc_id", "n_words", "template", "label", "is_base", "n_grams", "diagonal", "votes", cover.alias("cover"),
         first.over(reach).cast("long").alias("first_word"), last.over(reach).cast("long").alias("last_word"),
     )
 
@@ -197,14 +207,14 @@ WITH d AS (
                 '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS words FROM documents),
 p AS (SELECT r, unnest(range(1, len(words))) AS i, words FROM d),
 g AS (SELECT r, i - 1 AS p, words[i] AS w1, words[i + 1] AS w2, words[i + 2] AS w3 FROM p),
-t(template, label, is_base, k, n_grams, t, w1, w2, w3) AS (VALUES {_values()}),
-v AS (SELECT r, template, label, is_base, n_grams, p, t, p - t AS diagonal
+t(template, label, is_base, k, n_grams, n_must, t, must, w1, w2, w3) AS (VALUES {_values()}),
+v AS (SELECT r, template, label, is_base, n_grams, n_must, must, p, t, p - t AS diagonal
       FROM g JOIN t ON g.w1 = t.w1 AND g.w2 = t.w2 AND (t.k = 2 OR g.w3 = t.w3)),
 a AS (SELECT DISTINCT r, template, diagonal FROM v),
-c AS (SELECT a.r, a.diagonal, label, is_base, count(DISTINCT t)::DOUBLE / n_grams AS cover,
+c AS (SELECT a.r, a.diagonal, label, is_base, CASE WHEN count(DISTINCT t) FILTER (must) = n_must THEN count(DISTINCT t)::DOUBLE / n_grams ELSE 0 END AS cover,
              is_base AND count(DISTINCT t) FILTER (v.diagonal = a.diagonal) = n_grams AS whole
       FROM a JOIN v ON v.r = a.r AND v.template = a.template AND abs(v.diagonal - a.diagonal) <= CASE WHEN v.is_base THEN 0 ELSE {MERGE} END
-      GROUP BY a.r, a.template, a.diagonal, label, is_base, n_grams),
+      GROUP BY a.r, a.template, a.diagonal, label, is_base, n_grams, n_must),
 o AS (SELECT r, count(*) FILTER (whole) AS n_base, min(diagonal) FILTER (whole) AS first_word, max(diagonal) FILTER (whole) AS last_word,
         array_to_string(list_sort(list(DISTINCT label) FILTER (whole)), ',') AS base_labels,
         array_to_string(list_sort(list(DISTINCT label) FILTER (whole OR (NOT is_base AND cover >= 0.75))), ',') AS labels,

@@ -302,6 +302,19 @@ def test_licenses(spark, edge, none):
     assert license_scan.license_report(edge).count() == len(EDGE) and license_scan.license_report(none).count() == 0
 
 
+def test_versions_tell_licenses_apart(spark):
+    texts = [
+        "This work is licensed under the GNU General Public License version 2.", "This work is licensed under the GNU General Public License, version 3.",
+        "Licensed under the Apache License, Version 1.1", "Licensed under the Apache License, Version 2.1", "Licensed under the Apache License, Version 2.0",
+        "Creative Commons Attribution-ShareAlike 4.0 International License", "Creative Commons Attribution 4.0 International License", "Creative Commons Attribution 3.0 International License",
+        "licensed under CC BY-SA 4.0", "licensed under CC BY-NC 4.0", "licensed under CC BY-NC 3.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1.",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: set(r.labels.split(",")) - {"gpl", "apache", "cc-by", ""} for r in license_scan.license_report(df).collect()}
+    assert got == {0: set(), 1: {"gpl-3.0"}, 2: set(), 3: set(), 4: {"apache-2.0"}, 5: set(), 6: {"cc-by-4.0"}, 7: set(), 8: set(), 9: {"cc-by-nc-4.0"}, 10: set(), 11: {"mpl-2.0"}, 12: set()}
+
+
 def test_repeated_words_are_no_license(spark):
     """A word pair vouches for one place of a template, however often it comes; scrambled texts don't count."""
     mit = dict((label, text) for text, label in license_scan.TEXTS)["mit-full"]
