@@ -21,6 +21,7 @@ import functools
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -105,8 +106,22 @@ def runs_of(least: int) -> re.Pattern[str]:
     return re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % least)
 
 
+def merged_spans(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that (start, kind, end) spans in order cover together."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for s, _, e in spans:
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return starts, ends
+
+
 def random_spans(text: str, base: list[tuple[int, int, int]], enc: tiktoken.Encoding, most: float, least_run: int) -> list[tuple[int, int, int]]:
     out = []
+    starts, ends = merged_spans(base)
     for run in runs_of(least_run).finditer(text):
         for value in VALUE.finditer(text, run.start(), run.end()):
             if value.end() - value.start() < least_run:
@@ -115,7 +130,8 @@ def random_spans(text: str, base: list[tuple[int, int, int]], enc: tiktoken.Enco
             for first, end in best_stretches([surplus(p[0], enc, most) for p in parts]):
                 s = parts[first].start() if first else value.start()  # separators at the ends of a value may be the key's
                 e = parts[end - 1].end() if end < len(parts) else value.end()
-                if e - s < max(least_run, LEAST_PART * (end - first)) or any(b < e and s < f for b, _, f in base):
+                k = bisect_right(ends, s)  # the first stretch of the base that ends after s
+                if e - s < max(least_run, LEAST_PART * (end - first)) or k < len(starts) and starts[k] < e:
                     continue
                 if e - s >= LONG_RUN or sum(surplus(p[0], enc, min(most, MOST_CHARS_SHORT)) for p in parts[first:end]) > 0:
                     out.append((s, 3, e))
