@@ -3,8 +3,8 @@
 Texts become token ids and an end id; what is longer than a sequence is cut into full pieces and a shorter first one.
 Full pieces are sequences of their own. The others are dealt at random into blocks of about ``block_items`` pieces, so
 no task's work depends on any key. Each block lives on ``islands``: an island keeps a few whole packings of the block
-and breeds them. Founders are packed by best fit in orders that chance blurs differently, so that they differ and none is
-finished. A crossover takes well-filled bins of one parent over into the other as they are, removes the bins
+and breeds them. One founder is packed by best fit decreasing, so no block ever takes more bins than that gives; the others
+by best fit in orders that chance blurs differently, so that they differ and there is something to breed. A crossover takes well-filled bins of one parent over into the other as they are, removes the bins
 there that hold one of their pieces (the duplicates), and puts the displaced pieces back by best fit, largest first.
 After each epoch the best packing of an island migrates to the next one. Bins of a block's best packing that stayed
 under ``least_fill`` are opened, and their pieces from all blocks are dealt and bred once more, so that no block keeps
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from contextloom.llm.common import cut, release, ship
+from contextloom.llm.common import cut, release, scratch, ship
 from contextloom.llm.secret_scan import encoder
 
 Bins = list[tuple[int, ...]]  # of item numbers
@@ -129,11 +129,18 @@ class Island:
 
     def settle(self) -> None:
         """Founders: best fit in orders of length that chance blurs, some more and some less."""
-        for _ in range(self.size):
+        for _ in range(self.size - 1):
             blur = [n * (1 + self.chance.uniform(-BLUR, BLUR)) for n in self.lengths]
             order = sorted(range(len(blur)), key=blur.__getitem__, reverse=True)
             self.add(*best_fit(self.lengths, order, [], [], self.capacity))
 
+    def decreasing(self) -> int:
+        """One more founder, by best fit decreasing; its bins."""
+        order = sorted(range(len(self.lengths)), key=self.lengths.__getitem__, reverse=True)
+        found = best_fit(self.lengths, order, [], [], self.capacity)
+        self.add(*found)
+        return len(found[0])
+
     def cross(self, giver: tuple[float, Bins, list[int]], taker: tuple[float, Bins, list[int]]) -> None:
         _, bins, fills = giver
         full = [k for k, f in enumerate(fills) if f >= 0.99 * self.capacity]
@@ -171,24 +178,25 @@ class Island:
         return out
 
 
-ISLAND = "block long, island int, lengths array<int>, packings array<array<int>>, score double, founded int, bins int"
+ISLAND = "block long, island int, lengths array<int>, packings array<array<int>>, score double, founded int, best_fit int, bins int"
 
 
 def _live(batches: Iterator[pa.RecordBatch], capacity: int, members: int, crossings: int, epoch: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
             home = Island(row["lengths"], capacity, row["block"] * 1009 + row["island"] * 31 + epoch, members)
-            founded = row["founded"]
+            founded, best = row["founded"], row["best_fit"]
             if epoch == 0:
                 home.settle()
-                founded = len(home.members[0][1])
+                founded = len(home.members[0][1]) if home.members else 0
+                best = home.decreasing()
             for g in row["packings"] or ():
                 home.add_groups(g)
             home.evolve(crossings)
             kept = [home.groups(k) for k in range(len(home.members))]
             schema = [pa.array([row["block"]], pa.int64()), pa.array([row["island"]], pa.int32()), pa.array([row["lengths"]], pa.list_(pa.int32())), pa.array([kept], pa.list_(pa.list_(pa.int32()))), pa.array([home.members[0][0]], pa.float64())]
-            schema += [pa.array([founded], pa.int32()), pa.array([len(home.members[0][1])], pa.int32())]
-            yield pa.RecordBatch.from_arrays(schema, names=["block", "island", "lengths", "packings", "score", "founded", "bins"])
+            schema += [pa.array([n], pa.int32()) for n in (founded, best, len(home.members[0][1]))]
+            yield pa.RecordBatch.from_arrays(schema, names=["block", "island", "lengths", "packings", "score", "founded", "best_fit", "bins"])
 
 
 def dealt_blocks(items: DataFrame, n_items: int, block_items: int) -> DataFrame:
@@ -205,13 +213,13 @@ def bred(dealt: DataFrame, n_items: int, capacity: int, block_items: int, island
     world = dealt.select(
         "block", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"),
         F.transform("items", lambda x: x["length"].cast("int")).alias("lengths"),
-        F.expr("cast(null as array<array<int>>)").alias("packings"), F.lit(0.0).alias("score"), F.lit(0).alias("founded"), F.lit(0).alias("bins"),
+        F.expr("cast(null as array<array<int>>)").alias("packings"), F.lit(0.0).alias("score"), F.lit(0).alias("founded"), F.lit(0).alias("best_fit"), F.lit(0).alias("bins"),
     )
     spread = min(max(1, round(n_items / block_items)) * islands, 2000)
     world = cut(world.repartition(spread, "block", "island").mapInArrow(functools.partial(live, epoch=0), ISLAND))
     for epoch in range(1, epochs):
         guests = world.select("block", F.pmod(F.col("island") + 1, F.lit(islands)).cast("int").alias("island"), F.slice("packings", 1, 1).alias("guest"))
-        met = world.join(guests, ["block", "island"]).select("block", "island", "lengths", F.concat("packings", "guest").alias("packings"), "score", "founded", "bins")
+        met = world.join(guests, ["block", "island"]).select("block", "island", "lengths", F.concat("packings", "guest").alias("packings"), "score", "founded", "best_fit", "bins")
         old, world = world, cut(met.mapInArrow(functools.partial(live, epoch=epoch), ISLAND))
         release(old)
     return world
@@ -227,21 +235,27 @@ def pack_round(items: DataFrame, n_items: int, capacity: int, block_items: int,
 
 
 def evolution(cuts_: DataFrame, capacity: int = 2048, block_items: int = 4000, islands: int = 2, epochs: int = 2, members: int = 5, crossings: int = 24) -> DataFrame:
-    """Per block of pieces (of ``pieces``): how many, the bins of its best founder, of its best packing, and the least possible."""
+    """Per block of pieces (of ``pieces``): how many, the bins of its best blurred founder, of best fit decreasing, of its best packing, and the least possible."""
     items = cuts_.where(F.col("length") < capacity)
     n = items.count()
     world = bred(dealt_blocks(items, n, block_items), n, capacity, block_items, islands, epochs, members, crossings)
     least = F.ceil(F.aggregate(F.first("lengths"), F.lit(0).cast("long"), lambda a, x: a + x) / capacity)
-    return world.groupBy("block").agg(F.first(F.size("lengths")).alias("pieces"), F.min("founded").alias("founded"), F.min("bins").alias("bins"), least.alias("least"))
+    return world.groupBy("block").agg(F.first(F.size("lengths")).alias("pieces"), F.min("founded").alias("founded"), F.min("best_fit").alias("best_fit"), F.min("bins").alias("bins"), least.alias("least"))
 
 
 def packed(docs: DataFrame, vocabulary: str, pattern: str, capacity: int = 2048, end_id: int = 0, text: str = "text", doc_id: str = "doc_id",
            block_items: int = 4000, islands: int = 2, epochs: int = 2, members: int = 5, crossings: int = 24, least_fill: float = 0.97, added: Mapping[str, int] | None = None) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    with scratch(docs.sparkSession) as made:
+        out = cut(_packed(docs, vocabulary, pattern, capacity, end_id, text, doc_id, (capacity, block_items, islands, epochs, members, crossings), least_fill, added))
+        made.keep(out)
+    return out
+
+
+def _packed(docs: DataFrame, vocabulary: str, pattern: str, capacity: int, end_id: int, text: str, doc_id: str, options: tuple, least_fill: float, added: Mapping[str, int] | None) -> DataFrame:
     cuts_ = cut(pieces(docs, vocabulary, pattern, capacity, end_id, text, doc_id, added))
     full = cuts_.where(F.col("length") >= capacity).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     items = cuts_.where(F.col("length") < capacity)
-    options = (capacity, block_items, islands, epochs, members, crossings)
     first = cut(pack_round(items, items.count(), *options))
     fills = first.groupBy("block", "bin").agg(F.sum("length").alias("fill"))
     first = cut(first.join(fills, ["block", "bin"]))

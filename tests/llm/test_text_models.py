@@ -238,6 +238,23 @@ def test_cuts(n, capacity):
     assert all(x == capacity for _, x in parts[1:])
 
 
+def test_spans_of_a_text_cost_no_squares():
+    """Many base spans and many runs: what overlaps a base span is told by a search, not by looking through all."""
+    enc = secret_scan.encoder(*vocabulary())
+    key = "Zq8xK3vW9pLr5TnB2mYc7HdF"
+
+    def took(n):
+        text = "".join(f"password = hunter{i}x token: {key}{i} and {key[::-1]}{i} here\n" for i in range(n)).encode()
+        began = time.perf_counter()
+        base, more = secret_scan.scan(text, enc)
+        assert len(base) == 2 * n and len(more) == n and all(e <= b or f <= s for s, _, e in more[:50] for b, _, f in base)
+        return time.perf_counter() - began
+
+    took(100)
+    small, large = took(2000), took(16_000)
+    assert large < 20 * small
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.integers(1, 100), min_size=1, max_size=60), st.integers(0, 5))
 def test_islands_only_hold_whole_packings(lengths, seed):
@@ -260,12 +277,25 @@ def test_crossover_gains(spark):
     island = packing.Island(lengths, 2048, 3, 5)
     island.settle()
     founded = len(island.members[0][1])
+    assert island.decreasing() == decreasing
     assert len({m[0] for m in island.members}) == 5  # founders differ
     island.evolve(24)
     assert len(island.members[0][1]) < min(founded, decreasing) and len(island.members[0][1]) <= 0.97 * founded
     rows = spark.createDataFrame([(i, 0, 0, n, 1) for i, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long")
     for b in packing.evolution(rows, block_items=1000).collect():
-        assert b.least <= b.bins < b.founded
+        assert b.least <= b.bins < b.founded and b.bins <= b.best_fit
+
+
+def test_never_more_bins_than_best_fit(spark):
+    """Lengths as those of the documents, where best fit decreasing is all but perfect, in blocks and over all of them."""
+    r = random.Random(4)
+    lengths = [min(2047, max(2, int(r.lognormvariate(5.9, 0.9)))) for _ in range(6000)]
+    rows = spark.createDataFrame([(i, 0, 0, n, 1) for i, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    blocks = packing.evolution(rows, block_items=3000).collect()
+    assert len(blocks) == 2 and all(b.least <= b.bins <= b.best_fit for b in blocks)
+    island = packing.Island(lengths[:1500], 2048, 1, 1)
+    island.settle()
+    assert not island.members and island.decreasing() == len(island.members[0][1])
 
 
 def test_packing_round_trip(spark, plain, none, small):
