@@ -13,14 +13,19 @@ CHECKPOINTS = "spark.checkpoint.dir"
 _open: ContextVar[tuple[list[str], ...]] = ContextVar("open_scratches", default=())  # folders made in each, innermost last
 
 
-def base_dir(spark: SparkSession) -> str:
-    """The application's folder under spark.checkpoint.dir; one of our own only in local mode, as in tests."""
+def root_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a folder of our own only in local mode, as in tests."""
     base = spark.conf.get(CHECKPOINTS, None)
     if not base:
         if not spark.sparkContext.master.split("[")[0] == "local":
             raise RuntimeError(f"set {CHECKPOINTS} to a folder that driver and executors share")
         base = "file:///tmp/contextloom-checkpoints"
-    return f"{base.rstrip('/')}/loom-{spark.sparkContext.applicationId}"
+    return base.rstrip("/")
+
+
+def base_dir(spark: SparkSession) -> str:
+    """The application's folder there."""
+    return f"{root_dir(spark)}/loom-{spark.sparkContext.applicationId}"
 
 
 def shared_dir(spark: SparkSession) -> str:
