@@ -5,7 +5,9 @@ A page becomes its sequence of text blocks, the leaves of its block elements. Ea
 hashed), and a few measures such as its length and share of link text. A bidirectional LSTM, in numpy, reads the whole
 sequence and labels every block as main text or not, so a block is judged by all that stands before and after it. It is
 trained here by backpropagation through time, in one task, on generated pages of many layouts, whose labels are known by
-construction; no page of the input is needed for it. Blocks labelled as main text are joined by one space.
+construction; no page of the input is needed for it. Some of these pages have names that tell what a part is, others names that
+tell nothing or none, some have elements made for menus and articles, others only div, table cells or line breaks. Of an
+element's names only those that training knows count. Blocks labelled as main text are joined by one space.
 
 Scripts, styles, templates, controls of forms, titles and the text of iframes yield no blocks; comments and markup never
 do. Raw text (scripts, styles, titles and the like) ends at its own end tag only; other such elements stand among the open
@@ -25,20 +27,25 @@ an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import contextlib
 import functools
+import hashlib
 import html
 import random
 import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from contextloom.commits import CommitLog, Conflict
 from contextloom.llm.common import ship
+from contextloom.storage import root_dir
 
 # Elements of HTML by their kind.
 BLOCKS = frozenset(
@@ -60,11 +67,12 @@ PLAIN = re.compile(r"[^>\"']*")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORD = re.compile(r"[a-z]+")
 
-PATH, WORDS, MEASURES, HIDDEN = 256, 128, 8, 24
+PATH, WORDS, MEASURES, HIDDEN = 384, 128, 8, 24
 NEARER = 0.85
 WORD_WEIGHT, FEW_WORDS = 0.3, 6.0  # the words of a short text tell less
 WORD_DECAY = 1.5  # of the words' weights, in steps of the learning rate: words are many, pages to learn from few
 UNREAD = 0.4  # share of the pages that are learned from without their words
+PAGES, EPOCHS = 8000, 12  # generated pages to learn from, and how often
 MAX_NODES = 20_000
 STEPS = 50_000  # blocks that are read at a time, with padding
 
@@ -359,13 +367,21 @@ def slot(word: str, of: int) -> tuple[int, float]:
 
 @functools.lru_cache(maxsize=20_000)
 def key_vector(key: str) -> np.ndarray:
+    """An element's tag and those of its names that training has shown; others would only meet known ones by chance."""
     v = np.zeros(PATH, np.float32)
     for i, word in enumerate(key.split()):
-        k, sign = slot(("<" if i == 0 else ".") + word, PATH)
-        v[k] += sign
+        if i == 0 or word in known_names():
+            k, sign = slot(("<" if i == 0 else ".") + word, PATH)
+            v[k] += sign
     return v
 
 
+@functools.cache
+def known_names() -> frozenset[str]:
+    names = [*MAIN_NAMES, *WRAPPERS, *COMMENT_NAMES, *(n for group in OTHER_NAMES.values() for n in group)]
+    return frozenset(w for n in names for w in element_key("div", f'class="{n}"').split()[1:])
+
+
 def path_vector(path: Node) -> np.ndarray:
     """The keys of a path, nearer ones weighing more: that of the path before, weakened, and the last key's."""
     chain = []
@@ -406,7 +422,7 @@ def measures(blocks: list[Block], first: int = 0, of: int | None = None) -> np.n
         n = len(b.text)
         ends = sum(map(b.text.count, ".!?"))
         x[i, WORDS:] = (
-            np.log1p(len(words)) / 4, min(1.0, b.linked / n), min(1.0, 10 * ends / len(words)), float("©" in b.text), (first + i) / of,
+            np.log1p(len(words)) / 4, min(1.0, b.linked / n), min(1.0, 10 * ends / len(words)), float("©" in b.text or "copyright" in words), (first + i) / of,
             float(first + i == 0), float(first + i == of - 1), float(b.path.key.split(" ")[0] in HEADINGS),
         )
     return x
@@ -470,7 +486,7 @@ class Labeller:
             dh, dc = g @ self.p[f"h{d}"].T, dc * f
         return dz, dw
 
-    def train(self, pages: list[tuple[np.ndarray, np.ndarray]], epochs: int = 5, size: int = 64, rate: float = 0.02, seed: int = 5) -> None:
+    def train(self, pages: list[tuple[np.ndarray, np.ndarray]], epochs: int = 5, size: int = 48, rate: float = 0.012, seed: int = 5) -> None:
         """Adam on the log loss of all blocks; ``pages`` are (inputs, labels)."""
         r = np.random.default_rng(seed)
         m1 = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -486,7 +502,7 @@ class Labeller:
                     np.clip(g, -1, 1, out=g)
                     m1[name] = 0.9 * m1[name] + 0.1 * g
                     m2[name] = 0.999 * m2[name] + 0.001 * g * g
-                    speed = rate * (0.5 ** (epoch / 3)) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
+                    speed = rate * (0.5 ** (epoch * 4 / epochs)) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
                     if name[0] == "x":
                         self.p[name][PATH : PATH + WORDS] *= np.float32(1 - speed * WORD_DECAY)
                     self.p[name] -= (speed * m1[name] / (np.sqrt(m2[name]) + 1e-7)).astype(np.float32)
@@ -601,6 +617,9 @@ CUES = {
 }
 
 
+COMMENT_NAMES, WRAPPERS = ["comment", "comment-body", "reply"], ["wrapper", "page", "container", "layout", "site", "wrap"]
+# Beginnings of names that kits of styles give to elements.
+KIT = "mt mb px py p m w h text bg flex grid col row gap border rounded font leading max min items justify".split()
 ALL_CUES = sorted({w for words in CUES.values() for w in words if w.isalpha()})
 
 
@@ -609,6 +628,7 @@ class Pages:
 
     def __init__(self, seed: int):
         self.r = random.Random(seed)
+        self.naming, self.tagged = "known", True
         letters = "etaoinshrdluéüçñcmfpgwyb"
         self.vocabulary = ["".join(self.r.choices(letters, k=self.r.randint(2, 8))) for _ in range(20_000)]
 
@@ -629,9 +649,25 @@ class Pages:
             text = "*** ".join(out)
         return (text.capitalize() + "." if high > 6 else text) if text else text
 
+    def odd_name(self) -> str:
+        """A name that tells nothing: a tool's, a module's, some of a kit's, or any words."""
+        letters, form = "abcdefghijklmnopqrstuvwxyz", self.r.randrange(5)
+        some = lambda k, of=letters: "".join(self.r.choices(of, k=k))
+        if form == 0:
+            return self.pick(["css-", "sc-", "jsx-", "_", "e1", ""]) + some(self.r.randint(4, 8), letters + "0123456789")
+        if form == 1:
+            return f"{some(self.r.randint(2, 6))}-{some(self.r.randint(2, 6))}"
+        if form == 2:
+            return f"{some(5).capitalize()}_{some(4)}__{some(5, letters + '0123456789')}"
+        if form == 3:
+            return " ".join(f"{self.pick(KIT)}-{self.pick(['1', '2', '4', '8', 'full', 'sm', 'lg', 'auto'])}" for _ in range(self.r.randint(1, 4)))
+        return " ".join(self.r.choices(self.vocabulary, k=self.r.randint(1, 2)))
+
     def element(self, tag: str, inner: str, names: list[str] | None = None) -> str:
         attributes = ""
-        if names:
+        if self.naming == "odd" and self.chance(0.8 if names else 0.5):
+            attributes = f' {self.pick(["class", "class", "class", "id"])}="{self.odd_name()}"'
+        elif names and self.naming == "known":
             attributes = f' {self.pick(["class", "class", "id"])}="{self.pick(names)}"'
         return f"<{tag}{attributes}>{inner}</{tag}>"
 
@@ -644,13 +680,15 @@ class Pages:
     def other(self, kind: str) -> str:
         """A part that isn't main text."""
         names, cues = OTHER_NAMES[kind], CUES.get(kind)
+        if not self.tagged or self.naming != "known" and kind in ("notice", "ad", "comments", "share"):
+            return self.untold(kind, cues)
         tag = {"nav": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form"}.get(kind, "div")
-        plain = tag == "div" or self.chance(0.4)
+        plain = self.naming == "known" and (tag == "div" or self.chance(0.4))
         if kind == "comments":
             tag = self.pick(["section", "div", "aside", "ol"])
             inner = self.element("h3", self.words(1, 3, cues)) * self.chance(0.7)
             item = "li" if tag == "ol" else self.pick(["div", "p", "article"])
-            inner += "".join(self.element(item, self.words(3, 60, cues), ["comment", "comment-body", "reply"]) for _ in range(self.r.randint(1, 4)))
+            inner += "".join(self.element(item, self.words(3, 60, cues), COMMENT_NAMES) for _ in range(self.r.randint(1, 4)))
             return self.element(tag, inner, names)
         if kind == "form":
             inner = self.element("label", self.words(1, 3)) + "<input name=q>" + self.element("p", self.words(2, 12)) * self.chance(0.4) + "<button>ok</button>"
@@ -669,21 +707,53 @@ class Pages:
             return self.element(self.pick(["div", "div", "section"]) if tag == "div" or self.chance(0.5) else tag, inner, names)
         return self.element(tag, inner)
 
+    def untold(self, kind: str, cues: list[str] | None) -> str:
+        """A part that neither its element nor a name gives away: only its links, words, length and place do."""
+        tag = self.pick(["div", "div", "section", "span", "p"]) if kind in ("footer", "ad", "header", "comments") else "div"
+        if kind == "form":
+            inner = "<input name=q><button>ok</button>"
+        elif kind in ("footer", "notice", "ad", "comments"):
+            text = self.words(2, 14, cues) if kind != "notice" else " ".join(self.r.choices(CUES["notice"], k=self.r.randint(3, 12)))
+            inner = f"&copy; {self.r.randint(1995, 2026)} {text}" if kind == "footer" else f'<a href="/z">{text}</a>' if kind == "ad" else f'{text} <a href="/ok">{self.words(1, 2, cues)}</a>' if kind == "notice" else self.links(1, 3, cues)
+        elif kind == "header":
+            inner = f'<a href="/">{self.words(1, 3)}</a>' if self.chance(0.6) else self.links(2, 6, CUES["nav"])
+        else:
+            inner = self.links(2, 9, cues)
+            if kind == "aside" and self.chance(0.6):
+                inner = self.element(self.pick(["h3", "h4", "div"]), self.words(1, 3, CUES["nav"])) + inner
+        if kind == "footer":
+            if self.chance(0.3):
+                inner = f"Copyright {self.r.randint(1995, 2026)} {self.words(1, 4)}"
+            if self.chance(0.4):  # no element of its own
+                return self.pick(["<hr>", ""]) + self.element(self.pick(["small", "font", "center"]), inner)
+        for _ in range(self.r.choice([0, 0, 1, 2])):
+            inner = self.element("div", inner)
+        return self.element(tag, inner, OTHER_NAMES[kind])
+
     def fallback(self) -> str:
         """What is shown in place of a script or of media."""
         tag = self.pick(["noscript", "noscript", "video", "audio", "object", "canvas"])
         inner = self.words(3, 14, CUES["fallback"])
         return self.element(tag, self.element("p", inner) if self.chance(0.3) else inner)
 
+    def broken(self) -> str:
+        """Paragraphs told apart by line breaks only, which make up one block."""
+        return self.pick(["<br>", "<br><br>", "<br/>\n<br/>"]).join(self.words(4, 90) for _ in range(self.r.randint(2, 8)))
+
     def body(self) -> str:
         """The blocks of main text, with markers around what is to be found."""
+        if self.chance(0.05):
+            return self.element("h1", "\x01" + self.words(2, 12)) * self.chance(0.7) + self.element("div", "\x01" + self.broken())
         out = []
         if self.chance(0.8):
             out.append(("h1", self.words(2, 12)))
-        for _ in range(self.r.choice([1, 2, 3, 5, 8, 14])):
-            kind = self.pick(["p", "p", "p", "p", "p", "h2", "li", "blockquote", "pre", "div", "figcaption", "td"])
-            out.append((kind, self.words(1, 6) if self.chance(0.3) else self.words(4, 90)))
-        parts = []
+        plain = self.chance(0.4)  # nothing but paragraphs
+        for _ in range(self.r.choice([1, 2, 3, 5, 8, 14, 14, 25])):
+            kind = "p" if plain else self.pick(["p", "p", "p", "p", "p", "h2", "li", "blockquote", "pre", "div", "figcaption", "td"])
+            short = self.chance(0.3 if self.tagged else 0.1)
+            text = self.words(1, 6) if short else self.words(4, 90)
+            out.append((kind, text.capitalize() + "." if short and self.chance(0.6) else text))
+        parts, crossed = [], self.pick([0.0, 0.0, 0.15, 0.3])
         for kind, text in out:
             if kind == "li":
                 parts.append("<ul>" + "".join(f"<li>\x01{self.words(1, 14)}</li>" for _ in range(self.r.randint(1, 4))) + "</ul>")
@@ -695,43 +765,75 @@ class Pages:
                 parts.append(f"<p>\x01{text} {self.fallback()} \x01{self.words(2, 20)}</p>" if self.chance(0.5) else f"<p>\x01{text} <math><mi>{self.words(1, 1)}</mi><mo>=</mo><mn>2</mn></math></p>")
             elif kind == "figcaption" and self.chance(0.3):
                 parts.append(f"<figure><svg viewBox='0 0 1 1'><text x=1>\x01{self.words(1, 4)}</text></svg><figcaption>\x01{text}</figcaption></figure>")
+            elif kind in ("p", "div") and self.chance(0.06):
+                parts.append(self.element("div", "\x01" + self.broken()))
+            elif self.naming == "odd" or not self.tagged:
+                tag = "div" if kind == "p" and self.chance(0.3) else kind
+                inner = f"\x01{text}"
+                parts.append(self.element(tag, self.element("span", inner) if self.chance(0.15) else inner, MAIN_NAMES))
             else:
                 if self.chance(0.2) and " " in text:
                     head, _, tail = text.partition(" ")
                     text = f'{head} <a href="/y">{tail[:20]}</a>{tail[20:]}'
                 parts.append(f"<{kind}>\x01{text}</{kind}>")
-            if self.chance(0.15):
-                parts.append(self.other(self.pick(["ad", "aside", "aside", "share", "notice", "form"])))
+            if self.chance(crossed):
+                parts.append(self.other(self.pick(["ad", "aside", "aside", "share", "form", "notice" if self.naming == "known" and self.tagged else "ad"])))
             if self.chance(0.04):
                 parts.append(self.fallback())
         return "".join(parts)
 
     def page(self) -> str:
+        """A page whose names and elements tell its parts apart, or one of them does, or neither."""
+        self.naming = self.r.choices(["known", "odd", "none"], [7, 2, 1])[0]
+        self.tagged = self.chance(0.92 if self.naming == "known" else 0.6)
         kinds = list(OTHER_NAMES)
-        before = [self.other(k) for k in ("header", "nav", "notice", "ad", "form", "aside") if self.chance(0.45)]
-        after = [self.other(k) for k in ("share", "comments", "aside", "ad", "notice", "form", "footer") if self.chance(0.45)]
+        dense, denser = (self.pick([0.0, 0.15, 0.3, 0.45, 0.7]) for _ in range(2))  # pages have few parts or many, before and after
+        before = [self.other(k) for k in ("header", "nav", "notice", "ad", "form", "aside") if self.chance(max(dense, 0.6 * (k == "nav")))]
+        told = self.naming == "known" and self.tagged
+        after = [self.other(k) for k in ("share", "comments", "aside", "ad", "notice" if told else "ad", "form", "footer") if self.chance(max(denser, 0.6 * (k == "footer")))]
         body = self.body()
-        if self.chance(0.25):
+        if self.chance(denser / 2):
             body += self.other(self.pick(["share", "comments", "aside", "ad"]))
-        form = self.r.randrange(4)
-        if form == 0:
-            main = f"<article>{body}</article>"
-        elif form == 1:
-            main = "<main>" + (f"<article>{body}</article>" if self.chance(0.5) else body) + "</main>"
-        elif form == 2:
-            main = self.element(self.pick(["div", "section", "article"]), body, MAIN_NAMES)
-        else:
-            main = f"<article>{self.element('div', body, MAIN_NAMES)}</article>"
         if self.chance(0.2):
             before.append(self.other(self.pick(kinds)))
         if self.chance(0.1):
             before.append(self.fallback())
         self.r.shuffle(before)
-        inside = "".join([*before, main, *after])
-        if self.chance(0.3):
-            inside = self.element("div", inside, ["wrapper", "page", "container", "layout", "site", "wrap"])
+        inside = self.cells(before, body, after) if self.chance(0.08) else "".join([*before, self.main(body), *after])
+        for _ in range(self.r.choice([0, 0, 0, 1, 1, 2])):
+            inside = self.element("div", inside, WRAPPERS)
         return f"<!DOCTYPE html><html><head><title>{self.words(2, 6)}</title></head><body>{inside}</body></html>"
 
+    def main(self, body: str) -> str:
+        if not self.tagged:
+            for _ in range(self.r.randint(0, 3)):
+                body = self.element(self.pick(["div", "div", "section"]), body, MAIN_NAMES)
+            return body
+        form = self.r.choice([0, 1, 2, 3] if self.naming == "known" else [0, 1, 3])
+        if form == 0:
+            return self.element("article", body)
+        if form == 1:
+            return self.element("main", self.element("article", body) if self.chance(0.5) else body)
+        if form == 2:
+            return self.element(self.pick(["div", "section", "article"]), body, MAIN_NAMES)
+        return self.element("article", self.element("div", body, MAIN_NAMES))
+
+    def cells(self, before: list[str], body: str, after: list[str]) -> str:
+        """The parts as cells of a table, as old pages have them; some are the cell's own text."""
+        if self.chance(0.6):
+            after = [*after, self.pick(["<font size=1>{}</font>", "<small>{}</small>", "{}"]).format(f"{self.pick(['&copy;', 'Copyright'])} {self.r.randint(1995, 2026)} {self.words(1, 8)}")]
+        if self.chance(0.4):
+            before = [self.pick(["<b>{}</b>", '<a href="/">{}</a>']).format(self.words(1, 3)), *before]
+        cell = lambda inner: self.element("td", inner) if inner else ""
+        rows = self.r.randrange(3)
+        if rows == 0:
+            return "<table><tr>" + cell("".join(before)) + cell(body) + cell("".join(after)) + "</tr></table>"
+        row = lambda inner: f"<tr>{cell(inner)}</tr>" if inner else ""
+        if rows == 1:
+            return "<table>" + row("".join(before)) + row(body) + row("".join(after)) + "</table>"
+        side = self.element("td", self.links(3, 9, CUES["nav"]))
+        return "<table>" + row("".join(before)) + f"<tr>{side}{cell(body)}</tr>" + row("".join(after)) + "</table>"
+
 
 def inputs_of(blocks: list[Block]) -> np.ndarray:
     return np.concatenate((np.stack([path_vector(b.path) for b in blocks]), measures(blocks)), 1)
@@ -752,7 +854,7 @@ def generated(n: int, seed: int) -> list[tuple[list[Block], np.ndarray]]:
 
 
 @functools.lru_cache(maxsize=2)
-def trained(pages: int = 6000, epochs: int = 10, seed: int = 5) -> Labeller:
+def trained(pages: int = PAGES, epochs: int = EPOCHS, seed: int = 5) -> Labeller:
     """The labeller, fitted in this process; the same at every call."""
     net, chance = Labeller(seed), random.Random(seed)
     examples = []
@@ -765,7 +867,7 @@ def trained(pages: int = 6000, epochs: int = 10, seed: int = 5) -> Labeller:
     return net
 
 
-def trained_in_task(spark: SparkSession, pages: int = 6000, epochs: int = 10, seed: int = 5) -> Labeller:
+def trained_in_task(spark: SparkSession, pages: int = PAGES, epochs: int = EPOCHS, seed: int = 5) -> Labeller:
     """The same, fitted in one task: Spark gives it one thread, with which small matrices are multiplied fastest."""
     ship(spark)
 
@@ -776,9 +878,33 @@ def trained_in_task(spark: SparkSession, pages: int = 6000, epochs: int = 10, se
                 shapes = [",".join(map(str, v.shape)) for v in p.values()]
                 yield pa.record_batch({"name": list(p), "shape": shapes, "weights": pa.array([v.tobytes() for v in p.values()], pa.binary())})
 
+    return with_weights(spark.range(0, 1, 1, 1).mapInArrow(fit, NET).collect(), seed)  # some 600 KB
+
+
+NET = "name string, shape string, weights binary"
+
+
+def kept(spark: SparkSession, pages: int = PAGES, epochs: int = EPOCHS, seed: int = 5) -> Labeller:
+    """The same, trained once for all applications that share ``spark.checkpoint.dir`` and have this code.
+
+    Its weights hang on nothing but this module and the parameters, whose digest names the folder where they are kept.
+    """
+    digest = hashlib.sha256(Path(__file__).read_bytes() + repr((pages, epochs, seed)).encode()).hexdigest()[:24]
+    log = CommitLog(spark, f"{root_dir(spark)}/loom-models/html-{digest}")
+    state = log.latest()
+    if not state.number:
+        p = trained_in_task(spark, pages, epochs, seed).p
+        rows = [(k, ",".join(map(str, v.shape)), bytearray(v.astype(np.float32).tobytes())) for k, v in p.items()]
+        name = log.write(spark.createDataFrame(rows, NET).coalesce(1))
+        with contextlib.suppress(Conflict):  # another application trained it meanwhile
+            log.commit(state, ((name, 1),), {})
+        state = log.latest()
+    return with_weights(log.rows(state, NET).collect(), seed)
+
+
+def with_weights(rows: list, seed: int) -> Labeller:
     net = Labeller(seed)
-    rows = spark.range(0, 1, 1, 1).mapInArrow(fit, "name string, shape string, weights binary").collect()  # some 100 KB
-    net.p = {r["name"]: np.frombuffer(r["weights"], np.float32).reshape([int(x) for x in r["shape"].split(",")]).copy() for r in rows}
+    net.p = {r["name"]: np.frombuffer(bytes(r["weights"]), np.float32).reshape([int(x) for x in r["shape"].split(",")]).copy() for r in rows}
     return net
 
 
@@ -790,7 +916,7 @@ def extract(net: Labeller, pages: list[str | None], least: float = 0.5) -> list[
 def main_texts(pages: DataFrame, net: Labeller | None = None, html_column: str = "html", page_id: str = "page_id", url: str = "url") -> DataFrame:
     """Per page: page_id, url, text, n_chars."""
     ship(pages.sparkSession)
-    net = net or trained_in_task(pages.sparkSession)
+    net = net or kept(pages.sparkSession)
     weights = net.p
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

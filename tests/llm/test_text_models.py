@@ -484,7 +484,7 @@ def test_chat_edges(spark):
 # ---- pages ----
 @pytest.fixture(scope="module")
 def net(spark):
-    return html_blocks.trained_in_task(spark)
+    return html_blocks.kept(spark)
 
 
 def test_pages_of_the_table(spark, small, net):
@@ -503,6 +503,50 @@ def test_generated_pages_that_training_never_saw(net):
     assert wrong <= 0.01 * sum(len(y) for _, y in made)
 
 
+SOME = "harbour winter copper engine meadow signal garden thunder velvet bottle lantern marble pocket ribbon saddle the of and in to was with for on that it by from as at".split()
+
+
+def page_of_other_making(kind, r):
+    """(page, its paragraphs, its menu, its last line), by rules that have nothing in common with the generator's."""
+    odd = lambda: f' class="{r.choice(["css", "sc", "x", "u"])}-{"".join(r.choices(string.ascii_lowercase + string.digits, k=7))}"'
+    sentence = lambda a, b: " ".join(r.choices(SOME, k=r.randint(a, b))).capitalize() + "."
+    paras, head = [" ".join(sentence(6, 18) for _ in range(r.randint(2, 5))) for _ in range(5)], sentence(3, 7)
+    menu = [r.choice("Start Team Preise Shop Kontakt Hilfe Jobs Presse Login".split()) + str(i) for i in range(6)]
+    last = r.choice([f"© {r.randint(2000, 2026)} {r.choice(SOME)} {r.choice(SOME)}", f"Copyright {r.randint(2000, 2026)} {r.choice(SOME)} ltd. all rights reserved"])
+    links = "".join(f'<li{odd()}><a href="/{m}">{m}</a></li>' for m in menu)
+    text = "".join(f"<p{odd()}>{p}</p>" for p in paras)
+    if kind == "divs":
+        body = f"<div{odd()}><div{odd()}><ul{odd()}>{links}</ul></div><div{odd()}><div{odd()}><h1{odd()}>{head}</h1>{text}</div></div><div{odd()}>{last}</div></div>"
+    elif kind == "tags":
+        body = f"<nav{odd()}><ul>{links}</ul></nav><main{odd()}><h1{odd()}>{head}</h1>{text}</main><footer{odd()}><p>{last}</p></footer>"
+    elif kind == "plain":
+        body = re.sub(r' class="[^"]*"', "", f"<div><ul>{links}</ul></div><div><h1>{head}</h1>{text}</div><div>{last}</div>")
+    elif kind == "table":
+        side = "".join(f'<a href="{m}.html">{m}</a><br>' for m in menu)
+        body = f"<table width=100%><tr><td colspan=2><b>{r.choice(SOME)}</b></td></tr><tr><td>{side}</td><td><h2>{head}</h2>{''.join(f'<p>{p}</p>' for p in paras)}</td></tr><tr><td colspan=2><font size=1>{last}</font></td></tr></table>"
+    else:
+        body = f"<div>{' | '.join(f'<a href={m}.html>{m}</a>' for m in menu)}</div><h1>{head}</h1><div{odd()}>{'<br><br>'.join(paras)}</div><hr><small>{last}</small>"
+    return f"<html><body>{body}</body></html>", paras, menu, last
+
+
+@pytest.mark.parametrize("kind", ["divs", "tags", "plain", "table", "breaks"])
+def test_pages_of_other_making(net, kind):
+    r = random.Random(17)
+    made = [page_of_other_making(kind, r) for _ in range(200)]
+    got = html_blocks.extract(net, [m[0] for m in made])
+    lost = sum(p not in text for text, (_, paras, _, _) in zip(got, made, strict=True) for p in paras)
+    assert lost <= 0.02 * 5 * len(made)
+    assert sum(any(m in text for m in menu) for text, (_, _, menu, _) in zip(got, made, strict=True)) <= 2
+    assert sum(last in text for text, (_, _, _, last) in zip(got, made, strict=True)) <= 0.05 * len(made)
+
+
+def test_weights_are_trained_once(spark, monkeypatch):
+    first = html_blocks.kept(spark, 40, 1)
+    monkeypatch.setattr(html_blocks, "trained_in_task", None)
+    again = html_blocks.kept(spark, 40, 1)
+    assert all(np.array_equal(first.p[k], again.p[k]) for k in first.p) and np.allclose(first.p["hf"], html_blocks.trained(40, 1).p["hf"], atol=1e-3)
+
+
 def test_a_page_of_many_parts(net):
     page = """<html><head><title>no</title><script>var a = "<p>no</p>";</script></head><body><header><a href=/>Home</a></header>
     <nav class="menu"><ul><li><a href=/a>One</a><li><a href=/b>Two</a></ul></nav><div class="cookie-banner">We use cookies, accept?</div>
