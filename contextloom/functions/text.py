@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Commands that may run, the marks of dangerous ones, and what a shell would interpret.
+# Commands that may run, and the marks of dangerous ones.
 ALLOWED_COMMANDS = (
     "npm yarn pnpm node python python3 pip pip3 poetry conda cargo rustc go java javac mvn gradle make cmake gcc g++ clang "
     "git svn hg ls dir cat head tail find grep awk sed wc sort uniq cut tr ps top htop df du free uname whoami id env printenv "
@@ -20,7 +20,6 @@ DANGEROUS = (
     r"\bdd\s+if=", r"\bfdisk\b", r"\breboot\b", r"\bshutdown\b", r"\bhalt\b", r"\bkill\s+-9", r"\bkillall\b", r"\bpkill\b",
     r"&&.*rm\b", r";\s*rm\b", r"\|\s*rm\b",
 )
-METACHARACTERS = r"[|&;$`(){}<>\n\r]"
 # Words that a command may begin with in prose, and types of commits.
 COMMAND_STARTS = ("npm", "python", "pip", "git", "docker", "ls", "cd", "pwd", "cat", "grep", "find")
 # Suffixes that have a chunker of their own; all others go to the line windows of ``javascript``.
@@ -150,16 +149,6 @@ def command_allowed(command: Column, allowed: Column, compat: bool = False) -> C
     return F.coalesce(F.exists(allowed, fits), F.lit(False))
 
 
-def command_flags(command: Column) -> Column:
-    """Struct of dangerous, metacharacters, base (the program's own name), allowed_base and accepted."""
-    dangerous = command.rlike("(?i)" + "|".join(DANGEROUS))
-    meta = command.rlike(METACHARACTERS)
-    first = F.get(F.split(F.regexp_replace(command, r"^\s+", ""), r"\s+", -1), F.lit(0))
-    base = F.regexp_extract(first, r"([^/\\]*)$", 1)
-    known = base.isin(*ALLOWED_COMMANDS)
-    return F.struct(dangerous.alias("dangerous"), meta.alias("metacharacters"), base.alias("base"), known.alias("allowed_base"), (~dangerous & ~meta & known).alias("accepted"))
-
-
 def diff_counts(diff: Column) -> Column:
     lines = F.split(diff, "\n", -1)
     added = F.size(F.filter(lines, lambda x: x.startswith("+") & ~x.startswith("+++")))

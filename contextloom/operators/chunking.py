@@ -10,6 +10,7 @@ from __future__ import annotations
 import ast
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -131,34 +132,72 @@ def python_chunks(content: str) -> list[Chunk]:
     return out or packed_lines(content)
 
 
-# Shapes of the constructs that the script chunker knows.
-SCRIPT_IMPORT = re.compile(r"import\s+.*?from\s+['\"][^'\"]+['\"];?")
+# Shapes of the constructs that the script chunker knows, cut before what may be far away: a path, a closing parenthesis.
+IMPORT_WORD, FROM_WORD = re.compile(r"import\s+"), re.compile(r"from(?=\s+['\"][^'\"]+['\"])")
+FROM_PATH = re.compile(r"from\s+['\"][^'\"]+['\"];?")
 SCRIPT_BLOCKS = (
-    ("function", re.compile(r"(?:export\s+)?(?:async\s+)?function\s+(\w+)\s*\([^)]*\)\s*{")),
-    ("arrow_function", re.compile(r"(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s+)?\([^)]*\)\s*=>\s*{")),
-    ("class", re.compile(r"(?:export\s+)?class\s+(\w+)(?:\s+extends\s+\w+)?\s*{")),
+    ("function", re.compile(r"(?:export\s+)?(?:async\s+)?function\s+(\w+)\s*\("), re.compile(r"\)\s*{")),
+    ("arrow_function", re.compile(r"(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s+)?\("), re.compile(r"\)\s*=>\s*{")),
+    ("class", re.compile(r"(?:export\s+)?class\s+(\w+)(?:\s+extends\s+\w+)?\s*{"), None),
 )
 BRACE = re.compile(r"[{}]")
 
 
-def block_end(content: str, at: int) -> int | None:
-    """Place behind the brace that closes the one at ``at``."""
-    depth = 0
-    for m in BRACE.finditer(content, at):
-        depth += 1 if m[0] == "{" else -1
-        if depth == 0:
-            return m.end()
-    return None
+class Script:
+    """A script's marks, each found once: line ends, closing parentheses, paths, and the end of what each brace opens."""
+
+    def __init__(self, content: str):
+        self.content = content
+        self.lines = [m.start() for m in re.finditer("\n", content)]
+        self.closing = [m.start() for m in re.finditer(r"\)", content)]
+        self.paths = [m.start() for m in FROM_WORD.finditer(content)]
+        self.ends: dict[int, int] = {}
+        opened: list[int] = []
+        for m in BRACE.finditer(content):
+            if m[0] == "{":
+                opened.append(m.start())
+            elif opened:
+                self.ends[opened.pop()] = m.end()
+
+    def line(self, at: int) -> int:
+        return bisect_left(self.lines, at) + 1
+
+    def imports(self) -> Iterator[tuple[int, int]]:
+        """From each ``import`` to the first path after it, if that begins on the line where the imported names do."""
+        at = 0
+        while m := IMPORT_WORD.search(self.content, at):
+            at = m.start() + 1
+            k, line = bisect_left(self.paths, m.end()), bisect_left(self.lines, m.end())
+            if k < len(self.paths) and (line == len(self.lines) or self.paths[k] < self.lines[line]):
+                at = FROM_PATH.match(self.content, self.paths[k]).end()  # type: ignore[union-attr]
+                yield m.start(), at
+
+    def blocks(self, head: re.Pattern[str], rest: re.Pattern[str] | None) -> Iterator[tuple[int, int, str]]:
+        """Start, place of the opening brace, and name; what follows the parameters is looked for at the next closing parenthesis."""
+        at = 0
+        while m := head.search(self.content, at):
+            at, end = m.start() + 1, m.end()
+            if rest is not None:
+                k = bisect_left(self.closing, end)
+                found = rest.match(self.content, self.closing[k]) if k < len(self.closing) else None
+                if found is None:
+                    continue
+                end = found.end()
+            at = end
+            yield m.start(), end - 1, m[1]
 
 
 def script_chunks(content: str) -> list[Chunk]:
-    """Imports, then functions, arrow functions and classes by their braces; line windows if there is none."""
-    line = lambda at: content.count("\n", 0, at) + 1
-    out: list[Chunk] = [("import", line(m.start()), line(m.end()), m[0], {}) for m in SCRIPT_IMPORT.finditer(content)]
-    for kind, pattern in SCRIPT_BLOCKS:
-        for m in pattern.finditer(content):
-            if (end := block_end(content, m.end() - 1)) is not None:
-                out.append((kind, line(m.start()), line(end), content[m.start() : end], {"name": m[1], "block_type": kind}))
+    """Imports, then functions, arrow functions and classes by their braces; line windows if there is none.
+
+    Takes time in proportion to the script and to the blocks that come out, nested ones being parts of several.
+    """
+    script = Script(content)
+    out: list[Chunk] = [("import", script.line(a), script.line(b), content[a:b], {}) for a, b in script.imports()]
+    for kind, head, rest in SCRIPT_BLOCKS:
+        for start, brace, name in script.blocks(head, rest):
+            if (end := script.ends.get(brace)) is not None:
+                out.append((kind, script.line(start), script.line(end), content[start:end], {"name": name, "block_type": kind}))
     return out or windows(content)
 
 

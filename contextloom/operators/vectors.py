@@ -8,11 +8,12 @@ meet in the shuffle. The larger side is read in place, once for each load; with
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,7 +24,7 @@ from contextloom.storage import cut, scratch
 
 QUERY_BLOCK = 1024  # queries that are multiplied at a time
 LOAD_BYTES = 32 << 20  # of queries and their hits, for a scan
-NATIVE_BLOCK = 64
+Load = tuple[np.ndarray, np.ndarray]  # ids and vectors of queries
 
 
 def normalised(v: Column) -> Column:
@@ -38,6 +39,16 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
+def scorable(ids: pa.Array, vectors: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and rows of the vectors that have ``dim`` elements, all of them finite numbers."""
+    fits = pc.equal(pc.list_value_length(vectors), dim)
+    if not pc.all(fits).as_py():
+        ids, vectors = ids.filter(fits), vectors.filter(fits)
+    m = matrix(vectors).reshape(len(vectors), dim)
+    finite = np.isfinite(m).all(1)
+    return (ids.to_numpy(), m) if finite.all() else (ids.to_numpy()[finite], m[finite])
+
+
 def unit_rows(m: np.ndarray) -> np.ndarray:
     norm = np.sqrt((m * m).sum(1, keepdims=True))
     return np.divide(m, norm, out=m.copy(), where=norm > 0)
@@ -54,20 +65,21 @@ def best_of_rows(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarra
     return s[picked].reshape(-1, k), d[picked].reshape(-1, k)
 
 
-def query_loads(queries: DataFrame, query_id: str, vector: str, k: int, load_bytes: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids and vectors of as many queries as ``load_bytes`` hold, with k hits of each."""
-    ids: list[int] = []
-    rows: list[list[float]] = []
+def query_loads(queries: DataFrame, query_id: str, vector: str, k: int, load_bytes: int) -> Iterator[Load]:
+    """Ids and vectors of as many queries as ``load_bytes`` hold, with k hits of each; those of one load have one dimension."""
+    loads: dict[int, tuple[list[int], list[list[float]]]] = {}
     held = 0
     for r in queries.select(F.col(query_id).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("v")).where("i is not null and v is not null").toLocalIterator():
+        if not np.isfinite(np.array(r.v, np.float64)).all():
+            continue
+        if held and held + 8 * len(r.v) + 32 * k > load_bytes:
+            yield from ((np.array(ids), np.array(rows)) for ids, rows in loads.values())
+            loads, held = {}, 0
         held += 8 * len(r.v) + 32 * k
-        if ids and held > load_bytes:
-            yield np.array(ids), np.array(rows)
-            ids, rows, held = [], [], 8 * len(r.v) + 32 * k
+        ids, rows = loads.setdefault(len(r.v), ([], []))
         ids.append(r.i)
         rows.append(r.v)
-    if ids:
-        yield np.array(ids), np.array(rows)
+    yield from ((np.array(ids), np.array(rows)) for ids, rows in loads.values())
 
 
 def blocked_scan(rows: DataFrame, q_ids: np.ndarray, q: np.ndarray, k: int, digits: int | None, block: int) -> DataFrame:
@@ -76,10 +88,10 @@ def blocked_scan(rows: DataFrame, q_ids: np.ndarray, q: np.ndarray, k: int, digi
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, kept_ids = np.full((len(q_ids), k), -np.inf), np.full((len(q_ids), k), np.iinfo(np.int64).max)
         for batch in batches:
-            ids = batch.column(0).to_numpy()
+            ids, m = scorable(batch.column(0), batch.column(1), q.shape[1])
             if not len(ids):
                 continue
-            m = unit_rows(matrix(batch.column(1))).T
+            m = unit_rows(m).T
             for start in range(0, len(q_ids), block):
                 part = slice(start, start + block)
                 scores = q[part] @ m
@@ -94,19 +106,42 @@ def blocked_scan(rows: DataFrame, q_ids: np.ndarray, q: np.ndarray, k: int, digi
 
 
 def native_scan(rows: DataFrame, q_ids: np.ndarray, q: np.ndarray, k: int, digits: int | None, block: int) -> DataFrame:
-    """The same in column expressions, for sessions without Python workers: ``NATIVE_BLOCK`` queries in an expression.
+    """The same in column expressions, for sessions without Python workers: one scan, in which each vector meets the load's queries.
 
-    A task's window keeps its k best of a query before anything shuffles.
+    The load is one row, an array of queries, which goes to the vectors by broadcast. A task's window keeps its k best of a
+    query before anything shuffles.
     """
-    out = None
-    unit = rows.select("id", normalised(F.col("v")).alias("v"))
-    for start in range(0, len(q_ids), NATIVE_BLOCK):
-        asked = [F.struct(F.lit(int(i)).alias("query_id"), F.aggregate(F.zip_with("v", F.array(*map(F.lit, v.tolist())), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x).alias("score")) for i, v in zip(q_ids[start : start + NATIVE_BLOCK], q[start : start + NATIVE_BLOCK], strict=True)]
-        part = unit.select("id", F.explode(F.array(*asked)).alias("x")).select(F.col("x.query_id").cast("long").alias("query_id"), "id", F.col("x.score").alias("score"))
-        out = part if out is None else out.unionByName(part)
+    asked = rows.sparkSession.createDataFrame([([(int(i), v.tolist()) for i, v in zip(q_ids, q, strict=True)],)], "asked array<struct<query_id:long,w:array<double>>>")
+    odd = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    unit = rows.where((F.size("v") == q.shape[1]) & ~odd).select("id", normalised(F.col("v")).alias("v"))
+    met = unit.crossJoin(F.broadcast(asked)).select("id", "v", F.explode("asked").alias("x"))
+    score = F.aggregate(F.zip_with("v", F.col("x.w"), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    out = met.select(F.col("x.query_id").alias("query_id"), "id", score.alias("score"))
     return out.withColumn("score", F.round("score", digits) + F.lit(0.0)) if digits is not None else out
 
 
+def normalizer_scan(rows: DataFrame, q_ids: np.ndarray, q: np.ndarray, scale: float, block: int) -> DataFrame:
+    """Each task's (query_id, top, total): its best score of a query, and the sum of exp(scale * (score - top)) over all its vectors."""
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top, total = np.full(len(q_ids), -np.inf), np.zeros(len(q_ids))
+        for batch in batches:
+            ids, m = scorable(batch.column(0), batch.column(1), q.shape[1])
+            if not len(ids):
+                continue
+            m = unit_rows(m).T
+            for start in range(0, len(q_ids), block):
+                part = slice(start, start + block)
+                scores = q[part] @ m
+                best = np.maximum(top[part], scores.max(1))
+                total[part] = total[part] * np.exp(scale * (top[part] - best)) + np.exp(scale * (scores - best[:, None])).sum(1)
+                top[part] = best
+        some = total > 0
+        yield pa.record_batch({"query_id": q_ids[some], "top": top[some], "total": total[some]})
+
+    return rows.mapInArrow(scan, "query_id long, top double, total double")
+
+
 STRATEGIES = {"blocked": blocked_scan, "native": native_scan}
 
 
@@ -116,21 +151,27 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_column: str =
     """The k nearest vectors of each query by cosine: query_id, id, score, rank (from 1; equal scores by id).
 
     ``digits`` rounds scores before they are ranked; ``least`` drops hits below it. Fewer than k vectors give fewer hits.
-    ``strategy``: matrix products in Arrow batches (``blocked``) or column expressions (``native``).
+    A vector that has a null, NaN or infinite element is no hit, and one of another dimension than the query's neither; a query
+    of that kind has no hits. Zero vectors score 0. ``strategy``: matrix products in Arrow batches (``blocked``) or column expressions (``native``).
     """
     rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector).alias("v")).where("id is not null and v is not null")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
 
-    def hits(load: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    def hits(load: Load) -> DataFrame:
         found = STRATEGIES[strategy](rows, load[0], unit_rows(load[1]), k, digits, block)
         if least is not None:
             found = found.where(F.col("score") >= least)
         return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
     loads = query_loads(queries, query_id, query_vector, k, load_bytes)
+    return joined_loads(loads, hits, vectors.sparkSession, "query_id long, id long, score double, rank int")
+
+
+def joined_loads(loads: Iterator[Load], hits: Callable[[Load], DataFrame], spark: SparkSession, schema: str) -> DataFrame:
+    """The hits of all loads; with more than one, each writes its own before the next one is read."""
     first, second = next(loads, None), next(loads, None)
     if first is None:
-        return vectors.sparkSession.createDataFrame([], "query_id long, id long, score double, rank int")
+        return spark.createDataFrame([], schema)
     if second is None:
         return hits(first)
     out = cut(hits(first)).unionByName(cut(hits(second)))
@@ -139,11 +180,25 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_column: str =
     return out
 
 
-def softmax(score: Column, by: str, scale: float = 100.0) -> Column:
-    """Softmax of scaled scores within ``by``."""
-    w = Window.partitionBy(by)
-    e = F.exp(scale * (score - F.max(score).over(w)))
-    return e / F.sum(e).over(w)
+def softmax_top(vectors: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "id", vector: str = "embedding", query_id: str = "query_id",
+                query_vector: str = "embedding", scale: float = 100.0, block: int = QUERY_BLOCK, load_bytes: int = LOAD_BYTES) -> DataFrame:
+    """The k likeliest vectors of each query: query_id, id, score, rank, p, the softmax of the scaled scores over all vectors.
+
+    However many vectors there are, a task sends k hits and two numbers of each query.
+    """
+    rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector).alias("v")).where("id is not null and v is not null")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+
+    def hits(load: Load) -> DataFrame:
+        q = unit_rows(load[1])
+        parts = normalizer_scan(rows, load[0], q, scale, block)
+        top = parts.groupBy("query_id").agg(F.max("top").alias("most"))
+        total = parts.join(top, "query_id").groupBy("query_id", "most").agg(F.sum(F.col("total") * F.exp(scale * (F.col("top") - F.col("most")))).alias("total"))
+        best = blocked_scan(rows, load[0], q, k, None, block).withColumn("rank", rank).where(F.col("rank") <= k)
+        return best.join(total, "query_id").select("query_id", "id", "score", "rank", (F.exp(scale * (F.col("score") - F.col("most"))) / F.col("total")).alias("p"))
+
+    loads = query_loads(queries, query_id, query_vector, k, load_bytes)
+    return joined_loads(loads, hits, vectors.sparkSession, "query_id long, id long, score double, rank int, p double")
 
 
 # ---- hashing embedder ----

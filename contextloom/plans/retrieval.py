@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from contextloom.functions import shell as H
 from contextloom.functions import text as X
 from contextloom.operators import rag as R
 from contextloom.operators import vectors as V
@@ -70,9 +71,8 @@ def softmax_labels(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings")
     parts = rows.select("label", F.posexplode("embedding").alias("i", "x"))
     centroids = parts.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x")).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("embedding"))
-    hits = V.top_k(centroids, rows.where("vec_id % 100 = 0"), 1_000, id_column="label", query_id="vec_id")
-    hits = hits.withColumn("p", F.round(V.softmax(F.col("score"), "query_id"), 5))
-    return hits.where("rank <= 3").select("query_id", F.col("id").alias("label"), "rank", "p")
+    hits = V.softmax_top(centroids, rows.where("vec_id % 100 = 0"), 3, id_column="label", query_id="vec_id")
+    return hits.select("query_id", F.col("id").alias("label"), "rank", F.round("p", 5).alias("p"))
 
 
 SQL["softmax_labels"] = """WITH p AS (SELECT label, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
@@ -252,14 +252,46 @@ def command_whitelist(spark: SparkSession, d: str) -> DataFrame:
 SQL["command_whitelist"] = "SELECT conv_id, turn, (conv_id + turn) % 5 IN (0, 2, 3) AS strict, (conv_id + turn) % 5 IN (0, 1, 2, 3) AS loose FROM conversations"
 
 
+def written_commands(spark: SparkSession, d: str) -> DataFrame:
+    """Turns as commands that quote their whole text in several ways, some of them badly."""
+    text, k = F.coalesce("text", F.lit("")), (F.col("conv_id") + F.col("turn")) % 6
+    double = F.concat(F.lit('"'), F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    single = F.concat(F.lit("'"), F.replace(text, F.lit("'"), F.lit("'\\''")), F.lit("'"))
+    cmd = (
+        F.when(k == 0, F.concat(F.lit("git commit -m "), double)).when(k == 1, F.concat(F.lit("/usr/bin/grep -e"), single, F.lit(" a\\ b ''")))
+        .when(k == 2, F.concat(F.lit("echo "), single)).when(k == 3, F.concat(F.lit("git log "), double, F.lit(" 'open")))
+        .when(k == 4, F.concat(F.lit("rm -rf "), double)).otherwise(F.concat(F.lit("git  log\t-n 3 "), F.regexp_replace(text, r"[^a-zA-Z0-9]+", "")))
+    )
+    return table(spark, d, "conversations").select("conv_id", "turn", cmd.alias("cmd")).withColumn("words", H.shell_words("cmd"))
+
+
+def shell_words(spark: SparkSession, d: str) -> DataFrame:
+    """The words of each command, joined by a character that texts don't have; null where a quote isn't closed."""
+    return written_commands(spark, d).select("conv_id", "turn", F.size("words").alias("n_words"), F.md5(F.array_join("words", "\x1f")).alias("words_md5"))
+
+
+#: Commands as they are written, and the words that were put into them; q and b are a single quote and a backslash.
+WRITTEN = """w AS (SELECT conv_id, turn, (conv_id + turn) % 6 AS k, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '[^a-zA-Z0-9]+', '', 'g') AS bare, chr(39) AS q, chr(92) AS b FROM conversations),
+c AS (SELECT *, '"' || replace(replace(text, b, b || b), '"', b || '"') || '"' AS double, q || replace(text, q, q || b || q || q) || q AS single FROM w),
+m AS (SELECT conv_id, turn, k, text,
+  CASE k WHEN 0 THEN 'git commit -m ' || double WHEN 1 THEN '/usr/bin/grep -e' || single || ' a' || b || ' b ' || q || q WHEN 2 THEN 'echo ' || single
+    WHEN 3 THEN 'git log ' || double || ' ' || q || 'open' WHEN 4 THEN 'rm -rf ' || double ELSE 'git  log' || chr(9) || '-n 3 ' || bare END AS cmd,
+  CASE k WHEN 0 THEN ['git', 'commit', '-m', text] WHEN 1 THEN ['/usr/bin/grep', '-e' || text, 'a b', ''] WHEN 2 THEN ['echo', text] WHEN 4 THEN ['rm', '-rf', text]
+    WHEN 5 THEN CASE WHEN bare = '' THEN ['git', 'log', '-n', '3'] ELSE ['git', 'log', '-n', '3', bare] END END AS words FROM c)"""
+SQL["shell_words"] = sql(WRITTEN, body="SELECT conv_id, turn, len(words)::INT AS n_words, md5(array_to_string(words, chr(31))) AS words_md5 FROM m")
+
+
 def command_danger_flags(spark: SparkSession, d: str) -> DataFrame:
-    cmd = F.element_at(F.array(F.lit("rm -rf /tmp/x"), F.concat(F.lit("git log "), F.col("first")), F.concat(F.lit("/usr/bin/python "), F.col("first")), F.lit("cat a > /dev/null"), F.lit("nmap host")), ((F.col("conv_id") + F.col("turn")) % 5 + 1).cast("int"))
-    rows = commands(spark, d).select("conv_id", "turn", X.command_flags(cmd).alias("f"))
-    return rows.select("conv_id", "turn", "f.dangerous", "f.metacharacters", "f.base", "f.accepted")
+    rows = written_commands(spark, d).select("conv_id", "turn", H.command_flags(F.col("cmd"), F.col("words")).alias("f"))
+    return rows.select("conv_id", "turn", "f.dangerous", "f.unreadable", "f.metacharacters", "f.base", "f.accepted")
 
 
-SQL["command_danger_flags"] = """SELECT conv_id, turn, k IN (0, 3) AS dangerous, k = 3 AS metacharacters, (['rm', 'git', 'python', 'cat', 'nmap'])[k + 1] AS base, k IN (1, 2) AS accepted
-FROM (SELECT conv_id, turn, (conv_id + turn) % 5 AS k FROM conversations)"""
+SQL["command_danger_flags"] = sql(
+    WRITTEN,
+    f"""f AS (SELECT *, regexp_matches(cmd, '(?i){"|".join(X.DANGEROUS)}') AS dangerous, k <> 3 AND k <> 5 AND regexp_matches(text, '[|&;$`(){{}}<>\\n\\r]') AS metacharacters,
+  CASE WHEN k <> 3 THEN regexp_extract(words[1], '[^/]*$') END AS base FROM m)""",
+    body="SELECT conv_id, turn, dangerous, k = 3 AS unreadable, metacharacters, base, NOT dangerous AND k <> 3 AND NOT metacharacters AND base IN ('git', 'grep') AS accepted FROM f",
+)
 
 
 def request_validation(spark: SparkSession, d: str) -> DataFrame:
@@ -276,6 +308,6 @@ QUERIES = {
     for f in (
         vector_topk, vector_topk_join, vector_threshold, vector_normalise, index_stats, softmax_labels, hash_embedding, semantic_search, rag_contexts,
         rag_format_contexts, rag_prompt, cli_context_format, clamp_preview, prompt_template_fill, chat_prompt, session_title, recent_sessions,
-        command_extract, command_whitelist, command_danger_flags, request_validation,
+        command_extract, command_whitelist, shell_words, command_danger_flags, request_validation,
     )
 }

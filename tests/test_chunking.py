@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+import re
+import time
+
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -27,6 +31,43 @@ def test_script():
     assert [c[0] for c in C.script_chunks("plain\n" * 45)] == ["text_block"] * 3
 
 
+OLD_IMPORT = re.compile(r"import\s+.*?from\s+['\"][^'\"]+['\"];?")
+OLD_BLOCKS = (
+    ("function", re.compile(r"(?:export\s+)?(?:async\s+)?function\s+(\w+)\s*\([^)]*\)\s*{")),
+    ("arrow_function", re.compile(r"(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s+)?\([^)]*\)\s*=>\s*{")),
+    ("class", re.compile(r"(?:export\s+)?class\s+(\w+)(?:\s+extends\s+\w+)?\s*{")),
+)
+PIECES = ["function ", "f", "(", ")", "{", "}", "import ", "from ", "'x'", '"', "'", ";", "\n", " ", "a, b", "export ", "async ", "const ", " = ", "=> ", "class ", "C ", "extends ", "(a) {", "() => {"]
+
+
+@given(st.lists(st.sampled_from(PIECES), max_size=40))
+def test_scripts_are_read_as_by_whole_patterns(pieces):
+    """Blocks by patterns that span their parameters and by counting braces from each of them."""
+    s = "".join(pieces)
+    expected = [("import", m.start(), m[0]) for m in OLD_IMPORT.finditer(s)]
+    for kind, pattern in OLD_BLOCKS:
+        for m in pattern.finditer(s):
+            depth = 0
+            for at in range(m.end() - 1, len(s)):
+                depth += (s[at] == "{") - (s[at] == "}")
+                if depth == 0:
+                    expected.append((kind, m.start(), s[m.start() : at + 1]))
+                    break
+    got = [c for c in C.script_chunks(s) if c[0] != "text_block"]
+    assert [(c[0], c[1], c[3]) for c in got] == [(k, s.count("\n", 0, a) + 1, x) for k, a, x in expected]
+
+
+@pytest.mark.parametrize("piece", ["function f(a) {", "function f(", "import ", "import a from 'x'\n", "class A {}\n", "const f = (", "}{", "from '"])
+def test_scripts_take_linear_time(piece):
+    took = []
+    for size in (1 << 16, 1 << 20):
+        s = (piece * (size // len(piece) + 1))[:size]
+        began = time.perf_counter()
+        C.script_chunks(s)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 8 and took[1] < 60 * max(took[0], 0.02)
+
+
 def test_markdown():
     found = C.markdown_chunks("intro\n# A\ntext\n```py\ncode\n```\n### B ###\n#no")
     assert [(c[0], c[4]["heading"], c[4]["heading_level"], c[1], c[2]) for c in found] == [("paragraph", None, 0, 1, 1), ("heading", "A", 1, 2, 6), ("heading", "B ###", 3, 7, 8)]

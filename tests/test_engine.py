@@ -43,6 +43,31 @@ def test_top_k_equals_brute_force(spark):
         assert key(V.top_k(vectors(spark, m).repartition(3), q, 7, digits=6, **other)) == key(one)
 
 
+@pytest.mark.parametrize("strategy", ["blocked", "native"])
+def test_odd_vectors_are_no_hits(spark, strategy):
+    """Null, NaN and infinite elements, other dimensions and empty vectors, among vectors and queries."""
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, [1.0, 0.0]), (2, [nan, 1.0]), (3, [0.0, None]), (4, [0.0, 1.0]), (5, [1.0, 1.0, 1.0]), (6, []), (7, None), (8, [inf, 0.0]), (None, [1.0, 0.0]), (9, [0.0, 0.0])]
+    asked = [(10, [1.0, 0.2]), (11, [nan, 0.0]), (12, [1.0, 0.0, 0.0]), (13, None), (14, [None, 1.0]), (15, [0.2, 1.0]), (16, []), (None, [1.0, 0.0])]
+    v = spark.createDataFrame(rows, "id long, embedding array<float>").repartition(3)
+    q = spark.createDataFrame(asked, "query_id long, embedding array<float>")
+    got = {}
+    for r in V.top_k(v, q, 3, strategy=strategy).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = r.id
+    assert got == {10: {1: 1, 2: 4, 3: 9}, 15: {1: 4, 2: 1, 3: 9}, 12: {1: 5}} | ({16: {1: 6}} if 16 in got else {})
+
+
+def test_softmax_counts_all_vectors(spark):
+    m = np.random.default_rng(2).normal(size=(3000, 6)).astype(np.float32)
+    q = vectors(spark, m[:4]).withColumnRenamed("id", "query_id")
+    u = V.unit_rows(m.astype(float))
+    for options in ({}, {"load_bytes": 1, "block": 1}):
+        for r in V.softmax_top(vectors(spark, m).repartition(7), q, 5, scale=3.0, **options).collect():
+            e = np.exp(3.0 * (u @ u[r.query_id]))
+            assert r.p == pytest.approx(e[r.id] / e.sum()) and (r["rank"] > 1 or r.id == r.query_id)
+    assert V.softmax_top(vectors(spark, m), q.limit(0), 5).count() == 0
+
+
 def test_index(spark, tmp_path):
     index = V.VectorIndex(spark, str(tmp_path / "index"))
     meta = F.lit(None).cast(V.INDEX.split("meta ")[1].split(", chunk_id")[0]).alias("meta")

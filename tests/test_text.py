@@ -2,12 +2,14 @@ from __future__ import annotations
 
 import fnmatch
 import re
+import shlex
 
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from contextloom.functions import shell as H
 from contextloom.functions import text as X
 from contextloom.sources.files import EXCLUDE, INCLUDE
 
@@ -57,9 +59,24 @@ def test_allow_list(spark, command, allowed, strict, loose):
     assert one(spark, X.command_allowed(F.lit(command), a, compat=True)) is loose
 
 
-@pytest.mark.parametrize(("command", "ok"), [("ls -la", True), ("/usr/bin/git log", True), ("sudo ls", False), ("rm -rf /", False), ("ls | rm x", False), ("nmap x", False), ("cat $(x)", False), ("kill -9 1", False)])
+@pytest.mark.parametrize(("command", "ok"), [("ls -la", True), ("/usr/bin/git log", True), ("sudo ls", False), ("rm -rf /", False), ("ls | rm x", False), ("nmap x", False), ("cat $(x)", False), ("kill -9 1", False), ('git "unbalanced', False), ("'/usr/bin/git' status", True), ("git commit -m 'a;b'", False), ('"git" log\\ x', True), ("  ", False)])
 def test_command_flags(spark, command, ok):
-    assert one(spark, X.command_flags(F.lit(command))).accepted is ok
+    words = F.lit(H.split_words(command)) if H.split_words(command) is not None else F.lit(None).cast("array<string>")
+    assert one(spark, H.command_flags(F.lit(command), words)).accepted is ok
+
+
+@given(st.text(st.sampled_from(list("ab'\"\\ \t\n;é$")), max_size=30))
+def test_words_are_those_of_a_shell(command):
+    try:
+        expected = shlex.split(command)
+    except ValueError:
+        expected = None
+    assert H.split_words(command) == expected
+
+
+def test_words_of_a_column(spark):
+    rows = spark.createDataFrame([(1, "a 'b c'"), (2, None), (3, 'x "'), (4, "")], "id long, cmd string")
+    assert {r.id: r.w for r in rows.select("id", H.shell_words("cmd").alias("w")).collect()} == {1: ["a", "b c"], 2: [], 3: None, 4: []}
 
 
 def test_masks(spark):
