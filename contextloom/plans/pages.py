@@ -9,7 +9,9 @@ from contextloom.functions import text as X
 from contextloom.operators import limits as L
 from contextloom.operators import rag as R
 from contextloom.plans.frames import AGENTS, CACHE, NOW, agents, cache, sql, table
+from contextloom.sources import robots as B
 from contextloom.sources import web as W
+from contextloom.sources.fetch import fetch_batch, from_table
 
 SQL: dict[str, str] = {}
 BARE = r"regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>', '', 'g')"
@@ -82,16 +84,57 @@ def page_fetch_size_gate(spark: SparkSession, d: str) -> DataFrame:
 SQL["page_fetch_size_gate"] = "SELECT page_id, strlen(html)::BIGINT AS bytes FROM pages WHERE strlen(html) <= 4096"
 
 
-def robots_gate(spark: SparkSession, d: str) -> DataFrame:
-    """Hosts forbid their language folders, but allow some below."""
-    rows = table(spark, d, "pages").select("page_id", X.url_host(F.col("url")).alias("host"), F.regexp_extract("url", r"^[^:]+://[^/?#]*([^?#]*)", 1).alias("path"))
-    hosts = rows.select("host").distinct().where(F.length("host") % 2 == 0)
-    rules = hosts.select("host", F.explode(F.array(F.struct(F.lit("/en").alias("prefix"), F.lit(False).alias("allow")), F.struct(F.lit("/en/1").alias("prefix"), F.lit(True).alias("allow")), F.struct(F.lit("/fr").alias("prefix"), F.lit(False).alias("allow")))).alias("r")).select("host", "r.*")
-    return W.robots_allowed(rows, rules).select("page_id", "allowed")
+AGENT = "loom/2.0"
+
+
+def robots_files(spark: SparkSession, d: str) -> DataFrame:
+    """A robots.txt for each host but some: one for all, one with a group for this agent, one that is nearly empty."""
+    n = F.length("host") % 4
+    every = "# rules\nUser-agent: other\nDisallow: /\n\nUser-Agent: *\nDisallow: /en # not these\nAllow: /en/1\ndisallow: /fr\nSitemap: x\n"
+    own = "User-agent: *\nDisallow: /\n\nUser-agent: Loom\nUser-agent: third\nAllow: /de/2\nDisallow: /de\nDisallow:\n"
+    text = F.when(n == 0, F.lit(every)).when(n == 1, F.lit(own)).when(n == 2, F.lit("User-agent: *\n\nDisallow: /\n"))
+    hosts = table(spark, d, "pages").select(X.url_host(F.col("url")).alias("host")).distinct()
+    return hosts.where("host is not null").select("host", text.alias("text"))
 
 
-SQL["robots_gate"] = r"""WITH p AS (SELECT page_id, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS host, regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1) AS path FROM pages)
-SELECT page_id, length(host) % 2 <> 0 OR starts_with(path, '/en/1') OR NOT (starts_with(path, '/en') OR starts_with(path, '/fr')) AS allowed FROM p"""
+def robots_gate(spark: SparkSession, d: str) -> DataFrame:
+    """Which pages an agent may fetch, by the texts of their hosts' rules."""
+    rows = table(spark, d, "pages").select("page_id", X.url_host(F.col("url")).alias("host"), F.regexp_extract("url", r"^[^:]+://[^/?#]*([^#]*)", 1).alias("path"))
+    return B.robots_allowed(rows, B.robots_rules(robots_files(spark, d), AGENT)).select("page_id", "allowed")
+
+
+#: Longest rule: /en/1 before /en; of the agent's own group the rule without a path begins every path, but is the shortest.
+ROBOTS = r"""r AS (SELECT page_id, url, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS host, regexp_extract(url, '^[^:]+://[^/?#]*([^#]*)', 1) AS path FROM pages),
+a AS (SELECT *, CASE length(host) % 4 WHEN 0 THEN starts_with(path, '/en/1') OR NOT (starts_with(path, '/en') OR starts_with(path, '/fr'))
+  WHEN 1 THEN starts_with(path, '/de/2') OR NOT starts_with(path, '/de') ELSE true END AS allowed,
+  CASE length(host) % 4 WHEN 0 THEN NOT (starts_with(path, '/en') OR starts_with(path, '/fr')) WHEN 1 THEN starts_with(path, '/de/2') OR NOT starts_with(path, '/de') ELSE true END AS first_allowed FROM r)"""
+SQL["robots_gate"] = sql(ROBOTS, body="SELECT page_id, allowed FROM a")
+
+
+def page_fetch_batch(spark: SparkSession, d: str) -> DataFrame:
+    """All pages asked for, every third twice, some under addresses that don't exist: from the cache, from the crawl, or an error."""
+    pages = table(spark, d, "pages")
+    gone = F.when(F.col("page_id") % 11 == 0, F.concat("url", F.lit("/gone"))).otherwise(F.col("url"))
+    asked = pages.select((F.col("page_id") * 2).alias("position"), gone.alias("url"), "page_id")
+    asked = asked.unionByName(asked.where("page_id % 3 = 0").withColumn("position", F.col("position") + 1))
+    kept = cache(spark, d).where("page_id % 2 = 0").select("key", "fetched_at", F.concat(F.lit("cached "), "url").alias("title"), F.lit("").alias("content"), F.lit("text/html").alias("content_type"), F.lit(200).alias("status"))
+    rules = B.robots_rules(robots_files(spark, d), AGENT)
+    got = fetch_batch(asked, kept, lambda urls: from_table(urls, pages, rules, 6000), F.lit(NOW))
+    return got.select("position", "source", "title", "error")
+
+
+SQL["page_fetch_batch"] = sql(
+    CACHE, ROBOTS,
+    f"""q AS (SELECT a.*, page_id % 11 = 0 AS gone, CASE WHEN page_id % 11 = 0 THEN url || '/gone' ELSE url END AS asked, {TITLE} AS title, strlen(html) AS bytes FROM a JOIN (SELECT page_id, html FROM pages) USING (page_id)),
+p AS (SELECT page_id * 2 AS position, * FROM q UNION ALL SELECT page_id * 2 + 1, * FROM q WHERE page_id % 3 = 0),
+k AS (SELECT key, max(fetched_at) AS fetched_at FROM cache WHERE page_id % 2 = 0 GROUP BY key),
+g AS (SELECT p.*, coalesce(TIMESTAMP '{NOW}' - fetched_at < INTERVAL 24 HOUR, false) AS hit,
+  CASE WHEN gone THEN CASE length(host) % 4 WHEN 0 THEN NOT (starts_with(path, '/en') OR starts_with(path, '/fr')) WHEN 1 THEN starts_with(path, '/de/2') OR NOT starts_with(path, '/de') ELSE true END ELSE first_allowed END AS ok
+  FROM p LEFT JOIN k ON md5(asked) = key),
+e AS (SELECT *, CASE WHEN hit THEN NULL WHEN NOT ok THEN 'Robots.txt disallows fetching ' || asked WHEN gone THEN 'Error fetching ' || asked || ': HTTP Error 404: Not Found'
+  WHEN bytes > 6000 THEN 'Error fetching ' || asked || ': Content too large: ' || bytes || ' bytes' END AS error FROM g)""",
+    body="SELECT position, CASE WHEN hit THEN 'cache' WHEN error IS NULL THEN 'web' END AS source, CASE WHEN hit THEN 'cached ' || url WHEN error IS NULL THEN title END AS title, error FROM e",
+)
 
 
 def domain_spacing(spark: SparkSession, d: str) -> DataFrame:
@@ -208,7 +251,7 @@ SELECT p_partkey, mime LIKE 'text/%' OR mime LIKE 'image/%' OR mime = 'applicati
 QUERIES = {
     f.__name__: f
     for f in (
-        html_title, html_text, page_parsed, url_host, page_cache_key, page_cache_hit_miss, page_cache_stats, page_fetch_size_gate, robots_gate,
+        html_title, html_text, page_parsed, url_host, page_cache_key, page_cache_hit_miss, page_cache_stats, page_fetch_size_gate, robots_gate, page_fetch_batch,
         domain_spacing, web_results_normalise, rag_format_web, provider_fallback, adapter_fallback, health_rollup,
         request_clients, repository_names, repository_health, upload_types,
     )

@@ -1,4 +1,4 @@
-"""Fetched pages: cache, robots rules, search results, text."""
+"""Fetched pages: cache, search results, text."""
 
 from __future__ import annotations
 
@@ -43,16 +43,6 @@ def without_url(cache: DataFrame, url: str) -> DataFrame:
     return cache.where(F.col("key") != F.md5(F.lit(url)))
 
 
-def robots_allowed(pages: DataFrame, rules: DataFrame, host: str = "host", path: str = "path") -> DataFrame:
-    """``pages`` with allowed: by the longest rule (host, prefix, allow) that begins their path; without one, yes.
-
-    A host has few rules, so they are gathered by host and joined once.
-    """
-    by_host = rules.groupBy(F.col("host").alias(host)).agg(F.collect_list(F.struct(F.length("prefix").alias("n"), "allow", "prefix")).alias("rules"))
-    fits = F.filter("rules", lambda r: F.col(path).startswith(r["prefix"]))
-    return pages.join(by_host, host, "left").withColumn("allowed", F.coalesce(F.array_max(fits)["allow"], F.lit(True))).drop("rules")
-
-
 def normalised_results(provider: str, rows: DataFrame, title: str, snippet: str, url: str, most: int | None = None, by: str = "query_id", order: str = "position") -> DataFrame:
     """A provider's results as query_id, position, title, snippet, url, source; null fields become empty."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))

@@ -16,6 +16,7 @@ from contextloom.operators import tasks as T
 from contextloom.operators import vectors as V
 from contextloom.sources import files as S
 from contextloom.sources import web as W
+from contextloom.sources.robots import robots_allowed
 from contextloom.streaming import events as E
 
 
@@ -267,7 +268,7 @@ def test_pages():
 def test_robots(spark):
     pages = spark.createDataFrame([("h", "/a/x"), ("h", "/a/b/x"), ("h", "/z"), ("k", "/a")], "host string, path string")
     rules = spark.createDataFrame([("h", "/a", False), ("h", "/a/b", True)], "host string, prefix string, allow boolean")
-    assert {(r.host, r.path): r.allowed for r in W.robots_allowed(pages, rules).collect()} == {("h", "/a/x"): False, ("h", "/a/b/x"): True, ("h", "/z"): True, ("k", "/a"): True}
+    assert {(r.host, r.path): r.allowed for r in robots_allowed(pages, rules).collect()} == {("h", "/a/x"): False, ("h", "/a/b/x"): True, ("h", "/z"): True, ("k", "/a"): True}
 
 
 def drained(stream, name, mode="append"):
