@@ -5,11 +5,16 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
+from contextloom.operators.asof import END, FIRST, ROW, starts_of
 from contextloom.storage import cut
 
 
@@ -45,27 +50,64 @@ def rate_decisions(requests: DataFrame, client: str = "client", at: str = "at",
 def spaced(requests: DataFrame, domain: str, at: str, key: str, seconds: float = 1.0) -> DataFrame:
     """When each request may go: at least ``seconds`` after the one before on its domain.
 
-    The recurrence s[i] = max(t[i], s[i-1] + d) is a running maximum of t[i] - i*d, plus i*d. Requests are sorted over
-    range partitions and written; a partition's share of a domain needs only the number of the domain's requests
-    before it and the maximum so far, which come from one row for each domain and partition. So a domain with a third
-    of all requests spreads over many tasks.
+    The recurrence s[i] = max(t[i], s[i-1] + d) is a running maximum of t[i] - i*d, plus i*d. One pass over range partitions sorted
+    by domain and time numbers the requests of each domain and carries the maximum; a partition that goes on with a domain
+    needs only the number of that domain's requests before it and the maximum so far (as in ``asof``, a row for each partition).
+    So a domain with a third of all requests spreads over many tasks.
     """
     d = int(seconds * 1e6)
-    rows = requests.withColumn("_t", F.unix_micros(F.col(at).cast("timestamp")))
-    placed = rows.repartitionByRange(domain, "_t", key).sortWithinPartitions(domain, "_t", key).withColumn("_at", F.monotonically_increasing_id())
-    placed = cut(placed).withColumn("_part", F.shiftright("_at", 33))
-    w = Window.partitionBy("_part", domain).orderBy("_at")
-    local = placed.withColumn("_i", F.row_number().over(w) - 1).withColumn("_free", F.col("_t") - F.col("_i") * d)
-    local = local.withColumn("_most", F.max("_free").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    parts = local.groupBy(domain, "_part").agg(F.count(F.lit(1)).alias("_n"), F.max("_free").alias("_top"))
-    earlier = Window.partitionBy(domain).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-    parts = parts.withColumn("_reached", F.max(F.col("_top") - F.col("_before") * d).over(earlier))
-    parts = parts.select(F.col(domain).alias("_domain"), F.col("_part").alias("_of"), "_before", "_reached")
-    met = local.join(parts, local[domain].eqNullSafe(parts["_domain"]) & (F.col("_part") == F.col("_of")))
-    sent = F.greatest(F.col("_reached"), F.col("_most") - F.col("_before") * d) + (F.col("_i") + F.col("_before")) * d
-    out = met.withColumn("sent_micros", sent).withColumn("wait_micros", F.col("sent_micros") - F.col("_t"))
-    return out.select(*requests.columns, "sent_micros", "wait_micros")
+    rows = requests.select(F.col(domain).alias("key"), F.unix_micros(F.col(at).cast("timestamp")).alias("t"), F.col(key).alias("tie"), F.struct(*requests.columns).alias("row"))
+    schema = T.StructType([
+        T.StructField("kind", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("key", rows.schema["key"].dataType), T.StructField("t", T.LongType()), T.StructField("open", T.BooleanType()),
+        T.StructField("i", T.LongType()), T.StructField("most", T.LongType()), T.StructField("row", rows.schema["row"].dataType),
+    ])
+    arrow = to_arrow_schema(schema)
+
+    def sweep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()  # type: ignore[union-attr]
+        last: object = object
+        n, most, first = 0, None, True  # of the last key: requests so far and the maximum; still at the partition's first key
+
+        def mark(kind: int, key_: pa.Array, row: pa.Array) -> pa.RecordBatch:
+            none = row.take(pa.array([None], pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([part], pa.int32()), key_, pa.array([None], pa.int64()), pa.array([first]), pa.array([n], pa.int64()), pa.array([most], pa.int64()), none], schema=arrow)
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            keys, t, row = batch.column(0), batch.column(1), batch.column(3)
+            if last is object:
+                yield mark(FIRST, keys[:1], row[:1])
+            new = starts_of(keys, last)
+            place, segment = np.arange(len(keys)), np.cumsum(new)
+            begun = np.maximum.accumulate(np.where(new, place, -1))
+            i = np.where(begun < 0, place + n, place - begun)
+            times = t.to_pandas()  # a null time has no wait and holds nobody up
+            free = times - i * d
+            if begun[0] < 0 and most is not None:
+                free.iloc[0] = max(x for x in (free.iloc[0], most) if x == x)
+            running = free.groupby(segment).cummax().groupby(segment).ffill()
+            mine = (segment - (1 if last is object else 0) == 0) & first
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.full(len(keys), ROW, np.int32)), pa.array(np.full(len(keys), part, np.int32)), keys, t, pa.array(mine), pa.array(i, pa.int64()),
+                pa.array(running.to_numpy(dtype="float64", na_value=np.nan), pa.float64(), from_pandas=True).cast(pa.int64()), row,
+            ], schema=arrow)
+            n, most = int(i[-1]) + 1, None if running.iloc[-1] != running.iloc[-1] else int(running.iloc[-1])
+            first, last, tail = bool(mine[-1]), keys[-1].as_py(), (keys.slice(len(keys) - 1), row[:1])
+        if last is not object:
+            yield mark(END, *tail)
+
+    order = ("key", "t", "tie")
+    swept = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(sweep, schema))
+    edges = swept.where(F.col("kind") != ROW).select("part", "key", F.col("kind").alias("place"), F.when(F.col("kind") == END, F.col("i")).otherwise(0).alias("n"), F.when(F.col("kind") == END, F.col("most")).alias("top"))
+    earlier = Window.partitionBy("key").orderBy("part", "place").rowsBetween(Window.unboundedPreceding, -1)
+    edges = edges.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    edges = edges.withColumn("reached", F.max(F.col("top") - F.col("before") * d).over(earlier)).where(F.col("place") == FIRST).select("part", "before", "reached")
+    met = swept.where(F.col("kind") == ROW).join(F.broadcast(edges), "part")  # a row for each partition
+    before = F.when(F.col("open"), F.col("before")).otherwise(0)
+    sent = F.greatest(F.when(F.col("open"), F.col("reached")), F.col("most") - before * d) + (F.col("i") + before) * d
+    out = met.select("row", "t", sent.alias("sent"))
+    return out.select("row.*", F.col("sent").alias("sent_micros"), (F.col("sent") - F.col("t")).alias("wait_micros"))
 
 
 def request_rates(requests: DataFrame, client: str, at: str, seconds: int = 60) -> DataFrame:

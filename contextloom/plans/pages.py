@@ -70,6 +70,20 @@ SQL["page_cache_hit_miss"] = sql(
 )
 
 
+def page_cache_as_of(spark: SparkSession, d: str) -> DataFrame:
+    """Events as requests and as writes of a cache: purchases fetch a page anew, all others ask for it as it was then."""
+    events = table(spark, d, "events").withColumn("url", F.concat(F.lit("u"), (F.col("user_id") % 40).cast("string")))
+    writes = events.where("event_type = 'purchase'").select(W.cache_key(F.col("url")).alias("key"), F.col("ts").alias("fetched_at"), F.col("event_id").alias("write_id"))
+    rows = W.cache_as_of(events.where("event_type <> 'purchase'").select("event_id", "url", "ts"), writes, "ts", 6, ("write_id",))
+    return rows.select("event_id", "write_id", "hit")
+
+
+SQL["page_cache_as_of"] = """WITH w AS (SELECT user_id % 40 AS k, ts, max(event_id) AS write_id FROM events WHERE event_type = 'purchase' GROUP BY ALL),
+r AS (SELECT event_id, user_id % 40 AS k, ts FROM events WHERE event_type <> 'purchase'),
+j AS (SELECT event_id, CASE WHEN r.ts - w.ts < INTERVAL 6 HOUR THEN write_id END AS write_id FROM r ASOF LEFT JOIN w ON r.k = w.k AND r.ts >= w.ts)
+SELECT event_id, write_id, write_id IS NOT NULL AS hit FROM j"""
+
+
 def page_cache_stats(spark: SparkSession, d: str) -> DataFrame:
     return W.cache_stats(cache(spark, d))
 
@@ -251,7 +265,7 @@ SELECT p_partkey, mime LIKE 'text/%' OR mime LIKE 'image/%' OR mime = 'applicati
 QUERIES = {
     f.__name__: f
     for f in (
-        html_title, html_text, page_parsed, url_host, page_cache_key, page_cache_hit_miss, page_cache_stats, page_fetch_size_gate, robots_gate, page_fetch_batch,
+        html_title, html_text, page_parsed, url_host, page_cache_key, page_cache_hit_miss, page_cache_as_of, page_cache_stats, page_fetch_size_gate, robots_gate, page_fetch_batch,
         domain_spacing, web_results_normalise, rag_format_web, provider_fallback, adapter_fallback, health_rollup,
         request_clients, repository_names, repository_health, upload_types,
     )

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import html as html_lib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from contextloom.operators.asof import asof_join
+
 CACHE_HOURS = 24
 MAX_PAGE = 1 << 20
 
@@ -34,6 +36,14 @@ def cache_lookup(requests: DataFrame, cache: DataFrame, now: Column, hours: int
     return rows.withColumn("hit", F.coalesce(age < hours * 3600, F.lit(False)))
 
 
+def cache_as_of(requests: DataFrame, writes: DataFrame, at: str = "at", hours: int = CACHE_HOURS, columns: Sequence[str] = ("fetched_at",)) -> DataFrame:
+    """Requests (url, at) as they would have met the cache at their own time, which ``writes`` (key, fetched_at, ...) filled: with
+    hit, and the columns of the write that they met. A page is forgotten ``hours`` after its last write."""
+    asked = requests.withColumn("key", cache_key(F.col("url")))
+    met = asof_join(asked, writes, "key", at, "fetched_at", columns, hours)
+    return met.withColumn("hit", F.col(columns[0]).isNotNull()).drop("key")
+
+
 def cache_stats(cache: DataFrame, size: str = "size") -> DataFrame:
     total = F.coalesce(F.sum(size), F.lit(0))
     return cache.agg(F.count(F.lit(1)).alias("entries"), total.alias("bytes"), F.round(total / (1 << 20), 2).alias("megabytes"))
