@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from contextloom.commits import CommitLog, Conflict, Snapshot
+from contextloom.operators.maps import merged, merged_maps
 from contextloom.operators.tasks import TERMINAL
 from contextloom.operators.vectors import hash_embedded
 from contextloom.storage import cut
@@ -199,7 +200,7 @@ class StateTable:
 
     def __init__(self, spark: SparkSession, path: str, key: str, schema: str):
         self.spark, self.path, self.key, self.schema = spark, path, key, schema
-        self.columns = [f.split()[0] for f in schema.split(", ")]
+        self.kinds = dict(f.split(" ", 1) for f in schema.split(", "))
         self.log = CommitLog(spark, path)
         self.raw = f"{key} long, state string"
 
@@ -208,7 +209,9 @@ class StateTable:
         return load_state(self.log.rows(snapshot or self.log.latest(), self.raw, "version"), self.key, self.schema)
 
     def states(self, rows: DataFrame) -> DataFrame:
-        return rows.select(self.key, state_json(self.columns).alias("state"))
+        """Rows as states; columns that they lack are null."""
+        full = rows.withColumns({c: F.lit(None).cast(kind) for c, kind in self.kinds.items() if c not in rows.columns})
+        return full.select(self.key, state_json(list(self.kinds)).alias("state"))
 
     def change(self, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
         """Commit the rows that ``build`` makes of the table's; returns them, read from where they were written.
@@ -265,15 +268,11 @@ class TaskStore(StateTable):
             size = have.where("status = 'queued'").count() + more
             if size > self.capacity:
                 raise OverflowError(f"{size} tasks for a queue of {self.capacity}")
-            return self.filled(new)
+            return new
 
         self.change(build)
         return size
 
-    def filled(self, rows: DataFrame) -> DataFrame:
-        kinds = {f.split()[0]: f.split()[1] for f in self.schema.split(", ")}
-        return rows.select("task_id", *(F.col(c) if c in rows.columns else F.lit(None).cast(kinds[c]).alias(c) for c in self.columns))
-
     def take(self, n: int, agent_id: int, now: str) -> DataFrame:
         """The next ``n`` queued tasks, which the agent runs from now on: higher priority first, then older, then smaller id.
 
@@ -310,13 +309,21 @@ class AgentStore(StateTable):
     """A registry of agents on a state table: register, heartbeat, expire."""
 
     def __init__(self, spark: SparkSession, path: str):
-        super().__init__(spark, path, "agent_id", "name string, capabilities array<string>, status string, last_heartbeat timestamp, current_tasks int, max_concurrent_tasks int")
+        super().__init__(spark, path, "agent_id", "name string, capabilities array<string>, status string, last_heartbeat timestamp, current_tasks int, max_concurrent_tasks int, metadata map<string,string>")
 
     def heartbeat(self, beats: DataFrame) -> None:
-        """Last state wins: beats (agent_id, status, current_tasks, at) of known agents."""
+        """Last state wins: beats (agent_id, status, current_tasks, at) of known agents; a map ``metadata`` is merged into what is known."""
         last = beats.groupBy("agent_id").agg(F.max(F.struct("at", "status", "current_tasks")).alias("b"))
+        if "metadata" in beats.columns:
+            last = last.join(merged_maps(beats, "agent_id", "at", "metadata"), "agent_id")
+        last = last.withColumnRenamed("metadata", "told") if "metadata" in last.columns else last.withColumn("told", F.lit(None).cast("map<string,string>"))
         now = ("b.status", F.col("b.current_tasks").cast("int").alias("current_tasks"), F.col("b.at").cast("timestamp").alias("last_heartbeat"))
-        self.change(lambda have: have.drop("status", "current_tasks", "last_heartbeat").join(last, "agent_id").select("*", *now))
+
+        def build(have: DataFrame) -> DataFrame:
+            rows = have.drop("status", "current_tasks", "last_heartbeat").join(last, "agent_id").select("*", *now)
+            return rows.withColumn("metadata", merged(F.col("metadata"), F.col("told"))).drop("told")
+
+        self.change(build)
 
     def expire(self, now: str, seconds: float = 30.0) -> int:
         """Online agents that were silent for longer turn unhealthy; how many. Busy ones never do."""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contextloom.operators import limits as L
+from contextloom.operators import maps as M
 from contextloom.operators import tasks as T
 from contextloom.plans.frames import AGENTS, NOW, TASKS, agents, sql, table, tasks
 from contextloom.streaming import events as E
@@ -189,6 +190,36 @@ def last_heartbeat(spark: SparkSession, d: str) -> DataFrame:
 SQL["last_heartbeat"] = "SELECT user_id, max(ts) AS ts, max_by(event_id, (ts, event_id)) AS event_id, max_by(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id"
 
 
+def heartbeat_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """Users as agents, their events as heartbeats with metadata: what is known of each in the end, as text."""
+    props = F.from_json("props", "map<string,string>")
+    beats = table(spark, d, "events").select("user_id", "ts", "event_id", F.map_concat(props, F.create_map(F.col("event_type"), F.when(F.col("event_id") % 7 > 0, F.round("value", 2).cast("string")))).alias("meta"))
+    known = F.transform(F.map_entries("meta"), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("null"))))
+    return M.merged_maps(beats, "user_id", "ts", "meta", "event_id").select("user_id", F.array_join(known, ",").alias("metadata"))
+
+
+SQL["heartbeat_metadata"] = """WITH e AS (SELECT user_id, ts, event_id, event_type AS k, CASE WHEN event_id % 7 > 0 THEN round(value, 2)::VARCHAR END AS v FROM events
+  UNION ALL SELECT user_id, ts, event_id, 'k', props->>'k' FROM events WHERE props->>'k' IS NOT NULL),
+l AS (SELECT *, row_number() OVER (PARTITION BY user_id, k ORDER BY ts DESC, event_id DESC) AS n FROM e)
+SELECT user_id, string_agg(k || '=' || coalesce(v, 'null'), ',' ORDER BY k) AS metadata FROM l WHERE n = 1 GROUP BY user_id"""
+
+
+def running_processes(spark: SparkSession, d: str) -> DataFrame:
+    """Events as starts and ends of users' processes on seven machines that track ten each: what falls out, and how many run."""
+    rows = table(spark, d, "events").select((F.col("user_id") % 7).alias("machine"), "event_id", "user_id", "event_type")
+    return M.bounded(rows, "machine", "event_id", "user_id", F.col("event_type").isin("click", "view", "signup"), 10)
+
+
+SQL["running_processes"] = """WITH l AS (SELECT user_id % 7 AS machine, list({'id': event_id, 'u': user_id, 's': event_type IN ('click', 'view', 'signup')} ORDER BY event_id) AS rows FROM events GROUP BY 1),
+f AS (SELECT machine, list_reduce(rows, lambda a, x: {'now': CASE WHEN NOT x.s THEN list_filter(a.now, lambda k: k <> x.u) WHEN list_contains(a.now, x.u) THEN a.now
+      ELSE list_append(CASE WHEN len(a.now) >= 10 THEN a.now[2:] ELSE a.now END, x.u) END,
+    'out': list_append(a.out, {'id': x.id, 'evicted': CASE WHEN x.s AND NOT list_contains(a.now, x.u) AND len(a.now) >= 10 THEN a.now[1] END,
+      'held': (len(a.now) + CASE WHEN NOT x.s THEN -list_contains(a.now, x.u)::INT WHEN list_contains(a.now, x.u) OR len(a.now) >= 10 THEN 0 ELSE 1 END)::INT})},
+  {'now': []::BIGINT[], 'out': []::STRUCT(id BIGINT, evicted BIGINT, held INT)[]}) AS r FROM l),
+u AS (SELECT machine, unnest(r.out) AS o FROM f)
+SELECT machine, o.id AS event_id, o.evicted AS evicted, o.held AS held FROM u"""
+
+
 def unhealthy_agents(spark: SparkSession, d: str) -> DataFrame:
     """Silent for a day at the given time; users of odd id are busy and never expire."""
     rows = T.last_state(table(spark, d, "events"), "user_id", "ts")
@@ -249,6 +280,6 @@ QUERIES = {
     for f in (
         tasks_by_status, tasks_recent, task_dequeue_order, task_dequeue_scored, task_status_pivot, task_duration, task_final_state, task_cleanup,
         queue_admission, batch_outcomes, capability_match, agents_by_capability, agent_load_update, agent_stats, coordinator_stats, least_loaded_agent,
-        task_assignment_pass, last_heartbeat, unhealthy_agents, request_rate_1m, rate_limit_decisions, events_tumbling, events_sessions, api_key_semi,
+        task_assignment_pass, last_heartbeat, heartbeat_metadata, running_processes, unhealthy_agents, request_rate_1m, rate_limit_decisions, events_tumbling, events_sessions, api_key_semi,
     )
 }

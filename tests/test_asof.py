@@ -9,6 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from contextloom.operators import asof as A
+from contextloom.operators import maps as M
+from contextloom.operators.registry import AgentStore
 
 
 @pytest.mark.parametrize("parts, hours", [("1", None), ("7", None), ("40", 1.0)])
@@ -39,3 +41,38 @@ def test_as_of_equals_a_fold(spark, parts, hours):
     assert {x.write for x in A.asof_join(a, b.limit(0), "k", "t", "w", ["write"]).collect()} == {None}
     with pytest.raises(ValueError, match="left side"):
         A.asof_join(a, b, "k", "t", "w", ["k"])
+
+
+def test_maps_are_merged_by_the_last_value(spark):
+    rows = [(1, 10, {"a": "x", "b": "y"}), (1, 12, {"a": None}), (1, 11, {"a": "z", "c": "w"}), (2, 1, {}), (3, 1, None), (None, 5, {"k": "v"}), (1, 12, {"d": "p"}), (1, 12, {"d": "q"})]
+    df = spark.createDataFrame(rows, "id long, at long, m map<string,string>").repartition(3)
+    assert {r.id: r.m for r in M.merged_maps(df, "id", "at", "m").collect()} == {1: {"a": None, "b": "y", "c": "w", "d": "q"}, 2: {}, 3: {}, None: {"k": "v"}}
+    hot = spark.range(30_000).select(F.lit(7).alias("id"), F.col("id").alias("at"), F.create_map(F.concat(F.lit("n"), F.col("id") % 5), F.col("id").cast("string")).alias("m"))
+    assert M.merged_maps(hot, "id", "at", "m").first().m == {f"n{i}": str(29_995 + i) for i in range(5)}
+
+
+def test_heartbeats_merge_metadata(spark, tmp_path):
+    store = AgentStore(spark, str(tmp_path / "agents"))
+    store.put(spark.createDataFrame([(1, "a", ["code"], "online", None, 0, 5, {"host": "h"}), (2, "b", [], "online", None, 0, 5, None)], "agent_id long, " + store.schema))
+    store.heartbeat(spark.createDataFrame([(1, "busy", 2, "2024-01-01 00:00:05", {"cpu": "1"}), (1, "online", 1, "2024-01-01 00:00:01", {"cpu": "0", "os": "x"}), (9, "online", 0, "2024-01-01 00:00:01", {})], "agent_id long, status string, current_tasks int, at string, metadata map<string,string>"))
+    store.heartbeat(spark.createDataFrame([(2, "online", 3, "2024-01-01 00:00:07")], "agent_id long, status string, current_tasks int, at string"))
+    got = {r.agent_id: r for r in store.rows().collect()}
+    assert set(got) == {1, 2} and got[1].metadata == {"host": "h", "cpu": "1", "os": "x"} and got[1].status == "busy" and got[2].metadata is None and got[2].current_tasks == 3
+
+
+def test_a_bounded_map_is_an_ordered_dictionary(spark):
+    r = np.random.default_rng(3)
+    rows = [(int(r.integers(3)), i, int(r.integers(12)), bool(r.random() < 0.7)) for i in range(600)]
+    df = spark.createDataFrame([(None if o == 2 else o, i, None if e == 11 else e, s) for o, i, e, s in rows], "o long, i long, e long, s boolean").repartition(5)
+    got = {x.i: (x.evicted, x.held) for x in M.bounded(df, "o", "i", "e", F.col("s"), 4).collect()}
+    now: dict[int, OrderedDict] = {}
+    for o, i, e, s in rows:
+        mine, gone = now.setdefault(o, OrderedDict()), None
+        if not s:
+            mine.pop(e, None)
+        else:
+            if len(mine) >= 4 and e not in mine:
+                gone = mine.popitem(last=False)[0]
+            mine.setdefault(e)
+        assert got[i] == (None if gone == 11 else gone, len(mine))
+    assert M.bounded(df.limit(0), "o", "i", "e", F.col("s"), 4).count() == 0
