@@ -1,4 +1,4 @@
-"""Event streams: windows, sessions, agent health, rate limits and task states as Structured Streaming."""
+"""Event streams: windows, sessions, agent health and task states as Structured Streaming; ``timers`` has those that need timers."""
 
 from __future__ import annotations
 
@@ -28,32 +28,6 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes
     return rows.select("user_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n")
 
 
-def rate_limited(requests: DataFrame, limit: int = 100, seconds: float = 60.0) -> DataFrame:
-    """The sliding log of ``limits.rate_decisions`` on a stream: (user_id, event_id, allowed).
-
-    State is the times of at most ``limit`` passed requests of a client; it goes when a client is silent for an hour.
-    """
-
-    def decide(key: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        log = list(state.get[0]) if state.exists else []
-        batch, rows = pd.concat(list(batches)), []  # a key's rows may come in parts
-        for t, i in sorted(zip(batch["ts"].astype("int64"), batch["event_id"], strict=True)):
-            log = [x for x in log if x > t - int(seconds * 1e9)]
-            ok = len(log) < limit
-            if ok:
-                log.append(t)
-            rows.append((key[0], i, ok))
-        yield pd.DataFrame(rows, columns=["user_id", "event_id", "allowed"])
-        state.update((log,))
-        state.setTimeoutDuration(3_600_000)
-
-    rows = requests.select("user_id", "event_id", "ts").groupBy("user_id")
-    return rows.applyInPandasWithState(decide, "user_id long, event_id long, allowed boolean", "log array<long>", "append", "ProcessingTimeTimeout")
-
-
 def task_states(events: DataFrame) -> DataFrame:
     """States of tasks from a stream of (task_id, at, event): (task_id, status, illegal) whenever a task changes.
 

@@ -18,6 +18,7 @@ from contextloom.sources import files as S
 from contextloom.sources import web as W
 from contextloom.sources.robots import robots_allowed
 from contextloom.streaming import events as E
+from contextloom.streaming import timers
 
 
 def vectors(spark, m, start=0):
@@ -286,7 +287,7 @@ def test_streams_equal_batches(spark, small, tmp_path):
     key = lambda df: {(r.start, r.event_type): r.n for r in df.collect()}
     g, b = key(got), key(batch)
     assert g and all(b[k] == n for k, n in g.items())  # windows that the watermark has passed
-    decided = drained(E.rate_limited(E.event_stream(spark, str(tmp_path / "all")), 3, 36_000), "limited_out")
+    decided = drained(timers.rate_limited(E.event_stream(spark, str(tmp_path / "all")), 3, 36_000), "limited_out")
     model = L.rate_decisions(events, "user_id", "ts", "event_id", 3, 36_000)
     assert {r.event_id: r.allowed for r in decided.collect()} == {r.request_id: r.allowed for r in model.collect()}
 
