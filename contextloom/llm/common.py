@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,9 +52,15 @@ def free_name(df: DataFrame, wish: str) -> str:
     return wish
 
 
+def quoted(names: Sequence[str]) -> list[Column]:
+    """Columns by their names as they are, dots and backticks included."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
 # ---- rows of a table by their lasting numbers ----
 FILE_BITS = 33  # a row's number is that of its file << FILE_BITS | its place there
 CELL_BITS = 15  # bits of one bitmap of bitmap_construct_agg
+MAX_FILES = 2_000_000  # whose numbers go by broadcast, 16 bytes each; those of more meet their rows in a shuffle
 MAX_BITMAPS = 16_384  # 4 KB each: 64 MB in a broadcast
 
 
@@ -75,7 +83,9 @@ class Rows:
         self.columns, self.max_bitmaps = docs.columns, max_bitmaps
         paths = self.docs.select(self._place("file_path").alias("path")).distinct()
         number = F.row_number().over(Window.orderBy("path")).cast("long")  # a row for each file
-        self.files = cut(paths.select("path", number.alias("file")))
+        self.files = cut(paths.select("path", F.xxhash64("path").alias("hash"), number.alias("file")))
+        n, apart = self.files.agg(F.count(F.lit(1)), F.countDistinct("hash")).first()
+        self.by_hash, self.few = n == apart, n <= MAX_FILES
 
     def _place(self, field: str) -> Column:
         return self.docs.metadataColumn("_metadata")[field]
@@ -84,9 +94,10 @@ class Rows:
         """All columns of the rows and their number, which has a name that no column has."""
         path, place = free_name(self.docs, "file_of_row"), free_name(self.docs, "place_of_row")
         docs = self.docs if paths is None else self.docs.where(self._place("file_path").isin(paths))
-        rows = docs.select("*", self._place("file_path").alias(path), self._place("row_index").alias(place))
-        files = self.files.select(F.col("path").alias(path), F.shiftleft("file", FILE_BITS).alias(name))
-        return rows.join(F.broadcast(files), path).withColumn(name, F.col(name) + F.col(place)).select(*self.columns, name)
+        own = self._place("file_path")
+        rows = docs.select("*", (F.xxhash64(own) if self.by_hash else own).alias(path), self._place("row_index").alias(place))
+        files = self.files.select(F.col("hash" if self.by_hash else "path").alias(path), F.shiftleft("file", FILE_BITS).alias(name))
+        return rows.join(F.broadcast(files) if self.few else files, path).withColumn(name, F.col(name) + F.col(place)).select(*quoted(self.columns), name)
 
     def pick(self, numbers: DataFrame, keep: bool, name: str | None = None) -> DataFrame:
         """The rows whose number ``numbers`` (one column) has, or has not; with their number if ``name`` is given."""
@@ -100,7 +111,7 @@ class Rows:
             rows = self.numbered(own, paths).withColumn(cell, F.shiftright(own, CELL_BITS))
             hit = bit_is_set(F.col(bits), F.col(own).bitwiseAND(F.lit((1 << CELL_BITS) - 1)))
             rows = rows.join(F.broadcast(chosen), cell).where(hit) if keep else rows.join(F.broadcast(chosen), cell, "left").where(F.col(bits).isNull() | ~hit)
-            return rows.select(*self.columns, *([name] if name else []))
+            return rows.select(*quoted(self.columns), *([name] if name else []))
 
         if bitmaps.count() <= self.max_bitmaps:
             return part(bitmaps, None)

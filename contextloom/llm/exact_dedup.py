@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from contextloom.llm.common import WHITE, Rows, bit_is_set, cut, free_name, text_of
+from contextloom.llm.common import WHITE, Rows, bit_is_set, cut, free_name, quoted, text_of
 from contextloom.llm.components import join_groups
 
 BLOCK_BITS = 32768  # of bitmap_construct_agg
@@ -84,7 +84,7 @@ def split_repeated(docs: DataFrame, h: Column, bits_per_row: int, max_filter_bit
     if blocks * BLOCK_BITS <= max(max_filter_bits, 0):
         name, flag = free_name(docs, "dedup_hash"), free_name(docs, "dedup_maybe")
         rows = maybe_repeated(docs.withColumn(name, h), name, flag, blocks)
-        return rows.where(~F.col(flag)).select(docs.columns), rows.where(F.col(flag)).select(docs.columns)
+        return rows.where(~F.col(flag)).select(*quoted(docs.columns)), rows.where(F.col(flag)).select(*quoted(docs.columns))
     rows = Rows(docs)
     number = free_name(docs, "dedup_number")
     hashes = cut(rows.numbered(number).select(F.col(number).alias("number"), h.alias("h")))
@@ -107,11 +107,11 @@ def exact_dedup(
     once, again = split_repeated(docs, F.xxhash64(normalised(text)), bits_per_row, max_filter_bits)
     key = free_name(docs, "dedup_sha")
     hashable = [c.name for c in docs.schema.fields if not isinstance(c.dataType, (T.MapType, T.VariantType))]
-    order = F.struct(F.coalesce(F.col(doc_id), F.lit(LAST_ID)), F.xxhash64(*hashable))
+    order = F.struct(F.coalesce(F.col(doc_id), F.lit(LAST_ID)), F.xxhash64(*quoted(hashable)))
     firsts = (
         again.withColumn(key, F.sha2(normalised(text), 256))
         .groupBy(key)
-        .agg(F.min_by(F.struct(*docs.columns), order).alias("dedup_row"))
+        .agg(F.min_by(F.struct(*quoted(docs.columns)), order).alias("dedup_row"))
         .select("dedup_row.*")
     )
     return once.unionByName(firsts)

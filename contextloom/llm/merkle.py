@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from contextloom.llm.common import cut, scratch, ship
+from contextloom.llm.common import cut, quoted, scratch, ship
 
 ARITY, FAN_IN, ROWS = 16, 16, 250_000
 TOP = -1  # number of the tree of subroots; the groups' trees count from 0
@@ -225,9 +225,9 @@ def sorted_leaves(docs: DataFrame, columns: Sequence[str], by: str, key: str, cl
 
     ``claim`` is the leaf of the row with the columns of ``claimed`` in place of its own, null where that is the same.
     """
-    own = [docs[quoted(c)] for c in columns]
+    own = quoted(columns)
     other = leaf([claimed.get(c, x) for c, x in zip(columns, own, strict=True)]) if claimed else F.lit(None)
-    found = docs.select(docs[quoted(by)].alias("by"), docs[quoted(key)].alias("key"), leaf(own).alias("digest"), other.alias("claim"))
+    found = docs.select(quoted([by])[0].alias("by"), quoted([key])[0].alias("key"), leaf(own).alias("digest"), other.alias("claim"))
     found = cut(found.select("by", "key", F.unhex("digest").alias("digest"), F.unhex(F.when(F.col("claim") != F.col("digest"), F.col("claim"))).alias("claim")))
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-found.count() // ROWS))  # type: ignore[arg-type]
     order = ("by", "key", "digest")
@@ -237,10 +237,6 @@ def sorted_leaves(docs: DataFrame, columns: Sequence[str], by: str, key: str, cl
     return cut(placed.select(F.shiftright(at, PLACE_BITS).alias("part"), at.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).alias("place"), "key", "digest", "claim", group))
 
 
-def quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
 def shares_of(leaves: DataFrame) -> list[Share]:
     groups = leaves.groupBy("part", "by").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n"))
     outer = F.struct("place", "by", "n")

@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from contextloom.llm import components, decontaminate, exact_dedup, license_scan, ngram_jaccard
+from contextloom.llm import components, decontaminate, exact_dedup, license_scan, minhash, ngram_jaccard
 from contextloom.llm.common import cut, spaced_words, words_of
 
 
@@ -223,6 +223,15 @@ def test_near_edges(plain, none, spark):
     assert (9, 10) in links and len(links) == len(set(links))
 
 
+def test_names_with_dots(spark, tmp_path):
+    """Columns are taken by their names as they are."""
+    rows = [(i, f"some words of text number {i % 3} and a few more", i, "x") for i in range(9)]
+    spark.createDataFrame(rows, "doc_id long, text string, `a.b` long, `c``d` string").write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    for kept in (exact_dedup.exact_dedup(docs), exact_dedup.exact_dedup(docs, max_filter_bits=0), ngram_jaccard.near_dedup(docs), minhash.minhash_dedup(docs)):
+        assert kept.columns == docs.columns and sorted(r["a.b"] for r in kept.collect()) == [0, 1, 2]
+
+
 def test_components(spark):
     r = np.random.default_rng(2)
     pairs = [(int(a), int(b)) for a, b in r.integers(0, 300, (200, 2))] + [(i, i + 1) for i in range(400, 460)] + [(1000, k) for k in range(1001, 1100)] + [(7, 7)]
