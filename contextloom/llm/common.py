@@ -134,6 +134,19 @@ class Rows:
         return out
 
 
+def with_numbers(rows: DataFrame, number: str, numbers: DataFrame, max_bitmaps: int = MAX_BITMAPS) -> DataFrame:
+    """The rows of a written table whose ``number`` is one of ``numbers`` (one column); nothing of them shuffles unless bitmaps are too many."""
+    (one,) = numbers.columns
+    cell, bits = free_name(rows, "cell_of_number"), free_name(rows, "bits_of_number")
+    mask = F.lit((1 << CELL_BITS) - 1)
+    placed = numbers.select(F.shiftright(one, CELL_BITS).alias(cell), F.col(one).bitwiseAND(mask).alias("bit"))
+    bitmaps = cut(placed.groupBy(cell).agg(F.bitmap_construct_agg("bit").alias(bits)))
+    if bitmaps.count() > max_bitmaps:
+        return rows.join(numbers.select(F.col(one).alias(number)), number, "left_semi")
+    hit = bit_is_set(F.col(bits), F.col(number).bitwiseAND(mask))
+    return rows.withColumn(cell, F.shiftright(number, CELL_BITS)).join(F.broadcast(bitmaps), cell).where(hit).select(*quoted(rows.columns))
+
+
 def is_scan(docs: DataFrame) -> bool:
     """Whether ``docs`` reads Parquet files as they are."""
     if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":  # type: ignore[attr-defined]

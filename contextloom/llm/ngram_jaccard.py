@@ -209,10 +209,14 @@ def pivot_pairs(keyed: DataFrame, percent: int) -> DataFrame:
     return out.select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).distinct()
 
 
-def more_pairs(tiles: DataFrame, percent: int) -> DataFrame:
-    """The members of each tile with the ``PIVOTS`` heaviest ones that aren't in their component."""
+def more_pairs(tiles: DataFrame, weights: DataFrame, keys: DataFrame, percent: int) -> DataFrame:
+    """The members of the tiles of some ``keys`` with the ``PIVOTS`` heaviest ones of their tile that aren't in their component.
+
+    A large component so meets pivots of others only; its members aren't looked at otherwise.
+    """
     heaviest = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("weight"), "rep"))
-    pivots = tiles.withColumn("place", heaviest).where(F.col("place") <= PIVOTS).select("key", F.col("rep").alias("pivot"), F.col("n").alias("pivot_n"), F.col("comp").alias("pivot_comp"))
+    pivots = tiles.join(weights, "rep").withColumn("place", heaviest).where(F.col("place") <= PIVOTS).join(keys, "key", "left_semi")
+    pivots = pivots.select("key", F.col("rep").alias("pivot"), F.col("n").alias("pivot_n"), F.col("comp").alias("pivot_comp"))
     return pivot_pairs(tiles.join(pivots, "key").where("comp <> pivot_comp"), percent)
 
 
@@ -482,7 +486,7 @@ def components_of(
     large = labelled.where(F.col("c") > LARGE_TILE)
     sizes = large.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max("m").alias("m"), F.count(F.lit(1)).alias("k"))
     begun = sizes.where("k > 1 and m > 1").select("key")
-    second = cut(more_pairs(large.join(begun, "key", "left_semi").join(weights, "rep"), percent).join(tried, ["a", "b"], "left_anti"))
+    second = cut(more_pairs(large, weights, begun, percent).join(tried, ["a", "b"], "left_anti"))
     if not second.isEmpty():
         tried = tried.unionByName(second)
         links = cut(links.unionByName(linked(second)))
