@@ -52,13 +52,21 @@ def kept_path(path: Column, include: Sequence[str] = (), exclude: Sequence[str]
 
 def raw_files(spark: SparkSession, options: ScanOptions) -> DataFrame:
     """Files below a path that patterns and size keep; the content is read only if a later step asks for it."""
+    rows = found_files(spark, options)
+    return rows.where((F.col("length") <= options.max_file_size) & kept_path(F.col("path"), options.include, options.exclude))
+
+
+def found_files(spark: SparkSession, options: ScanOptions, forgiving: bool = False) -> DataFrame:
+    """All files below a path, by their relative paths; ``forgiving`` leaves out those that can't be read when their content is."""
     root = options.path.rstrip("/")
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(options.recursive).lower())
+    if forgiving:
+        reader = reader.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
     relative = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/*(?=/)", ""), "^" + "".join(f"\\{c}" if not c.isalnum() else c for c in root) + "/+", "")
     rows = reader.load(root if options.recursive else f"{root}/*").withColumn("path", relative)
     if not options.recursive:
         rows = rows.where(~F.col("path").contains("/"))
-    return rows.where((F.col("length") <= options.max_file_size) & kept_path(F.col("path"), options.include, options.exclude))
+    return rows
 
 
 @F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("encoding", T.StringType())]))
@@ -96,6 +104,43 @@ def read_files(spark: SparkSession, options: ScanOptions) -> DataFrame:
     return decoded(rows)
 
 
+# What becomes of a file in a scan.
+PROCESSED, BY_NAME, BY_SIZE, BY_LIMIT, FAILED = "processed", "name", "size", "limit", "error"
+
+
+def scan_outcomes(spark: SparkSession, options: ScanOptions) -> DataFrame:
+    """(path, size, outcome, error): a row for each file that a scan finds, and what becomes of it.
+
+    ``name`` and ``size`` are left out by pattern and limit; of the others the first ``max_files`` by path are processed or have an
+    error, the rest are beyond the ``limit``. A file that can't be read, or that no encoding fits, is its own error and hurts no
+    other. Only contents of files that may be processed are read.
+    """
+    listed = cut(found_files(spark, options).select("path", F.col("length").alias("size")))
+    named, fits = kept_path(F.col("path"), options.include, options.exclude), F.col("size") <= options.max_file_size
+    able = listed.where(named & fits)
+    if options.max_files is not None:
+        able = able.orderBy("path").limit(options.max_files)
+    able = cut(able.select("path"))
+    small = options.max_files is not None  # then it is a bounded list
+    rows = found_files(spark, options, forgiving=True).where((F.col("length") <= options.max_file_size) & kept_path(F.col("path"), options.include, options.exclude))
+    read = rows.join(F.broadcast(able) if small else able, "path").select("path", decode("content").alias("d"))
+    read = cut(read.select("path", F.col("d.text").isNotNull().alias("decoded")))
+    met = listed.join(able.withColumn("able", F.lit(True)), "path", "left").join(read, "path", "left")
+    wrong = F.when(F.col("decoded").isNull(), F.concat(F.lit("Error processing "), F.col("path"), F.lit(": it can't be read")))
+    wrong = wrong.when(~F.col("decoded"), F.concat(F.lit("Error processing "), F.col("path"), F.lit(": no encoding fits")))
+    outcome = F.when(~named, BY_NAME).when(~fits, BY_SIZE).when(F.col("able").isNull(), BY_LIMIT).when(F.coalesce("decoded", F.lit(False)), PROCESSED).otherwise(FAILED)
+    return met.select("path", "size", outcome.alias("outcome"), F.when(F.col("able"), wrong).alias("error"))
+
+
+def scan_totals(outcomes: DataFrame) -> DataFrame:
+    """Files found, processed and skipped, bytes of the processed ones, and errors: one row."""
+    done = F.col("outcome") == PROCESSED
+    return outcomes.agg(
+        F.count(F.lit(1)).alias("found"), F.count_if(done).alias("processed"), F.count_if(~done).alias("skipped"),
+        F.coalesce(F.sum(F.when(done, F.col("size"))), F.lit(0)).alias("bytes"), F.count("error").alias("errors"),
+    )
+
+
 def decoded(rows: DataFrame) -> DataFrame:
     out = rows.select("path", decode("content").alias("d"), F.col("length").alias("size"), F.col("modificationTime").alias("modified_time"))
     return out.where("d.text is not null").select("path", F.col("d.text").alias("content"), "size", "modified_time", F.col("d.encoding").alias("encoding"))

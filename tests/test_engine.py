@@ -232,6 +232,27 @@ def test_files(spark, tmp_path):
         S.ScanOptions("a/../b")
 
 
+def test_what_becomes_of_each_file(spark, tmp_path, monkeypatch):
+    for name, raw in {"a.py": b"x = 1", "b/c.md": b"# t", "d.bin": b"0", "big.py": b"y" * 500, "odd.py": b"\xff\xfe\xfd", "node_modules/z.py": b"z", "z1.py": b"1", "z2.py": b"2", "gone.py": b"g"}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(raw)
+    monkeypatch.setattr(S, "ENCODINGS", ("utf-8",))  # else one of them fits anything
+    monkeypatch.setattr(S, "decode", F.pandas_udf(S.decode.func, S.decode.returnType))
+    options = S.ScanOptions(str(tmp_path), max_file_size=100, max_files=5)
+    found = S.found_files
+
+    def losing(spark, options, forgiving=False):
+        rows = found(spark, options, forgiving)
+        return rows.where("path <> 'gone.py'") if forgiving else rows  # as if it went after it was listed
+
+    monkeypatch.setattr(S, "found_files", losing)
+    got = {r.path: (r.outcome, r.error) for r in S.scan_outcomes(spark, options).collect()}
+    assert {k: v[0] for k, v in got.items()} == {"a.py": "processed", "b/c.md": "processed", "d.bin": "name", "big.py": "size", "odd.py": "error", "node_modules/z.py": "name", "z1.py": "processed", "z2.py": "limit", "gone.py": "error"}
+    assert got["gone.py"][1] == "Error processing gone.py: it can't be read" and "encoding" in got["odd.py"][1] and got["a.py"][1] is None
+    totals = S.scan_totals(S.scan_outcomes(spark, options)).first()
+    assert (totals.found, totals.processed, totals.skipped, totals.bytes, totals.errors) == (9, 3, 6, 9, 2)
+
+
 def test_uploads(spark):
     docx = io.BytesIO()
     with zipfile.ZipFile(docx, "w") as z:
