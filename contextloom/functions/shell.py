@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from contextloom.functions.text import ALLOWED_COMMANDS, DANGEROUS
+from contextloom.functions.text import ALLOWED_COMMANDS, DANGEROUS, ascii_pattern
 
 # Characters that no argument may have.
 NOT_IN_ARGUMENTS = "|&;$`(){}<>\n\r"
@@ -84,7 +84,7 @@ def command_flags(command: Column, words: Column) -> Column:
     dangerous: a pattern is in the command; unreadable: its quotes don't close; metacharacters: one is in an argument, quoted
     or not; base: the program's own name, without folders; allowed_base: it is on the list. A command without words is none.
     """
-    dangerous = F.coalesce(command.rlike("(?i)" + "|".join(DANGEROUS)), F.lit(False))
+    dangerous = F.coalesce(command.rlike(ascii_pattern("|".join(DANGEROUS))), F.lit(False))
     unreadable = words.isNull()
     some = F.coalesce(words, F.array().cast("array<string>"))
     meta = F.exists(some, lambda w: F.length(F.translate(w, NOT_IN_ARGUMENTS, "")) < F.length(w))

@@ -41,6 +41,19 @@ SECRETS = (
 )
 
 
+def ascii_pattern(pattern: str) -> str:
+    """A pattern in lower case, as RE2 reads it under ``(?i)``, for Java's engine, whatever the JVM's version.
+
+    Words and white space are ASCII's, so a letter beyond it ends a word and a vertical tab is no space; a dot stops at line
+    feeds only; s and k also stand for the two letters beyond ASCII that fold to them.
+    """
+    word = "[A-Za-z0-9_]"
+    stands = {
+        r"\b": f"(?:(?<={word})(?!{word})|(?<!{word})(?={word}))", r"\s": r"[\t\n\f\r ]", ".": r"[^\n]", "s": "[sS\u017f]", "k": "[kK\u212a]",
+    }
+    return "(?i)" + re.sub(r"\\.|.", lambda m: stands.get(m[0], m[0]), pattern)
+
+
 def stripped(c: Column) -> Column:
     """Without white space at both ends, Unicode's included (trim only knows the space)."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")

@@ -4,6 +4,7 @@ import fnmatch
 import re
 import shlex
 
+import duckdb
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -65,6 +66,14 @@ def test_command_flags(spark, command, ok):
     assert one(spark, H.command_flags(F.lit(command), words)).accepted is ok
 
 
+def test_dangerous_as_the_sql_reads_it(spark):
+    """Borders of words, white space, line ends and case beyond ASCII, held against DuckDB's engine."""
+    said = [a + x + b for x in ("su", "rm -rf", "rm\x0b-rf", "rm\f-r", "ſudo", "Kill -9", "kill -9", "&& a\rrm", "&& a\u2028rm", "&& a\nrm", "HALT", "halt\u0301", "kıll -9") for a, b in (("", ""), ("ä", "ß"), ("é ", "ö"), ("_", ""), ("a", "a"), ("٣", "٣"))]
+    found = spark.createDataFrame([(i, x) for i, x in enumerate(said)], "i int, cmd string").select("i", H.command_flags(F.col("cmd"), F.array(F.lit("ls")))["dangerous"].alias("d"))
+    expected = [duckdb.execute("SELECT regexp_matches(?, ?)", [x, "(?i)" + "|".join(X.DANGEROUS)]).fetchone()[0] for x in said]
+    assert [r.d for r in found.orderBy("i").collect()] == expected
+
+
 @given(st.text(st.sampled_from(list("ab'\"\\ \t\n;é$")), max_size=30))
 def test_words_are_those_of_a_shell(command):
     try:
