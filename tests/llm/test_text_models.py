@@ -138,6 +138,29 @@ def test_rows_are_picked_in_groups_of_files(spark, tmp_path):
         assert rows.pick(ids.limit(0), False).count() == 5000 and rows.pick(ids.limit(0), True).count() == 0
 
 
+def joined_rows(plan):
+    """Rows that come out of the joins of a plan that has run."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return joined_rows(plan.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return joined_rows(plan.plan())
+    own = plan.metrics().get("numOutputRows").get().value() if kind.endswith("JoinExec") else 0
+    children = plan.children()
+    return own + sum(joined_rows(children.apply(i)) for i in range(children.size()))
+
+
+def test_only_chosen_rows_come_out_of_the_join_that_picks_them(spark, tmp_path):
+    spark.range(4000).select("id", F.col("id").cast("string").alias("place_of_row")).repartition(3).write.parquet(f"{tmp_path}/d")
+    rows = common.Rows(spark.read.parquet(f"{tmp_path}/d"))
+    ids = rows.numbered("n").where("id % 1000 = 0").select("n")
+    for out, n in ((rows.pick(ids, True, "n"), 4), (rows.pick(ids, False), 3996)):
+        found = out.collect()
+        assert len(found) == n and {r.id % 1000 == 0 for r in found} == {n == 4} and all(str(r.id) == r.place_of_row for r in found)
+        assert joined_rows(out._jdf.queryExecution().executedPlan()) <= n + 10  # and a row for each bitmap
+    assert sorted(r.n for r in rows.pick(ids, True, "n").collect()) == sorted(r.n for r in ids.collect())
+
+
 def test_quality_edges(spark, plain, none):
     lab = spark.createDataFrame([(4, 1, 0), (9, 0, 0)], "doc_id long, quality int, toxic int")
     model = quality.fit(plain, lab)
