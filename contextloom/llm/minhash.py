@@ -12,9 +12,9 @@ Inverted lists. A pair of two-word shingles is found in many texts, and so is on
 would hold a good part of any large corpus. So a list stands for all that a cell retains: documents are in it when the
 ``depth`` smallest hashes of that cell are the same. Two linked sets agree in a cell with a probability of their similarity to the power
 of ``depth``, which is chosen such that some cell agrees but for 2e-11 at the threshold itself (``depth`` is 4 at 80 %), and for much less
-above it. They share several, so each document leaves out the two longest of its lists, which are mostly those of passages that many
-documents share; that costs a pair at the threshold with a probability under 1e-8. Sets of under ``SMALL`` shingles have too few to fill cells; they go by their whole exact prefix in the order of rarity
-instead, where nothing can be missed. Sets of sizes that may be linked with ones on either side of ``SMALL`` do both.
+above it. Every list of more than one document counts, however long. Sets of under ``SMALL`` shingles have too few to fill cells; they go
+by their whole exact prefix in the order of rarity instead, where nothing can be missed. Sets of sizes that may be linked with ones on
+either side of ``SMALL`` do both.
 
 Pairs. As in ``ngram_jaccard``: each list first pairs its members with one pivot, so that groups of copies cost pairs in
 proportion to their size; lists that still hold several components give the pairs across these that sizes and bitmaps
@@ -37,7 +37,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from contextloom.llm import ngram_jaccard as near
 from contextloom.llm.common import Rows, byte_lists, cut, free_name, scratch, ship, with_numbers
@@ -46,7 +45,7 @@ SHINGLE, PERCENT = 2, 80
 CELLS, KEPT = 48, 4
 SMALL = 128
 MISS = 2.0**-40
-LOST, FEWER = 2e-11, 1e-8  # chances that a pair at the threshold shares no list, or too few to spare the longest ones
+LOST, FEWER = 2e-11, 1e-8  # chances that a pair at the threshold shares no list, or no more than ``spare_lists``
 PAD = np.uint32(0xFFFFFFFF)
 
 
@@ -56,7 +55,7 @@ def list_depth(percent: int) -> int:
 
 
 def spare_lists(percent: int) -> int:
-    """How many of its lists a document can leave out, as linked pairs share more of them but for ``FEWER``."""
+    """Linked pairs share more lists than these but for ``FEWER``: a bound that tests hold, no list is left out for it."""
     agree = (percent / 100) ** list_depth(percent)
     below, k = 0.0, 0
     while (below := below + math.comb(CELLS, k) * agree**k * (1 - agree) ** (CELLS - k)) <= FEWER:
@@ -64,19 +63,6 @@ def spare_lists(percent: int) -> int:
     return max(0, k - 1)
 
 
-def shorter_lists(lists: DataFrame, percent: int) -> DataFrame:
-    """``lists`` (key, rep, n) of more than one document without the longest ones of each document. Written.
-
-    All lists have one order, longer ones first. Of the lists that a linked pair shares, the last comes after at least
-    ``spare_lists`` others of both documents, so it is none of those that either leaves out. What goes are the lists of passages that
-    many documents share, of which each document has few.
-    """
-    counts = cut(lists.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
-    shared = lists.join(counts, "key")
-    place = F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("c"), "key"))  # at most CELLS rows each
-    return cut(shared.withColumn("place", place).where(F.col("place") > spare_lists(percent)).select("key", "rep", "n"))
-
-
 def least_shared(percent: int) -> np.ndarray:
     """For each size of a union sketch the fewest shared values that a linked pair has but for ``MISS``."""
     t, out = percent / 100, []
@@ -173,8 +159,7 @@ def near_rows(rows: Rows, text: str, doc_id: str, percent: int) -> DataFrame:
         )
         sketched = with_numbers(sets, "row", classes.select("rep")).withColumnRenamed("row", "rep")
         short = near.rare_prefixes(rows, text, sketched.where(F.col("n") < SMALL).select("rep", "n"), percent, SHINGLE)
-        lists = shorter_lists(sketched.select(F.explode("keys").alias("key"), "rep", "n"), percent)
-        lists = lists.unionByName(short.join(sketched.select("rep", "n"), "rep").select(F.explode("keys").alias("key"), "rep", "n"))
+        lists = sketched.select(F.explode("keys").alias("key"), "rep", "n").unionByName(short.join(sketched.select("rep", "n"), "rep").select(F.explode("keys").alias("key"), "rep", "n"))
 
         def linked(pairs: DataFrame) -> DataFrame:
             return near.exact_pairs(rows, text, likely_pairs(sketched, near.bounded_pairs(sketched, pairs, percent), percent), percent, shingle=SHINGLE)
