@@ -14,6 +14,7 @@ from bisect import bisect_left
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +22,7 @@ from pyspark.sql import types as T
 from contextloom.functions.text import SUFFIXES, language_of, stripped
 from contextloom.schema import CHUNK, META
 
+SLICE_BYTES, SLICE_FILES = 1 << 18, 128  # of files whose chunks a task holds at a time
 WINDOW_SHARE, OVERLAP_SHARE = 50, 20  # characters that a line stands for in windows and in overlaps
 # Shapes of headings and fences.
 HEADING = r"^(#{1,6})\s+(.+)$"
@@ -248,6 +250,18 @@ def supported_suffixes() -> dict[str, list[str]]:
 META_FIELDS = [f.strip().split(":")[0] for f in re.sub(r"array<string>", "x", META[7:-1]).split(",")]
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about ``SLICE_BYTES`` of content or a file more, so that chunks are held of those only, however large batches are."""
+    first, held = 0, 0
+    for i, n in enumerate(pc.binary_length(batch.column(1)).to_pylist()):
+        held += n or 0
+        if held >= SLICE_BYTES or i - first + 1 >= SLICE_FILES:
+            yield batch.slice(first, i + 1 - first)
+            first, held = i + 1, 0
+    if first < len(batch):
+        yield batch.slice(first)
+
+
 def chunked(files: DataFrame, language: Column | None = None, path: str = "path", content: str = "content") -> DataFrame:
     """Chunks of each file by the chunker of its language; texts are stripped, empty chunks keep their index."""
     kind = language if language is not None else language_of(F.col(path), LANGUAGES)
@@ -259,7 +273,7 @@ def chunked(files: DataFrame, language: Column | None = None, path: str = "path"
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             out: list[dict] = []
             for r in batch.to_pylist():
                 try:

@@ -3,6 +3,7 @@ from __future__ import annotations
 import re
 import time
 
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -106,3 +107,15 @@ def test_native_sections_equal_python(spark):
 def test_chunk_id(spark):
     r = spark.range(1).select(C.chunk_id(F.lit("p"), F.lit(3), F.lit("t")).alias("x")).first()
     assert r.x == f"p#3#{C.text_digest('t')}"
+
+
+def test_chunks_of_a_few_files_are_held_at_a_time():
+    """However large a batch is, its parts have about ``SLICE_BYTES`` and no more than ``SLICE_FILES`` files; all come, in order."""
+    texts = ["é" * 5000] * 300 + [None] * 300 + ["x" * 3_000_000, "", "y"] + ["z"] * 200
+    batch = pa.record_batch({"path": [str(i) for i in range(len(texts))], "content": texts})
+    parts = list(C.slices(batch))
+    assert pa.Table.from_batches(parts) == pa.Table.from_batches([batch]).combine_chunks()
+    for part in parts:
+        sizes = [len(x.encode()) if x else 0 for x in part.column(1).to_pylist()]
+        assert 0 < len(part) <= C.SLICE_FILES and sum(sizes[:-1]) < C.SLICE_BYTES
+    assert not list(C.slices(batch.slice(0, 0)))
