@@ -22,7 +22,7 @@ from contextloom.commits import CommitLog, Snapshot
 from contextloom.schema import INDEX
 from contextloom.storage import cut, scratch
 
-QUERY_BLOCK = 1024  # queries that are multiplied at a time
+QUERY_BLOCK, TILE = 1024, 1024  # queries and vectors that are multiplied at a time
 LOAD_BYTES = 32 << 20  # of queries and their hits, for a scan
 Load = tuple[np.ndarray, np.ndarray]  # ids and vectors of queries
 
@@ -49,6 +49,16 @@ def scorable(ids: pa.Array, vectors: pa.Array, dim: int) -> tuple[np.ndarray, np
     return (ids.to_numpy(), m) if finite.all() else (ids.to_numpy()[finite], m[finite])
 
 
+def tiles(batches: Iterable[pa.RecordBatch], dim: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``scorable`` of (id, vector) batches by at most ``TILE`` rows, those without any left out: scores of a tile are few however large batches are."""
+    for batch in batches:
+        for start in range(0, len(batch), TILE):
+            part = batch.slice(start, TILE)
+            ids, m = scorable(part.column(0), part.column(1), dim)
+            if len(ids):
+                yield ids, m
+
+
 def unit_rows(m: np.ndarray) -> np.ndarray:
     norm = np.sqrt((m * m).sum(1, keepdims=True))
     return np.divide(m, norm, out=m.copy(), where=norm > 0)
@@ -87,10 +97,7 @@ def blocked_scan(rows: DataFrame, q_ids: np.ndarray, q: np.ndarray, k: int, digi
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, kept_ids = np.full((len(q_ids), k), -np.inf), np.full((len(q_ids), k), np.iinfo(np.int64).max)
-        for batch in batches:
-            ids, m = scorable(batch.column(0), batch.column(1), q.shape[1])
-            if not len(ids):
-                continue
+        for ids, m in tiles(batches, q.shape[1]):
             m = unit_rows(m).T
             for start in range(0, len(q_ids), block):
                 part = slice(start, start + block)
@@ -125,10 +132,7 @@ def normalizer_scan(rows: DataFrame, q_ids: np.ndarray, q: np.ndarray, scale: fl
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top, total = np.full(len(q_ids), -np.inf), np.zeros(len(q_ids))
-        for batch in batches:
-            ids, m = scorable(batch.column(0), batch.column(1), q.shape[1])
-            if not len(ids):
-                continue
+        for ids, m in tiles(batches, q.shape[1]):
             m = unit_rows(m).T
             for start in range(0, len(q_ids), block):
                 part = slice(start, start + block)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from contextloom.operators import pruned as P
@@ -47,3 +48,13 @@ def test_odd_input(spark):
     assert P.pruned_top_k(P.celled(v.limit(0)), q, 3).count() == 0 and P.pruned_top_k(P.celled(v), q.limit(0), 3).count() == 0
     with pytest.raises(ValueError, match="dimensions"):
         P.celled(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "id long, embedding array<double>"))
+
+
+def test_scores_of_a_tile_are_held_at_a_time():
+    """However large batches are, vectors are multiplied ``TILE`` at a time at most; those that can't be scored are left out."""
+    n = 2 * V.TILE + 10
+    vectors = [[float(i), 1.0] if i % 5 else [float("nan"), 1.0] if i % 2 else [1.0] for i in range(n)]
+    found = list(V.tiles([pa.record_batch({"id": list(range(n)), "v": vectors})], 2))
+    assert len(found) == 3 and all(len(ids) == len(m) <= V.TILE for ids, m in found)
+    assert [int(i) for ids, _ in found for i in ids] == [int(m) for _, rows in found for m in rows[:, 0]] == [i for i in range(n) if i % 5]
+    assert not list(V.tiles([pa.record_batch({"id": [1], "v": [[1.0]]})], 2))
