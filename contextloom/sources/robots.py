@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from urllib.parse import quote, unquote
+from urllib.parse import quote, unquote, urlparse, urlunparse
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,11 +16,19 @@ def prefix_of(value: str) -> str:
     return quote(unquote(value))
 
 
+def rule_path(value: str) -> str:
+    """The same of an unescaped rule as the standard library has it, without empty parts; what is no address stays as it is."""
+    try:
+        return quote(urlunparse(urlparse(value)))
+    except ValueError:
+        return prefix_of(value)
+
+
 def groups(text: str | None) -> list[tuple[list[str], Rules]]:
     """(agents, rules) of each group of the file.
 
     A group is one or more user-agent lines and the rules after them; an agent line after a rule begins the next one, and so does an
-    empty line after a rule. Comments, unknown lines and rules without a group are passed over. ``Disallow:`` without a path allows all.
+    empty line after a rule, one without even white space. Comments, unknown lines and rules without a group are passed over. ``Disallow:`` without a path allows all.
     """
     found: list[tuple[list[str], Rules]] = []
     agents: list[str] = []
@@ -33,7 +41,7 @@ def groups(text: str | None) -> list[tuple[list[str], Rules]]:
         rules.clear()
 
     for line in (text or "").splitlines():
-        if not line.strip():
+        if not line:
             if not rules:  # agents that nothing follows are forgotten
                 agents.clear()
             close()
@@ -47,7 +55,7 @@ def groups(text: str | None) -> list[tuple[list[str], Rules]]:
                 close()
             agents.append(value)
         elif key in ("allow", "disallow") and agents:
-            rules.append((key == "allow" or not value, prefix_of(value)))
+            rules.append((key == "allow" or not value, rule_path(value)))
     close()
     return found
 

@@ -146,3 +146,8 @@ def test_a_crawl_with_versions_of_an_address(spark):
         (1, "one &amp", "one &x", None), (2, None, None, "Error fetching http://h/a: Content too large: 138 bytes"),
         (3, "b", "bz", None), (3, None, None, "Error fetching http://h/gone: HTTP Error 404: Not Found"),
     ]
+
+
+def test_white_space_ends_no_group_and_odd_paths_are_rules():
+    assert B.groups("User-agent: *\n \nDisallow: /a") == [(["*"], [(False, "/a")])]
+    assert B.groups("User-agent: *\nDisallow: //[x\nDisallow: /a?") == [(["*"], [(False, "//%5Bx"), (False, "/a")])]
