@@ -251,6 +251,23 @@ def test_components(spark):
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("few", [1 << 18, 0])  # smallest neighbours by broadcast, or by joins
+def test_components_settle_in_few_tables(spark, monkeypatch, few):
+    """Stars are known as such without another round; a chain of 3,000 whose links lie in any order takes a few."""
+    made, cut = [], components.cut
+    monkeypatch.setattr(components, "cut", lambda df: made.append(1) or cut(df))
+    monkeypatch.setattr(components, "FEW_NODES", few)
+    monkeypatch.setattr(components, "FOREST", 300)
+    stars = spark.range(10, 1000, 1, 4).selectExpr("id as a", "id % 10 as b")
+    got = {r.node: r.component for r in components.connected_components(stars.union(stars)).collect()}
+    assert got == {i: i % 10 for i in range(1000)} and len(made) == 1
+    made.clear()
+    order = np.random.default_rng(7).permutation(3000).tolist()
+    chain = spark.createDataFrame([(i + 1, i) for i in order], "a long, b long").repartition(4)
+    got = [(r.node, r.component) for r in components.connected_components(chain).collect()]
+    assert sorted(got) == [(i, 0) for i in range(3001)] and len(made) <= 12
+
+
 # ---- decontamination ----
 def test_contamination_equals_brute_force(spark):
     r = np.random.default_rng(3)
