@@ -136,18 +136,17 @@ def set_rows(rows: Rows, text: str, doc_id: str, percent: int) -> DataFrame:
 
 
 def likely_pairs(sketched: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Those (a, b) of ``pairs`` whose union sketch allows a link. Written."""
-    one = lambda c: sketched.select(F.col("rep").alias(c), F.col("sketch").alias(f"sketch{c}"))
-    met = pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "sketcha", "sketchb")
+    """Those (a, b) of ``pairs`` (written) whose bitmaps and union sketch allow a link. Written."""
     least = least_shared(percent)
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, CELLS, KEPT) for i in (2, 3))
+            batch = batch.filter(pa.array(near.allowed(batch, percent)))
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, CELLS, KEPT) for i in (6, 7))
             size, shared = union_overlap(x, y)
             yield batch.select(["a", "b"]).filter(pa.array(shared >= least[size]))
 
-    return cut(met.mapInArrow(judged, "a long, b long"))
+    return cut(near.sided(sketched, pairs, "n", "bits", "sketch").mapInArrow(judged, "a long, b long"))
 
 
 def near_rows(rows: Rows, text: str, doc_id: str, percent: int) -> DataFrame:
@@ -162,7 +161,7 @@ def near_rows(rows: Rows, text: str, doc_id: str, percent: int) -> DataFrame:
         lists = sketched.select(F.explode("keys").alias("key"), "rep", "n").unionByName(short.join(sketched.select("rep", "n"), "rep").select(F.explode("keys").alias("key"), "rep", "n"))
 
         def linked(pairs: DataFrame) -> DataFrame:
-            return near.exact_pairs(rows, text, likely_pairs(sketched, near.bounded_pairs(sketched, pairs, percent), percent), percent, shingle=SHINGLE)
+            return near.exact_pairs(rows, text, likely_pairs(sketched, pairs, percent), percent, shingle=SHINGLE)
 
         comps = near.components_of(lists, percent, linked, lambda tiles: near.tile_pairs(rows, text, tiles, sketched, percent, SHINGLE))
         by_class = near.class_components(classes, comps)

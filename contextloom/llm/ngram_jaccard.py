@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from contextloom.llm.common import Rows, byte_lists, cut, free_name, release, scratch, ship, spaced_words
+from contextloom.llm.common import Rows, byte_lists, cut, free_name, release, scratch, ship, spaced_words, with_numbers
 from contextloom.llm.components import connected_components, join_groups
 
 SHINGLE = 5
@@ -45,6 +45,7 @@ KEYS = 32
 MIX = np.uint64(0x9E3779B97F4A7C15)
 CELL = 2048
 PIVOTS, LARGE_TILE = 4, 256
+LESSER = 96  # keys of other tiles that a row takes along, so that a pair comes from one tile
 SMALL_BITS, LARGE_BITS = 8, 13  # bitmaps have 2 ** 8 to 2 ** 13 bits
 BITS_PER_SHINGLE = 4
 SLOT_BITS, SLOT_LOAD, SLOT_BLOCK = 24, 16, 1 << 14  # the table of frequencies has at most 2 ** 24 slots, 16 shingles in each if it may
@@ -145,28 +146,42 @@ def size_fits(na: str, nb: str, percent: int) -> Column:
     return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent).cast("boolean")
 
 
+def ends_of(pairs: DataFrame) -> DataFrame:
+    """(rep): both sides of some pairs (a, b), as often as they are there."""
+    return pairs.select(F.explode(F.array("a", "b")).alias("rep"))
+
+
+def sided(classes: DataFrame, pairs: DataFrame, *columns: str) -> DataFrame:
+    """``pairs`` (a, b; written) with some columns of both their ``classes``; of the others nothing shuffles."""
+    some = with_numbers(classes, "rep", ends_of(pairs))
+    one = lambda c: some.select(F.col("rep").alias(c), *(F.col(x).alias(f"{x}{c}") for x in columns))
+    return pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", *(f"{x}{c}" for x in columns for c in "ab"))
+
+
+def allowed(batch: pa.RecordBatch, percent: int) -> np.ndarray:
+    """Which pairs (a, b, na, nb, bitsa, bitsb) the bitmaps allow."""
+    na, nb = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
+    keep = np.zeros(len(na), bool)
+    for i, (x, y) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)):
+        bx, by = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        words = min(len(bx), len(by))
+        keep[i] = enough(most_overlap(folded(bx, words), folded(by, words), na[i], nb[i]), na[i], nb[i], percent)
+    return keep
+
+
 def bounded_pairs(classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Those (a, b) of ``pairs`` that the bitmaps of ``classes`` (rep, n, bits) allow. Written."""
-    one = lambda c: classes.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}"))
-    signed = pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "na", "nb", "bitsa", "bitsb")
+    """Those (a, b) of ``pairs`` (written) that the bitmaps of ``classes`` (rep, n, bits) allow. Written."""
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            na, nb = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
-            keep = np.zeros(len(na), bool)
-            for i, (x, y) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)):
-                bx, by = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                words = min(len(bx), len(by))
-                keep[i] = enough(most_overlap(folded(bx, words), folded(by, words), na[i], nb[i]), na[i], nb[i], percent)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            yield batch.select(["a", "b"]).filter(pa.array(allowed(batch, percent)))
 
-    return cut(signed.mapInArrow(bounded, "a long, b long"))
+    return cut(sided(classes, pairs, "n", "bits").mapInArrow(bounded, "a long, b long"))
 
 
 def exact_pairs(rows: Rows, text: str, pairs: DataFrame, percent: int, overlaps: bool = False, shingle: int = SHINGLE) -> DataFrame:
     """Those (a, b) of ``pairs`` (written) that are linked, with their overlap if wanted, by their whole sorted arrays. Written."""
-    wanted = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
-    arrays = cut(set_arrays(rows, text, wanted, shingle))
+    arrays = cut(set_arrays(rows, text, ends_of(pairs), shingle))
     side = lambda c: arrays.select(F.col("rep").alias(c), F.col("hashes").alias(f"hashes{c}"))
     met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "hashesa", "hashesb")
 
@@ -182,7 +197,9 @@ def exact_pairs(rows: Rows, text: str, pairs: DataFrame, percent: int, overlaps:
                 out = out.append_column("overlap", pa.array(shared, pa.int64()))
             yield out.filter(pa.array(keep, pa.bool_()))
 
-    return cut(met.mapInArrow(linked, "a long, b long, overlap long" if overlaps else "a long, b long"))
+    out = cut(met.mapInArrow(linked, "a long, b long, overlap long" if overlaps else "a long, b long"))
+    release(arrays)
+    return out
 
 
 def near_pairs(rows: Rows, text: str, classes: DataFrame, pairs: DataFrame, percent: int, overlaps: bool = False) -> DataFrame:
@@ -209,41 +226,48 @@ def pivot_pairs(keyed: DataFrame, percent: int) -> DataFrame:
     return out.select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).distinct()
 
 
-def more_pairs(tiles: DataFrame, weights: DataFrame, keys: DataFrame, percent: int) -> DataFrame:
+def more_pairs(tiles: DataFrame, keys: DataFrame, percent: int) -> DataFrame:
     """The members of the tiles of some ``keys`` with the ``PIVOTS`` heaviest ones of their tile that aren't in their component.
 
     A large component so meets pivots of others only; its members aren't looked at otherwise.
     """
     heaviest = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("weight"), "rep"))
-    pivots = tiles.join(weights, "rep").withColumn("place", heaviest).where(F.col("place") <= PIVOTS).join(keys, "key", "left_semi")
+    pivots = tiles.withColumn("place", heaviest).where(F.col("place") <= PIVOTS).join(keys, "key", "left_semi")
     pivots = pivots.select("key", F.col("rep").alias("pivot"), F.col("n").alias("pivot_n"), F.col("comp").alias("pivot_comp"))
     return pivot_pairs(tiles.join(pivots, "key").where("comp <> pivot_comp"), percent)
 
 
 def with_components(keyed: DataFrame, links: DataFrame) -> DataFrame:
-    """key, c, rep, n and the component that the links so far give."""
+    """key, c, rep, n, weight and the component that the links so far give."""
     comps = connected_components(links).withColumnRenamed("node", "rep")
-    return keyed.join(comps, "rep", "left").select("key", "c", "rep", "n", F.coalesce("component", "rep").alias("comp"))
+    return keyed.join(comps, "rep", "left").select("key", "c", "rep", "n", "weight", F.coalesce("component", "rep").alias("comp"))
+
+
+def lesser_keys(tiles: DataFrame) -> DataFrame:
+    """``tiles`` with keys: of the tiles that a row's class is in, the ``LESSER`` keys before that of the row.
+
+    Two rows that share one of these leave their pair to that tile. The first tile that they share always gives it.
+    """
+    return tiles.withColumn("keys", F.collect_list("key").over(Window.partitionBy("rep").orderBy("key").rowsBetween(-LESSER, -1)))
 
 
 def cross_pairs(tiles: DataFrame, percent: int) -> DataFrame:
     """Pairs of a tile in different components that sizes and bitmaps allow; some come more than once.
 
-    ``tiles``: key, c (the tile's rows), rep, comp, n, bits, keys. A tile of more than ``CELL`` rows is cut by size bands,
-    each a quarter wide so that links only join a band and the next, and a band into cells of two blocks of about
-    ``CELL`` rows. A task holds one cell at a time.
+    ``tiles``: key, c (the tile's rows), rep, comp, n, keys (``lesser_keys``), bits. A tile of more than ``CELL`` rows is cut by
+    size bands, each a quarter wide so that links only join a band and the next, and a band into cells of two blocks of
+    about ``CELL`` rows. A task holds one cell at a time.
     """
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("long")
     blocks = F.ceil(F.col("c") / CELL).cast("int")
     block = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    cells = F.when(F.col("c") <= CELL, F.array(F.struct(F.lit(-1).cast("long").alias("band"), F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("side")))).otherwise(
+    cells = F.when(F.col("c") <= CELL, F.array(F.struct(F.lit(-1).cast("long").alias("band"), F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("side"), F.lit(0).alias("up")))).otherwise(
         F.flatten(F.transform(F.sequence(F.lit(0), F.lit(1)), lambda up: F.transform(F.sequence(F.lit(0), blocks - 1), lambda q: F.struct(
-            (band - up).cast("long").alias("band"), F.least(block, q).alias("x"), F.greatest(block, q).alias("y"), block.alias("side")))))
+            (band - up).cast("long").alias("band"), F.least(block, q).alias("x"), F.greatest(block, q).alias("y"), block.alias("side"), up.alias("up")))))
     )
-    lesser = F.filter("keys", lambda k: k < F.col("key"))  # shared smaller keys mean that another tile gives the pair
-    dealt = tiles.select("key", "rep", "comp", "n", "bits", lesser.alias("keys"), F.explode(cells).alias("cell")).select("key", "cell.*", "rep", "comp", "n", "bits", "keys")
+    dealt = tiles.select("key", "rep", "comp", "n", "bits", "keys", F.explode(cells).alias("cell")).select("key", "cell.*", "rep", "comp", "n", "bits", "keys")
     place = F.xxhash64("key", "band", "x", "y")
-    dealt = dealt.select(place.alias("place"), "x", "y", "side", "rep", "comp", "n", "bits", "keys")
+    dealt = dealt.select(place.alias("place"), "x", "y", "side", "up", "rep", "comp", "n", "bits", "keys")
     ready = dealt.repartition("place").sortWithinPartitions("place", "n")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,7 +359,7 @@ def rare_prefixes(rows: Rows, text: str, members: DataFrame, percent: int, shing
 
 
 def rare_tiles(rows: Rows, text: str, members: DataFrame, percent: int, shingle: int = SHINGLE) -> DataFrame:
-    """key, c, rep, comp, n, bits: tiles of ``members`` (rep, comp, n; written) that hold more than one component.
+    """key, c, rep, comp, n, keys, bits: tiles of ``members`` (rep, comp, n; written) that hold more than one component.
 
     Members send their exact prefixes in the order of rarity (``rare_prefixes``).
     """
@@ -345,11 +369,11 @@ def rare_tiles(rows: Rows, text: str, members: DataFrame, percent: int, shingle:
     met = cut(join_groups(keys, counts, "key", "c", keys.count()).select("key", "c", "rep").join(members, "rep"))
     mixed = cut(met.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi").select("key", "m"))
     open_rows = join_groups(met, mixed, "key", "m", met.count()).select("key", "c", "rep", "comp", "n")
-    return open_rows.join(sets.select("rep", "bits"), "rep")
+    return lesser_keys(open_rows).join(sets.select("rep", "bits"), "rep")
 
 
 def _cell_pairs(t: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
-    n, rep, comp, side, x, y = (t.column(c).to_numpy() for c in ("n", "rep", "comp", "side", "x", "y"))
+    n, rep, comp, side, up, x, y = (t.column(c).to_numpy() for c in ("n", "rep", "comp", "side", "up", "x", "y"))
     if len(n) < 2 or comp.min() == comp.max():
         return
     apart = bool(x[0] != y[0])  # two blocks: only pairs across them
@@ -367,6 +391,8 @@ def _cell_pairs(t: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
         fits = comp[i + 1 : last] != comp[i]
         if apart:
             fits &= side[i + 1 : last] != side[i]
+        if up[i]:  # two rows of the next band meet in that band's own cell
+            fits &= up[i + 1 : last] == 0
         j = np.flatnonzero(fits) + i + 1
         if len(j):
             b = at_width[int(width[i])]
@@ -456,11 +482,10 @@ def with_classes(sets: DataFrame, by_class: DataFrame) -> DataFrame:
 
 def tile_pairs(rows: Rows, text: str, tiles: DataFrame, classes: DataFrame, percent: int, shingle: int = SHINGLE) -> DataFrame:
     """(a, b) across the components of ``tiles`` (key, c, rep, comp, n; written), large tiles anew by rarity; some twice."""
-    found = cross_pairs(tiles.where(F.col("c") <= CELL).join(classes.select("rep", "bits", "keys"), "rep"), percent)
+    found = cross_pairs(lesser_keys(tiles).where(F.col("c") <= CELL).join(classes.select("rep", "bits"), "rep"), percent)
     members = cut(tiles.where(F.col("c") > CELL).select("rep", "comp", "n").distinct())
     if not members.isEmpty():
-        no_keys = F.array().cast("array<long>").alias("keys")  # a pair that several tiles give comes out once all the same
-        found = found.unionByName(cross_pairs(rare_tiles(rows, text, members, percent, shingle).select("*", no_keys), percent))
+        found = found.unionByName(cross_pairs(rare_tiles(rows, text, members, percent, shingle), percent))
     return found
 
 
@@ -473,11 +498,11 @@ def components_of(
     components in tiles (key, c, rep, comp, n; written).
     """
     tiles = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    shared = cut(keys.join(tiles, "key").select("key", "c", "rep", "n"))
-    weights = cut(shared.groupBy("rep").agg(F.sum("c").alias("weight")))
+    weight = F.sum("c").over(Window.partitionBy("rep"))
+    shared = cut(keys.join(tiles, "key").select("key", "c", "rep", "n", weight.alias("weight")))
     middle = F.max_by(F.struct("rep", "n"), F.struct("weight", -F.col("rep"))).alias("p")
-    pivots = shared.join(weights, "rep").groupBy("key").agg(middle)
-    keyed = cut(shared.join(pivots, "key").select("key", "c", "rep", "n", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pivot_n")))
+    pivots = shared.groupBy("key").agg(middle)
+    keyed = cut(shared.join(pivots, "key").select("key", "c", "rep", "n", "weight", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pivot_n")))
     release(shared)
     tried = cut(pivot_pairs(keyed, percent))
     links = linked(tried)
@@ -486,7 +511,7 @@ def components_of(
     large = labelled.where(F.col("c") > LARGE_TILE)
     sizes = large.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max("m").alias("m"), F.count(F.lit(1)).alias("k"))
     begun = sizes.where("k > 1 and m > 1").select("key")
-    second = cut(more_pairs(large, weights, begun, percent).join(tried, ["a", "b"], "left_anti"))
+    second = cut(more_pairs(large, begun, percent).join(tried, ["a", "b"], "left_anti"))
     if not second.isEmpty():
         tried = tried.unionByName(second)
         links = cut(links.unionByName(linked(second)))
@@ -495,8 +520,10 @@ def components_of(
     release(keyed)
 
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    open_tiles = cut(labelled.join(mixed.select("key"), "key", "left_semi"))
+    open_tiles = cut(labelled.join(mixed.select("key"), "key", "left_semi").drop("weight"))
+    release(labelled)
     third = cut(across(open_tiles).distinct().join(tried, ["a", "b"], "left_anti"))
+    release(open_tiles)
     links = links.unionByName(linked(third))
     return cut(connected_components(links))
 

@@ -57,6 +57,24 @@ def test_a_passage_and_a_group_of_copies(spark, monkeypatch):
     assert found(df) == sorted(ngram_jaccard.brute_force(docs, 80, 2), key=repr)
 
 
+@pytest.mark.parametrize("own", [14, 60])  # texts that go by rare shingles, and by lists
+def test_a_pair_comes_from_one_tile(spark, monkeypatch, own):
+    """Texts that share most of their tiles, but aren't linked, are paired once, not once for each tile and size band."""
+    monkeypatch.setattr(ngram_jaccard, "CELL", 16)
+    made, cross = [], ngram_jaccard.cross_pairs
+
+    def counted(tiles, percent):
+        pairs = ngram_jaccard.cut(cross(tiles, percent))
+        made.append((pairs.count(), pairs.distinct().count()))
+        return pairs
+
+    monkeypatch.setattr(ngram_jaccard, "cross_pairs", counted)
+    passage = " ".join(f"p{i}" for i in range(7 * own))
+    docs = [(i, f"{passage} " + " ".join(f"o{i}x{k}" for k in range(own))) for i in range(40)]
+    assert found(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)) == sorted(ngram_jaccard.brute_force(docs, 80, 2), key=repr)
+    assert all(rows == pairs for rows, pairs in made) and sum(pairs for _, pairs in made) > 0
+
+
 def test_edges(plain, none):
     by = {}
     for r in minhash.minhash_report(plain).collect():
