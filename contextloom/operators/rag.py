@@ -23,9 +23,19 @@ def kept_contexts(hits: DataFrame, by: str, most: int = 5) -> DataFrame:
     return hits.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
 
 
+def three_places(x: Column) -> Column:
+    """A number as C's and Python's ``%.3f`` print it, rounded from its exact value.
+
+    Java's ``%.3f`` rounds the shortest decimal form: of 0.1235, which is 0.12349999..., it makes 0.124. ``format_number`` is exact,
+    but makes 0.000 of 0.0005, and has other words for what isn't finite.
+    """
+    size = F.abs(x)
+    return F.when((size > 0.0005) & (size < float("inf")), F.call_function("format_number", x, F.lit("0.000"))).otherwise(F.format_string("%.3f", x))
+
+
 def context_line(place: Column, file_path: Column, url: Column, score: Column, text: Column) -> Column:
     source = F.coalesce(F.nullif(file_path, F.lit("")), url, F.lit("unknown"))
-    return F.concat(F.format_string("[SOURCE %d | %s | score: ", place, source), F.format_string("%.3f", F.coalesce(score, F.lit(0.0)).cast("double")), F.lit("]\n"), F.coalesce(text, F.lit("")))
+    return F.concat(F.format_string("[SOURCE %d | %s | score: ", place, source), three_places(F.coalesce(score, F.lit(0.0)).cast("double")), F.lit("]\n"), F.coalesce(text, F.lit("")))
 
 
 def web_line(place: Column, title: Column, url: Column, snippet: Column) -> Column:
@@ -86,4 +96,4 @@ def chat_prompts(turns: DataFrame) -> DataFrame:
 def terminal_view(place: Column, file_path: Column, start: Column, end: Column, score: Column, text: Column) -> Column:
     lines = F.when((end != start) & (end > 0), F.concat(F.lit(" (lines "), start.cast("string"), F.lit("-"), end.cast("string"), F.lit(")"))).otherwise(F.concat(F.lit(" (line "), start.cast("string"), F.lit(")")))
     where = F.concat(F.coalesce(file_path, F.lit("unknown")), F.when(start > 0, lines).otherwise(""))
-    return F.concat(F.lit("[SOURCE "), place.cast("string"), F.lit("] "), where, F.format_string(" (score: %.3f)\n", score.cast("double")), F.lit("-" * 60 + "\n"), preview(text, 300))
+    return F.concat(F.lit("[SOURCE "), place.cast("string"), F.lit("] "), where, F.lit(" (score: "), three_places(score.cast("double")), F.lit(")\n" + "-" * 60 + "\n"), preview(text, 300))
