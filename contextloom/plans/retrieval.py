@@ -114,9 +114,10 @@ SQL["hash_embedding"] = sql(DOC_COUNTS, body="SELECT id AS doc_id, bucket::INT A
 
 
 def found_documents(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
+    """A document that has no bucket in common with a question is no hit, so a blank question has none."""
     docs = V.hash_embedded(table(spark, d, "documents"), "doc_id", "text", DIM)
     items = V.hash_embedded(table(spark, d, "benchmark"), "item_id", "text", DIM)
-    return V.top_k(docs, items, k, id_column="doc_id", query_id="item_id", digits=6)
+    return V.top_k(docs, items, k, id_column="doc_id", query_id="item_id", digits=6).where("score > 0")
 
 
 def semantic_search(spark: SparkSession, d: str) -> DataFrame:
